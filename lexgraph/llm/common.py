@@ -105,7 +105,7 @@ def shingles(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndar
     for i in np.flatnonzero(short):
         r = row[i]
         own = words[bounds[r] : bounds[r + 1]]
-        out[i] = (own * _MULT[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own)) * _MULT[40]
+        out[i] = np.concatenate([own * _MULT[: len(own)], _MULT[40 : 40 + len(own)]]).sum(dtype=np.uint64)
     return mix(out), out_bounds
 
 

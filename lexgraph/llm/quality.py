@@ -110,3 +110,17 @@ def quality(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, min_words:
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(failed), pa.array(~failed & (raw >= threshold)), pa.array(1 / (1 + np.exp(-raw)))], [*batch.schema.names[:6], "base_failed", "kept", "score"])
 
     return measured.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, score double")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, min_words: int = 50, max_repeat: float = 50.0) -> DataFrame:
+    """The rows of ``docs``, all columns, that quality() would keep."""
+    forest, threshold = train(docs, labels, max_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [statistics(v.as_py() or "") for v in batch.column("text")]
+            raw = forest.raw(np.array([f[1] for f in found])) if found else np.zeros(0)
+            good = [n >= min_words and 100 * repeat <= max_repeat * n and r >= threshold for ((n, _, _, _, repeat), _), r in zip(found, raw)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
