@@ -1,4 +1,450 @@
 """Registered queries over the given tables, and the SQL they must agree with."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lexgraph import store
+from lexgraph.operators import components, divergence, keyed, mi, pairs, parse, similarity, substitute
+from lexgraph.session import table, write_table
+from lexgraph.sources import sequences
+from lexgraph.streaming import learning
+
+QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+    return add
+
+
+# Building blocks of the SQL.
+TOK_B = "tok AS (SELECT l_orderkey AS s, l_partkey AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS p FROM lineitem)"
+TOK_E = "tok AS (SELECT user_id AS s, event_type AS w, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)"
+SENT = r"""cut AS (SELECT doc_id, lang, unnest(string_split_regex(text, '[.!?\n]')) AS s, generate_subscripts(string_split_regex(text, '[.!?\n]'), 1) - 1 AS no FROM documents),
+sent AS (SELECT (doc_id << 32) + no AS s, lang, list_transform(list_filter(string_split_regex(s, '[^A-Za-z'']+'), lambda x: x <> ''), lambda x: lower(x[1:63]))[1:64] AS words FROM cut),
+ok AS (SELECT * FROM sent WHERE len(words) >= 2)"""
+TOK_D = SENT + ", tok AS (SELECT s, lang, unnest(words) AS w, generate_subscripts(words, 1) AS p FROM ok)"
+
+
+def PC(window: int, own: bool = False, name: str = "pc", tok: str = "tok") -> str:
+    return f"""{name} AS (SELECT least(a.w, b.w) AS wa, greatest(a.w, b.w) AS wb, count(*) AS "count" FROM {tok} a JOIN {tok} b ON a.s = b.s AND b.p BETWEEN a.p + 1 AND a.p + {window}{'' if own else ' WHERE a.w <> b.w'} GROUP BY 1, 2)"""
+
+
+def MI(pc: str = "pc", name: str = "mi") -> str:
+    return f"""{name}_m AS (SELECT w, CAST(sum(c) AS BIGINT) AS m FROM (SELECT wa AS w, "count" AS c FROM {pc} UNION ALL SELECT wb, "count" FROM {pc}) GROUP BY w),
+{name} AS (SELECT wa, wb, "count", a.m AS "left", b.m AS "right", log2("count") + log2((SELECT sum("count") FROM {pc})) - log2(a.m) - log2(b.m) AS mi FROM {pc} JOIN {name}_m a ON wa = a.w JOIN {name}_m b ON wb = b.w)"""
+
+
+R = "round({0}, 6) + 0.0"
+MI_B = f"WITH {TOK_B}, {PC(6)}, {MI()}"
+SEC = "sec AS (SELECT l_suppkey AS word, l_partkey AS disjunct, count(*) AS \"count\" FROM lineitem GROUP BY 1, 2)"
+COS = f"""{SEC}, nrm AS (SELECT word, CAST(sum("count" * "count") AS BIGINT) AS norm_sq FROM sec GROUP BY word),
+dots AS (SELECT a.word AS wa, b.word AS wb, CAST(sum(a."count" * b."count") AS BIGINT) AS dot FROM sec a JOIN sec b ON a.disjunct = b.disjunct AND a.word < b.word GROUP BY 1, 2),
+cos AS (SELECT wa, wb, dot, dot / (sqrt(x.norm_sq) * sqrt(y.norm_sq)) AS cosine FROM dots JOIN nrm x ON wa = x.word JOIN nrm y ON wb = y.word)"""
+CC = """lab AS (SELECT word AS node, word AS root FROM sec GROUP BY word UNION SELECT e.b, lab.root FROM lab JOIN (SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge) e ON e.a = lab.node),
+roots AS (SELECT node, min(root) AS root FROM lab GROUP BY node)"""
+CLS = "cls AS (SELECT p_partkey AS word, dense_rank() OVER (ORDER BY p_brand) - 1 AS class_id FROM part)"
+CC_T = 0.08
+
+
+def _round(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in cols})
+
+
+def _baskets(spark, d):
+    return sequences.baskets(table(spark, d, "lineitem"))
+
+
+def _doc_sents(spark, d):
+    return sequences.sentences(table(spark, d, "documents"))
+
+
+def _mi_baskets(spark, d):
+    return mi.mi_full(pairs.pair_counts(_baskets(spark, d), 6))
+
+
+def _sections(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("word"), F.col("l_partkey").alias("disjunct")).agg(F.count("*").alias("count"))
+
+
+def _classes(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("word"), "p_brand")
+    ids = components.class_ids(part.select(F.col("p_brand").alias("root")))
+    return part.join(F.broadcast(ids), part.p_brand == ids.root).select("word", "class_id")
+
+
+# Sequences
+@query(f"WITH {SENT} SELECT s AS sent_id, array_to_string(words, ' ') AS words, len(words) AS n FROM ok")
+def tokenize_sentences(spark, d):
+    return _doc_sents(spark, d).select("sent_id", F.array_join("words", " ").alias("words"), F.size("words").cast("long").alias("n"))
+
+
+@query(f"WITH {TOK_D}, f AS (SELECT w AS word, min((s, p)) AS f, count(*) AS \"count\" FROM tok GROUP BY w) SELECT row_number() OVER (ORDER BY f) - 1 AS word_id, word, \"count\" FROM f ORDER BY f LIMIT 8092")
+def vocabulary(spark, d):
+    return sequences.vocabulary(_doc_sents(spark, d))
+
+
+@query(f"""WITH {TOK_D}, v AS (SELECT w, min((s, p)) AS f FROM tok GROUP BY w ORDER BY f LIMIT 8092), n AS (SELECT s, count(*) AS n FROM tok WHERE w IN (SELECT w FROM v) GROUP BY s)
+SELECT (SELECT count(*) FROM ok) AS total, count(*) AS usable, round(avg(n), 6) + 0.0 AS avg_len, min(n) AS min_len, max(n) AS max_len FROM n WHERE n >= 2""")
+def corpus_profile(spark, d):
+    s = _doc_sents(spark, d)
+    return _round(sequences.corpus_profile(s, sequences.vocabulary(s)), "avg_len")
+
+
+@query(r"""WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents)
+SELECT doc, CAST(no AS BIGINT) AS no, line FROM l WHERE regexp_matches(line, '[A-Za-z]') AND NOT (length(line) > 5 AND NOT regexp_matches(line, '[a-z]'))""")
+def body_lines(spark, d):
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return sequences.body_lines(lines).select("doc", F.col("no").cast("long").alias("no"), "line")
+
+
+# Pair counts
+@query(f"WITH {TOK_B}, {PC(6)} SELECT * FROM pc")
+def pair_counts_baskets(spark, d):
+    return pairs.pair_counts(_baskets(spark, d), 6)
+
+
+@query(f"WITH {TOK_D}, {PC(2)} SELECT * FROM pc")
+def pair_counts_docs_w2(spark, d):
+    return pairs.pair_counts(_doc_sents(spark, d), 2)
+
+
+@query(f"WITH {TOK_D}, {PC(6)} SELECT * FROM pc")
+def pair_counts_docs_w6(spark, d):
+    return pairs.pair_counts(_doc_sents(spark, d), 6)
+
+
+@query(f"WITH {TOK_E}, {PC(2, True)} SELECT * FROM pc")
+def pair_counts_events_self(spark, d):
+    return pairs.pair_counts(sequences.timelines(table(spark, d, "events")), 2, True)
+
+
+@query(f"WITH {TOK_B}, {PC(2, True)}, c AS (SELECT least(a.w, b.w) AS wa, greatest(a.w, b.w) AS wb, count(DISTINCT a.s % 8) AS n FROM tok a JOIN tok b ON a.s = b.s AND b.p BETWEEN a.p + 1 AND a.p + 2 GROUP BY 1, 2) SELECT pc.*, c.n AS compartments FROM pc JOIN c USING (wa, wb)")
+def two_phase_pair_counts(spark, d):
+    return pairs.two_phase_counts(_baskets(spark, d), 8)
+
+
+@query(f"WITH {TOK_B}, {PC(6)}, {MI()} SELECT w AS word, m AS marginal FROM mi_m")
+def word_marginals(spark, d):
+    return pairs.marginals(pairs.pair_counts(_baskets(spark, d), 6))
+
+
+@query(f"WITH {TOK_B}, {PC(6)} SELECT (SELECT count(DISTINCT w) FROM tok) AS n_words, count(*) AS n_pairs, CAST(sum(\"count\") AS BIGINT) AS n_events FROM pc")
+def pool_stats(spark, d):
+    s = _baskets(spark, d)
+    return pairs.pool_stats(s, pairs.pair_counts(s, 6))
+
+
+# Mutual information
+@query(f"{MI_B} SELECT wa, wb, \"count\", \"left\", \"right\", {R.format('mi')} AS mi FROM mi")
+def mi_baskets(spark, d):
+    return _round(_mi_baskets(spark, d), "mi")
+
+
+@query(f"WITH {TOK_D}, {PC(2)}, {MI()} SELECT wa, wb, \"count\", \"left\", \"right\", {R.format('mi')} AS mi FROM mi")
+def mi_docs(spark, d):
+    return _round(mi.mi_full(pairs.pair_counts(_doc_sents(spark, d), 2)), "mi")
+
+
+@query(f"{MI_B} SELECT count(*) AS nonzero, count_if(mi > 0) AS positive, count_if(mi > 0.5123) AS above FROM mi")
+def mi_stats(spark, d):
+    return mi.mi_stats(_mi_baskets(spark, d), 0.5123)
+
+
+@query(f"{MI_B} SELECT wa, wb, {R.format('mi')} AS mi FROM mi WHERE mi > 0.5123")
+def mi_filter(spark, d):
+    return _round(mi.mi_filter(_mi_baskets(spark, d), 0.5123), "mi")
+
+
+@query(f"{MI_B} SELECT count_if(mi > 0) AS positive, count_if(mi < 0) AS negative, count_if(isnan(mi)) AS nan, count_if(isinf(mi)) AS inf, {R.format('avg(CASE WHEN mi > 0 THEN mi END)')} AS mean_positive, {R.format('max(mi)')} AS max_mi FROM mi")
+def mi_distribution(spark, d):
+    return _round(mi.mi_distribution(_mi_baskets(spark, d)), "mean_positive", "max_mi")
+
+
+@query(f"{MI_B} SELECT wa, wb, \"count\", {R.format('mi')} AS mi FROM mi ORDER BY round(mi, 6) DESC, wa, wb LIMIT 20")
+def top_mi_pairs(spark, d):
+    return _round(mi.top_pairs(_mi_baskets(spark, d)), "mi")
+
+
+
+@query(f"""WITH {TOK_B}, old AS (SELECT tok.* FROM tok JOIN orders ON s = o_orderkey WHERE year(o_orderdate) < 1995), new AS (SELECT tok.* FROM tok JOIN orders ON s = o_orderkey WHERE year(o_orderdate) >= 1995),
+{PC(2, True, 'po', 'old')}, {PC(2, True, 'pn', 'new')}, {MI('po', 'm1')}, pa AS (SELECT wa, wb, CAST(sum("count") AS BIGINT) AS "count" FROM (SELECT * FROM po UNION ALL SELECT * FROM pn) GROUP BY 1, 2), {MI('pa', 'm2')}
+SELECT m2.wa, m2.wb, m2."count", round(CASE WHEN pn.wa IS NOT NULL THEN m2.mi ELSE m1.mi END, 6) + 0.0 AS mi FROM m2 LEFT JOIN pn ON m2.wa = pn.wa AND m2.wb = pn.wb LEFT JOIN m1 ON m2.wa = m1.wa AND m2.wb = m1.wb""")
+def mi_dirty_two_batches(spark, d):
+    when = table(spark, d, "orders").select(F.col("o_orderkey").alias("sent_id"), (F.year("o_orderdate") >= 1995).alias("late"))
+    s = _baskets(spark, d).join(when, "sent_id")
+    old = mi.mi_full(pairs.pair_counts(s.where("not late"), 2, True))
+    return _round(mi.mi_incremental(old, pairs.pair_counts(s.where("late"), 2, True)), "mi")
+
+
+# Parses
+EDGES = f"""{MI_B}, a AS (SELECT x.s, x.p - 1 AS p1, y.p - 1 AS p2, x.w AS w1, y.w AS w2, coalesce(mi.mi, 0.0) AS weight FROM tok x JOIN tok y ON x.s = y.s AND x.p < y.p LEFT JOIN mi ON least(x.w, y.w) = wa AND greatest(x.w, y.w) = wb),
+e AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY round(weight, 9) DESC, p1, p2) AS k FROM a)""".replace("WITH", "WITH RECURSIVE", 1)
+TREE = """t AS (SELECT s, CAST(0 AS BIGINT) AS k, range(count(*)) AS lab, CAST(NULL AS BIGINT) AS p1, CAST(NULL AS BIGINT) AS p2, false AS taken FROM tok GROUP BY s
+ UNION ALL SELECT e.s, e.k, CASE WHEN lab[e.p1 + 1] <> lab[e.p2 + 1] THEN list_transform(lab, lambda x: CASE WHEN x = lab[e.p2 + 1] THEN lab[e.p1 + 1] ELSE x END) ELSE lab END, e.p1, e.p2, lab[e.p1 + 1] <> lab[e.p2 + 1] FROM t JOIN e ON e.s = t.s AND e.k = t.k + 1),
+mst AS (SELECT e.* FROM t JOIN e ON t.s = e.s AND t.k = e.k WHERE taken)"""
+
+
+def _word_parse(spark, d):
+    s = _baskets(spark, d)
+    return parse.spanning_trees(parse.word_weights(parse.position_pairs(s), mi.mi_full(pairs.pair_counts(s, 6))))
+
+
+def _grammar_parse(spark, d):
+    s = _baskets(spark, d)
+    m, c = mi.mi_full(pairs.pair_counts(s, 6)), _classes(spark, d)
+    return parse.spanning_trees(parse.grammar_weights(parse.position_pairs(s), m, c, substitute.class_mi(m, c)))
+
+
+@query(f"{EDGES}, {TREE} SELECT s AS sent_id, p1, p2, w1, w2, round(weight, 6) + 0.0 AS weight FROM mst")
+def mst_parse(spark, d):
+    return _round(_word_parse(spark, d).select("sent_id", F.col("p1").cast("long").alias("p1"), F.col("p2").cast("long").alias("p2"), "w1", "w2", "weight"), "weight")
+
+
+@query(f"""{EDGES}, {TREE}, con AS (SELECT s, p1 AS pos, w1 AS word, '1:' || w2 AS c, 1 AS dir, w2 AS o FROM mst UNION ALL SELECT s, p2, w2, '0:' || w1, 0, w1 FROM mst),
+dj AS (SELECT s, pos, word, string_agg(c, ' ' ORDER BY dir, o) AS disjunct FROM con GROUP BY 1, 2, 3) SELECT word, disjunct, count(*) AS "count" FROM dj GROUP BY 1, 2""")
+def section_counts(spark, d):
+    found = parse.sections(_word_parse(spark, d))
+    return found.select("word", F.array_join(F.transform("disjunct", lambda c: F.concat_ws(":", c["dir"].cast("string"), c["word"].cast("string"))), " ").alias("disjunct"), "count")
+
+
+@query()
+def section_hashes(spark, d):
+    return parse.hashed_sections(parse.sections(_word_parse(spark, d))).select("word", "djh", "count")
+
+
+@query()
+def mst_parse_grammar(spark, d):
+    return _round(_grammar_parse(spark, d), "weight")
+
+
+@query()
+def surprise(spark, d):
+    return _round(parse.surprise(_baskets(spark, d), write_table(_word_parse(spark, d), "parse"), write_table(_grammar_parse(spark, d), "parse")), "score")
+
+
+# Similarity and classes
+@query(f"WITH {COS} SELECT * FROM nrm")
+def section_norms(spark, d):
+    return similarity.norms(_sections(spark, d))
+
+
+@query(f"WITH {COS} SELECT * FROM dots")
+def dot_products(spark, d):
+    return similarity.dot_products(_sections(spark, d))
+
+
+@query(f"WITH {COS} SELECT wa, wb, dot, {R.format('cosine')} AS cosine FROM cos")
+def cosine_similarity(spark, d):
+    return _round(similarity.cosine(_sections(spark, d)), "cosine")
+
+
+@query(f"WITH {COS} SELECT wa, wb, {R.format('cosine')} AS cosine FROM cos WHERE cosine > 0.0511")
+def cosine_filter(spark, d):
+    return _round(similarity.cosine_filter(similarity.cosine(_sections(spark, d)), 0.0511), "cosine")
+
+
+@query(f"WITH {SEC} SELECT disjunct, count(*) AS df, string_agg(CAST(word AS VARCHAR), ',' ORDER BY word) AS words FROM sec GROUP BY 1")
+def reverse_index(spark, d):
+    return similarity.reverse_index(_sections(spark, d)).select("disjunct", "df", F.array_join(F.col("words").cast("array<string>"), ",").alias("words"))
+
+
+EDGE_B = f"""{MI_B}, edge AS (SELECT wa AS a, wb AS b FROM mi WHERE mi > 2.0 AND "count" > 1), sec AS (SELECT DISTINCT l_partkey AS word FROM lineitem)""".replace("WITH", "WITH RECURSIVE", 1)
+
+
+def _basket_classes(spark, d):
+    m = _mi_baskets(spark, d)
+    edges = m.where((F.col("mi") > 2.0) & (F.col("count") > 1)).select(F.col("wa").alias("a"), F.col("wb").alias("b"))
+    words = table(spark, d, "lineitem").select(F.col("l_partkey").alias("word_id"))
+    return components.components_of(words, edges)
+
+
+@query(f"{EDGE_B}, {CC} SELECT node AS word_id, root, dense_rank() OVER (ORDER BY root) - 1 AS class_id FROM roots")
+def connected_components(spark, d):
+    return _basket_classes(spark, d)
+
+
+@query(f"{EDGE_B}, {CC}, c AS (SELECT dense_rank() OVER (ORDER BY root) - 1 AS class_id FROM roots) SELECT class_id, count(*) AS size FROM c GROUP BY 1")
+def class_sizes(spark, d):
+    return components.class_sizes(_basket_classes(spark, d))
+
+
+@query(f"{EDGE_B}, {CC}, c AS (SELECT root, count(*) AS n FROM roots GROUP BY 1) SELECT {R.format('-sum(n / (SELECT sum(n) FROM c) * log2(n / (SELECT sum(n) FROM c)))')} AS entropy, count(*) AS classes, count_if(n = 1) AS singletons FROM c")
+def class_entropy(spark, d):
+    labels = _basket_classes(spark, d)
+    single = components.class_sizes(labels).agg(F.count_if(F.col("size") == 1).alias("singletons"))
+    return _round(components.class_entropy(labels), "entropy").crossJoin(single)
+
+
+@query(f"{EDGE_B}, {CC}, c AS (SELECT root, count(*) AS n, array_to_string(list_sort(list(node))[1:12], ',') AS members FROM roots GROUP BY root) SELECT root, n AS size, members FROM c ORDER BY n DESC, root LIMIT 10")
+def top_classes(spark, d):
+    labels = _basket_classes(spark, d)
+    best = labels.groupBy("root").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "root").limit(10)
+    some = labels.join(F.broadcast(best), "root").groupBy("root", "size").agg(F.slice(F.sort_array(F.collect_list("word_id")), 1, 12).alias("m"))
+    return some.select("root", "size", F.array_join(F.col("m").cast("array<string>"), ",").alias("members"))
+
+
+@query()
+def threshold_sweep(spark, d):
+    m = _mi_baskets(spark, d).withColumnRenamed("mi", "cosine")
+    words = table(spark, d, "lineitem").select(F.col("l_partkey").alias("word_id"))
+    return components.threshold_sweep(words, write_table(m.where("count > 1"), "sweep"), [1.0, 2.0, 3.0, 4.0])
+
+
+# Substitution, grammar, divergence
+@query(f"WITH {TOK_B}, {PC(6)}, {CLS}, n AS (SELECT coalesce(x.class_id + 1000000000, wa) AS a, coalesce(y.class_id + 1000000000, wb) AS b, \"count\" AS c FROM pc LEFT JOIN cls x ON wa = x.word LEFT JOIN cls y ON wb = y.word) SELECT least(a, b) AS wa, greatest(a, b) AS wb, CAST(sum(c) AS BIGINT) AS \"count\" FROM n WHERE a <> b GROUP BY 1, 2")
+def substitute_pairs(spark, d):
+    return substitute.substitute_pairs(pairs.pair_counts(_baskets(spark, d), 6), _classes(spark, d), 1_000_000_000)
+
+
+@query(f"WITH {TOK_B}, {PC(6)}, {CLS}, n AS (SELECT coalesce(x.class_id + 1000000000, wa) AS a, coalesce(y.class_id + 1000000000, wb) AS b, wa, wb FROM pc LEFT JOIN cls x ON wa = x.word LEFT JOIN cls y ON wb = y.word) SELECT count_if(a <> wa OR b <> wb) AS changed, count_if(a = b) AS eliminated, count_if(a <> b) - (SELECT count(*) FROM (SELECT DISTINCT least(a, b), greatest(a, b) FROM n WHERE a <> b)) AS merged FROM n")
+def substitute_metrics(spark, d):
+    return substitute.substitute_metrics(pairs.pair_counts(_baskets(spark, d), 6), _classes(spark, d), 1_000_000_000)
+
+
+@query(f"WITH s AS (SELECT l_partkey AS word, l_suppkey AS disjunct, count(*) AS c FROM lineitem GROUP BY 1, 2), {CLS} SELECT coalesce(class_id + 1000000000, s.word) AS word, disjunct, CAST(sum(c) AS BIGINT) AS \"count\" FROM s LEFT JOIN cls ON s.word = cls.word GROUP BY 1, 2")
+def substitute_sections(spark, d):
+    own = _sections(spark, d).select(F.col("disjunct").alias("word"), F.col("word").alias("disjunct"), "count")
+    return substitute.substitute_sections(own, _classes(spark, d), 1_000_000_000, merge=True)
+
+
+@query("SELECT p_partkey AS word, CASE WHEN p_size > 25 THEN CAST(p_size AS BIGINT) ELSE dense_rank() OVER (ORDER BY p_brand) - 1 END AS class_id FROM part")
+def assign_classes(spark, d):
+    new = table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("word"), F.col("p_size").cast("long").alias("class_id"))
+    return substitute.assign_classes(_classes(spark, d), new)
+
+
+@query(f"WITH {SEC} SELECT word, disjunct, \"count\", round(least(greatest(-0.5 * log2(\"count\" / (SELECT max(\"count\") FROM sec)) + 0.1, 0.1), 10.0), 6) + 0.0 AS cost FROM sec")
+def grammar_costs(spark, d):
+    return _round(substitute.grammar_costs(_sections(spark, d)), "cost")
+
+
+CMI = f"{MI_B}, {CLS}, cm AS (SELECT least(x.class_id, y.class_id) AS ca, greatest(x.class_id, y.class_id) AS cb, avg(mi) AS mi, count(*) AS n FROM mi JOIN cls x ON wa = x.word JOIN cls y ON wb = y.word WHERE mi > 0 AND x.class_id <> y.class_id GROUP BY 1, 2)"
+
+
+@query(f"{CMI} SELECT ca, cb, {R.format('mi')} AS mi, n FROM cm")
+def class_mi(spark, d):
+    return _round(substitute.class_mi(_mi_baskets(spark, d), _classes(spark, d)), "mi")
+
+
+@query(f"{CMI}, asked AS (SELECT DISTINCT x.class_id AS c1, y.class_id AS c2 FROM lineitem l JOIN cls x ON l_partkey = x.word JOIN cls y ON l_suppkey = y.word) SELECT c1, c2, round(coalesce(mi, 0.0), 6) + 0.0 AS mi FROM asked LEFT JOIN cm ON least(c1, c2) = ca AND greatest(c1, c2) = cb")
+def class_mi_lookup(spark, d):
+    c = _classes(spark, d)
+    asked = table(spark, d, "lineitem").join(c.select(F.col("word").alias("l_partkey"), F.col("class_id").alias("c1")), "l_partkey").join(c.select(F.col("word").alias("l_suppkey"), F.col("class_id").alias("c2")), "l_suppkey").select("c1", "c2").distinct()
+    return _round(substitute.class_mi_lookup(asked, substitute.class_mi(_mi_baskets(spark, d), c)), "mi")
+
+
+def NB(lang: str, n: str) -> str:
+    return f"""t{n} AS (SELECT * FROM tok WHERE lang {lang}), {PC(2, False, 'p' + n, 't' + n)}, {MI('p' + n, 'm' + n)},
+b{n} AS (SELECT wa AS word, wb AS partner, round(mi, 9) AS mi FROM m{n} WHERE mi > 0 UNION ALL SELECT wb, wa, round(mi, 9) FROM m{n} WHERE mi > 0),
+n{n} AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY mi DESC, partner) AS rank FROM b{n} QUALIFY rank <= 32)"""
+
+
+def _side(spark, d, cond):
+    return divergence.neighbourhoods(mi.mi_full(pairs.pair_counts(sequences.sentences(table(spark, d, "documents").where(cond)), 2)))
+
+
+@query(f"WITH {TOK_D}, {NB('= ' + chr(39) + 'en' + chr(39), 'a')} SELECT word, partner, {R.format('mi')} AS mi, rank FROM na")
+def neighborhood_topk(spark, d):
+    return _round(_side(spark, d, "lang = 'en'"), "mi").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {TOK_D}, {NB("= 'en'", 'a')}, {NB("<> 'en'", 'b')}, x AS (SELECT word, count(*) AS na, sum(mi * mi) AS sa FROM na GROUP BY 1), y AS (SELECT word, count(*) AS nb, sum(mi * mi) AS sb FROM nb GROUP BY 1),
+z AS (SELECT word, sum(na.mi * nb.mi) AS dot FROM na JOIN nb USING (word, partner) GROUP BY 1), j AS (SELECT word, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb, coalesce(dot, 0) / (sqrt(sa) * sqrt(sb)) AS c FROM x FULL JOIN y USING (word) LEFT JOIN z USING (word))
+SELECT word, na, nb, round(CASE WHEN na < 3 OR nb < 3 THEN 0.0 ELSE 1 - c END, 6) + 0.0 AS divergence, (na >= 3 AND nb >= 3 AND 1 - c > 0.5) AS polysemous FROM j""")
+def polysemy_divergence(spark, d):
+    return _round(divergence.divergence(_side(spark, d, "lang = 'en'"), _side(spark, d, "lang <> 'en'")), "divergence")
+
+
+# Keyed tables and the store
+def _kv(spark, d):
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"), F.col("o_orderkey").alias("seq"))
+
+
+@query("SELECT o_custkey AS key, max(o_orderkey) AS value FROM orders GROUP BY 1")
+def ht_upsert(spark, d):
+    return keyed.upsert(_kv(spark, d))
+
+
+@query("SELECT c_custkey AS key, coalesce(max(o_orderkey), -1) AS value FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def ht_lookup(spark, d):
+    return keyed.lookup(table(spark, d, "customer").select(F.col("c_custkey").alias("key")), keyed.upsert(_kv(spark, d)))
+
+
+@query("SELECT c_custkey AS key, c_name AS value FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def ht_delete(spark, d):
+    return keyed.delete(table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value")), _kv(spark, d))
+
+
+@query("SELECT o_custkey AS key, count(*) AS value FROM orders GROUP BY 1")
+def ht_increment(spark, d):
+    return keyed.increment(_kv(spark, d))
+
+
+@query("SELECT o_custkey AS key, max(o_orderkey) AS value FROM orders GROUP BY 1")
+def ht_iterate(spark, d):
+    return keyed.iterate(keyed.upsert(_kv(spark, d)))
+
+
+def _filled(spark, d) -> store.AtomStore:
+    s = store.AtomStore(spark)
+    s.open()
+    s.store_nodes(table(spark, d, "part").select(F.col("p_name").alias("name"), F.array("p_retailprice", F.col("p_size").cast("double")).alias("value"), "p_partkey").orderBy("p_partkey"), order="p_partkey")
+    return s
+
+
+@query("SELECT p_name AS name, max_by(p_retailprice, p_partkey) AS v0, max_by(CAST(p_size AS DOUBLE), p_partkey) AS v1 FROM part GROUP BY 1")
+def store_roundtrip(spark, d):
+    return _filled(spark, d).load_nodes().select("name", F.get("value", F.lit(0)).alias("v0"), F.get("value", F.lit(1)).alias("v1"))
+
+
+@query("SELECT p_name AS name FROM part GROUP BY 1 HAVING NOT bool_or(p_size > 25)")
+def store_remove(spark, d):
+    s = _filled(spark, d)
+    s.remove_nodes(table(spark, d, "part").where("p_size > 25").select(F.col("p_name").alias("name")))
+    return s.load_nodes().select("name")
+
+
+LINKS = "SELECT least('P' || l_partkey, 'S' || l_suppkey) AS a, greatest('P' || l_partkey, 'S' || l_suppkey) AS b, CAST(count(*) AS DOUBLE) AS v0 FROM lineitem GROUP BY 1, 2"
+
+
+def _linked(spark, d) -> store.AtomStore:
+    s = store.AtomStore(spark)
+    s.open()
+    links = table(spark, d, "lineitem").groupBy(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("left"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("right")).agg(F.count("*").cast("double").alias("c"))
+    s.store_links(links.select("left", "right", F.array("c").alias("value")))
+    return s
+
+
+@query(LINKS)
+def store_links(spark, d):
+    return _linked(spark, d).load_links().select("a", "b", F.get("value", F.lit(0)).alias("v0"))
+
+
+@query(f"WITH l AS ({LINKS}), n AS (SELECT 'S' || s_suppkey AS name FROM supplier) SELECT name, a, b FROM n JOIN l ON name = a OR name = b")
+def incoming_set(spark, d):
+    names = table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("name"))
+    return _linked(spark, d).incoming(names).select("name", "a", "b")
+
+
+# Streams
+@query(f"WITH {TOK_B}, {PC(2, True)} SELECT * FROM pc")
+def stream_pair_counts(spark, d):
+    return learning.stream_pair_counts(_baskets(spark, d), batches=3)
+
+
+@query()
+def stream_learning(spark, d):
+    loop = learning.LearningLoop(spark)
+    loop.run(_baskets(spark, d), batches=3)
+    return _round(loop.progress(), "entropy")
+
+
+def pipeline_top_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Baskets to pair counts to values to the best pairs."""
+    return top_mi_pairs(spark, d)
