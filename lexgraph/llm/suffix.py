@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, functions as F
 from lexgraph.llm.common import _BYTE, _MULT, _STEP, _powers, blocks, buffers, key_frequencies, mix, with_text
 from lexgraph.session import ensure_importable, write_table
 
-GRAM = 24
+GRAM = 20
 LONGEST = 256
 SHARD = 2 << 20
 LANE = 512
+FAR = np.iinfo(np.int64).max
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
@@ -136,30 +137,73 @@ def common_prefixes(order: np.ndarray, word: np.ndarray, cap: int) -> np.ndarray
     return found[order]
 
 
+def _ranges(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, ... at[0] + sizes[0] - 1, at[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - ends + sizes, sizes)
+
+
+class Judged:
+    """Rows (key, tid, stretch, first, n) in order of key and tid, equal ones made one, and their windows' least documents."""
+
+    def __init__(self, rows: pa.RecordBatch, length: int):
+        key, tid = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tid[1:] != tid[:-1])]))
+        self.length, self.key, self.tid = length, key[new], tid[new]
+        self.first = np.minimum.reduceat(rows.column(3).to_numpy(), new)
+        self.n = np.add.reduceat(rows.column(4).to_numpy(), new)
+        self.texts = rows.column(2).take(pa.array(new)).to_pylist()
+        self.windows = np.array([len(t) for t in self.texts]) - length + 1
+        self.at = np.cumsum(self.windows) - self.windows
+        self.least = np.repeat(self.first, self.windows)
+
+    def contested(self) -> np.ndarray:
+        """Rows whose key has other stretches too; for the rest the least document is their own first."""
+        same = self.key[1:] == self.key[:-1]
+        return np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+
+    def shard(self, which: np.ndarray) -> Shard:
+        return Shard([self.texts[k] for k in which], self.first[which], self.length)
+
+    def fill(self, shard: Shard, which: np.ndarray | None = None) -> None:
+        which = np.arange(len(self.key)) if which is None else which
+        self.least[_ranges(self.at[which], self.windows[which])] = shard.all_least()
+
+    def runs(self) -> pa.RecordBatch:
+        """(key, tid, least, lo, hi): runs of windows with one least document, of stretches that may lose bytes."""
+        row = np.repeat(np.arange(len(self.key)), self.windows)
+        edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (self.least[1:] != self.least[:-1])]))
+        end = np.append(edge[1:], len(row))
+        row, least = row[edge], self.least[edge]
+        keep = (self.n[row] > 1) | (least < self.first[row])
+        row, least, edge, end = row[keep], least[keep], edge[keep], end[keep]
+        return pa.RecordBatch.from_arrays([pa.array(self.key[row]), pa.array(self.tid[row]), pa.array(least), pa.array((edge - self.at[row]).astype(np.int32)), pa.array((end - self.at[row]).astype(np.int32))], ["key", "tid", "least", "lo", "hi"])
+
+
 class Shard:
     """Distinct stretches, their suffix array, and the least document of each of their windows."""
 
-    def __init__(self, texts: list[bytes], firsts: list[int | None], length: int):
+    def __init__(self, texts: list[bytes], firsts: np.ndarray, length: int):
         self.length = length
         joined = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.array([len(t) for t in texts])
         ends = np.cumsum(sizes)
         owner = np.repeat(np.arange(len(texts)), sizes)
-        far = np.iinfo(np.int64).max
-        docs = np.array([far if f is None else f for f in firsts], np.int64)
         order, word = suffix_array(joined, length)
         shared = common_prefixes(order, word, length)
         whole = order + length <= ends[owner[order]]
-        run = np.cumsum(shared < length) - 1
-        own = np.where(whole, docs[owner[order]], far)
         starts = np.flatnonzero(shared < length)
-        least = np.minimum.reduceat(own, starts)
-        self.least = np.full(len(joined), far)
-        self.least[order] = least[run]
+        least = np.minimum.reduceat(np.where(whole, firsts[owner[order]], FAR), starts)
+        self.least = np.full(len(joined), FAR)
+        self.least[order] = least[np.cumsum(shared < length) - 1]
         self.at = ends - sizes
         self.windows = sizes - length + 1
         self.joined = joined
 
+    def all_least(self) -> np.ndarray:
+        """The least document of every window, stretch by stretch."""
+        return self.least[_ranges(self.at, self.windows)]
+
     def classes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window starts, their distinct strings in order, their least documents) of some stretches."""
         places = np.concatenate([self.at[k] + np.arange(self.windows[k]) for k in which])
@@ -220,57 +264,79 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column(0).fill_null(FAR).to_numpy()
             for lo, _, part, row, _, start, windows, key, digest in stretches(batch.column(1), length):
                 keep = np.flatnonzero(found.shared(key))
+                keep = keep[np.lexsort((digest[keep], key[keep]))]
+                new = np.flatnonzero(np.concatenate([[True], (key[keep[1:]] != key[keep[:-1]]) | (digest[keep[1:]] != digest[keep[:-1]])])) if len(keep) else keep
+                if not len(new):
+                    continue
+                first = np.minimum.reduceat(ids[lo + row[keep]], new)
+                n = np.diff(np.append(new, len(keep)))
+                keep = keep[new]
                 raw = part.tobytes()
                 strings = [raw[a : a + w + length - 1] for a, w in zip(start[keep].tolist(), windows[keep].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(digest[keep].view(np.int64)), pa.array(strings, pa.binary()), batch.column(0).take(pa.array(lo + row[keep]))], ["key", "tid", "stretch", "doc_id"])
-
-    distinct = texts.mapInArrow(cut, "key long, tid long, stretch binary, doc_id long").groupBy("key", "tid", "stretch").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(digest[keep].view(np.int64)), pa.array(strings, pa.binary()), pa.array(first), pa.array(n)], ["key", "tid", "stretch", "first", "n"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         size = 0
-        chain: list[tuple[Shard, list[tuple]]] = []
-
-        def emit(shard: Shard, rows: list[tuple]) -> pa.RecordBatch:
-            keys, tids, runs = [], [], []
-            for k, (key, tid, _, first, n) in enumerate(rows):
-                least = shard.least[shard.at[k] : shard.at[k] + shard.windows[k]]
-                if n == 1 and first is not None and (least == first).all():
-                    continue
-                edge = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-                keys.append(key)
-                tids.append(tid)
-                runs.append([{"least": int(least[a]), "lo": int(a), "hi": int(b)} for a, b in zip(edge, np.append(edge[1:], len(least)))])
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tids, pa.int64()), pa.array(runs, pa.list_(pa.struct([("least", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])))], ["key", "tid", "runs"])
-
-        def close(next_key: int | None) -> Iterator[pa.RecordBatch]:
-            """Judge what is held. ``chain`` has the shards that one minimiser, not yet at its end, spans."""
-            chain.append((Shard([r[2] for r in held], [r[3] for r in held], length), held))
-            spans = held[-1][0] == next_key
-            if spans and (len(chain) == 1 or held[0][0] == next_key):
-                return
-            if len(chain) > 1:
-                shared = held[0][0]
-                merge_shards([(s, np.array([k for k, r in enumerate(rows) if r[0] == shared])) for s, rows in chain])
-            for s, rows in chain[:-1] if spans else chain:
-                yield emit(s, rows)
-            del chain[: len(chain) - spans]
+        chain: list[tuple[Judged, Shard]] = []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            """The shards that one minimiser spans, once it has ended."""
+            if chain:
+                merge_shards([(shard, np.arange(len(shard.at))) for _, shard in chain])
+                for judged, shard in chain:
+                    judged.fill(shard)
+                    yield judged.runs()
+                chain.clear()
+
+        def close(last: bool) -> Iterator[pa.RecordBatch]:
+            """Judge whole minimisers; hold back the last one, or, if it fills a shard, all but its last stretch."""
+            nonlocal held, size
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            key, tid = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            edge = rows.num_rows if last else int(np.searchsorted(key == key[-1], True))
+            if chain:
+                own = int((key == chain[0][0].key[0]).sum())
+                if own < rows.num_rows or last:
+                    if own:
+                        judged = Judged(rows.slice(0, own), length)
+                        chain.append((judged, judged.shard(np.arange(len(judged.key)))))
+                    yield from settle()
+                    rows, edge = rows.slice(own), edge - own
+                else:
+                    edge = 0
+            if edge > 0:
+                judged = Judged(rows.slice(0, edge), length)
+                many = judged.contested()
+                if len(many):
+                    judged.fill(judged.shard(many), many)
+                yield judged.runs()
+                rows = rows.slice(edge)
+            if not last and rows.nbytes >= SHARD:
+                edge = int(np.flatnonzero(rows.column(1).to_numpy() == tid[-1])[0])
+                if edge:
+                    judged = Judged(rows.slice(0, edge), length)
+                    chain.append((judged, judged.shard(np.arange(len(judged.key)))))
+                    rows = rows.slice(edge)
+            held, size = ([rows], 0) if rows.num_rows else ([], 0)
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                held.append(part)
+                size += part.nbytes
                 if size >= SHARD:
-                    yield from close(row[0])
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2])
+                    yield from close(False)
         if held:
-            yield from close(None)
+            yield from close(True)
+        yield from settle()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    judged = distinct.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(judge, "key long, tid long, runs array<struct<least:long,lo:int,hi:int>>")
-    judged = write_table(judged.withColumn("runs", F.array_distinct("runs")).dropDuplicates(["key", "tid"]), "stretches")
+    cuts = texts.mapInArrow(cut, "key long, tid long, stretch binary, first long, n long")
+    judged = write_table(cuts.repartition(parts, "key").sortWithinPartitions("key", "tid").mapInArrow(judge, "key long, tid long, least long, lo int, hi int"), "stretches")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,8 +346,8 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(digest[keep].view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(start[keep])], ["key", "tid", "doc_id", "rid", "start"])
 
     held = texts.where("doc_id is not null").mapInArrow(places, "key long, tid long, doc_id long, rid long, start long")
-    spans = held.join(judged, ["key", "tid"]).select("doc_id", "rid", "start", F.explode("runs").alias("r")).where("r.least < doc_id")
-    spans = spans.groupBy("doc_id", "rid").agg(F.collect_set(F.struct((F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") + (length - 1)).alias("hi"))).alias("found"))
+    spans = held.join(judged, ["key", "tid"]).where("least < doc_id")
+    spans = spans.groupBy("doc_id", "rid").agg(F.collect_set(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + (length - 1)).alias("hi"))).alias("found"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
