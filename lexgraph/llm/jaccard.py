@@ -15,6 +15,8 @@ from lexgraph.session import ensure_importable, write_table
 
 LARGEST_BOUNDARY = 256
 LEADERS = 64
+PARITY_BITS = 1024
+BROADCAST_ROWS = 500_000
 
 
 def _document_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -30,16 +32,23 @@ def _document_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int
 
 
 def document_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), sid (a 128-bit digest of the set; null for the empty set)."""
+    """doc_id, n (set size), sid (a 128-bit digest of the set; null for the empty set) and parity.
+
+    ``parity`` has PARITY_BITS bits; each element flips one. The bits in which two
+    sets differ are at most as many as the elements in which they differ.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, keys, at in _document_sets(batch, width):
                 n = np.diff(at)
                 sids = [s if k else None for s, k in zip(digest128(keys, at), n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(sids, pa.binary())], ["doc_id", "n", "sid"])
+                row = np.repeat(np.arange(hi - lo), n)
+                flips = np.bincount(row * PARITY_BITS + (keys & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=(hi - lo) * PARITY_BITS) & 1
+                parity = [p.tobytes() for p in np.packbits(flips.astype(bool).reshape(-1, PARITY_BITS), axis=1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(sids, pa.binary()), pa.array(parity, pa.binary())], ["doc_id", "n", "sid", "parity"])
 
-    return with_text(docs).mapInArrow(run, "doc_id long, n long, sid binary")
+    return with_text(docs).mapInArrow(run, "doc_id long, n long, sid binary, parity binary")
 
 
 def cost_boundary(found: Frequencies, need: float) -> int:
@@ -104,8 +113,9 @@ def candidate_keys(docs: DataFrame, found: Frequencies, width: int, num: int, de
 
 def _set_blobs(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(sid, elements): the sorted elements of each wanted set, from one document that has it."""
-    chosen = sets.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    texts = with_text(docs).join(chosen, "doc_id", "left_semi")
+    chosen = write_table(sets.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "jaccard-chosen")
+    few = chosen.count() <= BROADCAST_ROWS
+    texts = with_text(docs).join(F.broadcast(chosen.select("doc_id")) if few else chosen.select("doc_id"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +125,23 @@ def _set_blobs(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int)
     return texts.mapInArrow(run, "sid binary, elements binary").dropDuplicates(["sid"])
 
 
-def _verified(pairs: DataFrame, blobs: DataFrame, num: int, den: int) -> DataFrame:
+def _likely(pairs: DataFrame, parities: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that their sizes and parities do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 4))
+                n = batch.column(3).to_numpy() + batch.column(5).to_numpy()
+                differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                yield batch.select([0, 1]).filter(pa.array(differ * (den + num) <= n * (den - num)))
+
+    left = parities.select(F.col("sid").alias("a"), F.col("parity").alias("x"), F.col("n").alias("nx"))
+    right = parities.select(F.col("sid").alias("b"), F.col("parity").alias("y"), F.col("n").alias("ny"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "nx", "y", "ny").mapInArrow(run, "a binary, b binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) with den * intersection >= num * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +154,12 @@ def _verified(pairs: DataFrame, blobs: DataFrame, num: int, den: int) -> DataFra
                 good.append(den * same >= num * (len(both) - same))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
+    likely = write_table(_likely(pairs, sets.where("sid is not null").groupBy("sid").agg(F.min("n").alias("n"), F.any_value("parity").alias("parity")), num, den), "jaccard-likely")
+    blobs = _set_blobs(docs, sets, likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), width)
+    blobs = write_table(blobs, "jaccard-elements")
     left = blobs.select(F.col("sid").alias("a"), F.col("elements").alias("x"))
     right = blobs.select(F.col("sid").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return likely.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -166,8 +195,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     first = lists.where("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"), "n").distinct()
     fits = (den * F.least("n", "m") >= num * F.greatest("n", "m"))
     first = write_table(first.join(sizes.select(F.col("sid").alias("a"), F.col("n").alias("m")), "a").where(fits).select("a", "b"), "jaccard-pairs")
-    blobs = write_table(_set_blobs(docs, sets, lists.select("sid").distinct(), width), "jaccard-elements")
-    links = write_table(_verified(first, blobs, num, den), "jaccard-links")
+    links = write_table(_verified(first, docs, sets, width, num, den), "jaccard-links")
     roots = write_table(connected_components(links), "jaccard-roots")
     rank, tested = 0, None
     while True:
@@ -184,13 +212,13 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
             if ranked.where(F.col("rank") >= rank + LEADERS).isEmpty():
                 break
         else:
-            fresh = write_table(_verified(more, blobs, num, den), "jaccard-links")
+            fresh = write_table(_verified(more, docs, sets, width, num, den), "jaccard-links")
             tested = more if tested is None else tested.unionByName(more)
             if not fresh.isEmpty():
                 links = links.unionByName(fresh)
                 roots = write_table(connected_components(links), "jaccard-roots")
         rank += LEADERS
-    labelled = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    labelled = sets.drop("parity").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(nameless)
