@@ -71,12 +71,14 @@ def cost_boundary(found: Frequencies, need: float) -> int:
 
 
 def candidate_keys(docs: DataFrame, found: Frequencies, width: int, num: int, den: int, boundary: int) -> DataFrame:
-    """(key, n, sid): what two linked sets must share at least one of.
+    """(key, n, pos, sid): what two linked sets must share at least one of.
 
     In one global order of elements, rare ones first, sets that share t elements
     share l of them among the first n - t + l. Two sets of at most ``boundary``
     elements therefore share a pair (l = 2); with a larger one, a single (l = 1).
-    Elements that only one document holds are left out by the bitmap.
+    Elements that only one document holds are left out by the bitmap. ``pos`` is how
+    many elements come before the key's last one, less those of the key itself: at
+    the first key that two linked sets share, n - pos bounds their overlap.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,28 +89,30 @@ def candidate_keys(docs: DataFrame, found: Frequencies, width: int, num: int, de
                 order = np.lexsort((keys, counts, row))
                 keys, shared = keys[order], shared[order]
                 sids = digest128(keys, at)
-                out_keys, out_n, out_row = [], [], []
+                out_keys, out_n, out_row, out_pos = [], [], [], []
                 for r in range(hi - lo):
                     n = int(at[r + 1] - at[r])
                     t = -(-num * n // den)
                     own, ok = keys[at[r] : at[r + 1]], shared[at[r] : at[r + 1]]
                     made = []
                     if n <= boundary and n > 1:
-                        pre = own[: n - t + 2][ok[: n - t + 2]]
-                        i, j = np.triu_indices(len(pre), 1)
-                        pre = np.sort(pre)
-                        made.append(mix(pre[i] * np.uint64(3) ^ mix(pre[j])))
+                        at2 = np.flatnonzero(ok[: n - t + 2])
+                        i, j = np.triu_indices(len(at2), 1)
+                        low, high = np.minimum(own[at2[i]], own[at2[j]]), np.maximum(own[at2[i]], own[at2[j]])
+                        made.append((mix(low * np.uint64(3) ^ mix(high)), at2[j] - 1))
                     if n * den >= num * (boundary + 1):
-                        made.append(own[: n - t + 1][ok[: n - t + 1]])
-                    for k in made:
+                        at1 = np.flatnonzero(ok[: n - t + 1])
+                        made.append((own[at1], at1))
+                    for k, pos in made:
                         out_keys.append(k)
+                        out_pos.append(pos)
                         out_n.append(np.full(len(k), n))
                         out_row.append(np.full(len(k), r))
                 if out_keys:
                     rows = np.concatenate(out_row)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_keys).view(np.int64)), pa.array(np.concatenate(out_n).astype(np.int64)), pa.array(sids, pa.binary()).take(pa.array(rows.astype(np.int64)))], ["key", "n", "sid"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_keys).view(np.int64)), pa.array(np.concatenate(out_n).astype(np.int64)), pa.array(np.concatenate(out_pos).astype(np.int64)), pa.array(sids, pa.binary()).take(pa.array(rows.astype(np.int64)))], ["key", "n", "pos", "sid"])
 
-    return with_text(docs).mapInArrow(run, "key long, n long, sid binary")
+    return with_text(docs).mapInArrow(run, "key long, n long, pos long, sid binary")
 
 
 def _set_blobs(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -171,11 +175,13 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     link nothing and get a null component. Repeated rows give repeated results.
 
     Equal sets are first joined into one. Candidates come from candidate_keys().
-    Within a key, every set is first compared with the key's least set only; after
-    components are known, only sets of the key that are still in different
-    components are compared, ``LEADERS`` of them at a time with the others, until
-    none is left untested. So a group of copies costs about one comparison for
-    each, no group's pairs are all emitted, and no link is lost.
+    Within a key, every set is first compared with one only, that with the fewest
+    rarer elements, which is nearest to most; after components are known, only sets
+    of the key that are still in different components, and whose sizes and places
+    allow a link, are compared, ``LEADERS`` of them with the others at first and
+    four times as many in each further round, until none is left untested. So a
+    group of copies costs about one comparison for each, no group's pairs are all
+    emitted, and no link is lost.
     """
     ensure_importable(docs.sparkSession)
     nameless = document_sets(docs.where("doc_id is null"), width).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
@@ -188,28 +194,28 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
 
     found = key_frequencies(docs, keys_of)
     boundary = cost_boundary(found, num / den)
-    keys = write_table(candidate_keys(docs, found, width, num, den, boundary).groupBy("key", "n", "sid").agg(F.lit(1).alias("one")).drop("one"), "jaccard-keys")
-    heads = keys.groupBy("key").agg(F.min("sid").alias("head"), F.max("sid").alias("last")).where("head <> last").select("key", "head")
+    keys = write_table(candidate_keys(docs, found, width, num, den, boundary).groupBy("key", "n", "pos", "sid").agg(F.lit(1).alias("one")).drop("one"), "jaccard-keys")
+    heads = keys.groupBy("key").agg(F.min(F.struct("pos", "n", "sid")).alias("h"), F.min("sid").alias("s0"), F.max("sid").alias("s1")).where("s0 <> s1").select("key", "h.*")
+    heads = heads.select("key", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("q"))
     lists = write_table(keys.join(heads, "key"), "jaccard-lists")
-    sizes = lists.select("sid", "n").distinct()
-    first = lists.where("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"), "n").distinct()
-    fits = (den * F.least("n", "m") >= num * F.greatest("n", "m"))
-    first = write_table(first.join(sizes.select(F.col("sid").alias("a"), F.col("n").alias("m")), "a").where(fits).select("a", "b"), "jaccard-pairs")
+    fits = (den * F.least("n", "m") >= num * F.greatest("n", "m")) & ((den + num) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q")) >= num * (F.col("n") + F.col("m")))
+    first = write_table(lists.where((F.col("sid") != F.col("a")) & fits).select("a", F.col("sid").alias("b")).distinct(), "jaccard-pairs")
     links = write_table(_verified(first, docs, sets, width, num, den), "jaccard-links")
     roots = write_table(connected_components(links), "jaccard-roots")
-    rank, tested = 0, None
+    rank, tested, step = 0, None, LEADERS
+    members = lists.select("key", "sid", "n", "pos")
     while True:
-        now = lists.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        now = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         apart = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where(F.col("r0") != F.col("r1"))
         apart = apart.where(F.col("size") > rank + 1).select("key")
-        ranked = now.join(apart, "key").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("sid")) - 1)
-        ranked = write_table(ranked.select("key", "sid", "n", "root", "rank"), "jaccard-apart")
-        lead = ranked.where(F.col("rank").between(rank, rank + LEADERS - 1)).select("key", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("root").alias("ra"), F.col("rank").alias("k"))
+        ranked = now.join(apart, "key").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("pos", "sid")) - 1)
+        ranked = write_table(ranked.select("key", "sid", "n", "pos", "root", "rank"), "jaccard-apart")
+        lead = ranked.where(F.col("rank").between(rank, rank + step - 1)).select("key", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("root").alias("ra"), F.col("rank").alias("k"))
         more = ranked.join(lead, "key").where((F.col("rank") > F.col("k")) & (F.col("root") != F.col("ra")) & fits)
         more = more.select("a", F.col("sid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
         more = write_table(more if tested is None else more.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
         if more.isEmpty():
-            if ranked.where(F.col("rank") >= rank + LEADERS).isEmpty():
+            if ranked.where(F.col("rank") >= rank + step).isEmpty():
                 break
         else:
             fresh = write_table(_verified(more, docs, sets, width, num, den), "jaccard-links")
@@ -217,7 +223,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
             if not fresh.isEmpty():
                 links = links.unionByName(fresh)
                 roots = write_table(connected_components(links), "jaccard-roots")
-        rank += LEADERS
+        rank, step = rank + step, step * 4
     labelled = sets.drop("parity").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(least, "root", "left")
