@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lexgraph.llm.common import Frequencies, digest128, hashed_words, key_frequencies, mix, shingles, with_text
 from lexgraph.operators.components import connected_components
@@ -17,6 +17,8 @@ LARGEST_BOUNDARY = 256
 LEADERS = 64
 PARITY_BITS = 1024
 BROADCAST_ROWS = 500_000
+FLUSH = 1_000_000
+SIZE_MASK = (1 << 32) - 1
 
 
 def _document_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -70,27 +72,30 @@ def cost_boundary(found: Frequencies, need: float) -> int:
     return best
 
 
-def candidate_keys(docs: DataFrame, found: Frequencies, width: int, num: int, den: int, boundary: int) -> DataFrame:
-    """(key, n, pos, sid): what two linked sets must share at least one of.
+def candidate_keys(texts: DataFrame, found: Frequencies, width: int, num: int, den: int, boundary: int) -> DataFrame:
+    """(key, place, sno): what two linked sets must share at least one of.
 
     In one global order of elements, rare ones first, sets that share t elements
     share l of them among the first n - t + l. Two sets of at most ``boundary``
     elements therefore share a pair (l = 2); with a larger one, a single (l = 1).
-    Elements that only one document holds are left out by the bitmap. ``pos`` is how
-    many elements come before the key's last one, less those of the key itself: at
-    the first key that two linked sets share, n - pos bounds their overlap.
+    Elements that only one set holds are left out by the bitmap. ``place`` is
+    pos * 2**32 + n for a set of n elements: pos is how many elements come before
+    the key's last one, less those of the key itself, so at the first key that two
+    linked sets share, n - pos bounds their overlap.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, keys, at in _document_sets(batch, width):
+                own_sid = batch.column(2).slice(lo, hi - lo).to_pylist()
                 counts, shared = found.count(keys), found.shared(keys)
                 row = np.repeat(np.arange(hi - lo), np.diff(at))
                 order = np.lexsort((keys, counts, row))
                 keys, shared = keys[order], shared[order]
-                sids = digest128(keys, at)
-                out_keys, out_n, out_row, out_pos = [], [], [], []
-                for r in range(hi - lo):
+                out_keys, out_row, out_place = [], [], []
+                for r, sid in enumerate(digest128(keys, at)):
+                    if sid != own_sid[r]:
+                        continue
                     n = int(at[r + 1] - at[r])
                     t = -(-num * n // den)
                     own, ok = keys[at[r] : at[r + 1]], shared[at[r] : at[r + 1]]
@@ -105,28 +110,37 @@ def candidate_keys(docs: DataFrame, found: Frequencies, width: int, num: int, de
                         made.append((own[at1], at1))
                     for k, pos in made:
                         out_keys.append(k)
-                        out_pos.append(pos)
-                        out_n.append(np.full(len(k), n))
+                        out_place.append((pos.astype(np.int64) << 32) + n)
                         out_row.append(np.full(len(k), r))
                 if out_keys:
-                    rows = np.concatenate(out_row)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_keys).view(np.int64)), pa.array(np.concatenate(out_n).astype(np.int64)), pa.array(np.concatenate(out_pos).astype(np.int64)), pa.array(sids, pa.binary()).take(pa.array(rows.astype(np.int64)))], ["key", "n", "pos", "sid"])
+                    sno = batch.column(3).slice(lo, hi - lo).take(pa.array(np.concatenate(out_row).astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_keys).view(np.int64)), pa.array(np.concatenate(out_place)), sno], ["key", "place", "sno"])
 
-    return with_text(docs).mapInArrow(run, "key long, n long, pos long, sid binary")
+    return texts.mapInArrow(run, "key long, place long, sno long")
 
 
-def _set_blobs(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(sid, elements): the sorted elements of each wanted set, from one document that has it."""
-    chosen = write_table(sets.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "jaccard-chosen")
-    few = chosen.count() <= BROADCAST_ROWS
-    texts = with_text(docs).join(F.broadcast(chosen.select("doc_id")) if few else chosen.select("doc_id"), "doc_id", "left_semi")
+def _narrow(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """``df`` joined with a written table of ids, broadcast only if its count is within BROADCAST_ROWS."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, how)
+
+
+def _texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, text, sid, sno of the documents chosen to stand for sets."""
+    return _narrow(with_text(docs), chosen, "doc_id", "inner").select("doc_id", "text", "sid", "sno")
+
+
+def _elements(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
+    """(sno, elements): the elements of each chosen set, from the document that stands for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, keys, at in _document_sets(batch, width):
-                yield pa.RecordBatch.from_arrays([pa.array(digest128(keys, at), pa.binary()), pa.array([keys[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["sid", "elements"])
+            for lo, hi, keys, at in _document_sets(batch, width):
+                sids, own = batch.column(2).slice(lo, hi - lo).to_pylist(), batch.column(3).slice(lo, hi - lo)
+                same = pa.array([a == b for a, b in zip(digest128(keys, at), sids)], pa.bool_())
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([own, lists], ["sno", "elements"]).filter(same)
 
-    return texts.mapInArrow(run, "sid binary, elements binary").dropDuplicates(["sid"])
+    return _texts_of(docs, chosen).mapInArrow(run, "sno long, elements array<long>").dropDuplicates(["sno"])
 
 
 def _likely(pairs: DataFrame, parities: DataFrame, num: int, den: int) -> DataFrame:
@@ -140,30 +154,26 @@ def _likely(pairs: DataFrame, parities: DataFrame, num: int, den: int) -> DataFr
                 differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
                 yield batch.select([0, 1]).filter(pa.array(differ * (den + num) <= n * (den - num)))
 
-    left = parities.select(F.col("sid").alias("a"), F.col("parity").alias("x"), F.col("n").alias("nx"))
-    right = parities.select(F.col("sid").alias("b"), F.col("parity").alias("y"), F.col("n").alias("ny"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "nx", "y", "ny").mapInArrow(run, "a binary, b binary")
+    left = parities.select(F.col("sno").alias("a"), F.col("parity").alias("x"), F.col("n").alias("nx"))
+    right = parities.select(F.col("sno").alias("b"), F.col("parity").alias("y"), F.col("n").alias("ny"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "nx", "y", "ny").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) with den * intersection >= num * union."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("sno")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([p, q]))
-                same = int((both[1:] == both[:-1]).sum())
-                good.append(den * same >= num * (len(both) - same))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    likely = write_table(_likely(pairs, sets.where("sid is not null").groupBy("sid").agg(F.min("n").alias("n"), F.any_value("parity").alias("parity")), num, den), "jaccard-likely")
-    blobs = _set_blobs(docs, sets, likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), width)
-    blobs = write_table(blobs, "jaccard-elements")
-    left = blobs.select(F.col("sid").alias("a"), F.col("elements").alias("x"))
-    right = blobs.select(F.col("sid").alias("b"), F.col("elements").alias("y"))
-    return likely.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+def _verified(pairs: DataFrame, docs: DataFrame, numbered: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) with den * intersection >= num * union."""
+    wanted = write_table(_ends(pairs), "jaccard-ends")
+    likely = write_table(_likely(pairs, _narrow(numbered.select("sno", "n", "parity"), wanted, "sno", "left_semi"), num, den), "jaccard-likely")
+    wanted = write_table(_ends(likely), "jaccard-ends")
+    chosen = write_table(_narrow(numbered.select("doc_id", "sid", "sno"), wanted, "sno", "left_semi"), "jaccard-chosen")
+    elements = write_table(_elements(docs, chosen, width), "jaccard-elements")
+    left = elements.select(F.col("sno").alias("a"), F.col("elements").alias("x"))
+    right = elements.select(F.col("sno").alias("b"), F.col("elements").alias("y"))
+    same = F.size(F.array_intersect("x", "y"))
+    return likely.join(right, "b").join(left, "a").where(den * same >= num * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -174,57 +184,66 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     component; fewer words than ``width`` make one shingle. Rows without a doc_id
     link nothing and get a null component. Repeated rows give repeated results.
 
-    Equal sets are first joined into one. Candidates come from candidate_keys().
-    Within a key, every set is first compared with one only, that with the fewest
-    rarer elements, which is nearest to most; after components are known, only sets
-    of the key that are still in different components, and whose sizes and places
-    allow a link, are compared, ``LEADERS`` of them with the others at first and
-    four times as many in each further round, until none is left untested. So a
-    group of copies costs about one comparison for each, no group's pairs are all
-    emitted, and no link is lost.
+    Equal sets are first joined into one, which gets a number; one document stands
+    for it. Candidates come from candidate_keys(). Within a key, every set is first
+    compared with one only, that with the fewest rarer elements, which is nearest to
+    most. After components are known, only keys whose sets are still in different
+    components go on: ``LEADERS`` of their sets are compared with all others of the
+    key, where sizes and places allow a link, and are then done; four times as many
+    follow in each further round on what is left, until nothing is. So a group of
+    copies costs about one comparison for each, no group's pairs are all emitted,
+    each round is smaller than the one before, and no link is lost.
     """
     ensure_importable(docs.sparkSession)
     nameless = document_sets(docs.where("doc_id is null"), width).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     docs = with_text(docs).where("doc_id is not null")
     sets = write_table(document_sets(docs, width), "jaccard-sets")
+    distinct = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("parity").alias("parity"))
+    numbered = write_table(distinct.withColumn("sno", F.monotonically_increasing_id()), "jaccard-numbered")
+    texts = _texts_of(docs, numbered.select("doc_id", "sid", "sno"))
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, keys, _ in _document_sets(batch, width):
             yield keys
 
-    found = key_frequencies(docs, keys_of)
+    found = key_frequencies(texts.select("doc_id", "text"), keys_of, flush=FLUSH)
     boundary = cost_boundary(found, num / den)
-    keys = write_table(candidate_keys(docs, found, width, num, den, boundary).groupBy("key", "n", "pos", "sid").agg(F.lit(1).alias("one")).drop("one"), "jaccard-keys")
-    heads = keys.groupBy("key").agg(F.min(F.struct("pos", "n", "sid")).alias("h"), F.min("sid").alias("s0"), F.max("sid").alias("s1")).where("s0 <> s1").select("key", "h.*")
-    heads = heads.select("key", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("q"))
+    keys = write_table(candidate_keys(texts, found, width, num, den, boundary), "jaccard-keys")
+    heads = keys.groupBy("key").agg(F.min("place").alias("top"), F.min_by("sno", "place").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
     lists = write_table(keys.join(heads, "key"), "jaccard-lists")
-    fits = (den * F.least("n", "m") >= num * F.greatest("n", "m")) & ((den + num) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q")) >= num * (F.col("n") + F.col("m")))
-    first = write_table(lists.where((F.col("sid") != F.col("a")) & fits).select("a", F.col("sid").alias("b")).distinct(), "jaccard-pairs")
-    links = write_table(_verified(first, docs, sets, width, num, den), "jaccard-links")
+
+    def fits(x: str, y: str) -> Column:
+        n, m = F.col(x).bitwiseAND(SIZE_MASK), F.col(y).bitwiseAND(SIZE_MASK)
+        rest = F.least(n - F.shiftright(x, 32), m - F.shiftright(y, 32))
+        return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((den + num) * rest >= num * (n + m))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "sno").alias("a"), F.greatest("a", "sno").alias("b")).distinct()
+
+    tested = write_table(ordered(lists.where((F.col("sno") != F.col("a")) & fits("place", "top"))), "jaccard-pairs")
+    links = write_table(_verified(tested, docs, numbered, width, num, den), "jaccard-links")
     roots = write_table(connected_components(links), "jaccard-roots")
-    rank, tested, step = 0, None, LEADERS
-    members = lists.select("key", "sid", "n", "pos")
+    open_, step = lists.select("key", "place", "sno"), LEADERS
     while True:
-        now = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        apart = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where(F.col("r0") != F.col("r1"))
-        apart = apart.where(F.col("size") > rank + 1).select("key")
-        ranked = now.join(apart, "key").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("pos", "sid")) - 1)
-        ranked = write_table(ranked.select("key", "sid", "n", "pos", "root", "rank"), "jaccard-apart")
-        lead = ranked.where(F.col("rank").between(rank, rank + step - 1)).select("key", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("root").alias("ra"), F.col("rank").alias("k"))
-        more = ranked.join(lead, "key").where((F.col("rank") > F.col("k")) & (F.col("root") != F.col("ra")) & fits)
-        more = more.select("a", F.col("sid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-        more = write_table(more if tested is None else more.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-        if more.isEmpty():
-            if ranked.where(F.col("rank") >= rank + step).isEmpty():
-                break
-        else:
-            fresh = write_table(_verified(more, docs, sets, width, num, den), "jaccard-links")
-            tested = more if tested is None else tested.unionByName(more)
+        now = _narrow(open_, roots.withColumnRenamed("node", "sno"), "sno", "left").withColumn("root", F.coalesce("root", "sno"))
+        apart = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+        ranked = now.join(apart, "key").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("place", "sno")))
+        ranked = write_table(ranked, "jaccard-apart")
+        if ranked.isEmpty():
+            break
+        lead = ranked.where(F.col("rank") <= step).select("key", F.col("sno").alias("a"), F.col("place").alias("top"), F.col("root").alias("ra"), F.col("rank").alias("k"))
+        more = ordered(ranked.join(lead, "key").where((F.col("rank") > F.col("k")) & (F.col("root") != F.col("ra")) & fits("place", "top")))
+        more = write_table(more.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+        if not more.isEmpty():
+            fresh = write_table(_verified(more, docs, numbered, width, num, den), "jaccard-links")
+            tested = tested.unionByName(more)
             if not fresh.isEmpty():
                 links = links.unionByName(fresh)
                 roots = write_table(connected_components(links), "jaccard-roots")
-        rank, step = rank + step, step * 4
-    labelled = sets.drop("parity").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(nameless)
+        open_, step = ranked.where(F.col("rank") > step).select("key", "place", "sno"), step * 4
+    members = numbered.select("sid", "sno").join(roots.withColumnRenamed("node", "sno"), "sno").select("sid", "root")
+    labelled = sets.drop("parity").join(members, "sid", "left")
+    least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("by_links"))
+    copies = numbered.select("sid", F.col("doc_id").alias("by_copies"))
+    out = labelled.join(least, "root", "left").join(copies, "sid", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("by_links", "by_copies", "doc_id").alias("component_id")).unionByName(nameless)
