@@ -38,7 +38,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("jaccard_join", jaccard_join), ("decontamination", decontamination), ("encoding", encoding)]
 
-#: Trees and merge ranks are beyond SQL; tests/llm compares the operators of the stages with brute-force versions.
+#: Trees and merge ranks are beyond SQL; tests/llm/test_pipeline.py compares run() with a plain Python version.
 ORACLE_SQL = None
 
 
