@@ -151,7 +151,7 @@ def mi_docs(spark, d):
     return _round(mi.mi_full(pairs.pair_counts(_doc_sents(spark, d), 2)), "mi")
 
 
-@query(f"{MI_B} SELECT count(*) AS nonzero, count_if(mi > 0) AS positive, count_if(mi > 0.5123) AS above FROM mi")
+@query(f"{MI_B} SELECT count(*) AS nonzero, CAST(count_if(mi > 0) AS BIGINT) AS positive, CAST(count_if(mi > 0.5123) AS BIGINT) AS above FROM mi")
 def mi_stats(spark, d):
     return mi.mi_stats(_mi_baskets(spark, d), 0.5123)
 
@@ -161,7 +161,7 @@ def mi_filter(spark, d):
     return _round(mi.mi_filter(_mi_baskets(spark, d), 0.5123), "mi")
 
 
-@query(f"{MI_B} SELECT count_if(mi > 0) AS positive, count_if(mi < 0) AS negative, count_if(isnan(mi)) AS nan, count_if(isinf(mi)) AS inf, {R.format('avg(CASE WHEN mi > 0 THEN mi END)')} AS mean_positive, {R.format('max(mi)')} AS max_mi FROM mi")
+@query(f"{MI_B} SELECT CAST(count_if(mi > 0) AS BIGINT) AS positive, CAST(count_if(mi < 0) AS BIGINT) AS negative, CAST(count_if(isnan(mi)) AS BIGINT) AS nan, CAST(count_if(isinf(mi)) AS BIGINT) AS inf, {R.format('avg(CASE WHEN mi > 0 THEN mi END)')} AS mean_positive, {R.format('max(mi)')} AS max_mi FROM mi")
 def mi_distribution(spark, d):
     return _round(mi.mi_distribution(_mi_baskets(spark, d)), "mean_positive", "max_mi")
 
@@ -185,9 +185,17 @@ def mi_dirty_two_batches(spark, d):
 # Parses
 EDGES = f"""{MI_B}, a AS (SELECT x.s, x.p - 1 AS p1, y.p - 1 AS p2, x.w AS w1, y.w AS w2, coalesce(mi.mi, 0.0) AS weight FROM tok x JOIN tok y ON x.s = y.s AND x.p < y.p LEFT JOIN mi ON least(x.w, y.w) = wa AND greatest(x.w, y.w) = wb),
 e AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY round(weight, 9) DESC, p1, p2) AS k FROM a)""".replace("WITH", "WITH RECURSIVE", 1)
-TREE = """t AS (SELECT s, CAST(0 AS BIGINT) AS k, range(count(*)) AS lab, CAST(NULL AS BIGINT) AS p1, CAST(NULL AS BIGINT) AS p2, false AS taken FROM tok GROUP BY s
- UNION ALL SELECT e.s, e.k, CASE WHEN lab[e.p1 + 1] <> lab[e.p2 + 1] THEN list_transform(lab, lambda x: CASE WHEN x = lab[e.p2 + 1] THEN lab[e.p1 + 1] ELSE x END) ELSE lab END, e.p1, e.p2, lab[e.p1 + 1] <> lab[e.p2 + 1] FROM t JOIN e ON e.s = t.s AND e.k = t.k + 1),
-mst AS (SELECT e.* FROM t JOIN e ON t.s = e.s AND t.k = e.k WHERE taken)"""
+
+def TREE(edges: str = "e", name: str = "mst") -> str:
+    return f"""{name}_t AS (SELECT s, CAST(0 AS BIGINT) AS k, range(count(*)) AS lab, CAST(NULL AS BIGINT) AS p1, CAST(NULL AS BIGINT) AS p2, false AS taken FROM tok GROUP BY s
+ UNION ALL SELECT e.s, e.k, CASE WHEN lab[e.p1 + 1] <> lab[e.p2 + 1] THEN list_transform(lab, lambda x: CASE WHEN x = lab[e.p2 + 1] THEN lab[e.p1 + 1] ELSE x END) ELSE lab END, e.p1, e.p2, lab[e.p1 + 1] <> lab[e.p2 + 1] FROM {name}_t t JOIN {edges} e ON e.s = t.s AND e.k = t.k + 1),
+{name} AS (SELECT e.* FROM {name}_t t JOIN {edges} e ON t.s = e.s AND t.k = e.k WHERE taken)"""
+
+
+GRAMMAR_EDGES = f"""{CLS}, cm AS (SELECT least(x.class_id, y.class_id) AS ca, greatest(x.class_id, y.class_id) AS cb, avg(mi) AS cmi FROM mi JOIN cls x ON wa = x.word JOIN cls y ON wb = y.word WHERE mi > 0 AND x.class_id <> y.class_id GROUP BY 1, 2),
+ga AS (SELECT s, p1, p2, w1, w2, CASE WHEN cmi > 0 THEN cmi ELSE weight END AS weight FROM a LEFT JOIN cls x ON w1 = x.word LEFT JOIN cls y ON w2 = y.word LEFT JOIN cm ON least(x.class_id, y.class_id) = ca AND greatest(x.class_id, y.class_id) = cb),
+ge AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY round(weight, 9) DESC, p1, p2) AS k FROM ga)"""
+CONNECTORS = "con AS (SELECT s, p1 AS pos, w1 AS word, 1 AS dir, w2 AS o FROM mst UNION ALL SELECT s, p2, w2, 0, w1 FROM mst)"
 
 
 def _word_parse(spark, d):
@@ -201,29 +209,33 @@ def _grammar_parse(spark, d):
     return parse.spanning_trees(parse.grammar_weights(parse.position_pairs(s), m, c, substitute.class_mi(m, c)))
 
 
-@query(f"{EDGES}, {TREE} SELECT s AS sent_id, p1, p2, w1, w2, round(weight, 6) + 0.0 AS weight FROM mst")
+@query(f"{EDGES}, {TREE()} SELECT s AS sent_id, p1, p2, w1, w2, round(weight, 6) + 0.0 AS weight FROM mst")
 def mst_parse(spark, d):
     return _round(_word_parse(spark, d).select("sent_id", F.col("p1").cast("long").alias("p1"), F.col("p2").cast("long").alias("p2"), "w1", "w2", "weight"), "weight")
 
 
-@query(f"""{EDGES}, {TREE}, con AS (SELECT s, p1 AS pos, w1 AS word, '1:' || w2 AS c, 1 AS dir, w2 AS o FROM mst UNION ALL SELECT s, p2, w2, '0:' || w1, 0, w1 FROM mst),
-dj AS (SELECT s, pos, word, string_agg(c, ' ' ORDER BY dir, o) AS disjunct FROM con GROUP BY 1, 2, 3) SELECT word, disjunct, count(*) AS "count" FROM dj GROUP BY 1, 2""")
+@query(f"""{EDGES}, {TREE()}, {CONNECTORS},
+dj AS (SELECT s, pos, word, string_agg(dir || ':' || o, ' ' ORDER BY dir, o) AS disjunct FROM con GROUP BY 1, 2, 3) SELECT word, disjunct, count(*) AS "count" FROM dj GROUP BY 1, 2""")
 def section_counts(spark, d):
     found = parse.sections(_word_parse(spark, d))
     return found.select("word", F.array_join(F.transform("disjunct", lambda c: F.concat_ws(":", c["dir"].cast("string"), c["word"].cast("string"))), " ").alias("disjunct"), "count")
 
 
-@query()
+@query(f"""{EDGES}, {TREE()}, {CONNECTORS}, dj AS (SELECT s, pos, word, list(2 * CAST(o AS HUGEINT) + dir ORDER BY dir, o) AS d FROM con GROUP BY 1, 2, 3), sec AS (SELECT word, d, count(*) AS "count" FROM dj GROUP BY 1, 2),
+h AS (SELECT word, list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), d), lambda h, v: xor(h, v) * 1099511628211 % 18446744073709551616) AS h, "count" FROM sec)
+SELECT word, CAST(CASE WHEN h = 18446744073709551615 THEN 0 WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS djh, "count" FROM h""")
 def section_hashes(spark, d):
     return parse.hashed_sections(parse.sections(_word_parse(spark, d))).select("word", "djh", "count")
 
 
-@query()
+@query(f"{EDGES}, {GRAMMAR_EDGES}, {TREE('ge')} SELECT s AS sent_id, p1, p2, w1, w2, round(weight, 6) + 0.0 AS weight FROM mst")
 def mst_parse_grammar(spark, d):
-    return _round(_grammar_parse(spark, d), "weight")
+    return _round(_grammar_parse(spark, d).withColumns({p: F.col(p).cast("long") for p in ("p1", "p2")}), "weight")
 
 
-@query()
+@query(f"""{EDGES}, {GRAMMAR_EDGES}, {TREE()}, {TREE('ge', 'gmst')}, lost AS (SELECT s, count(*) AS n, sum(abs(weight)) AS w FROM mst WHERE (s, least(w1, w2), greatest(w1, w2)) NOT IN (SELECT (s, least(w1, w2), greatest(w1, w2)) FROM gmst) GROUP BY s),
+len AS (SELECT s, count(*) AS len FROM tok GROUP BY s HAVING count(*) BETWEEN 2 AND 64)
+SELECT len.s AS sent_id, coalesce(n, 0) AS unexplained, round(coalesce(w / len, 0.0), 6) + 0.0 AS score FROM len LEFT JOIN lost ON len.s = lost.s""")
 def surprise(spark, d):
     return _round(parse.surprise(_baskets(spark, d), write_table(_word_parse(spark, d), "parse"), write_table(_grammar_parse(spark, d), "parse")), "score")
 
@@ -274,7 +286,7 @@ def class_sizes(spark, d):
     return components.class_sizes(_basket_classes(spark, d))
 
 
-@query(f"{EDGE_B}, {CC}, c AS (SELECT root, count(*) AS n FROM roots GROUP BY 1) SELECT {R.format('-sum(n / (SELECT sum(n) FROM c) * log2(n / (SELECT sum(n) FROM c)))')} AS entropy, count(*) AS classes, count_if(n = 1) AS singletons FROM c")
+@query(f"{EDGE_B}, {CC}, c AS (SELECT root, count(*) AS n FROM roots GROUP BY 1) SELECT {R.format('-sum(n / (SELECT sum(n) FROM c) * log2(n / (SELECT sum(n) FROM c)))')} AS entropy, count(*) AS classes, CAST(count_if(n = 1) AS BIGINT) AS singletons FROM c")
 def class_entropy(spark, d):
     labels = _basket_classes(spark, d)
     single = components.class_sizes(labels).agg(F.count_if(F.col("size") == 1).alias("singletons"))
@@ -289,7 +301,13 @@ def top_classes(spark, d):
     return some.select("root", "size", F.array_join(F.col("m").cast("array<string>"), ",").alias("members"))
 
 
-@query()
+@query(f"""{MI_B}, th AS (SELECT CAST(i AS INTEGER) AS idx, CAST(i + 1 AS DOUBLE) AS threshold FROM range(4) r(i)),
+edge AS (SELECT idx, wa AS a, wb AS b FROM mi JOIN th ON CAST(mi AS FLOAT) >= threshold WHERE "count" > 1),
+lab AS (SELECT idx, a AS node, a AS root FROM edge UNION SELECT idx, b, b FROM edge UNION SELECT e.idx, e.b, lab.root FROM lab JOIN (SELECT idx, a, b FROM edge UNION ALL SELECT idx, b, a FROM edge) e ON e.idx = lab.idx AND e.a = lab.node),
+roots AS (SELECT idx, node, min(root) AS root FROM lab GROUP BY 1, 2), merged AS (SELECT idx, count(*) FILTER (node <> root) AS n FROM roots GROUP BY idx),
+c AS (SELECT idx, threshold, (SELECT count(DISTINCT l_partkey) FROM lineitem) - coalesce(n, 0) AS components FROM th LEFT JOIN merged USING (idx)),
+drops AS (SELECT *, components - lead(components) OVER (ORDER BY idx) AS fall FROM c)
+SELECT idx, threshold, components, idx = (SELECT coalesce(min(idx) FILTER (fall = (SELECT max(fall) FROM drops) AND fall > 0), 0) FROM drops) AS is_knee FROM drops""".replace("WITH", "WITH RECURSIVE", 1))
 def threshold_sweep(spark, d):
     m = _mi_baskets(spark, d).withColumnRenamed("mi", "cosine")
     words = table(spark, d, "lineitem").select(F.col("l_partkey").alias("word_id"))
@@ -302,7 +320,7 @@ def substitute_pairs(spark, d):
     return substitute.substitute_pairs(pairs.pair_counts(_baskets(spark, d), 6), _classes(spark, d), 1_000_000_000)
 
 
-@query(f"WITH {TOK_B}, {PC(6)}, {CLS}, n AS (SELECT coalesce(x.class_id + 1000000000, wa) AS a, coalesce(y.class_id + 1000000000, wb) AS b, wa, wb FROM pc LEFT JOIN cls x ON wa = x.word LEFT JOIN cls y ON wb = y.word) SELECT count_if(a <> wa OR b <> wb) AS changed, count_if(a = b) AS eliminated, count_if(a <> b) - (SELECT count(*) FROM (SELECT DISTINCT least(a, b), greatest(a, b) FROM n WHERE a <> b)) AS merged FROM n")
+@query(f"WITH {TOK_B}, {PC(6)}, {CLS}, n AS (SELECT coalesce(x.class_id + 1000000000, wa) AS a, coalesce(y.class_id + 1000000000, wb) AS b, wa, wb FROM pc LEFT JOIN cls x ON wa = x.word LEFT JOIN cls y ON wb = y.word) SELECT CAST(count_if(a <> wa OR b <> wb) AS BIGINT) AS changed, CAST(count_if(a = b) AS BIGINT) AS eliminated, CAST(count_if(a <> b) AS BIGINT) - (SELECT count(*) FROM (SELECT DISTINCT least(a, b), greatest(a, b) FROM n WHERE a <> b)) AS merged FROM n")
 def substitute_metrics(spark, d):
     return substitute.substitute_metrics(pairs.pair_counts(_baskets(spark, d), 6), _classes(spark, d), 1_000_000_000)
 
