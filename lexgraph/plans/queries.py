@@ -60,8 +60,17 @@ def _baskets(spark, d):
     return sequences.baskets(table(spark, d, "lineitem"))
 
 
-def _doc_sents(spark, d):
-    return sequences.sentences(table(spark, d, "documents"))
+def _cut_sents(docs, whole):
+    cuts = {} if whole else {"max_words": sequences.MAX_WORDS, "max_chars": sequences.MAX_CHARS}
+    return sequences.sentences(docs, **cuts)
+
+
+def _doc_sents(spark, d, whole=False):
+    return _cut_sents(table(spark, d, "documents"), whole)
+
+
+def _vocabulary(sents, whole):
+    return sequences.vocabulary(sents, None if whole else sequences.MAX_VOCABULARY)
 
 
 def _mi_baskets(spark, d):
@@ -80,20 +89,20 @@ def _classes(spark, d):
 
 # Sequences
 @query(f"WITH {SENT} SELECT s AS sent_id, array_to_string(words, ' ') AS words, len(words) AS n FROM ok")
-def tokenize_sentences(spark, d):
-    return _doc_sents(spark, d).select("sent_id", F.array_join("words", " ").alias("words"), F.size("words").cast("long").alias("n"))
+def tokenize_sentences(spark, d, whole=False):
+    return _doc_sents(spark, d, whole).select("sent_id", F.array_join("words", " ").alias("words"), F.size("words").cast("long").alias("n"))
 
 
 @query(f"WITH {TOK_D}, f AS (SELECT w AS word, min((s, p)) AS f, count(*) AS \"count\" FROM tok GROUP BY w) SELECT row_number() OVER (ORDER BY f) - 1 AS word_id, word, \"count\" FROM f ORDER BY f LIMIT 8092")
-def vocabulary(spark, d):
-    return sequences.vocabulary(_doc_sents(spark, d))
+def vocabulary(spark, d, whole=False):
+    return _vocabulary(_doc_sents(spark, d, whole), whole)
 
 
 @query(f"""WITH {TOK_D}, v AS (SELECT w, min((s, p)) AS f FROM tok GROUP BY w ORDER BY f LIMIT 8092), n AS (SELECT s, count(*) AS n FROM tok WHERE w IN (SELECT w FROM v) GROUP BY s)
 SELECT (SELECT count(*) FROM ok) AS total, count(*) AS usable, round(avg(n), 6) + 0.0 AS avg_len, min(n) AS min_len, max(n) AS max_len FROM n WHERE n >= 2""")
-def corpus_profile(spark, d):
-    s = _doc_sents(spark, d)
-    return _round(sequences.corpus_profile(s, sequences.vocabulary(s)), "avg_len")
+def corpus_profile(spark, d, whole=False):
+    s = _doc_sents(spark, d, whole)
+    return _round(sequences.corpus_profile(s, _vocabulary(s, whole)), "avg_len")
 
 
 @query(r"""WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents)
@@ -110,13 +119,13 @@ def pair_counts_baskets(spark, d):
 
 
 @query(f"WITH {TOK_D}, {PC(2)} SELECT * FROM pc")
-def pair_counts_docs_w2(spark, d):
-    return pairs.pair_counts(_doc_sents(spark, d), 2)
+def pair_counts_docs_w2(spark, d, whole=False):
+    return pairs.pair_counts(_doc_sents(spark, d, whole), 2)
 
 
 @query(f"WITH {TOK_D}, {PC(6)} SELECT * FROM pc")
-def pair_counts_docs_w6(spark, d):
-    return pairs.pair_counts(_doc_sents(spark, d), 6)
+def pair_counts_docs_w6(spark, d, whole=False):
+    return pairs.pair_counts(_doc_sents(spark, d, whole), 6)
 
 
 @query(f"WITH {TOK_E}, {PC(2, True)} SELECT * FROM pc")
@@ -147,8 +156,8 @@ def mi_baskets(spark, d):
 
 
 @query(f"WITH {TOK_D}, {PC(2)}, {MI()} SELECT wa, wb, \"count\", \"left\", \"right\", {R.format('mi')} AS mi FROM mi")
-def mi_docs(spark, d):
-    return _round(mi.mi_full(pairs.pair_counts(_doc_sents(spark, d), 2)), "mi")
+def mi_docs(spark, d, whole=False):
+    return _round(mi.mi_full(pairs.pair_counts(_doc_sents(spark, d, whole), 2)), "mi")
 
 
 @query(f"{MI_B} SELECT count(*) AS nonzero, CAST(count_if(mi > 0) AS BIGINT) AS positive, CAST(count_if(mi > 0.5123) AS BIGINT) AS above FROM mi")
@@ -363,20 +372,36 @@ b{n} AS (SELECT wa AS word, wb AS partner, round(mi, 9) AS mi FROM m{n} WHERE mi
 n{n} AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY mi DESC, partner) AS rank FROM b{n} QUALIFY rank <= 32)"""
 
 
-def _side(spark, d, cond):
-    return divergence.neighbourhoods(mi.mi_full(pairs.pair_counts(sequences.sentences(table(spark, d, "documents").where(cond)), 2)))
+def _side(spark, d, cond, whole=False):
+    return divergence.neighbourhoods(mi.mi_full(pairs.pair_counts(_cut_sents(table(spark, d, "documents").where(cond), whole), 2)))
 
 
 @query(f"WITH {TOK_D}, {NB('= ' + chr(39) + 'en' + chr(39), 'a')} SELECT word, partner, {R.format('mi')} AS mi, rank FROM na")
-def neighborhood_topk(spark, d):
-    return _round(_side(spark, d, "lang = 'en'"), "mi").withColumn("rank", F.col("rank").cast("long"))
+def neighborhood_topk(spark, d, whole=False):
+    return _round(_side(spark, d, "lang = 'en'", whole), "mi").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH {TOK_D}, {NB("= 'en'", 'a')}, {NB("<> 'en'", 'b')}, x AS (SELECT word, count(*) AS na, sum(mi * mi) AS sa FROM na GROUP BY 1), y AS (SELECT word, count(*) AS nb, sum(mi * mi) AS sb FROM nb GROUP BY 1),
 z AS (SELECT word, sum(na.mi * nb.mi) AS dot FROM na JOIN nb USING (word, partner) GROUP BY 1), j AS (SELECT word, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb, coalesce(dot, 0) / (sqrt(sa) * sqrt(sb)) AS c FROM x FULL JOIN y USING (word) LEFT JOIN z USING (word))
 SELECT word, na, nb, round(CASE WHEN na < 3 OR nb < 3 THEN 0.0 ELSE 1 - c END, 6) + 0.0 AS divergence, (na >= 3 AND nb >= 3 AND 1 - c > 0.5) AS polysemous FROM j""")
-def polysemy_divergence(spark, d):
-    return _round(divergence.divergence(_side(spark, d, "lang = 'en'"), _side(spark, d, "lang <> 'en'")), "divergence")
+def polysemy_divergence(spark, d, whole=False):
+    return _round(divergence.divergence(_side(spark, d, "lang = 'en'", whole), _side(spark, d, "lang <> 'en'", whole)), "divergence")
+
+
+# The document queries above keep the reference's capacities, as their SQL does; these have none.
+DOC_QUERIES = ("tokenize_sentences", "vocabulary", "corpus_profile", "pair_counts_docs_w2", "pair_counts_docs_w6", "mi_docs", "neighborhood_topk", "polysemy_divergence")
+
+
+def _add_whole(name: str) -> None:
+    def whole(spark, d, f=QUERIES[name]):
+        return f(spark, d, whole=True)
+
+    whole.__name__ = f"{name}_whole"
+    query(ORACLES[name].replace("lower(x[1:63]))[1:64]", "lower(x))").replace(" ORDER BY f LIMIT 8092", ""))(whole)
+
+
+for _name in DOC_QUERIES:
+    _add_whole(_name)
 
 
 # Keyed tables and the store

@@ -4,22 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-MAX_WORDS, MAX_CHARS = 64, 63
+from lexgraph.session import write_table
 
+#: The reference's capacities: words of a sentence, characters of a word, words of a vocabulary.
+MAX_WORDS, MAX_CHARS, MAX_VOCABULARY = 64, 63, 8092
 
-def words_of(sentence: Column, max_words: int = MAX_WORDS) -> Column:
-    """Lower-case runs of letters and apostrophes, each cut to 63 characters, the first ``max_words`` of them."""
+
+def words_of(sentence: Column, max_words: int | None = None, max_chars: int | None = None) -> Column:
+    """Lower-case runs of letters and apostrophes; the first ``max_words`` of them and ``max_chars`` of each (None: all)."""
     raw = F.filter(F.split(sentence, "[^A-Za-z']+"), lambda w: w != "")
-    return F.slice(F.transform(raw, lambda w: F.lower(F.substring(w, 1, MAX_CHARS))), 1, max_words)
+    words = F.transform(raw, lambda w: F.lower(w if max_chars is None else F.substring(w, 1, max_chars)))
+    return words if max_words is None else F.slice(words, 1, max_words)
 
 
-def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 2) -> DataFrame:
+def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 2, max_words: int | None = None, max_chars: int | None = None) -> DataFrame:
     """(sent_id, words): sentences end at . ! ? or a line end; shorter ones than ``min_words`` are dropped.
 
-    sent_id is key * 2**32 + the sentence's number in the text.
+    sent_id is key * 2**32 + the sentence's number in the text. ``max_words`` and
+    ``max_chars`` are those of words_of().
     """
     cut = docs.select(F.col(key).cast("long").alias("k"), F.posexplode(F.split(F.col(text), "[.!?\n]")).alias("no", "s"))
-    return cut.select((F.shiftleft("k", 32) + F.col("no")).alias("sent_id"), words_of(F.col("s")).alias("words")).where(F.size("words") >= min_words)
+    return cut.select((F.shiftleft("k", 32) + F.col("no")).alias("sent_id"), words_of(F.col("s"), max_words, max_chars).alias("words")).where(F.size("words") >= min_words)
 
 
 def baskets(lineitem: DataFrame) -> DataFrame:
@@ -55,12 +60,19 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("doc", F.posexplode(F.split("value", "\r?\n")).alias("no", "line"))
 
 
-def vocabulary(sents: DataFrame, cap: int | None = 8092) -> DataFrame:
-    """(word_id, word, count): ids from 0 in order of first appearance, ``cap`` words at most (None: all)."""
+def vocabulary(sents: DataFrame, cap: int | None = None) -> DataFrame:
+    """(word_id, word, count): ids from 0 in order of first appearance, ``cap`` words at most (None: all).
+
+    Without a cap, words are range-partitioned; each partition numbers its own and
+    adds the counts of the partitions before it, as in components.class_ids().
+    """
     words = sents.select("sent_id", F.posexplode("words").alias("pos", "word")).groupBy("word").agg(F.min(F.struct("sent_id", "pos")).alias("first"), F.count("*").alias("count"))
     if cap is None:
-        ranked = words.withColumn("word_id", F.row_number().over(W.orderBy("first")) - 1)
-        return ranked.select(F.col("word_id").cast("long").alias("word_id"), "word", "count")
+        dealt = write_table(words.repartitionByRange("first").withColumn("part", F.spark_partition_id()), "words")
+        sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+        before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+        local = dealt.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("first")) - 1)
+        return local.join(F.broadcast(before), "part").select((F.col("before") + F.col("k")).cast("long").alias("word_id"), "word", "count")
     kept = words.orderBy("first").limit(cap)
     return kept.withColumn("word_id", (F.row_number().over(W.orderBy("first")) - 1).cast("long")).select("word_id", "word", "count")
 
