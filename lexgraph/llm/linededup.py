@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 LG_K = 12
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def _lines(text: Column) -> Column:
@@ -14,7 +15,7 @@ def _lines(text: Column) -> Column:
 def _line_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, site, pos, key) of every line that has a word."""
     rows = docs.select("doc_id", "rid", "site", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "rid", "site", "pos", F.xxhash64("line").alias("key"))
+    return rows.where(F.col("line").rlike(WORD)).select("doc_id", "rid", "site", "pos", F.xxhash64("line").alias("key"))
 
 
 def boilerplate_keys(rows: DataFrame, min_sites: int) -> DataFrame:
@@ -32,7 +33,7 @@ def boilerplate_keys(rows: DataFrame, min_sites: int) -> DataFrame:
     return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("key"))
 
 
-def _judged(docs: DataFrame, site: str, min_sites: int, most: float) -> DataFrame:
+def _judged(docs: DataFrame, site: str, min_sites: int, most: float | None) -> DataFrame:
     """``docs`` with n_lines__, n_removed__ and kept__ beside its own columns."""
     own = docs.withColumn("rid__", F.xxhash64("text")).withColumn("id__", F.col("doc_id").cast("long"))
     rows = _line_rows(own.select(F.col("id__").alias("doc_id"), F.col("rid__").alias("rid"), F.col(site).cast("string").alias("site"), F.col("text").cast("string").alias("text")))
@@ -40,8 +41,9 @@ def _judged(docs: DataFrame, site: str, min_sites: int, most: float) -> DataFram
     split = own.join(marked, ["id__", "rid__"], "left").withColumn("lines__", _lines(F.col("text")))
     size = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.char_length(x))
     gone = F.filter("lines__", lambda _, i: F.array_contains("marked__", i))
-    take = F.col("marked__").isNotNull() & (size(gone) <= most * size(F.col("lines__")))
-    kept = F.array_join(F.filter("lines__", lambda _, i: ~F.array_contains("marked__", i)), "\n")
+    own_lines = F.filter("lines__", lambda _, i: ~F.array_contains("marked__", i))
+    kept = F.array_join(own_lines, "\n")
+    take = F.col("marked__").isNotNull() & (F.exists(own_lines, lambda x: x.rlike(WORD)) if most is None else size(gone) <= most * size(F.col("lines__")))
     return split.select(
         *docs.columns,
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines__")).cast("long").alias("n_lines__"),
@@ -49,19 +51,20 @@ def _judged(docs: DataFrame, site: str, min_sites: int, most: float) -> DataFram
         F.when(take, kept).otherwise(F.coalesce("text", F.lit(""))).alias("kept__"))
 
 
-def clean_documents(docs: DataFrame, site: str = "source", min_sites: int = 8, most: float = 0.5) -> DataFrame:
+def clean_documents(docs: DataFrame, site: str = "source", min_sites: int = 8, most: float | None = None) -> DataFrame:
     """``docs`` with boilerplate lines taken out of text and n_chars counted anew; all rows and columns stay."""
     found = _judged(docs, site, min_sites, most)
     new = {"text": F.when(F.col("n_removed__") > 0, F.col("kept__")).otherwise(F.col("text")), "n_chars": F.when(F.col("n_removed__") > 0, F.char_length("kept__")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)}
     return found.select(*(new[c].alias(c) if c in new else c for c in docs.columns))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 8, most: float = 0.5) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 8, most: float | None = None) -> DataFrame:
     """Remove from every text the lines that stand on at least ``min_sites`` distinct sites.
 
-    A document that would lose more than the share ``most`` of its lines' characters
-    is a copy of a spread text and not a text with boilerplate: it is left whole,
-    for near-duplicate operators to judge. Returns doc_id, n_lines, n_removed and
+    A document without a word of its own besides such lines is a copy of a spread
+    text: it is left whole, for near-duplicate operators to judge. With ``most``,
+    so is every document that would lose more than that share of its lines'
+    characters. Returns doc_id, n_lines, n_removed and
     kept_text, one row per input row. Lines are split at \\n and compared exactly;
     lines without a word are never removed. A null text has no lines and an empty
     kept_text; an empty one has one line. A null site adds to no spread.

@@ -52,12 +52,17 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+def op10_line_dedup(spark: SparkSession, sf_dir: str, most: float | None = 0.5) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"), most=most)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_warc, op4_license_scans, op5_decontamination, op6_bpe, op7_jaccard_join, op8_lm_scoring, op9_suffix_dedup, op10_line_dedup)}
+def op10_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spares only documents without a word of their own, not all that would lose over half of their text."""
+    return op10_line_dedup(spark, sf_dir, most=None)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_warc, op4_license_scans, op5_decontamination, op6_bpe, op7_jaccard_join, op8_lm_scoring, op9_suffix_dedup, op10_line_dedup, op10_line_dedup_whole)}
 
 ORACLES = {
     "op3_warc": """
@@ -78,3 +83,4 @@ SELECT doc_id, n_lines, CAST(CASE WHEN n > 0 AND g <= 0.5 * t THEN n ELSE 0 END
        sha256(CASE WHEN n > 0 AND g <= 0.5 * t THEN kept ELSE text END) AS kept_sha256
 FROM d""",
 }
+ORACLES["op10_line_dedup_whole"] = ORACLES["op10_line_dedup"].replace("count_if(gone) AS n,", r"count_if(gone) AS n, count_if(NOT gone AND regexp_matches(line, '[^\x20\x09-\x0D]')) AS own,").replace("g <= 0.5 * t", "own > 0")

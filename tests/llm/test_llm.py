@@ -309,6 +309,34 @@ def test_line_dedup(spark):
     assert cleaned.columns == docs(spark, rows).columns and cleaned.count() == len(rows)
 
 
+def test_line_dedup_of_pages_that_are_mostly_boilerplate(spark):
+    menu = "Home About Contact Products Support Careers and much more of the menu"
+    rows = [(i, f"{menu}\nown words {i}\n \n{menu}") for i in range(9)] + [(100, f"{menu}\n \n{menu}"), (101, menu)]
+    got = {x.doc_id: x for x in linededup.dedup_lines(docs(spark, rows)).collect()}
+    cleaned = {x.doc_id: x for x in linededup.clean_documents(docs(spark, rows)).collect()}
+    for i in range(9):
+        assert got[i].kept_text == cleaned[i].text == f"own words {i}\n " and got[i].n_removed == 2 and cleaned[i].n_chars == len(cleaned[i].text)
+    for i, text in rows[9:]:
+        assert got[i].kept_text == cleaned[i].text == text and got[i].n_removed == 0
+    share = {x.doc_id: x for x in linededup.dedup_lines(docs(spark, rows), most=0.5).collect()}
+    assert share[0].n_removed == 0
+
+
+@pytest.mark.parametrize("name", ["op10_line_dedup", "op10_line_dedup_whole"])
+def test_line_dedup_queries_equal_sql(spark, tmp_path, name):
+    import duckdb
+    from lexgraph.llm.queries import ORACLES, QUERIES
+
+    menu = "Home About Contact Products Support"
+    rows = [(i, f"{menu}\nown {i}") for i in range(20)] + [(i, f"{menu}\nand much longer text of the page's own, number {i}") for i in range(20, 30)] + [(40, menu), (41, f"{menu}\n\t")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES[name](spark, str(tmp_path)).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLES[name]).fetchall())
+    assert sum(x.n_removed for x in got) == (30 if name.endswith("whole") else 10)
+
+
 def test_empty_tables(spark):
     empty = docs(spark, [(1, "x")]).where("false")
     b = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
