@@ -8,12 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexgraph.llm.common import _BYTE, _MULT, _STEP, _powers, blocks, buffers, key_frequencies, mix, with_text
+from lexgraph.llm.common import _BYTE, _MULT, _STEP, Frequencies, _powers, blocks, buffers, key_frequencies, mix, with_text
 from lexgraph.session import ensure_importable, write_table
 
 GRAM = 20
 LONGEST = 256
 SHARD = 2 << 20
+#: Distinct stretches of one minimiser that one task may judge.
+MOST = 20_000
 LANE = 512
 FAR = np.iinfo(np.int64).max
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
@@ -234,6 +236,50 @@ def merge_shards(shards: list[tuple[Shard, np.ndarray]]) -> None:
         shard.least[places] = best[np.searchsorted(distinct, strings)]
 
 
+def _hot_keys(texts: DataFrame, found: Frequencies, length: int) -> np.ndarray:
+    """Minimisers with more than ``MOST`` distinct stretches, among those that more than ``MOST`` documents hold."""
+    often = found.hot[found.hot_count > MOST]
+    if not len(often):
+        return np.zeros(0, np.uint64)
+
+    def stretch_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, _, _, _, _, key, digest in stretches(batch.column(1), length):
+                keep = np.flatnonzero(found.count(key) > MOST)
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(digest[keep].view(np.int64))], ["key", "tid"])
+
+    many = texts.mapInArrow(stretch_ids, "key long, tid long").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST)
+    return np.array([r["key"] for r in many.collect()], np.int64).view(np.uint64)
+
+
+def _hot_spans(texts: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
+    """(doc_id, rid, lo, hi) of windows with a hot minimiser that a smaller doc_id holds too.
+
+    Windows are compared by their bytes, aggregated before the exchange. Those that
+    stand in very many places are few, and are looked up from a broadcast.
+    """
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, part, row, start, at, n, key, _ in stretches(batch.column(1), length):
+                keep = np.flatnonzero(np.isin(key, hot))
+                raw = part.tobytes()
+                for some in np.array_split(keep, -(-len(keep) // 1000) or 1):
+                    rows = pa.array(np.repeat(lo + row[some], n[some]))
+                    strings = [raw[p : p + length] for p in _ranges(at[some], n[some]).tolist()]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(_ranges(start[some], n[some])), pa.array(strings, pa.binary())], ["doc_id", "rid", "lo", "bytes"])
+
+    rows = write_table(texts.where("doc_id is not null").mapInArrow(windows_of, "doc_id long, rid long, lo long, bytes binary"), "windows")
+    least = rows.groupBy("bytes").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("last > least")
+    least = write_table(least.select("bytes", "least", "n"), "least")
+    places = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    over = F.col("n") > max(4096, places // 20_000)
+    tagged = rows.join(F.broadcast(least.where(over).drop("n")), "bytes", "left")
+    rare = tagged.where("least is null").drop("least").join(least.where(~over).drop("n"), "bytes")
+    spans = tagged.where("least is not null").unionByName(rare).where("least < doc_id")
+    return spans.select("doc_id", "rid", "lo", (F.col("lo") + length).alias("hi"))
+
+
 def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     """Remove every byte under a string of ``length`` bytes that also starts in a document with a smaller doc_id.
 
@@ -248,6 +294,8 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     aggregation, dealt by minimiser, and cut into shards of ``SHARD`` bytes with a
     suffix array each; a minimiser that spans shards has them merged by binary
     search. Results then go back to all documents that hold a stretch, by a join.
+    The windows of a minimiser with more than ``MOST`` distinct stretches are not
+    judged in one task: they are dealt by their own bytes and aggregated.
     """
     ensure_importable(docs.sparkSession)
     texts = with_text(docs).withColumn("rid", F.xxhash64("text"))
@@ -261,12 +309,13 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
             yield key[new]
 
     found = key_frequencies(texts, minimisers)
+    hot = _hot_keys(texts, found, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(FAR).to_numpy()
             for lo, _, part, row, _, start, windows, key, digest in stretches(batch.column(1), length):
-                keep = np.flatnonzero(found.shared(key))
+                keep = np.flatnonzero(found.shared(key) & ~np.isin(key, hot))
                 keep = keep[np.lexsort((digest[keep], key[keep]))]
                 new = np.flatnonzero(np.concatenate([[True], (key[keep[1:]] != key[keep[:-1]]) | (digest[keep[1:]] != digest[keep[:-1]])])) if len(keep) else keep
                 if not len(new):
@@ -341,13 +390,16 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, _, row, start, _, _, key, digest in stretches(batch.column(1), length):
-                keep = np.flatnonzero(found.shared(key))
+                keep = np.flatnonzero(found.shared(key) & ~np.isin(key, hot))
                 rows = pa.array(lo + row[keep])
                 yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(digest[keep].view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(start[keep])], ["key", "tid", "doc_id", "rid", "start"])
 
     held = texts.where("doc_id is not null").mapInArrow(places, "key long, tid long, doc_id long, rid long, start long")
     spans = held.join(judged, ["key", "tid"]).where("least < doc_id")
-    spans = spans.groupBy("doc_id", "rid").agg(F.collect_set(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + (length - 1)).alias("hi"))).alias("found"))
+    spans = spans.select("doc_id", "rid", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + (length - 1)).alias("hi"))
+    if len(hot):
+        spans = spans.unionByName(_hot_spans(texts, hot, length))
+    spans = spans.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -233,6 +233,31 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, shard):
     assert got == suffix_brute(rows)
 
 
+def test_suffix_dedup_deals_out_a_hot_minimiser(spark, monkeypatch):
+    r = random.Random(5)
+    noise = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    line, long_line = "The line that very many documents hold.", "A longer line, of over fifty bytes, that very many documents hold, too."
+    rows = [(i, noise(60) + line + noise(3 if i % 5 else 0) + noise(60) + (long_line if i % 2 else "") + noise(30)) for i in range(300)]
+    rows += [(300 + i, rows[i][1]) for i in range(10)] + [(400, line * 3), (401, None), (5, "x" + long_line), (None, rows[7][1])]
+    hot = 100
+
+    class Watched(suffix.Judged):
+        def __init__(self, rows, length):
+            super().__init__(rows, length)
+            if np.unique(self.key, return_counts=True)[1].max() > hot:
+                raise AssertionError("one task judges all stretches of a hot minimiser")
+
+    monkeypatch.setattr(suffix, "MOST", hot, raising=False)
+    monkeypatch.setattr(suffix, "Judged", Watched)
+    once = [x for x in rows if x[0] is not None and x != (5, "x" + long_line)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, bytes(x.kept)) for x in suffix.dedup_substrings(docs(spark, once)).collect()}
+    assert got == suffix_brute(once)
+    named = [x for x in rows if x[0] is not None]
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed) for x in suffix.dedup_substrings(docs(spark, rows)).collect() if x.doc_id is not None)
+    first = suffix_brute(named + [(1000 + k, t) for k, (i, t) in enumerate(named) if i == 5])
+    assert len(got) == len(named) and [x for x in got if x[0] != 5] == sorted((i, n, m) for i, (n, m, _) in first.items() if i < 1000 and i != 5)
+
+
 def test_suffix_array_and_prefixes():
     for text in (b"banana", b"aaaaaaaaaaaaaaaaaaaa", b"abab\0abab\0\0", bytes(random.Random(1).choices(range(3), k=3000))):
         t = np.frombuffer(text, np.uint8)
