@@ -1,97 +1,124 @@
-"""Stupid-backoff scores of documents under a word-pair model of the whole corpus."""
+"""Stupid-backoff scores of documents under a word-pair model, by joins with n-gram count tables."""
 
 from __future__ import annotations
 
 import math
+import string
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lexgraph.llm.common import _MULT, hashed_words, mix, with_text
-from lexgraph.session import ensure_importable, write_table
+from lexgraph.llm.common import with_text
+from lexgraph.session import write_table
 
-BUCKET_BITS = 8
+SPACE = r"[\x20\x09-\x0D]+"
+#: Words that stand more often than once in so many places are looked up from a broadcast; so there are at most this many.
+WORDS_BROADCAST = 200_000
 
 
-def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word keys, pair keys of each word with the next, row of each word); a pair across rows has key 0."""
-    words, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for lo, hi, h, bounds in hashed_words(texts):
-        words.append(h)
-        rows.append(np.repeat(np.arange(lo, hi), np.diff(bounds)))
-    word, row = np.concatenate(words), np.concatenate(rows)
-    pair = np.zeros(len(word), np.uint64)
-    if len(word) > 1:
-        pair[1:] = np.where(row[1:] == row[:-1], mix(word[:-1] * _MULT[0] + word[1:] * _MULT[1]) | np.uint64(1), np.uint64(0))
-    return word, pair, row
+def _words(text: Column) -> Column:
+    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.array_remove(F.split(lower, SPACE), "")
 
 
-def _text_array(table: pa.Table) -> pa.Array:
-    column = table.column("text")
-    return pa.concat_arrays([c.cast(pa.large_string()) for c in column.chunks]) if column.num_chunks else pa.array([], pa.large_string())
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and rid, a hash of both."""
+    return with_text(docs).withColumn("rid", F.xxhash64("doc_id", "text"))
 
 
-def score_documents(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, docs_per_chunk: int = 8192) -> DataFrame:
-    """Log-probability of every whole text, by counts over all documents.
+def exploded(docs: DataFrame) -> DataFrame:
+    """(rid, pos, n, word, pair, after): every word of every text, as 64-bit hashes.
+
+    ``pair`` is the word with the one after it, ``after`` that one's own hash; both
+    are null at a text's end. n is how many words the text has.
+    """
+    w = docs.select("rid", F.explode(F.array(_words(F.coalesce("text", F.lit(""))))).alias("w"))
+    n = F.size("w")
+    rows = w.select("rid", n.alias("n"), F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(n - 1, F.lit(0))).alias("b"))).alias("pos", "s"))
+    a, b = F.col("s.a"), F.col("s.b")
+    return rows.select("rid", "pos", "n", F.xxhash64(a).alias("word"), F.when(b.isNotNull(), F.xxhash64(a, b)).alias("pair"), F.when(b.isNotNull(), F.xxhash64(b)).alias("after"))
+
+
+def ngram_counts(docs: DataFrame) -> DataFrame:
+    """(key, n): how often each word and each pair of neighbours stands in the texts, by hash."""
+    rows = exploded(_keyed(docs)).select(F.explode(F.array("word", "pair")).alias("key")).where("key is not null")
+    return rows.groupBy("key").agg(F.count("*").alias("n"))
 
-    A word w after v scores c(v w) / c(v) if the pair stands at least ``min_count``
-    times in the corpus (rarer pairs are not in the model), else alpha c(w) / N; a
-    text's first word scores c(w) / N. Words are runs of non-space with A-Z as a-z.
-    Returns doc_id, n_words, n_backoff, log_score (sum of natural logs; 0 without
-    words) and perplexity (null without words), one row per input row.
 
-    The count tables are partitioned by the hash of the n-gram. Documents are dealt
-    to chunks of bounded size; a chunk sends each partition its distinct n-grams
-    with their counts, one packed row a partition, so a frequent n-gram is one entry
-    for each chunk. The partition sums them and joins the sums back to every chunk's
-    n-grams, in the same order; there they are added up for each document.
+def _weight() -> Column:
+    """How often log c(word) counts in its text if all pairs are in the model.
+
+    The sum of log c(v w) - log c(v) over a text, and log c(first word), leave minus
+    one for each word that is neither first nor last.
+    """
+    return F.when(F.col("n") == 1, 1).when((F.col("pos") > 0) & (F.col("pos") < F.col("n") - 1), -1).otherwise(0)
+
+
+def _finished(texts: DataFrame, sums: DataFrame, total: int, alpha: float) -> DataFrame:
+    """One row for each text from (rid, value, words, copies, backoff), added up by rid."""
+    by_text = sums.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("value", "words", "copies", "backoff")))
+    # Equal rows have one rid, so their sums hold each of them.
+    each = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0))
+    n, backoff = F.coalesce(F.expr("words div copies"), F.lit(0)), F.coalesce(F.expr("backoff div copies"), F.lit(0))
+    base = math.log(max(total, 1))
+    score = F.when(n > 0, each("value") - base + backoff * (math.log(alpha) - base)).otherwise(F.lit(0.0))
+    out = texts.select("doc_id", "rid").join(by_text, "rid", "left").select("doc_id", n.alias("n_words"), backoff.alias("n_backoff"), score.alias("log_score"))
+    return out.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_score") / F.col("n_words"))))
+
+
+def score_documents(docs: DataFrame, alpha: float = 0.4) -> DataFrame:
+    """Log-probability of every whole text under the counts over all of these texts.
+
+    A word w after v scores c(v w) / c(v), a text's first word c(w) / N; every pair
+    is in the model, so none backs off here (score_with() scores other texts).
+    Words are runs of non-space with A-Z as a-z; n-grams stand as 64-bit hashes.
+    Returns doc_id, n_words, n_backoff (0), log_score (sum of natural logs; 0
+    without words) and perplexity (null without words), one row per input row: null
+    and empty texts have no words, and repeated rows count and score each.
+
+    N-grams are exploded to rows and dealt by their hash once; there they are
+    counted, and the counts are joined back to the rows, which are then summed by
+    text. Keys that would fill an eighth of a partition (eight for each partition at
+    most) and frequent words (WORDS_BROADCAST at most) are counted first, with
+    aggregation before the exchange, and are looked up from a broadcast.
+    """
+    spark = docs.sparkSession
+    texts = _keyed(docs)
+    words = write_table(exploded(texts).groupBy("word").agg(F.count("*").alias("c")), "lm-words")
+    total = words.agg(F.sum("c")).first()[0] or 0
+    many = max(1000, total // (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    common = words.where(F.col("c") > many).select("word")
+    both = exploded(texts).join(F.broadcast(common), "word", "left_semi").join(F.broadcast(common.withColumnRenamed("word", "after")), "after", "left_semi")
+    pairs = write_table(both.groupBy("pair").agg(F.count("*").alias("c2")).where(F.col("c2") > many), "lm-pairs")
+    often = words.where(F.col("c") > total // WORDS_BROADCAST)
+    rows = exploded(texts).join(F.broadcast(often), "word", "left").join(F.broadcast(pairs), "pair", "left").withColumn("weight", _weight())
+    known = F.coalesce(F.col("weight") * F.ln("c"), F.lit(0.0)) + F.coalesce(F.ln("c2"), F.lit(0.0))
+    closed = rows.groupBy("rid").agg(F.sum(known).alias("value"), F.count("*").alias("words"), F.count_if(F.col("pos") == 0).alias("copies"))
+    terms = F.array(
+        F.when(F.col("c2").isNull(), F.struct(F.col("pair").alias("key"), F.lit(1).alias("weight"))),
+        F.when(F.col("c").isNull(), F.struct(F.col("word").alias("key"), F.col("weight"))))
+    dealt = rows.select("rid", F.explode(terms).alias("t")).select("t.key", "rid", "t.weight").where("key is not null").repartition("key")
+    # The least rid and weight are of no use but that both sides of the join then read one exchange.
+    counts = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("r"), F.min("weight").alias("w")).where("n > 1 and r is not null and w is not null").select("key", "n")
+    opened = dealt.join(counts, "key").groupBy("rid").agg(F.sum(F.col("weight") * F.ln("n")).alias("value"))
+    none = F.lit(0).cast("long")
+    sums = closed.withColumn("backoff", none).unionByName(opened.select("rid", "value", none.alias("words"), none.alias("copies"), none.alias("backoff")))
+    return _finished(texts, sums, total, alpha)
+
+
+def score_with(docs: DataFrame, counts: DataFrame, total: int, alpha: float = 0.4) -> DataFrame:
+    """score_documents() under another corpus: its ngram_counts() and how many words it has.
+
+    A pair that the corpus lacks scores alpha c(w) / N instead, and is counted in
+    n_backoff; a word that it lacks counts as one. ``counts`` is read several times:
+    write it first.
     """
-    ensure_importable(docs.sparkSession)
-    chunks = max(1, math.ceil(docs.count() / docs_per_chunk))
-    dealt = with_text(docs).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-
-    def explode(table: pa.Table) -> pa.Table:
-        word, pair, _ = _terms(_text_array(table))
-        keys, counts = np.unique(np.concatenate([word, pair[pair != 0]]), return_counts=True)
-        cut = np.searchsorted((keys >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.arange((1 << BUCKET_BITS) + 1))
-        counts = counts.astype(np.uint32)
-        full = np.flatnonzero(np.diff(cut))
-        return pa.table({
-            "chunk": pa.array([table.column("chunk")[0].as_py()] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()),
-            "keys": pa.array([keys[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()), "counts": pa.array([counts[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())})
-
-    def total(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
-        counts = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")]
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64)
-        back, at = [], 0
-        for k in keys:
-            back.append(sums[place[at : at + len(k)]].tobytes())
-            at += len(k)
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "totals": pa.array(back, pa.binary())})
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        word, pair, row = _terms(_text_array(left))
-        n = left.num_rows
-        keys, place = np.unique(np.concatenate([word, pair[pair != 0]]), return_inverse=True)
-        parts = sorted(zip(right.column("bucket").to_pylist(), right.column("totals")), key=lambda x: x[0])
-        totals = np.concatenate([np.frombuffer(t.as_buffer(), np.int64) for _, t in parts]) if parts else np.zeros(0, np.int64)
-        of_word = totals[place[: len(word)]].astype(float)
-        of_pair = np.zeros(len(word))
-        of_pair[pair != 0] = totals[place[len(word) :]]
-        seen = of_pair >= min_count
-        before = np.concatenate([[1.0], of_word[:-1]])
-        value = np.log(np.where(seen, of_pair / before, of_word))
-        backed = ~seen & (pair != 0)
-        value[backed] += math.log(alpha)
-        count = lambda w: np.bincount(row, w, n)
-        return pa.table({"doc_id": left.column("doc_id"), "n_words": count(None).astype(np.int64), "n_backoff": count(backed.astype(float)).astype(np.int64), "n_single": count((~seen).astype(float)).astype(np.int64), "partial": count(value)})
-
-    sent = dealt.groupBy("chunk").applyInArrow(explode, "chunk int, bucket int, keys binary, counts binary")
-    totals = sent.groupBy("bucket").applyInArrow(total, "chunk int, bucket int, totals binary")
-    scored = write_table(dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, n_backoff long, n_single long, partial double"), "lm-scores")
-    words = scored.agg(F.sum("n_words")).first()[0] or 1
-    log_score = F.col("partial") - F.col("n_single") * math.log(max(words, 1))
-    return scored.select("doc_id", "n_words", "n_backoff", log_score.alias("log_score"), F.when(F.col("n_words") > 0, F.exp(-log_score / F.col("n_words"))).alias("perplexity"))
+    texts = _keyed(docs)
+    rows = exploded(texts)
+    found = rows.join(counts.withColumnRenamed("key", "pair").withColumnRenamed("n", "c2"), "pair", "left").withColumn("lost", F.col("pair").isNotNull() & F.col("c2").isNull())
+    # A lost pair (v w) takes back its - log c(v), and adds log c(w).
+    terms = F.array(F.struct(F.col("word").alias("key"), _weight().alias("weight")), F.when(F.col("lost"), F.struct(F.col("word").alias("key"), F.lit(1).alias("weight"))), F.when(F.col("lost"), F.struct(F.col("after").alias("key"), F.lit(1).alias("weight"))))
+    pairs = found.groupBy("rid").agg(F.coalesce(F.sum(F.ln("c2")), F.lit(0.0)).alias("value"), F.count("*").alias("words"), F.count_if(F.col("pos") == 0).alias("copies"), F.count_if("lost").alias("backoff"))
+    single = found.select("rid", F.explode(terms).alias("t")).select("rid", "t.key", "t.weight").where("key is not null").groupBy("rid", "key").agg(F.sum("weight").alias("weight")).where("weight <> 0")
+    none = F.lit(0).cast("long")
+    singles = single.join(counts, "key").select("rid", (F.col("weight") * F.ln("n")).alias("value"), none.alias("words"), none.alias("copies"), none.alias("backoff"))
+    return _finished(texts, pairs.unionByName(singles), total, alpha)

@@ -44,7 +44,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(table(spark, sf_dir, "documents"))
+    found = lm.score_documents(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("log_score", "perplexity")})
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,16 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, g AS payload_digest,
        CASE WHEN n >= 100 AND page_id > f THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND page_id > f THEN f END AS refers_to
 FROM m""",
+    "op8_lm_scoring": r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+     t AS (SELECT doc_id, unnest(w) AS b, unnest(list_prepend(NULL, w[:-2])) AS a FROM d),
+     one AS (SELECT b AS w, count(*) AS c FROM t GROUP BY 1),
+     two AS (SELECT a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY 1, 2),
+     s AS (SELECT doc_id, sum(CASE WHEN a IS NULL THEN ln(o.c) - ln((SELECT sum(c) FROM one)) ELSE ln(p.c) - ln(v.c) END) AS score
+           FROM t JOIN one o ON b = o.w LEFT JOIN one v ON a = v.w LEFT JOIN two p USING (a, b) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, CAST(0 AS BIGINT) AS n_backoff, round(coalesce(score, 0), 6) + 0.0 AS log_score,
+       CASE WHEN len(w) > 0 THEN round(exp(-score / len(w)), 6) + 0.0 END AS perplexity
+FROM d LEFT JOIN s USING (doc_id)""",
     "op10_line_dedup": r"""
 WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
      b AS (SELECT line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 8),

@@ -311,16 +311,29 @@ def test_decontamination_against_all_windows(spark):
 
 def test_lm_scores_against_counting(spark):
     r = random.Random(8)
-    rows = [(i, " ".join(r.choice("abcdefghij") * r.randint(1, 2) for _ in range(r.randint(0, 30)))) for i in range(60)] + ODD[:4]
-    ws = {i: words(t) for i, t in rows}
-    one, two = Counter(w for x in ws.values() for w in x), Counter(p for x in ws.values() for p in zip(x, x[1:]))
+    rows = [(i, " ".join(r.choice("abcdefghij") * r.randint(1, 2) for _ in range(r.randint(0, 30)))) for i in range(60)] + ODD + [(None, "a b"), (9004, "a b")]
+    ws = [(i, words(t)) for i, t in rows]
+    one, two = Counter(w for _, x in ws for w in x), Counter(p for _, x in ws for p in zip(x, x[1:]))
     total = sum(one.values())
-    for x in lm.score_documents(docs(spark, rows), docs_per_chunk=20).collect():
-        w = ws[x.doc_id]
-        want = float(np.log(one[w[0]] / total)) if w else 0.0
-        for a, b in zip(w, w[1:]):
-            want += float(np.log(two[a, b] / one[a] if two[a, b] >= 2 else 0.4 * one[b] / total))
-        assert x.log_score == pytest.approx(want) and x.n_words == len(w)
+    want = sorted(((i, len(w), 0, round(sum(float(np.log(two[a, b] / one[a])) for a, b in zip(w, w[1:])) + (float(np.log(one[w[0]] / total)) if w else 0.0), 6)) for i, w in ws), key=str)
+    got = lm.score_documents(docs(spark, rows)).collect()
+    assert sorted(((x.doc_id, x.n_words, x.n_backoff, round(x.log_score, 6) + 0.0) for x in got), key=str) == want
+    assert all((x.perplexity is None) == (x.n_words == 0) for x in got)
+
+
+def test_lm_scores_under_another_corpus(spark):
+    r = random.Random(9)
+    text = lambda: " ".join(r.choice("abcdefghijkl") for _ in range(r.randint(0, 20)))
+    corpus, rows = [(i, text().replace("l", "k")) for i in range(40)], [(i, text()) for i in range(40)] + ODD
+    one, two = (Counter(g for _, t in corpus for g in f(words(t))) for f in (lambda w: w, lambda w: zip(w, w[1:])))
+    total = sum(one.values())
+    counts = lm.ngram_counts(docs(spark, corpus))
+    for x in lm.score_with(docs(spark, rows), counts, total).collect():
+        w = words(dict(rows)[x.doc_id])
+        c = lambda v: max(one[v], 1)
+        lost = [p for p in zip(w, w[1:]) if not two[p]]
+        score = sum(np.log(two[a, b] / one[a]) if two[a, b] else np.log(0.4 * c(b) / total) for a, b in zip(w, w[1:])) + (np.log(c(w[0]) / total) if w else 0.0)
+        assert (x.n_words, x.n_backoff) == (len(w), len(lost)) and x.log_score == pytest.approx(score)
 
 
 def test_line_dedup(spark):
