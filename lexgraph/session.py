@@ -3,42 +3,74 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import weakref
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting to remove a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting for the bytes of a batch of rows sent to a Python worker, and the most that is left there: texts may be long.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 _own: dict[str, str] = {}
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where the session leaves it unset (tests, a laptop), a temporary folder of
-    this process is used instead.
+    Where a local session (tests, a laptop) leaves it unset, a temporary folder of
+    this process is used instead; on a cluster it must be set.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    return _own.setdefault("dir", tempfile.mkdtemp(prefix="lexgraph-"))
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if "dir" not in _own:
+        _own["dir"] = tempfile.mkdtemp(prefix="lexgraph-")
+    return _own["dir"]
 
 
 def write_table(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
+    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    The shuffle files of the write go when it ends: what comes after reads the table.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        if path := _written.pop(df, None):
+            gateway = df.sparkSession._jvm
+            at = gateway.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and get batches of BATCH_BYTES at most."""
     root = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if root not in have.split(":"):
         env["PYTHONPATH"] = f"{root}:{have}" if have else root
+    if re.fullmatch(r"\d+b?", now := spark.conf.get(BATCH)) and int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
