@@ -15,8 +15,14 @@ from pyspark.sql import DataFrame, functions as F
 from lexgraph.llm.common import hashed_words
 from lexgraph.session import ensure_importable
 
-PATH_DIM, WORD_DIM, NUM_DIM, HIDDEN = 128, 32, 6, 24
-_PIECE = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(script|style|template|noscript|svg|iframe|textarea|select|title)\b[^>]*+>(?:.*?</\1\s*>|.*\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[a-zA-Z/!?][^>]*+>|[^<]++|<""", re.S | re.I)
+PATH_DIM, WORD_DIM, NUM_DIM, HIDDEN = 512, 256, 12, 24
+#: Elements nest so deep at most (as in browsers), and so many of the nearest ancestors are looked at.
+DEEPEST, NEAREST = 512, 32
+_UNSEEN = r"""<!--(?:.*?-->|.*\Z)|<(script|style|template|noscript|svg|iframe|textarea|select|title)\b[^>]*+>(?:.*?</\1\s*>|.*\Z)"""
+_PIECE = re.compile(_UNSEEN + r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<broken><[a-zA-Z/][^>]*+>)|<[!?][^>]*+>|[^<]++|<""", re.S | re.I)
+#: The same without quotes, for what follows a quote that never ends.
+_LOOSE = re.compile(_UNSEEN + r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<rest>[^>]*+)>|<[a-zA-Z/!?][^>]*+>|[^<]++|<""", re.S | re.I)
+_OPEN = re.compile(r"<[a-zA-Z/!?]")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME = re.compile(r"[^a-z0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,6 +39,22 @@ def _push(stack: list[tuple], tag: str, rest: str) -> None:
     stack.append((tag, tuple(names)))
 
 
+def _pieces(page: str) -> Iterator[re.Match]:
+    """Text, tags and unseen elements of ``page``, in time linear in its length.
+
+    An open tag at the page's end is dropped. After a quote that never ends, tags
+    end at the next > whatever the quotes.
+    """
+    end = page.rfind(">") + 1
+    for m in _PIECE.finditer(page, 0, end):
+        if m["broken"]:
+            yield from _LOOSE.finditer(page, m.start(), end)
+            break
+        yield m
+    tail = _OPEN.search(page, end)
+    yield from re.compile(r".+", re.S).finditer(page, end, tail.start() if tail else len(page))
+
+
 def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
     """(text, path, characters inside links) of every non-empty leaf block, in page order.
 
@@ -40,29 +62,31 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
     ends where a block-level element starts or ends; character references are
     decoded, white space becomes one space, and ends are trimmed. Tag soup is
     taken as browsers do: a new block closes an open paragraph, and an end tag
-    without a start is ignored.
+    without a start is ignored. ``path`` has the names of the NEAREST ancestors.
     """
     out: list[tuple[str, tuple, int]] = []
     stack: list[tuple] = []
     parts: list[str] = []
-    links = anchors = 0
+    links = anchors = heads = 0
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
-            if text and not any(t == "head" for t, _ in stack):
-                out.append((text, tuple(n for _, n in stack), links))
+            if text and not heads:
+                out.append((text, tuple(n for _, n in stack[-NEAREST:]), links))
             parts.clear()
         links = 0
 
     def pop_to(k: int) -> None:
-        nonlocal anchors
+        nonlocal anchors, heads
         anchors -= sum(t == "a" for t, _ in stack[k:])
+        heads -= sum(t == "head" for t, _ in stack[k:])
         del stack[k:]
 
-    for m in _PIECE.finditer(page):
-        tag = m["tag"]
+    for m in _pieces(page):
+        found = m.groupdict()
+        tag = found.get("tag")
         if tag is None:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
@@ -94,9 +118,10 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
                     pop_to(k)
                 elif stack[k][0] in _STOPS:
                     break
-        if tag not in _VOID and not (m["rest"] or "").endswith("/"):
+        if tag not in _VOID and not m["rest"].endswith("/") and len(stack) < DEEPEST:
             _push(stack, tag, m["rest"])
             anchors += tag == "a"
+            heads += tag == "head"
     flush()
     return out
 
@@ -121,11 +146,15 @@ def block_features(blocks: list[tuple[str, tuple, int]]) -> tuple[np.ndarray, np
         row = np.repeat(np.arange(hi - lo), n)
         counts = np.bincount(row * WORD_DIM + (h % np.uint64(WORD_DIM)).astype(np.int64), minlength=(hi - lo) * WORD_DIM).reshape(-1, WORD_DIM)
         words[lo:hi] = counts / np.maximum(n, 1)[:, None]
-    size = np.array([len(b[0]) for b in blocks], np.float32).reshape(-1)
+    texts = [b[0] for b in blocks]
+    size = np.array([len(t) for t in texts], np.float32).reshape(-1)
     linked = np.array([b[2] for b in blocks], np.float32).reshape(-1)
-    ends = np.array([b[0][-1:] in ".!?:\"" for b in blocks], np.float32)
-    numbers = np.stack([np.log1p(size) / 5, np.minimum(linked / np.maximum(size, 1), 1), ends, size < 30, size > 200, np.ones_like(size)], 1).astype(np.float32)
-    return words, numbers
+    flag = lambda test: np.array([test(t) for t in texts], np.float32).reshape(-1)
+    numbers = [
+        np.log1p(size) / 5, np.minimum(linked / np.maximum(size, 1), 1), flag(lambda t: t[-1:] in ".!?:\"”"), size < 30, size > 200, np.ones_like(size),
+        flag(lambda t: "©" in t or "(c)" in t), flag(lambda t: min(sum(map(t.count, (". ", "! ", "? "))), 4) / 4), flag(lambda t: " | " in t or " · " in t or "»" in t or "›" in t),
+        flag(lambda t: t[:1].islower()), flag(lambda t: any(map(str.isdigit, t[:40]))), flag(lambda t: min(t.count(" "), 8) / 8)]
+    return words, np.stack(numbers, 1).astype(np.float32)
 
 
 class BiLSTM:
@@ -135,6 +164,8 @@ class BiLSTM:
         rng = np.random.default_rng(seed)
         dims = 2 * PATH_DIM + WORD_DIM + NUM_DIM
         self.p = {f"{k}{d}": (rng.normal(0, s, shape)).astype(np.float32) for d in "fb" for k, s, shape in (("W", 0.1, (dims, 4 * HIDDEN)), ("U", 0.15, (HIDDEN, 4 * HIDDEN)))}
+        for d in "fb":  # names and words that no training page has must weigh nothing
+            self.p[f"W{d}"][:-NUM_DIM] = 0
         self.p |= {"o": rng.normal(0, 0.1, 2 * HIDDEN).astype(np.float32), "c": np.zeros(1, np.float32)}
 
     @staticmethod
@@ -159,30 +190,44 @@ class BiLSTM:
                 total[at] += h @ half
         return 1 / (1 + np.exp(-total))
 
-    def train(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 3) -> None:
-        """Adam on padded pages x [page, block, feature], by back-propagation through time."""
+    def train(self, pages: list[tuple], epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 3) -> None:
+        """Adam on pages (paths, words, numbers, labels), by back-propagation through time on padded batches."""
         rng = np.random.default_rng(seed)
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        step = 0
+        step, steps = 0, epochs * -(-len(pages) // batch)
         for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for lo in range(0, len(x), batch):
-                pick = order[lo : lo + batch]
-                grads = self._gradients(x[pick], y[pick], mask[pick])
+            order = rng.permutation(len(pages))
+            for lo in range(0, len(pages), batch):
+                picked = [pages[k] for k in order[lo : lo + batch]]
+                width = max(len(p[3]) for p in picked)
+                names: dict[tuple, int] = {}
+                at = np.zeros((len(picked), width), np.int64)
+                dense = np.zeros((len(picked), width, WORD_DIM + NUM_DIM), np.float32)
+                y, mask = np.zeros((len(picked), width), np.float32), np.zeros((len(picked), width), np.float32)
+                for k, (paths, words, numbers, labels) in enumerate(picked):
+                    at[k, : len(labels)] = [names.setdefault(p, len(names)) for p in paths]
+                    dense[k, : len(labels)] = np.hstack([words, numbers])
+                    y[k, : len(labels)] = labels
+                    mask[k, : len(labels)] = 1
+                grads = self._gradients(np.stack([path_vector(p) for p in names]), at, dense, y, mask)
                 step += 1
+                now = rate * min(1.0, 2 - 2 * step / steps)
                 for k, g in grads.items():
                     g = np.clip(g, -1, 1)
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.999 * second[k] + 0.001 * g * g
-                    self.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.p[k] -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
-    def _gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
-        n, steps, _ = x.shape
+    def _gradients(self, paths: np.ndarray, at: np.ndarray, dense: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss, for blocks (page, place) with the path ``paths[at]`` and the other features ``dense``."""
+        n, steps = at.shape
+        flat = dense.reshape(n * steps, -1)
         kept, states = {}, []
         for d in "fb":
-            zx = x @ self.p[f"W{d}"]
-            h = c = np.zeros((n, HIDDEN), np.float32)
-            hs, trace = np.zeros((n, steps, HIDDEN), np.float32), {}
+            w = self.p[f"W{d}"]
+            zx = (paths @ w[: 2 * PATH_DIM])[at] + (flat @ w[2 * PATH_DIM :]).reshape(n, steps, -1)
+            h = c = np.zeros((n, HIDDEN), zx.dtype)
+            hs, trace = np.zeros((n, steps, HIDDEN), zx.dtype), {}
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
                 i, f, o, g = self._gates(zx[:, t] + h @ self.p[f"U{d}"])
                 m = mask[:, t : t + 1]
@@ -196,11 +241,11 @@ class BiLSTM:
         both = np.concatenate(states, 2)
         p = 1 / (1 + np.exp(-(both @ self.p["o"] + self.p["c"])))
         err = (p - y) * mask / mask.sum()
-        grads = {"o": np.einsum("nt,nth->h", err, both), "c": np.array([err.sum()], np.float32)}
+        grads = {"o": np.einsum("nt,nth->h", err, both), "c": np.array([err.sum()], both.dtype)}
         for k, d in enumerate("fb"):
             out = self.p["o"][k * HIDDEN : (k + 1) * HIDDEN]
-            gw, gu = np.zeros((n, steps, 4 * HIDDEN), np.float32), np.zeros_like(self.p[f"U{d}"])
-            dh = dc = np.zeros((n, HIDDEN), np.float32)
+            gw, gu = np.zeros((n, steps, 4 * HIDDEN), both.dtype), np.zeros_like(self.p[f"U{d}"])
+            dh = dc = np.zeros((n, HIDDEN), both.dtype)
             for t in range(steps - 1, -1, -1) if d == "f" else range(steps):
                 i, f, o, g, c, new, h, m = kept[d][t]
                 dh = m * (dh + err[:, t : t + 1] * out)
@@ -210,23 +255,27 @@ class BiLSTM:
                 gw[:, t] = dz
                 gu += h.T @ dz
                 dh, dc = dz @ self.p[f"U{d}"].T, dn * f
-            grads[f"W{d}"] = np.einsum("ntx,ntz->xz", x, gw, optimize=True)
+            gw = gw.reshape(n * steps, -1)
+            by_path = np.zeros((len(paths), gw.shape[1]), gw.dtype)
+            np.add.at(by_path, at.ravel(), gw)
+            grads[f"W{d}"] = np.vstack([paths.T @ by_path, flat.T @ gw])
             grads[f"U{d}"] = gu
         return grads
 
 
-#: How training pages name their parts. Wrappers of each kind of part, and the kind's hint words.
+#: How training pages name their parts (wrappers, and words that hint at the kind), and names that say nothing.
 PARTS = {
-    "menu": (["nav", "nav.main-menu", "div.menu", "div#navigation", "ul.nav", "div.navbar", "header>nav", "div.breadcrumbs", "div.topbar"], "home about contact menu products blog archive login"),
-    "header": (["header", "div.header", "div#header", "div.site-header", "div.masthead", "div#top"], "welcome search site"),
-    "sidebar": (["aside", "aside.sidebar", "div.sidebar", "div#sidebar", "div.widget", "section.related", "div.related-posts", "div.popular", "aside.right"], "related popular recent tags more posts"),
-    "notice": (["div.notice", "div.cookie", "div#cookie-banner", "div.alert", "div.consent", "div.banner", "div.newsletter", "div.popup", "div.gdpr", "section.subscribe", "div.share", "div.social"], "cookies accept privacy subscribe newsletter share follow"),
-    "advert": (["div.ad", "div.ads", "div.advert", "div.advertisement", "aside.ad", "div#ad", "div.sponsored", "div.promo", "ins.adsbygoogle", "section.ad"], "sponsored buy offer sale advertisement"),
-    "form": (["form", "form.search", "div>form", "form#login", "form.contact"], "name email submit password send search"),
-    "comments": (["section.comments", "div.comments", "div#comments", "ol.comment-list", "div.comment", "section#responses", "article.comment", "div.discussion"], "reply says comment ago posted"),
-    "footer": (["footer", "div.footer", "div#footer", "footer.site-footer", "div.copyright", "div.legal"], "copyright rights reserved terms privacy"),
+    "menu": ("nav nav.main-menu div.menu div#navigation ul.nav div.navbar header>nav div.breadcrumbs div.topbar div#menu ul.menu nav>div.inner div.toolbar div.links", "home about contact menu products blog archive login news services skip help store jobs next previous index sitemap"),
+    "header": ("header div.header div#header div.site-header div.masthead div#top div.hd div.head div.top div.logo div.branding", "welcome search site your official portal online"),
+    "sidebar": ("aside aside.sidebar div.sidebar div#sidebar div.widget section.related div.related-posts div.popular aside.right div.col-right div.right div#secondary div.recommended div.rail div.trending", "related popular recent tags more posts read latest trending categories also archives"),
+    "notice": ("div.notice div.cookie div#cookie-banner div.alert div.consent div.banner div.newsletter div.popup div.gdpr section.subscribe div.share div.social div.modal div.toast div.promo-signup", "cookies accept privacy subscribe newsletter share follow sign agree consent facebook twitter email policy"),
+    "advert": ("div.ad div.ads div.advert div.advertisement aside.ad div#ad div.sponsored div.promo ins.adsbygoogle section.ad div.ad-slot div.banner-ad", "sponsored buy offer sale advertisement advertisement shop discount free"),
+    "form": ("form form.search div>form form#login form.contact form.signup", "name email submit password send search required username message"),
+    "comments": ("section.comments div.comments div#comments ol.comment-list div.comment section#responses article.comment div.discussion div#disqus ul.replies", "reply says comment comments ago posted wrote report likes replies"),
+    "footer": ("footer div.footer div#footer footer.site-footer div.copyright div.legal div.ft div.foot div.bottom div.colophon", "copyright rights reserved terms privacy policy inc all contact"),
 }
-BODIES = ["article", "main>article", "main", "div.content", "div#content", "div.post", "div.entry-content", "section.article", "div.article-body", "div#main", "div.page>article", "div.container>main", "div.story", "article.post", "table>tr>td.content", "div.text", "", "div.wrapper"]
+BODIES = "article main>article main div.content div#content div.post div.entry-content section.article div.article-body div#main div.page>article div.container>main div.story article.post table>tr>td.content div.text div#mw-content-text div.body div.prose section div>div".split()
+NEUTRAL = "col left center box wrap inner row container block page bd mod item c1 grid cell outer unit area panel layer w100 clearfix region group one two".split()
 
 
 def _element(wrap: str) -> tuple[str, str]:
@@ -238,72 +287,208 @@ def _element(wrap: str) -> tuple[str, str]:
     return opened, closed
 
 
+class _Page:
+    """A page being made by rule: its html, and for each of its leaf blocks whether it is main text."""
+
+    def __init__(self, rng: random.Random):
+        self.rng, self.html, self.labels = rng, [], []
+        self.junk = rng.choice(("", "", "", "", "###", "$$$", "!!", " |", "***"))
+        self.syllables = [a + b for a in "b d f g k l m n p r s t v w th sh".split() for b in "a e i o u an er in on".split()]
+        # Layouts without telling names: parts must be told by their text and place.
+        self.plain = rng.random() < 0.5
+        # Others are one table, with a row for each part.
+        self.table = self.plain and rng.random() < 0.15
+        self.html += ["<table>"] * self.table
+
+    def word(self) -> str:
+        return "".join(self.rng.choices(self.syllables, k=self.rng.choice((1, 1, 2, 2, 3, 4))))
+
+    def words(self, n: int, hints: str = "", share: float = 0.0) -> str:
+        return " ".join(self.rng.choice(hints.split()) if hints and self.rng.random() < share else self.word() for _ in range(n))
+
+    def sentence(self, n: int, hints: str = "", share: float = 0.0) -> str:
+        made = self.words(n, hints, share)
+        return (made.replace(" ", self.junk + " ") + self.junk if self.junk else made).capitalize()
+
+    def prose(self, low: int, high: int) -> str:
+        any_hint = " ".join(h for _, h in PARTS.values())
+        out = ""
+        for _ in range(self.rng.choice((1, 1, 2, 3, 4))):
+            s = self.sentence(self.rng.randint(low, high), any_hint, 0.04)
+            if self.rng.random() < 0.15:
+                first, _, rest = s.partition(" ")
+                s = f'{first} <{(t := self.rng.choice(("a", "b", "em", "i", "strong")))}>{self.word()}</{t}> {rest}'
+            out += s + self.rng.choice((". ", ". ", ". ", "! ", "? "))
+        return out.strip() if self.rng.random() < 0.95 else out.strip(".!? ")
+
+    def add(self, tag: str, text: str, label: int) -> None:
+        self.html.append(f"<{tag}>{text}</{tag.split(' ')[0]}>" if tag else text)
+        self.labels.append(label)
+
+    def wrapper(self, telling: str) -> tuple[str, str]:
+        """Opening and closing tags: telling ones, or with names that say nothing, or none."""
+        r = self.rng
+        if self.table:
+            return "<tr><td>", "</td></tr>"
+        if not self.plain and r.random() < 0.75:
+            return _element(r.choice(telling.split()))
+        tag = r.choice(("div", "div", "div", "section", "table>tr>td", "tr>td", "div>div"))
+        name = r.choice(NEUTRAL) if r.random() < 0.5 else self.word()
+        return _element(tag + r.choice(("", f".{name}", f"#{name}", f".{name}-{r.choice(NEUTRAL)}")))
+
+    def part(self, kind: str, named: bool = False) -> None:
+        """One part that is not main text. Without a telling wrapper, its own text tells."""
+        r, (wraps, hints) = self.rng, PARTS[kind]
+        opened, closed = _element(r.choice(wraps.split())) if named or kind in ("advert", "form") and not self.plain else self.wrapper(wraps)
+        self.html.append(opened)
+        telling = any(opened == _element(w)[0] for w in wraps.split())
+        link = lambda text: f'<a href="/{self.word()}">{text}</a>'
+        few = lambda share=0.5: self.words(r.randint(1, 3), hints, share).capitalize()
+        if kind in ("menu", "sidebar") or kind in ("footer", "header") and r.random() < 0.3:
+            if kind == "sidebar" and r.random() < 0.6:
+                self.add(r.choice(("h2", "h3", "h4", "div", "p")), few(0.8), 0)
+            n, form = r.randint(2, 9), r.choice(("ul", "ul", "div", "line", "p", "p"))
+            if form == "line":
+                self.add(r.choice(("p", "div", "")), r.choice((" ", " | ", " · ", " &raquo; ")).join(link(few()) for _ in range(n)), 0)
+            else:
+                self.html.append("<ul>" if form == "ul" else "")
+                for _ in range(n):
+                    self.add("li" if form == "ul" else form, link(self.words(r.choice((1, 1, 2, 3, 7)), hints, 0.3).capitalize()), 0)
+                self.html.append("</ul>" if form == "ul" else "")
+        elif kind == "header":
+            for _ in range(r.randint(1, 2)):
+                text = few()
+                self.add(r.choice(("div", "p", "h2", "h1", "span")), text if telling else link(text), 0)
+                self.html.append("<div></div>")
+        elif kind == "comments":
+            if r.random() < 0.6 or not telling:
+                self.add(r.choice(("h2", "h3", "div")), f"{r.randint(1, 40)} {r.choice(('comments', 'replies', 'responses'))}".capitalize(), 0)
+            for _ in range(r.randint(1, 4)):
+                inner = _element(r.choice(("div.comment", "article", "li", "div.body", "div", "p")))
+                self.html.append(inner[0])
+                if r.random() < 0.7 or not telling:
+                    self.add(r.choice(("div", "h4", "p") if inner[0] != "<p>" else ("",)), f"{self.word()} {r.choice(('says:', 'wrote:', f'{r.randint(2, 20)} hours ago', 'posted'))}", 0)
+                    self.html.append("<div></div>")
+                self.add(r.choice(("p", "div")), self.prose(2, 14), 0)
+                if r.random() < 0.6 or not telling:
+                    self.add("a href='#'" if r.random() < 0.5 else "div", r.choice(("Reply", "Like", "Reply Share", "Report")), 0)
+                self.html.append(inner[1])
+        elif kind == "form":
+            for _ in range(r.randint(1, 4)):
+                self.add(r.choice(("label", "p", "div", "button")), few(0.7), 0)
+                self.html.append("<div><input name='q'></div>")
+        elif kind == "footer":
+            for _ in range(r.randint(1, 3)):
+                self.add(r.choice(("p", "div", "")), r.choice(("&copy; ", "Copyright &copy; ", "(c) ") if not telling else ("&copy; ", "", "Copyright ")) + r.choice(("", str(r.randint(1999, 2026)) + " ")) + self.sentence(r.randint(1, 14), hints, 0.3) + r.choice((".", "", " &middot; " + self.sentence(4, hints, 0.3))), 0)
+                self.html.append("<div></div>")
+        else:
+            share = 0.1 if telling else 0.5
+            if kind == "advert" and not telling:
+                self.add(r.choice(("div", "p", "span")), r.choice(("Advertisement", "Sponsored", "Ad")), 0)
+                self.html.append("<div></div>")
+            for _ in range(r.choice((1, 1, 2))):
+                self.add(r.choice(("p", "div", "", "h3")), self.sentence(r.randint(2, 16), hints, share) + r.choice((".", "", "!")) + (" " + link(few()) if r.random() < 0.3 else ""), 0)
+                self.html.append("<div></div>")
+            if kind == "notice" and r.random() < 0.5:
+                self.add("button", few(0.8), 0)
+        self.html.append(closed)
+
+    def main_block(self) -> None:
+        """One paragraph, list, table or the like of the main text."""
+        r = self.rng
+        kind = r.choice("p p p p p p p br head head list list table quote pre dl figure bare nest".split())
+        if kind == "p":
+            self.add(r.choice(("p", "p", "p", "p", "div", "p class='x'")), self.prose(1, r.choice((4, 12, 30))), 1)
+        elif kind == "br":
+            self.html.append("<p><b>")
+            self.add("", self.sentence(r.randint(1, 20)) + ".<br>", 1)
+            self.add("p", self.prose(3, 20), 1)
+        elif kind == "head":
+            self.add(r.choice(("h2", "h3", "h4", "h5", "h6", "h2")), self.sentence(r.randint(1, 8), " ".join(h for _, h in PARTS.values()), 0.08), 1)
+            self.add("p", self.prose(4, 25), 1)
+        elif kind == "list":
+            tag, linked = r.choice(("ul", "ul", "ol")), r.random() < 0.12
+            self.html.append(f"<{tag}>")
+            for _ in range(r.randint(1, 6)):
+                text = self.words(r.randint(1, 12)).capitalize() + r.choice((".", "", ";"))
+                self.add("li", f"<a href='/x'>{text}</a> {self.words(3)}" if linked else text, 1)
+            self.html.append(f"</{tag}>")
+        elif kind == "table":
+            self.html.append(r.choice(("<table>", "<table class='t'><tbody>")))
+            for k in range(r.randint(1, 4)):
+                self.html.append("<tr>")
+                for _ in range(r.randint(2, 4)):
+                    self.add("th" if not k and r.random() < 0.6 else "td", r.choice((self.words(r.randint(1, 3)), str(r.randint(0, 9999)), f"{r.randint(1, 99)} %")), 1)
+                self.html.append("</tr>")
+            self.html.append("</table>")
+        elif kind == "dl":
+            self.html.append("<dl>")
+            self.add("dt", self.words(2), 1)
+            self.add("dd", self.prose(2, 10), 1)
+            self.html.append("</dl>")
+        elif kind == "figure":
+            self.html.append("<figure><img src='a.png'>")
+            self.add("figcaption", self.sentence(r.randint(2, 10)), 1)
+            self.html.append("</figure>")
+        elif kind == "bare":
+            self.html.append("<div></div>")
+            self.add("", self.prose(1, 14), 1)
+            self.html.append("<div></div>")
+        elif kind == "nest":
+            opened, closed = self.wrapper(" ".join(BODIES))
+            self.html.append(opened)
+            for _ in range(r.randint(1, 3)):
+                self.add("p", self.prose(3, 20), 1)
+            self.html.append(closed)
+        else:
+            self.add({"quote": "blockquote", "pre": "pre"}[kind], self.prose(2, 14), 1)
+
+
 def training_page(rng: random.Random) -> tuple[str, list[int]]:
     """A page made by rule, and for each of its leaf blocks whether it is main text."""
-    syllables = [a + b for a in "b d f g k l m n p r s t v th sh".split() for b in "a e i o u an er in on".split()]
-    word = lambda: "".join(rng.choices(syllables, k=rng.choice((1, 1, 2, 2, 3, 4))))
-    junk = rng.choice(["", "", "", "###", "$$$", "!!", " |", "***"])
-
-    def sentence(n: int) -> str:
-        return " ".join(word() + junk for _ in range(n)).capitalize() + rng.choice((".", ".", ".", "", "!", "?"))
-
-    out, labels = [], []
-
-    def add(tag: str, text: str, label: int) -> None:
-        out.append(f"<{tag}>{text}</{tag}>" if tag else text)
-        labels.append(label)
-
-    def part(kind: str) -> None:
-        wraps, hints = PARTS[kind]
-        opened, closed = _element(rng.choice(wraps))
-        if kind == "comments" and rng.random() < 0.4:
-            inner = _element(rng.choice(("div.comment", "article", "li", "div.body")))
-            opened, closed = opened + inner[0], inner[1] + closed
-        out.append(opened)
-        hint = lambda: " ".join(rng.choices(hints.split(), k=rng.randint(0, 2)))
-        if rng.random() < 0.35:
-            add("", f"{hint()} {sentence(rng.randint(1, 30))}", 0)
-            out.append(closed)
-            return
-        for _ in range(rng.randint(1, 7 if kind in ("menu", "comments", "sidebar") else 3)):
-            if kind in ("menu", "sidebar") and rng.random() < 0.8:
-                out.append(rng.choice(("<ul><li>", "<li>")))
-                add("a", f"{hint()} {word()}", 0)
-                out.append("</li>")
-            else:
-                add(rng.choice(("p", "div", "h3", "p", "h2", "li")), f"{hint()} {sentence(rng.randint(1, 30))}", 0)
-        out.append(closed)
-
-    for kind in ("header", "menu", "notice", "advert"):
-        if rng.random() < 0.5:
-            part(kind)
-    if rng.random() < 0.25:
-        part("sidebar")
-    opened, closed = _element(rng.choice(BODIES))
-    out.append(opened)
-    if rng.random() < 0.7:
-        out.append("<header>" if (inside := rng.random() < 0.15) else "")
-        add("h1", sentence(rng.randint(2, 14)), 1)
-        out.append("</header>" if inside else "")
-    for _ in range(rng.randint(1, 14)):
-        tag = rng.choice("p p p p p p h2 h3 li blockquote pre td div figcaption".split())
-        if rng.random() < 0.08:
-            out.append("<p><b>")
-            add("", sentence(rng.randint(1, 20)) + "<br>", 1)
-        add(tag, sentence(rng.choice((1, 3, 8, 20, 60))), 1)
-        if rng.random() < 0.06:
-            part(rng.choice(("advert", "notice", "form", "sidebar")))
-    out.append(closed)
-    for kind in ("notice", "sidebar", "form", "comments", "advert", "footer"):
-        if rng.random() < 0.45:
-            part(kind)
-    return "<html><body>" + "".join(out) + "</body></html>", labels
+    page = _Page(rng)
+    if rng.random() < 0.06:
+        for _ in range(rng.randint(1, 3)):
+            w = page.words(rng.randint(1, 8))
+            page.add(rng.choice(("p", "p", "div", "", "h1", "span", "pre")), (w if rng.random() < 0.4 else w.capitalize()) + rng.choice(("", "", ".", "!")), 1)
+            page.html.append("<hr>")
+        return "".join(page.html), page.labels
+    bare = rng.random() < 0.12
+    if rng.random() < 0.03:
+        for kind in rng.sample(sorted(PARTS), 3):
+            page.part(kind, named=True)
+        return "<html><body>" + "".join(page.html) + "</body></html>", page.labels
+    if not bare:
+        for kind in ("header", "menu", "notice", "advert"):
+            if rng.random() < 0.45:
+                page.part(kind)
+        if rng.random() < 0.2:
+            page.part("sidebar")
+    opened, closed = ("", "") if bare and rng.random() < 0.5 else page.wrapper(" ".join(BODIES))
+    page.html.append(opened)
+    if rng.random() < 0.65:
+        inside = rng.random() < 0.15
+        page.html.append("<header>" if inside else "")
+        page.add(rng.choice(("h1", "h1", "h1", "h2")), page.sentence(rng.randint(1, 14)), 1)
+        if rng.random() < 0.3:
+            page.add(rng.choice(("p", "div", "p class='byline'", "div class='meta'")), rng.choice((f"By {page.words(2).title()}", f"By {page.words(2).title()}, {rng.randint(1, 28)} {page.word()} {rng.randint(1999, 2026)}", f"{rng.randint(1, 28)} {page.word()} {rng.randint(1999, 2026)}")), 1)
+        page.html.append("</header>" if inside else "")
+    for _ in range(rng.choice((1, 1, 2, 3, 4, 6, 8, 10))):
+        page.main_block()
+        if rng.random() < 0.05:
+            page.part(rng.choice(("advert", "notice", "form", "sidebar")), named=True)
+    page.html.append(closed)
+    if not bare:
+        for kind in ("notice", "sidebar", "form", "comments", "advert", "footer"):
+            if rng.random() < (0.6 if kind == "footer" else 0.4):
+                page.part(kind)
+    return "<html><body>" + "".join(page.html) + "</body></html>", page.labels
 
 
 _models: dict[tuple, BiLSTM] = {}
 
 
-def trained(pages: int = 700, seed: int = 11) -> BiLSTM:
+def trained(pages: int = 2000, seed: int = 11) -> BiLSTM:
     """The labeller, fitted on ``pages`` pages made by rule; fitted once in a driver."""
     if (pages, seed) not in _models:
         rng = random.Random(seed)
@@ -311,18 +496,10 @@ def trained(pages: int = 700, seed: int = 11) -> BiLSTM:
         while len(made) < pages:
             page, labels = training_page(rng)
             blocks = leaf_blocks(page)
-            if len(blocks) == len(labels) and 0 < len(blocks) <= 48:
-                made.append((blocks, labels))
-        width = max(len(b) for b, _ in made)
-        x = np.zeros((pages, width, 2 * PATH_DIM + WORD_DIM + NUM_DIM), np.float32)
-        y, mask = np.zeros((pages, width), np.float32), np.zeros((pages, width), np.float32)
-        for k, (blocks, labels) in enumerate(made):
-            words, numbers = block_features(blocks)
-            x[k, : len(blocks)] = np.hstack([np.stack([path_vector(b[1]) for b in blocks]), words, numbers])
-            y[k, : len(blocks)] = labels
-            mask[k, : len(blocks)] = 1
+            if len(blocks) == len(labels) and 0 < len(blocks) <= 64:
+                made.append(([b[1] for b in blocks], *block_features(blocks), labels))
         model = BiLSTM()
-        model.train(x, y, mask)
+        model.train(made)
         _models[pages, seed] = model
     return _models[pages, seed]
 
