@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,15 +56,20 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]
         lo = min(hi, n)
 
 
+def slices(texts: pa.Array, rows: int = 512) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, row offsets in them): blocks() of the texts, ``rows`` of them at a time."""
+    for base in range(0, len(texts), rows):
+        data, offsets = buffers(texts.slice(base, rows))
+        for lo, hi in blocks(offsets):
+            yield base + lo, base + hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+
+
 def hashed_words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, 64-bit hashes of all words, word bounds of each row).
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z.
     """
-    data, offsets = buffers(texts)
-    for lo, hi in blocks(offsets):
-        part = data[offsets[lo] : offsets[hi]]
-        at = offsets[lo : hi + 1] - offsets[lo]
+    for lo, hi, part, at in slices(texts):
         if not len(part):
             yield lo, hi, np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64)
             continue
@@ -109,12 +115,8 @@ def shingles(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndar
     return mix(out), out_bounds
 
 
-BUCKET_BITS = 8
-SLICE_BITS = 19
-
-
-def _to_bucket(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (keys >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), ((keys >> np.uint64(32 - BUCKET_BITS)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+#: Bits of the bitmap of key_frequencies(), and how many frequent keys and counted keys of a bucket it aims at.
+BITS, HOT_KEYS, KEYS_PER_BUCKET = 27, 1 << 19, 1 << 20
 
 
 class Frequencies:
@@ -126,84 +128,97 @@ class Frequencies:
         self.bitmap, self.hot, self.hot_count, self.stats = bitmap, hot, hot_count, stats
 
     def shared(self, keys: np.ndarray) -> np.ndarray:
-        bit = (keys >> np.uint64(64 - BUCKET_BITS - SLICE_BITS)).astype(np.int64)
+        bit = (keys >> np.uint64(64 - BITS)).astype(np.int64)
         return (self.bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """The document count of frequent keys, 0 for all others."""
         if not len(self.hot):
             return np.zeros(len(keys), np.int64)
-        short = keys >> np.uint64(32 - BUCKET_BITS)
+        short = keys >> np.uint64(24)
         at = np.minimum(np.searchsorted(self.hot, short), len(self.hot) - 1)
         return np.where(self.hot[at] == short, self.hot_count[at], 0)
 
 
-def key_frequencies(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], hot_over: int = 32, hot_per_bucket: int = 2048, flush: int = 2_000_000) -> Frequencies:
+def key_frequencies(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], keys: int, hot_over: int = 32, flush: int = 1_000_000) -> Frequencies:
     """Count, over all rows, in how many documents each hashed key stands.
 
-    ``keys_of`` yields arrays of keys, each document's own keys distinct. Tasks
-    pre-aggregate, pack the counts of each hash bucket into one binary value, and
-    shuffle those; a key of any frequency adds one entry for each flush, so no
-    key is hot. What comes to the driver has a fixed size: a bitmap of
-    2**(BUCKET_BITS + SLICE_BITS) bits, and at most ``hot_per_bucket`` frequent
-    keys for each of 2**BUCKET_BITS buckets. Callers may use both only to skip
-    keys that cannot match and to choose an order, never to decide a result, so
-    a full bitmap costs time and not rows.
+    ``keys_of`` yields arrays of keys, each document's own keys distinct; ``keys``
+    is about how many there are in all. Tasks pre-aggregate, pack the counts of each
+    hash bucket into one binary value, and shuffle those; a key of any frequency
+    adds one entry for each flush, so no key is hot. Buckets are as many as the
+    input asks for, and a task holds one at a time. What comes to the driver has a
+    fixed size: a bitmap of 2**BITS bits, and about HOT_KEYS frequent keys. Keys
+    are told apart by their first 40 bits here. Callers may use both only to skip
+    keys that cannot match and to choose an order, never to decide a result, so a
+    full bitmap costs time and not rows.
     """
+    spark = df.sparkSession
+    bits = min(max(8, math.ceil(math.log2(max(keys, 1) / KEYS_PER_BUCKET))), 22)
+    hot_per_bucket = max(HOT_KEYS >> bits, 1)
 
     def pack(kept: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(kept), return_counts=True)
-        bucket, low = _to_bucket(keys)
-        cut = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1))
-        full = np.flatnonzero(np.diff(cut))
+        found, counts = np.unique(np.concatenate(kept) >> np.uint64(24), return_counts=True)
+        bucket = (found >> np.uint64(40 - bits)).astype(np.int64)
+        full, first = np.unique(bucket, return_index=True)
+        cut = np.append(first, len(found))
+        low = (found & np.uint64((1 << (40 - bits)) - 1)).astype(np.uint32)
         counts = counts.astype(np.uint32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(full, pa.int32()), pa.array([low[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()), pa.array([counts[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "keys", "counts"])
+            [pa.array(full.astype(np.int32)), pa.array([low[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary()), pa.array([counts[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], ["bucket", "keys", "counts"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
         for batch in batches:
-            for keys in keys_of(batch):
-                kept.append(keys)
-                size += len(keys)
+            for own in keys_of(batch):
+                kept.append(own)
+                size += len(own)
                 if size >= flush:
                     yield pack(kept)
                     kept, size = [], 0
         if size:
             yield pack(kept)
 
+    def close(b: int, parts: list) -> pa.RecordBatch:
+        low, counts = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(low, kind="stable")
+        low, counts = low[order], counts[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        low, counts = low[first], np.add.reduceat(counts, first)
+        two = counts > 1
+        marked = np.unique(low[two] >> np.uint32(40 - BITS)).astype(np.int64)
+        hot = np.flatnonzero(counts > hot_over)
+        hot = np.sort(hot[np.argsort(-counts[hot], kind="stable")[:hot_per_bucket]])
+        cold = counts[two & (counts <= hot_over)]
+        packed = np.zeros(1 << max(BITS - bits, 0), bool)
+        packed[marked] = True
+        return pa.RecordBatch.from_arrays(
+            [pa.array([b], pa.int32()), pa.array([np.packbits(packed, bitorder="little").tobytes()], pa.binary()), pa.array([low[hot].tobytes()], pa.binary()), pa.array([counts[hot].tobytes()], pa.binary()),
+             pa.array([int(counts.sum())]), pa.array([int(cold.sum())]), pa.array([int((cold * (cold - 1)).sum())])],
+            ["bucket", "bits", "hot", "hot_counts", "total", "cold", "partners"])
+
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        now, parts = -1, []
         for batch in batches:
-            for b, k, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                held.setdefault(b, []).append((np.frombuffer(k, np.uint32), np.frombuffer(c, np.uint32)))
-        for b in list(held):
-            parts = held.pop(b)
-            low, counts = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(low, kind="stable")
-            low, counts = low[order], counts[order].astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-            low, counts = low[first], np.add.reduceat(counts, first)
-            two = counts > 1
-            bits = np.zeros(1 << SLICE_BITS, bool)
-            bits[low[two] >> np.uint32(32 - SLICE_BITS)] = True
-            hot = np.flatnonzero(counts > hot_over)
-            hot = np.sort(hot[np.argsort(-counts[hot], kind="stable")[:hot_per_bucket]])
-            cold = counts[two & (counts <= hot_over)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([low[hot].tobytes()], pa.binary()), pa.array([counts[hot].tobytes()], pa.binary()),
-                 pa.array([int(counts.sum())]), pa.array([int(cold.sum())]), pa.array([int((cold * (cold - 1)).sum())])],
-                ["bucket", "bits", "hot", "hot_counts", "total", "cold", "partners"])
+            for b, k, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if b != now and parts:
+                    yield close(now, parts)
+                    parts = []
+                now = b
+                parts.append((np.frombuffer(k.as_py(), np.uint32), np.frombuffer(c.as_py(), np.uint32)))
+        if parts:
+            yield close(now, parts)
 
     packed = df.mapInArrow(gather, "bucket int, keys binary, counts binary")
-    spread = packed.repartition(min(1 << BUCKET_BITS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bucket")
+    spread = packed.repartition(min(1 << bits, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket")
     rows = sorted(spread.mapInArrow(reduce, "bucket int, bits binary, hot binary, hot_counts binary, total long, cold long, partners long").collect(), key=lambda r: r["bucket"])
-    step = 1 << (SLICE_BITS - 3)
-    bitmap = np.zeros(step << BUCKET_BITS, np.uint8)
+    step = 1 << (BITS - bits)
+    bitmap = np.zeros(1 << (BITS - 3), np.uint8)
     hot, hot_counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for r in rows:
-        bitmap[r["bucket"] * step : (r["bucket"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
-        hot.append(np.frombuffer(r["hot"], np.uint32).astype(np.uint64) + (np.uint64(r["bucket"]) << np.uint64(32)))
+        at = r["bucket"] * step >> 3
+        bitmap[at : at + (step >> 3)] = np.frombuffer(r["bits"], np.uint8)
+        hot.append(np.frombuffer(r["hot"], np.uint32).astype(np.uint64) + (np.uint64(r["bucket"]) << np.uint64(40 - bits)))
         hot_counts.append(np.frombuffer(r["hot_counts"], np.int64))
     stats = {k: sum(r[k] for r in rows) for k in ("total", "cold", "partners")}
     return Frequencies(bitmap, np.concatenate(hot), np.concatenate(hot_counts), stats)

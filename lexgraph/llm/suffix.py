@@ -8,14 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexgraph.llm.common import _BYTE, _MULT, _STEP, Frequencies, _powers, blocks, buffers, key_frequencies, mix, with_text
-from lexgraph.session import ensure_importable, write_table
+from lexgraph.llm.common import _BYTE, _MULT, _STEP, _powers, slices, mix, with_text
+from lexgraph.session import drop_tables, ensure_importable, write_table
 
 GRAM = 20
 LONGEST = 256
 SHARD = 2 << 20
-#: Distinct stretches of one minimiser that one task may judge.
+#: Stretches of one minimiser, each once for each block of text, that one task may judge.
 MOST = 20_000
+#: Minimisers with more of them that the driver may hold.
+HOT_KEYS = 2_000_000
+#: Bits of a bitmap of minimisers, and of a slice of it.
+BITS, SLICE_BITS = 27, 19
 LANE = 512
 FAR = np.iinfo(np.int64).max
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
@@ -35,10 +39,7 @@ def stretches(texts: pa.Array, length: int) -> Iterator[tuple]:
     bytes, and for each run: row, start in the row, start in the bytes, windows,
     minimiser, hash of the run's bytes). A run has at most ``LONGEST`` windows.
     """
-    data, offsets = buffers(texts)
-    for lo, hi in blocks(offsets):
-        part = data[offsets[lo] : offsets[hi]]
-        at = offsets[lo : hi + 1] - offsets[lo]
+    for lo, hi, part, at in slices(texts):
         n = len(part)
         if n < length:
             continue
@@ -236,20 +237,64 @@ def merge_shards(shards: list[tuple[Shard, np.ndarray]]) -> None:
         shard.least[places] = best[np.searchsorted(distinct, strings)]
 
 
-def _hot_keys(texts: DataFrame, found: Frequencies, length: int) -> np.ndarray:
-    """Minimisers with more than ``MOST`` distinct stretches, among those that more than ``MOST`` documents hold."""
-    often = found.hot[found.hot_count > MOST]
-    if not len(often):
-        return np.zeros(0, np.uint64)
+class Bits:
+    """A fixed-size bitmap of 64-bit keys: false positives possible, false negatives not."""
 
-    def stretch_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, keys: DataFrame):
+        """From a column ``key``, by the low bits (minimisers have small high ones); 2**(BITS - SLICE_BITS) slices come to the driver."""
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                bit = batch.column(0).to_numpy() & ((1 << BITS) - 1)
+                for k in np.unique(bit >> SLICE_BITS).tolist():
+                    held.setdefault(k, np.zeros(1 << SLICE_BITS, bool))[bit[bit >> SLICE_BITS == k] & ((1 << SLICE_BITS) - 1)] = True
+            for k, bits in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+        part = F.shiftright("key", SLICE_BITS).bitwiseAND(F.lit((1 << (BITS - SLICE_BITS)) - 1)).cast("int")
+        rows = keys.select("key", part.alias("part")).repartition("part").select("key").mapInArrow(pack, "part int, bits binary").collect()
+        self.bitmap = np.zeros(1 << (BITS - 3), np.uint8)
+        step = 1 << (SLICE_BITS - 3)
+        for r in rows:
+            self.bitmap[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        bit = (keys & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        return (self.bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def shared_minimisers(texts: DataFrame, length: int) -> DataFrame:
+    """(key, first, tid, n) of minimisers that two documents hold.
+
+    first is their least doc_id, tid the one stretch that all hold (null: there are
+    several), n how often they stand, each stretch once for each block of text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, _, _, _, _, _, key, digest in stretches(batch.column(1), length):
-                keep = np.flatnonzero(found.count(key) > MOST)
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(digest[keep].view(np.int64))], ["key", "tid"])
+            ids = batch.column(0).fill_null(FAR).to_numpy()
+            for lo, _, _, row, _, _, _, key, digest in stretches(batch.column(1), length):
+                order = np.lexsort((digest, key))
+                key, digest, own = key[order], digest[order], ids[lo + row[order]]
+                new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                last = np.append(new[1:], len(key)) - 1
+                other = np.concatenate([[True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[new].view(np.int64)), pa.array(np.minimum.reduceat(own, new)), pa.array(np.maximum.reduceat(own, new)), pa.array(digest[new].view(np.int64)), pa.array(digest[last].view(np.int64)), pa.array(np.add.reduceat(other.astype(np.int64), new))],
+                    ["key", "first", "last", "t0", "t1", "n"])
+
+    rows = texts.mapInArrow(run, "key long, first long, last long, t0 long, t1 long, n long")
+    # t0 and t1 are the ends of the unsigned order within a block, of the signed one across blocks: equal only if there is one.
+    ends = rows.groupBy("key").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min(F.least("t0", "t1")).alias("t0"), F.max(F.greatest("t0", "t1")).alias("t1"), F.sum("n").alias("n"))
+    return ends.where("first < last").select("key", "first", F.when(F.col("t0") == F.col("t1"), F.col("t0")).alias("tid"), "n")
 
-    many = texts.mapInArrow(stretch_ids, "key long, tid long").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST)
-    return np.array([r["key"] for r in many.collect()], np.int64).view(np.uint64)
+
+def _hot_keys(shared: DataFrame) -> np.ndarray:
+    """Minimisers that stand more than ``MOST`` times with several stretches; HOT_KEYS of them at most, beyond that the limit rises."""
+    many = shared.where("tid is null")
+    most = max(MOST, (many.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    return np.array([r["key"] for r in many.where(F.col("n") > most).select("key").collect()], np.int64).view(np.uint64)
 
 
 def _hot_spans(texts: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
@@ -289,33 +334,27 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     Returns doc_id, n_bytes, n_removed, n_spans, spans (array of start and end
     bytes) and kept (binary), one row per input row.
 
-    Windows with a minimiser that one document alone holds are left out by a bitmap
-    of fixed size. The other stretches are made distinct with their least doc_id by
-    aggregation, dealt by minimiser, and cut into shards of ``SHARD`` bytes with a
-    suffix array each; a minimiser that spans shards has them merged by binary
-    search. Results then go back to all documents that hold a stretch, by a join.
-    The windows of a minimiser with more than ``MOST`` distinct stretches are not
-    judged in one task: they are dealt by their own bytes and aggregated.
+    A first pass aggregates minimisers, to find those that two documents hold, and
+    which of them have one stretch alone; that one's windows all have its least
+    document. The others' stretches are made distinct, dealt by minimiser, and cut
+    into shards of ``SHARD`` bytes with a suffix array each; a minimiser that spans
+    shards has them merged by binary search. Results then go back to all documents
+    that hold a stretch, by a join. Bitmaps of fixed size leave out most of the
+    other stretches before the exchanges; they decide no result. The windows of a
+    minimiser with more than ``MOST`` stretches are not judged in one task:
+    they are dealt by their own bytes and aggregated.
     """
     ensure_importable(docs.sparkSession)
     texts = with_text(docs).withColumn("rid", F.xxhash64("text"))
-
-    def minimisers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, _, row, _, _, _, key, _ in stretches(batch.column(1), length):
-            order = np.lexsort((key, row))
-            key, row = key[order], row[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-            yield key[new]
-
-    found = key_frequencies(texts, minimisers)
-    hot = _hot_keys(texts, found, length)
+    shared = write_table(shared_minimisers(texts, length), "minimisers")
+    held_twice, contested = Bits(shared.select("key")), Bits(shared.where("tid is null").select("key"))
+    hot = _hot_keys(shared)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(FAR).to_numpy()
             for lo, _, part, row, _, start, windows, key, digest in stretches(batch.column(1), length):
-                keep = np.flatnonzero(found.shared(key) & ~np.isin(key, hot))
+                keep = np.flatnonzero(contested.has(key) & ~np.isin(key, hot))
                 keep = keep[np.lexsort((digest[keep], key[keep]))]
                 new = np.flatnonzero(np.concatenate([[True], (key[keep[1:]] != key[keep[:-1]]) | (digest[keep[1:]] != digest[keep[:-1]])])) if len(keep) else keep
                 if not len(new):
@@ -389,17 +428,19 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, _, _, row, start, _, _, key, digest in stretches(batch.column(1), length):
-                keep = np.flatnonzero(found.shared(key) & ~np.isin(key, hot))
+            for lo, _, _, row, start, _, windows, key, digest in stretches(batch.column(1), length):
+                keep = np.flatnonzero(held_twice.has(key) & ~np.isin(key, hot))
                 rows = pa.array(lo + row[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(digest[keep].view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(start[keep])], ["key", "tid", "doc_id", "rid", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(digest[keep].view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(start[keep]), pa.array(windows[keep].astype(np.int32))], ["key", "tid", "doc_id", "rid", "start", "windows"])
 
-    held = texts.where("doc_id is not null").mapInArrow(places, "key long, tid long, doc_id long, rid long, start long")
-    spans = held.join(judged, ["key", "tid"]).where("least < doc_id")
-    spans = spans.select("doc_id", "rid", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + (length - 1)).alias("hi"))
+    held = texts.where("doc_id is not null").mapInArrow(places, "key long, tid long, doc_id long, rid long, start long, windows int")
+    alone = shared.where("tid is not null").select("key", "tid", F.col("first").alias("least"), F.lit(0).alias("lo"), F.lit(LONGEST).alias("hi"))
+    spans = held.join(judged.unionByName(alone), ["key", "tid"]).where("least < doc_id")
+    spans = spans.select("doc_id", "rid", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.least("hi", "windows") + (length - 1)).alias("hi"))
     if len(hot):
         spans = spans.unionByName(_hot_spans(texts, hot, length))
-    spans = spans.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
+    spans = write_table(spans.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("lo", "hi")).alias("found")), "spans")
+    drop_tables(shared, judged)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
