@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,8 +15,7 @@ WORDS_BROADCAST = 200_000
 
 
 def _words(text: Column) -> Column:
-    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.array_remove(F.split(lower, SPACE), "")
+    return F.array_remove(F.split(F.lower(text), SPACE), "")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -65,43 +63,47 @@ def _finished(texts: DataFrame, sums: DataFrame, total: int, alpha: float) -> Da
     return out.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_score") / F.col("n_words"))))
 
 
-def score_documents(docs: DataFrame, alpha: float = 0.4) -> DataFrame:
+def score_documents(docs: DataFrame, alpha: float = 0.4, slices: int = 2) -> DataFrame:
     """Log-probability of every whole text under the counts over all of these texts.
 
     A word w after v scores c(v w) / c(v), a text's first word c(w) / N; every pair
     is in the model, so none backs off here (score_with() scores other texts).
-    Words are runs of non-space with A-Z as a-z; n-grams stand as 64-bit hashes.
+    Words are runs of non-space in lower case; n-grams stand as 64-bit hashes.
     Returns doc_id, n_words, n_backoff (0), log_score (sum of natural logs; 0
     without words) and perplexity (null without words), one row per input row: null
     and empty texts have no words, and repeated rows count and score each.
 
     N-grams are exploded to rows and dealt by their hash once; there they are
     counted, and the counts are joined back to the rows, which are then summed by
-    text. Keys that would fill an eighth of a partition (eight for each partition at
-    most) and frequent words (WORDS_BROADCAST at most) are counted first, with
-    aggregation before the exchange, and are looked up from a broadcast.
+    text. The hashes are taken in so many ``slices``, one after another, so that
+    the disk holds the rows of one at a time. Pairs that would fill half a
+    partition (two for each partition at most) and frequent words
+    (WORDS_BROADCAST at most) are counted first, with aggregation before the
+    exchange, and are looked up from a broadcast.
     """
     spark = docs.sparkSession
     texts = _keyed(docs)
     words = write_table(exploded(texts).groupBy("word").agg(F.count("*").alias("c")), "lm-words")
     total = words.agg(F.sum("c")).first()[0] or 0
-    many = max(1000, total // (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    common = words.where(F.col("c") > many).select("word")
-    both = exploded(texts).join(F.broadcast(common), "word", "left_semi").join(F.broadcast(common.withColumnRenamed("word", "after")), "after", "left_semi")
+    many = max(1000, total // (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    common = [r["word"] for r in words.where(F.col("c") > many).select("word").collect()]
+    both = exploded(texts).where(F.col("word").isin(common) & F.col("after").isin(common))
     pairs = write_table(both.groupBy("pair").agg(F.count("*").alias("c2")).where(F.col("c2") > many), "lm-pairs")
     often = words.where(F.col("c") > total // WORDS_BROADCAST)
     rows = exploded(texts).join(F.broadcast(often), "word", "left").join(F.broadcast(pairs), "pair", "left").withColumn("weight", _weight())
     known = F.coalesce(F.col("weight") * F.ln("c"), F.lit(0.0)) + F.coalesce(F.ln("c2"), F.lit(0.0))
-    closed = rows.groupBy("rid").agg(F.sum(known).alias("value"), F.count("*").alias("words"), F.count_if(F.col("pos") == 0).alias("copies"))
+    none = F.lit(0).cast("long").alias("backoff")
+    sums = rows.groupBy("rid").agg(F.sum(known).alias("value"), F.count("*").alias("words"), F.count_if(F.col("pos") == 0).alias("copies")).withColumn("backoff", none)
     terms = F.array(
         F.when(F.col("c2").isNull(), F.struct(F.col("pair").alias("key"), F.lit(1).alias("weight"))),
         F.when(F.col("c").isNull(), F.struct(F.col("word").alias("key"), F.col("weight"))))
-    dealt = rows.select("rid", F.explode(terms).alias("t")).select("t.key", "rid", "t.weight").where("key is not null").repartition("key")
-    # The least rid and weight are of no use but that both sides of the join then read one exchange.
-    counts = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("r"), F.min("weight").alias("w")).where("n > 1 and r is not null and w is not null").select("key", "n")
-    opened = dealt.join(counts, "key").groupBy("rid").agg(F.sum(F.col("weight") * F.ln("n")).alias("value"))
-    none = F.lit(0).cast("long")
-    sums = closed.withColumn("backoff", none).unionByName(opened.select("rid", "value", none.alias("words"), none.alias("copies"), none.alias("backoff")))
+    opened = rows.select("rid", F.explode(terms).alias("t")).select("t.key", "rid", "t.weight").where("key is not null")
+    for k in range(slices):
+        dealt = opened.where(F.pmod("key", F.lit(slices)) == k).repartition("key")
+        # The least rid and weight are of no use but that both sides of the join then read one exchange.
+        counts = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("r"), F.min("weight").alias("w")).where("n > 1 and r is not null and w is not null").select("key", "n")
+        found = write_table(dealt.join(counts, "key").groupBy("rid").agg(F.sum(F.col("weight") * F.ln("n")).alias("value")), "lm-sums")
+        sums = sums.unionByName(found.select("rid", "value", *(F.lit(0).cast("long").alias(c) for c in ("words", "copies", "backoff"))))
     return _finished(texts, sums, total, alpha)
 
 

@@ -75,7 +75,7 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, g AS payload_digest,
        CASE WHEN n >= 100 AND page_id > f THEN f END AS refers_to
 FROM m""",
     "op8_lm_scoring": r"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
      t AS (SELECT doc_id, unnest(w) AS b, unnest(list_prepend(NULL, w[:-2])) AS a FROM d),
      one AS (SELECT b AS w, count(*) AS c FROM t GROUP BY 1),
      two AS (SELECT a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY 1, 2),
