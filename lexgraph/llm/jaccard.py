@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lexgraph.llm.common import Frequencies, digest128, hashed_words, key_frequencies, mix, shingles, with_text
 from lexgraph.operators.components import connected_components
-from lexgraph.session import ensure_importable, write_table
+from lexgraph.session import drop_tables, ensure_importable, write_table
 
 LARGEST_BOUNDARY = 256
 LEADERS = 64
 PARITY_BITS = 1024
-BROADCAST_ROWS = 500_000
-FLUSH = 1_000_000
+#: Rows of at most 64 bytes that may be broadcast.
+BROADCAST_ROWS = 200_000
+#: Leaders of a round: as many as Spark picks before the exchange, so that a common key is not ranked in one task.
+MOST_LEADERS = 1000
 SIZE_MASK = (1 << 32) - 1
 
 
@@ -87,15 +89,12 @@ def candidate_keys(texts: DataFrame, found: Frequencies, width: int, num: int, d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, keys, at in _document_sets(batch, width):
-                own_sid = batch.column(2).slice(lo, hi - lo).to_pylist()
                 counts, shared = found.count(keys), found.shared(keys)
                 row = np.repeat(np.arange(hi - lo), np.diff(at))
                 order = np.lexsort((keys, counts, row))
                 keys, shared = keys[order], shared[order]
                 out_keys, out_row, out_place = [], [], []
-                for r, sid in enumerate(digest128(keys, at)):
-                    if sid != own_sid[r]:
-                        continue
+                for r in range(hi - lo):
                     n = int(at[r + 1] - at[r])
                     t = -(-num * n // den)
                     own, ok = keys[at[r] : at[r + 1]], shared[at[r] : at[r + 1]]
@@ -124,23 +123,35 @@ def _narrow(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, how)
 
 
-def _texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """doc_id, text, sid, sno of the documents chosen to stand for sets."""
-    return _narrow(with_text(docs), chosen, "doc_id", "inner").select("doc_id", "text", "sid", "sno")
+def _texts_of(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
+    """doc_id, text, sid, sno: one text for each set, that of the document chosen to stand for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sids = batch.column(2).to_pylist()
+            for lo, hi, keys, at in _document_sets(batch, width):
+                yield batch.slice(lo, hi - lo).filter(pa.array([a == b for a, b in zip(digest128(keys, at), sids[lo:hi])], pa.bool_()))
+
+    rows = _narrow(with_text(docs), chosen, "doc_id", "inner").select("doc_id", "text", "sid", "sno")
+    # Only rows that share a doc_id can have another set than the chosen one, or repeat it.
+    return rows.mapInArrow(run, "doc_id long, text string, sid binary, sno long").dropDuplicates(["sno"]) if _repeats(docs) else rows
+
+
+def _repeats(docs: DataFrame) -> bool:
+    """Whether any doc_id stands twice."""
+    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def _elements(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """(sno, elements): the elements of each chosen set, from the document that stands for it."""
+def _elements(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(sno, elements): the elements of each wanted set, from the text that stands for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, keys, at in _document_sets(batch, width):
-                sids, own = batch.column(2).slice(lo, hi - lo).to_pylist(), batch.column(3).slice(lo, hi - lo)
-                same = pa.array([a == b for a, b in zip(digest128(keys, at), sids)], pa.bool_())
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([own, lists], ["sno", "elements"]).filter(same)
+                yield pa.RecordBatch.from_arrays([batch.column(3).slice(lo, hi - lo), lists], ["sno", "elements"])
 
-    return _texts_of(docs, chosen).mapInArrow(run, "sno long, elements array<long>").dropDuplicates(["sno"])
+    return _narrow(texts, wanted, "sno", "left_semi").select("doc_id", "text", "sid", "sno").mapInArrow(run, "sno long, elements array<long>")
 
 
 def _likely(pairs: DataFrame, parities: DataFrame, num: int, den: int) -> DataFrame:
@@ -163,17 +174,18 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("sno")).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, numbered: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) with den * intersection >= num * union."""
+def _verified(pairs: DataFrame, texts: DataFrame, numbered: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) with den * intersection >= num * union, as a written table."""
     wanted = write_table(_ends(pairs), "jaccard-ends")
     likely = write_table(_likely(pairs, _narrow(numbered.select("sno", "n", "parity"), wanted, "sno", "left_semi"), num, den), "jaccard-likely")
-    wanted = write_table(_ends(likely), "jaccard-ends")
-    chosen = write_table(_narrow(numbered.select("doc_id", "sid", "sno"), wanted, "sno", "left_semi"), "jaccard-chosen")
-    elements = write_table(_elements(docs, chosen, width), "jaccard-elements")
+    asked = write_table(_ends(likely), "jaccard-ends")
+    elements = write_table(_elements(texts, asked, width), "jaccard-elements")
     left = elements.select(F.col("sno").alias("a"), F.col("elements").alias("x"))
     right = elements.select(F.col("sno").alias("b"), F.col("elements").alias("y"))
     same = F.size(F.array_intersect("x", "y"))
-    return likely.join(right, "b").join(left, "a").where(den * same >= num * (F.size("x") + F.size("y") - same)).select("a", "b")
+    links = write_table(likely.join(right, "b").join(left, "a").where(den * same >= num * (F.size("x") + F.size("y") - same)).select("a", "b"), "jaccard-links")
+    drop_tables(wanted, likely, asked, elements)
+    return links
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -191,8 +203,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     components go on: ``LEADERS`` of their sets are compared with all others of the
     key, where sizes and places allow a link, and are then done; four times as many
     follow in each further round on what is left, until nothing is. So a group of
-    copies costs about one comparison for each, no group's pairs are all emitted,
-    each round is smaller than the one before, and no link is lost.
+    copies costs about one comparison for each, each round is smaller than the one
+    before, and no link is lost. The sets of a key that never link are all compared
+    in the end, as far as sizes and places allow; leaders are picked before the
+    exchange and joined to the others, so no key is one task.
     """
     ensure_importable(docs.sparkSession)
     nameless = document_sets(docs.where("doc_id is null"), width).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
@@ -200,17 +214,18 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     sets = write_table(document_sets(docs, width), "jaccard-sets")
     distinct = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("parity").alias("parity"))
     numbered = write_table(distinct.withColumn("sno", F.monotonically_increasing_id()), "jaccard-numbered")
-    texts = _texts_of(docs, numbered.select("doc_id", "sid", "sno"))
+    texts = write_table(_texts_of(docs, numbered.select("doc_id", "sid", "sno"), width), "jaccard-texts")
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, keys, _ in _document_sets(batch, width):
             yield keys
 
-    found = key_frequencies(texts.select("doc_id", "text"), keys_of, flush=FLUSH)
+    found = key_frequencies(texts.select("doc_id", "text"), keys_of, numbered.agg(F.sum("n")).first()[0] or 0)
     boundary = cost_boundary(found, num / den)
     keys = write_table(candidate_keys(texts, found, width, num, den, boundary), "jaccard-keys")
     heads = keys.groupBy("key").agg(F.min("place").alias("top"), F.min_by("sno", "place").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
     lists = write_table(keys.join(heads, "key"), "jaccard-lists")
+    drop_tables(keys)
 
     def fits(x: str, y: str) -> Column:
         n, m = F.col(x).bitwiseAND(SIZE_MASK), F.col(y).bitwiseAND(SIZE_MASK)
@@ -221,26 +236,31 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
         return pairs.select(F.least("a", "sno").alias("a"), F.greatest("a", "sno").alias("b")).distinct()
 
     tested = write_table(ordered(lists.where((F.col("sno") != F.col("a")) & fits("place", "top"))), "jaccard-pairs")
-    links = write_table(_verified(tested, docs, numbered, width, num, den), "jaccard-links")
+    links = _verified(tested, texts, numbered, width, num, den)
     roots = write_table(connected_components(links), "jaccard-roots")
     open_, step = lists.select("key", "place", "sno"), LEADERS
     while True:
         now = _narrow(open_, roots.withColumnRenamed("node", "sno"), "sno", "left").withColumn("root", F.coalesce("root", "sno"))
         apart = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-        ranked = now.join(apart, "key").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("place", "sno")))
-        ranked = write_table(ranked, "jaccard-apart")
-        if ranked.isEmpty():
+        left = write_table(now.join(apart, "key"), "jaccard-apart")
+        if left.isEmpty():
             break
-        lead = ranked.where(F.col("rank") <= step).select("key", F.col("sno").alias("a"), F.col("place").alias("top"), F.col("root").alias("ra"), F.col("rank").alias("k"))
-        more = ordered(ranked.join(lead, "key").where((F.col("rank") > F.col("k")) & (F.col("root") != F.col("ra")) & fits("place", "top")))
+        ranked = left.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("place", "sno"))).where(F.col("rank") <= step)
+        lead = write_table(ranked.select("key", F.col("sno").alias("a"), F.col("place").alias("top"), F.col("root").alias("ra")), "jaccard-leaders")
+        after = (F.col("place") > F.col("top")) | ((F.col("place") == F.col("top")) & (F.col("sno") > F.col("a")))
+        more = ordered(left.join(lead, "key").where(after & (F.col("root") != F.col("ra")) & fits("place", "top")))
         more = write_table(more.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
         if not more.isEmpty():
-            fresh = write_table(_verified(more, docs, numbered, width, num, den), "jaccard-links")
+            fresh = _verified(more, texts, numbered, width, num, den)
             tested = tested.unionByName(more)
             if not fresh.isEmpty():
                 links = links.unionByName(fresh)
-                roots = write_table(connected_components(links), "jaccard-roots")
-        open_, step = ranked.where(F.col("rank") > step).select("key", "place", "sno"), step * 4
+                old, roots = roots, write_table(connected_components(links), "jaccard-roots")
+                drop_tables(old)
+        open_ = write_table(left.join(lead.select("key", F.col("a").alias("sno")), ["key", "sno"], "left_anti").select("key", "place", "sno"), "jaccard-lists")
+        drop_tables(left, lead)
+        step = min(step * 4, MOST_LEADERS)
+    drop_tables(texts, lists)
     members = numbered.select("sid", "sno").join(roots.withColumnRenamed("node", "sno"), "sno").select("sid", "root")
     labelled = sets.drop("parity").join(members, "sid", "left")
     least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("by_links"))
