@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,21 +16,64 @@ from lexgraph.session import ensure_importable
 
 #: Phrases whose words stand consecutively, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Short notices (normalised words) and their labels, for the fuzzy search.
+#: Notices of common licences as they stand in texts (normalised words), long and short, and their labels.
 NOTICES = {
     "released under the mit license": "mit",
+    "licensed under the mit license": "mit",
+    "distributed under the mit license": "mit",
+    "spdx license identifier mit": "mit",
+    "permission is hereby granted free of charge to any person": "mit",
+    "the above copyright notice and this permission notice shall be included": "mit",
     "licensed under the apache license version 2 0": "apache-2",
-    "licensed under cc by nc 4 0": "cc-by-nc",
+    "apache software license version 2 0": "apache-2",
+    "spdx license identifier apache 2 0": "apache-2",
+    "you may not use this file except in compliance with the license": "apache-2",
+    "redistribution and use in source and binary forms": "bsd",
+    "licensed under the bsd license": "bsd",
+    "licensed under the 3 clause bsd license": "bsd",
+    "licensed under the 2 clause bsd license": "bsd",
+    "permission to use copy modify and or distribute this software": "isc",
+    "licensed under the isc license": "isc",
     "licensed under the gnu general public license": "gpl",
+    "under the terms of the gnu general public license": "gpl",
+    "released under the gpl": "gpl",
+    "licensed under the gplv2": "gpl",
+    "licensed under the gplv3": "gpl",
     "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
     "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
     "mozilla public license version 2 0": "mpl-2",
-    "redistribution and use in source and binary forms": "bsd",
-    "permission is hereby granted free of charge to any person": "mit",
-    "permission to use copy modify and or distribute this software": "isc",
-    "creative commons attribution share alike": "cc-by-sa",
+    "subject to the terms of the mozilla public license": "mpl",
+    "eclipse public license version 2 0": "epl",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "boost software license version 1 0": "boost",
+    "the artistic license 2 0": "artistic",
+    "licensed under the wtfpl": "wtfpl",
+    "licensed under the zlib license": "zlib",
     "this is free and unencumbered software released into the public domain": "unlicense",
+    "dedicated to the public domain": "public-domain",
+    "this work is in the public domain": "public-domain",
+    "creative commons zero v1 0 universal": "cc0",
+    "cc0 1 0 universal": "cc0",
+    "licensed under cc by nc 4 0": "cc-by-nc",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution non commercial": "cc-by-nc",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa",
+    "licensed under cc by nc nd 4 0": "cc-by-nc-nd",
+    "licensed under cc by sa 4 0": "cc-by-sa",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution share alike": "cc-by-sa",
+    "licensed under cc by nd 4 0": "cc-by-nd",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "licensed under cc by 4 0": "cc-by",
+    "creative commons attribution 4 0 international": "cc-by",
+    "open data commons open database license": "odbl",
+    "sil open font license version 1 1": "ofl",
     "all rights reserved": "all-rights-reserved",
+    "reproduction without permission is prohibited": "all-rights-reserved",
+    "no part of this publication may be reproduced": "all-rights-reserved",
 }
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 10
@@ -63,12 +108,36 @@ def _places(hay: bytes, needle: bytes) -> Iterator[int]:
         at = hay.find(needle, at + 1)
 
 
-def scan(text: str, notices: tuple[tuple[str, str], ...] = tuple(NOTICES.items()), per_edit: int = CHARS_PER_EDIT) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int, int]]]:
-    """(words, base places as (label, word), fuzzy spans as (label, first word, end word, edits)) of one whole text."""
+def _best(pattern: regex.Pattern, line: bytes, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, edits) of the best match within lo and hi, and then of those on both sides of it."""
+    todo = [(lo, hi)]
+    while todo:
+        lo, hi = todo.pop()
+        while lo < hi and (m := pattern.search(line, lo, hi)):
+            a, b = m.span()
+            if b < len(line) and line[b : b + 1] != b" ":  # the window's end is no word's end
+                hi = b - 1
+                continue
+            if line[a:b].strip():
+                yield a, b, sum(m.fuzzy_counts)
+            todo.append((lo, a))
+            lo = max(b, a + 1)
+
+
+def scan(text: str, notices: tuple[tuple[str, str], ...] = tuple(NOTICES.items()), per_edit: int = CHARS_PER_EDIT) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int, int, float]]]:
+    """(words, base places as (label, word), fuzzy spans as (label, first word, end word, edits, score)) of one whole text."""
     words = text.encode(errors="surrogatepass").translate(_TABLE).split()
     line = b" " + b" ".join(words) + b" "
-    base = [(label, line.count(b" ", 0, at)) for phrase, label in BASE.items() for at in _places(line, b" " + phrase.encode() + b" ")]
-    spans = []
+    base, spans, starts = [], [], []
+
+    def word_at(at: int) -> int:
+        """The number of the word that starts at or holds ``at``."""
+        if not starts:
+            starts.extend(itertools.accumulate((len(w) + 1 for w in words), initial=1))
+        return bisect.bisect_right(starts, at) - 1
+
+    for phrase, label in BASE.items():
+        base += [(label, word_at(at + 1)) for at in _places(line, b" " + phrase.encode() + b" ")]
     for raw, label, edits, pattern, pieces in _plan(notices, per_edit):
         windows: list[list[int]] = []
         for lo, hi in sorted((max(0, at - off - edits - 1), min(len(line), at - off + len(raw) + edits + 1)) for off, piece in pieces for at in _places(line, piece)):
@@ -77,14 +146,10 @@ def scan(text: str, notices: tuple[tuple[str, str], ...] = tuple(NOTICES.items()
             else:
                 windows.append([lo, hi])
         for lo, hi in windows:
-            at = lo
-            while at < hi and (m := pattern.search(line, at, hi)):
-                a, b = m.span()
+            for a, b, used in _best(pattern, line, lo, hi):
                 found = line[a:b].strip()
-                if found:
-                    first = line.count(b" ", 0, a + (line[a : a + 1] == b" ")) - 1
-                    spans.append((label, first, first + found.count(b" ") + 1, sum(m.fuzzy_counts)))
-                at = max(b, at + 1)
+                first = word_at(a + (line[a : a + 1] == b" "))
+                spans.append((label, first, first + found.count(b" ") + 1, used, 1 - used / len(raw)))
     return len(words), base, spans
 
 
@@ -94,15 +159,14 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, per_ed
     Returns doc_id, n_words, n_base (places of the base phrases), first_word and
     last_word (their least and greatest start; null without any), base_labels and
     labels (distinct, sorted, comma-joined; labels holds the base ones too), score
-    (1 for an exact find, else 1 minus the best span's edits per character, 0
-    without a find) and spans (label, first_word, end_word, edits). Null and empty
-    texts have no words and empty labels.
+    (1 for a base phrase, else the best of 1 - edits / characters of the notice found, 0
+    without a find) and spans (label, first_word, end_word, edits) of the fuzzy
+    search, in order of place. Where finds of one notice overlap, the one with the
+    fewest edits stays, then the first. Null and empty texts have no words and empty
+    labels; repeated rows and null ids give a row each.
     """
     ensure_importable(docs.sparkSession)
     listed = tuple((notices or NOTICES).items())
-    lengths: dict[str, int] = {}
-    for notice, label in listed:
-        lengths[label] = max(lengths.get(label, 0), len(notice))
     span = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int32())])
     fields = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
 
@@ -113,8 +177,8 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, per_ed
                 n, base, spans = scan(value.as_py() or "", listed, per_edit)
                 starts = [w for _, w in base]
                 own = {x for x, _ in base}
-                score = 1.0 if base else max((1 - s[3] / lengths[s[0]] for s in spans), default=0.0)
-                rows.append((doc_id, n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(own | {s[0] for s in spans})), score, [dict(zip(("label", "first_word", "end_word", "edits"), s)) for s in sorted(set(spans), key=lambda s: (s[1], s[2], s[0]))]))
+                score = 1.0 if base else max((s[4] for s in spans), default=0.0)
+                rows.append((doc_id, n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(own | {s[0] for s in spans})), score, [dict(zip(("label", "first_word", "end_word", "edits"), s)) for s in sorted({s[:4] for s in spans}, key=lambda s: (s[1], s[2], s[0], s[3]))]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)] if rows else [pa.array([], f.type) for f in fields], schema=fields)
 
     return with_text(docs).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,end_word:long,edits:int>>")
