@@ -1,11 +1,16 @@
-"""Removal of boilerplate lines that many distinct sites share."""
+"""Removal of boilerplate lines that many distinct sites share, with DataFrame operations only."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexgraph.session import write_table
+
 LG_K = 12
 WORD = r"[^\x20\x09-\x0D]"
+#: Keys of 16 bytes that may be broadcast.
+BROADCAST_ROWS = 200_000
+KEY = ["k0", "k1"]
 
 
 def _lines(text: Column) -> Column:
@@ -13,61 +18,79 @@ def _lines(text: Column) -> Column:
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, site, pos, key) of every line that has a word."""
-    rows = docs.select("doc_id", "rid", "site", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    return rows.where(F.col("line").rlike(WORD)).select("doc_id", "rid", "site", "pos", F.xxhash64("line").alias("key"))
+    """(id, rid, site, pos, k0, k1) of every line that has a word; two hashes stand for the line."""
+    rows = docs.select("id", "rid", "site", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).where(F.col("line").rlike(WORD))
+    return rows.select("id", "rid", "site", "pos", F.xxhash64("line").alias("k0"), F.xxhash64(F.lit(1), "line").alias("k1"))
+
+
+def _with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` whose line is among a written table of keys, broadcast only within BROADCAST_ROWS."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, KEY, "left_semi")
 
 
 def boilerplate_keys(rows: DataFrame, min_sites: int) -> DataFrame:
-    """Keys of lines that stand on at least ``min_sites`` distinct sites.
+    """Keys of lines that stand on at least ``min_sites`` distinct sites, as a written table.
 
     One HyperLogLog sketch of sites for each line, merged by aggregation. Lines
     whose estimate lies within a tenth of the threshold, and one site at least,
     are counted exactly; the estimate decides the others.
     """
     slack = max(1.0, 0.1 * min_sites)
-    spread = rows.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites")).where(F.col("sites") >= min_sites - slack)
-    sure = spread.where(F.col("sites") > min_sites + slack).select("key")
-    near = spread.where(F.col("sites") <= min_sites + slack).select("key")
-    exact = rows.join(near, "key").groupBy("key", "site").agg(F.lit(1).alias("one")).where("site is not null").groupBy("key").agg(F.count("*").alias("sites"))
-    return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("key"))
-
-
-def _judged(docs: DataFrame, site: str, min_sites: int, most: float | None) -> DataFrame:
-    """``docs`` with n_lines__, n_removed__ and kept__ beside its own columns."""
-    own = docs.withColumn("rid__", F.xxhash64("text")).withColumn("id__", F.col("doc_id").cast("long"))
-    rows = _line_rows(own.select(F.col("id__").alias("doc_id"), F.col("rid__").alias("rid"), F.col(site).cast("string").alias("site"), F.col("text").cast("string").alias("text")))
-    marked = rows.join(boilerplate_keys(rows, min_sites), "key").where("doc_id is not null").groupBy(F.col("doc_id").alias("id__"), F.col("rid").alias("rid__")).agg(F.collect_set("pos").alias("marked__"))
-    split = own.join(marked, ["id__", "rid__"], "left").withColumn("lines__", _lines(F.col("text")))
-    size = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.char_length(x))
-    gone = F.filter("lines__", lambda _, i: F.array_contains("marked__", i))
-    own_lines = F.filter("lines__", lambda _, i: ~F.array_contains("marked__", i))
-    kept = F.array_join(own_lines, "\n")
-    take = F.col("marked__").isNotNull() & (F.exists(own_lines, lambda x: x.rlike(WORD)) if most is None else size(gone) <= most * size(F.col("lines__")))
-    return split.select(
-        *docs.columns,
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines__")).cast("long").alias("n_lines__"),
-        F.when(take, F.size("marked__")).otherwise(0).cast("long").alias("n_removed__"),
-        F.when(take, kept).otherwise(F.coalesce("text", F.lit(""))).alias("kept__"))
-
-
-def clean_documents(docs: DataFrame, site: str = "source", min_sites: int = 8, most: float | None = None) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of text and n_chars counted anew; all rows and columns stay."""
-    found = _judged(docs, site, min_sites, most)
-    new = {"text": F.when(F.col("n_removed__") > 0, F.col("kept__")).otherwise(F.col("text")), "n_chars": F.when(F.col("n_removed__") > 0, F.char_length("kept__")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)}
-    return found.select(*(new[c].alias(c) if c in new else c for c in docs.columns))
-
-
-def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 8, most: float | None = None) -> DataFrame:
+    spread = rows.groupBy(KEY).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites")).where(F.col("sites") >= min_sites - slack)
+    spread = write_table(spread, "lines-spread")
+    near = write_table(spread.where(F.col("sites") <= min_sites + slack).select(KEY), "lines-near")
+    sites = _with_keys(rows.where("site is not null"), near).groupBy(*KEY, "site").agg(F.lit(1).alias("one"))
+    exact = sites.groupBy(KEY).agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    return write_table(spread.where(F.col("sites") > min_sites + slack).select(KEY).unionByName(exact.select(KEY)), "lines-boilerplate")
+
+
+def _flags(marked: Column, n: Column) -> Column:
+    """An array of n booleans, true at the marked places (sorted); in time linear in n."""
+    gap = lambda p, j: F.concat(F.array_repeat(F.lit(False), (p - F.coalesce(F.when(j > 0, F.get(marked, j - 1)), F.lit(-1)) - 1).cast("int")), F.array(F.lit(True)))
+    rest = F.array_repeat(F.lit(False), (n - 1 - F.element_at(marked, -1)).cast("int"))
+    return F.flatten(F.concat(F.transform(marked, gap), F.array(rest)))
+
+
+def _judged(docs: DataFrame, site: str, min_sites: int) -> DataFrame:
+    """(row, lines, n_removed, kept): each row of ``docs`` as a struct, its lines, how many are spread, and the others (null: as lines)."""
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    own = own.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64("row.text").alias("rid"), F.col("row.text").cast("string").alias("text"), F.col("row").getField(site).cast("string").alias("site"))
+    rows = _line_rows(own.select("id", "rid", "site", "text"))
+    marked = _with_keys(rows, boilerplate_keys(rows, min_sites)).groupBy("id", "rid").agg(F.sort_array(F.collect_set("pos")).alias("marked"))
+    split = own.join(marked, ["id", "rid"], "left").withColumn("lines", _lines(F.col("text")))
+    split = split.withColumn("flags", F.when(F.col("marked").isNotNull(), _flags(F.col("marked"), F.size("lines"))))
+    kept = F.when(F.col("flags").isNotNull(), F.filter("lines", lambda _, i: ~F.get("flags", i)))
+    return split.select("row", "lines", F.coalesce(F.when(F.col("marked").isNotNull(), F.size("marked")), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
+
+
+def clean_documents(docs: DataFrame, site: str = "source", min_sites: int = 8) -> DataFrame:
+    """``docs`` with spread lines taken out of text, and n_chars, where there is one, counted anew.
+
+    All rows and columns stay, whatever their names. A document without a word of
+    its own besides spread lines is a copy of a spread text: it keeps its text, for
+    near-duplicate operators to judge. Else as dedup_lines().
+    """
+    found = _judged(docs, site, min_sites).withColumn("take", F.exists("kept", lambda x: x.rlike(WORD)))
+    text = F.array_join("kept", "\n")
+    out = []
+    for f in docs.schema.fields:
+        old = F.col("row").getField(f.name)
+        new = {"text": text, "n_chars": F.char_length(text)}.get(f.name)
+        out.append((old if new is None else F.when(F.col("take"), new.cast(f.dataType)).otherwise(old)).alias(f.name))
+    return found.select(*out)
+
+
+def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 8) -> DataFrame:
     """Remove from every text the lines that stand on at least ``min_sites`` distinct sites.
 
-    A document without a word of its own besides such lines is a copy of a spread
-    text: it is left whole, for near-duplicate operators to judge. With ``most``,
-    so is every document that would lose more than that share of its lines'
-    characters. Returns doc_id, n_lines, n_removed and
-    kept_text, one row per input row. Lines are split at \\n and compared exactly;
-    lines without a word are never removed. A null text has no lines and an empty
-    kept_text; an empty one has one line. A null site adds to no spread.
+    Returns doc_id, n_lines, n_removed and kept_text, one row per input row. Lines
+    are split at \\n and compared by 128 bits of hashes; lines without a word are
+    never removed. A null text has no lines and an empty kept_text; an empty one has
+    one line. A null site adds to no spread. Rows without a doc_id are treated alike;
+    repeated rows give repeated results.
     """
-    found = _judged(docs.select("doc_id", "text", site), site, min_sites, most)
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_lines__").alias("n_lines"), F.col("n_removed__").alias("n_removed"), F.col("kept__").alias("kept_text"))
+    found = _judged(docs.select("doc_id", "text", site), site, min_sites)
+    text = F.col("row.text").cast("string")
+    return found.select(
+        F.col("row.doc_id").cast("long").alias("doc_id"), F.when(text.isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), "n_removed",
+        F.coalesce(F.array_join("kept", "\n"), text, F.lit("")).alias("kept_text"))

@@ -28,7 +28,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    """``spans`` as text: label:first_word-end_word:edits, joined by commas."""
+    found = license.scan_licenses(table(spark, sf_dir, "documents"))
+    text = F.transform("spans", lambda s: F.concat(s["label"], F.lit(":"), s["first_word"].cast("string"), F.lit("-"), s["end_word"].cast("string"), F.lit(":"), s["edits"].cast("string")))
+    return found.withColumn("spans", F.array_join(text, ","))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,17 +56,12 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def op10_line_dedup(spark: SparkSession, sf_dir: str, most: float | None = 0.5) -> DataFrame:
-    found = linededup.dedup_lines(table(spark, sf_dir, "documents"), most=most)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-def op10_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spares only documents without a word of their own, not all that would lose over half of their text."""
-    return op10_line_dedup(spark, sf_dir, most=None)
-
-
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_warc, op4_license_scans, op5_decontamination, op6_bpe, op7_jaccard_join, op8_lm_scoring, op9_suffix_dedup, op10_line_dedup, op10_line_dedup_whole)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_warc, op4_license_scans, op5_decontamination, op6_bpe, op7_jaccard_join, op8_lm_scoring, op9_suffix_dedup, op10_line_dedup)}
 
 ORACLES = {
     "op3_warc": """
@@ -88,10 +86,7 @@ FROM d LEFT JOIN s USING (doc_id)""",
 WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
      b AS (SELECT line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 8),
      m AS (SELECT l.*, b.line IS NOT NULL AS gone FROM l LEFT JOIN b ON l.line = b.line),
-     d AS (SELECT doc_id, any_value(text) AS text, count(*) AS n_lines, count_if(gone) AS n, sum(CASE WHEN gone THEN length(line) ELSE 0 END) AS g, sum(length(line)) AS t,
-                  coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
-SELECT doc_id, n_lines, CAST(CASE WHEN n > 0 AND g <= 0.5 * t THEN n ELSE 0 END AS BIGINT) AS n_removed,
-       sha256(CASE WHEN n > 0 AND g <= 0.5 * t THEN kept ELSE text END) AS kept_sha256
+     d AS (SELECT doc_id, any_value(text) AS text, count(*) AS n_lines, count_if(gone) AS n, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT doc_id, n_lines, CAST(n AS BIGINT) AS n_removed, sha256(CASE WHEN n > 0 THEN kept ELSE text END) AS kept_sha256
 FROM d""",
 }
-ORACLES["op10_line_dedup_whole"] = ORACLES["op10_line_dedup"].replace("count_if(gone) AS n,", r"count_if(gone) AS n, count_if(NOT gone AND regexp_matches(line, '[^\x20\x09-\x0D]')) AS own,").replace("g <= 0.5 * t", "own > 0")
