@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lexgraph.session import write_table
+from lexgraph.session import drop_tables, write_table
 
 
 def _with_min(edges: DataFrame) -> DataFrame:
@@ -26,9 +26,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return kept.unionAll(heads).where("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
-    return row["n"], row["h"]
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge, down to a node that has none of its own: nothing will change any more."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    return ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -42,17 +43,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     now = write_table(now, "cc")
-    before = _state(now)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        now = write_table(_small_star(_large_star(now)), "cc")
-        after = _state(now)
-        if after == before:
-            break
-        before = after
+    down = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    if _is_forest_of_stars(down):
+        now = write_table(down, "cc")
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        for _ in range(max_rounds):
+            old, now = now, write_table(_small_star(_large_star(now)), "cc")
+            drop_tables(old)
+            if _is_forest_of_stars(now):
+                break
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
 

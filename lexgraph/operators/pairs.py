@@ -25,6 +25,26 @@ def two_phase_counts(sents: DataFrame, compartments: int, window: int = 2, self_
     return part.groupBy("wa", "wb").agg(F.sum("c").alias("count"), F.count("*").alias("compartments"))
 
 
+def count_given(asked: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """(*keys, count): one more for each row of a given list, added to ``counts`` where there are some.
+
+    For pairs the keys are wa and wb, whose order in the list does not matter; for
+    sections word and disjunct. Keys of ``counts`` that the list lacks stay.
+    """
+    rows = asked.select(*keys)
+    if keys == ["wa", "wb"]:
+        rows = rows.select(F.least("wa", "wb").alias("wa"), F.greatest("wa", "wb").alias("wb"))
+    rows = rows.withColumn("count", F.lit(1).cast("long"))
+    if counts is not None:
+        rows = rows.unionByName(counts.select(*keys, "count"))
+    return rows.groupBy(*keys).agg(F.sum("count").alias("count"))
+
+
+def pair_totals(pairs: DataFrame) -> DataFrame:
+    """One row: distinct pairs, pair events, and the sum of all marginals, twice the events."""
+    return pairs.agg(F.count("*").alias("n_pairs"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_events"), F.coalesce(2 * F.sum("count"), F.lit(0)).alias("marginal_sum"))
+
+
 def marginals(pairs: DataFrame) -> DataFrame:
     """(word, marginal): pair events of each word; a self-pair counts twice."""
     return pairs.select(F.explode(F.array("wa", "wb")).alias("word"), "count").groupBy("word").agg(F.sum("count").alias("marginal"))
@@ -36,7 +56,8 @@ def merge_counts(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.groupBy("wa", "wb").agg(F.sum("count").alias("count"), F.max("d").alias("dirty"))
 
 
-def pool_stats(sents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row: distinct words, distinct pairs, and pair events."""
+def pool_stats(sents: DataFrame, pairs: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """One row: distinct words, distinct pairs, pair events and, if given, sections."""
     words = sents.select(F.explode("words").alias("w")).agg(F.countDistinct("w").alias("n_words"))
-    return words.crossJoin(pairs.agg(F.count("*").alias("n_pairs"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_events")))
+    out = words.crossJoin(pairs.agg(F.count("*").alias("n_pairs"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_events")))
+    return out if sections is None else out.crossJoin(sections.agg(F.count("*").alias("n_sections")))

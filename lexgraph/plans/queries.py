@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 TOK_B = "tok AS (SELECT l_orderkey AS s, l_partkey AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS p FROM lineitem)"
 TOK_E = "tok AS (SELECT user_id AS s, event_type AS w, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)"
 SENT = r"""cut AS (SELECT doc_id, lang, unnest(string_split_regex(text, '[.!?\n]')) AS s, generate_subscripts(string_split_regex(text, '[.!?\n]'), 1) - 1 AS no FROM documents),
-sent AS (SELECT (doc_id << 32) + no AS s, lang, list_transform(list_filter(string_split_regex(s, '[^A-Za-z'']+'), lambda x: x <> ''), lambda x: lower(x[1:63]))[1:64] AS words FROM cut),
+sent AS (SELECT (doc_id << 32) + no AS s, lang, list_transform(list_filter(string_split_regex(s, '[^A-Za-z'']+'), lambda x: x <> ''), lambda x: lower(x)) AS words FROM cut),
 ok AS (SELECT * FROM sent WHERE len(words) >= 2)"""
 TOK_D = SENT + ", tok AS (SELECT s, lang, unnest(words) AS w, generate_subscripts(words, 1) AS p FROM ok)"
 
@@ -60,17 +60,8 @@ def _baskets(spark, d):
     return sequences.baskets(table(spark, d, "lineitem"))
 
 
-def _cut_sents(docs, whole):
-    cuts = {} if whole else {"max_words": sequences.MAX_WORDS, "max_chars": sequences.MAX_CHARS}
-    return sequences.sentences(docs, **cuts)
-
-
-def _doc_sents(spark, d, whole=False):
-    return _cut_sents(table(spark, d, "documents"), whole)
-
-
-def _vocabulary(sents, whole):
-    return sequences.vocabulary(sents, None if whole else sequences.MAX_VOCABULARY)
+def _doc_sents(spark, d):
+    return sequences.sentences(table(spark, d, "documents"))
 
 
 def _mi_baskets(spark, d):
@@ -89,26 +80,34 @@ def _classes(spark, d):
 
 # Sequences
 @query(f"WITH {SENT} SELECT s AS sent_id, array_to_string(words, ' ') AS words, len(words) AS n FROM ok")
-def tokenize_sentences(spark, d, whole=False):
-    return _doc_sents(spark, d, whole).select("sent_id", F.array_join("words", " ").alias("words"), F.size("words").cast("long").alias("n"))
+def tokenize_sentences(spark, d):
+    return _doc_sents(spark, d).select("sent_id", F.array_join("words", " ").alias("words"), F.size("words").cast("long").alias("n"))
 
 
-@query(f"WITH {TOK_D}, f AS (SELECT w AS word, min((s, p)) AS f, count(*) AS \"count\" FROM tok GROUP BY w) SELECT row_number() OVER (ORDER BY f) - 1 AS word_id, word, \"count\" FROM f ORDER BY f LIMIT 8092")
-def vocabulary(spark, d, whole=False):
-    return _vocabulary(_doc_sents(spark, d, whole), whole)
+@query(f"WITH {TOK_D}, f AS (SELECT w AS word, min((s, p)) AS f, count(*) AS \"count\" FROM tok GROUP BY w) SELECT row_number() OVER (ORDER BY f) - 1 AS word_id, word, \"count\" FROM f")
+def vocabulary(spark, d):
+    return sequences.vocabulary(_doc_sents(spark, d))
 
 
-@query(f"""WITH {TOK_D}, v AS (SELECT w, min((s, p)) AS f FROM tok GROUP BY w ORDER BY f LIMIT 8092), n AS (SELECT s, count(*) AS n FROM tok WHERE w IN (SELECT w FROM v) GROUP BY s)
+@query(f"""WITH {TOK_D}, v AS (SELECT w, min((s, p)) AS f FROM tok GROUP BY w), n AS (SELECT s, count(*) AS n FROM tok WHERE w IN (SELECT w FROM v) GROUP BY s)
 SELECT (SELECT count(*) FROM ok) AS total, count(*) AS usable, round(avg(n), 6) + 0.0 AS avg_len, min(n) AS min_len, max(n) AS max_len FROM n WHERE n >= 2""")
-def corpus_profile(spark, d, whole=False):
-    s = _doc_sents(spark, d, whole)
-    return _round(sequences.corpus_profile(s, _vocabulary(s, whole)), "avg_len")
+def corpus_profile(spark, d):
+    s = _doc_sents(spark, d)
+    return _round(sequences.corpus_profile(s, sequences.vocabulary(s)), "avg_len")
 
 
-@query(r"""WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents)
-SELECT doc, CAST(no AS BIGINT) AS no, line FROM l WHERE regexp_matches(line, '[A-Za-z]') AND NOT (length(line) > 5 AND NOT regexp_matches(line, '[a-z]'))""")
+@query(r"""WITH RECURSIVE raw AS (SELECT doc_id AS doc, string_split(text, chr(10)) AS ls FROM documents),
+marked AS (SELECT doc, CASE WHEN doc % 5 = 4 THEN ls WHEN doc % 5 = 3 THEN ['before', '*** START OF THIS'] || ls ELSE ['before', '*** END OF nothing', '*** START OF THIS'] || ls || ['*** START OF again', 'ALL CAPS', 'CAPS', '*** END OF THIS', 'after'] END AS ls FROM raw),
+l AS (SELECT doc, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS no FROM marked),
+a AS (SELECT doc, min(no) AS a FROM l WHERE contains(line, '*** START OF') GROUP BY 1), b AS (SELECT l.doc, min(no) AS b FROM l JOIN a ON l.doc = a.doc AND no > a WHERE contains(line, '*** END OF') GROUP BY 1)
+SELECT l.doc, CAST(no AS BIGINT) AS no, line FROM l JOIN a ON l.doc = a.doc LEFT JOIN b ON l.doc = b.doc WHERE no > a AND (b IS NULL OR no < b) AND NOT contains(line, '*** START OF')
+AND regexp_matches(line, '[A-Za-z]') AND NOT (length(line) + 1 > 5 AND NOT regexp_matches(line, '[a-z]'))""")
 def body_lines(spark, d):
-    lines = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    """Texts as books: most get marks and lines before and after, some a start mark alone, some none."""
+    text = lambda *x: F.array(*map(F.lit, x))
+    ls, kind = F.split("text", "\n"), F.col("doc_id") % 5
+    book = F.when(kind == 4, ls).when(kind == 3, F.concat(text("before", "*** START OF THIS"), ls)).otherwise(F.concat(text("before", "*** END OF nothing", "*** START OF THIS"), ls, text("*** START OF again", "ALL CAPS", "CAPS", "*** END OF THIS", "after")))
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(book).alias("no", "line"))
     return sequences.body_lines(lines).select("doc", F.col("no").cast("long").alias("no"), "line")
 
 
@@ -119,13 +118,13 @@ def pair_counts_baskets(spark, d):
 
 
 @query(f"WITH {TOK_D}, {PC(2)} SELECT * FROM pc")
-def pair_counts_docs_w2(spark, d, whole=False):
-    return pairs.pair_counts(_doc_sents(spark, d, whole), 2)
+def pair_counts_docs_w2(spark, d):
+    return pairs.pair_counts(_doc_sents(spark, d), 2)
 
 
 @query(f"WITH {TOK_D}, {PC(6)} SELECT * FROM pc")
-def pair_counts_docs_w6(spark, d, whole=False):
-    return pairs.pair_counts(_doc_sents(spark, d, whole), 6)
+def pair_counts_docs_w6(spark, d):
+    return pairs.pair_counts(_doc_sents(spark, d), 6)
 
 
 @query(f"WITH {TOK_E}, {PC(2, True)} SELECT * FROM pc")
@@ -149,6 +148,26 @@ def pool_stats(spark, d):
     return pairs.pool_stats(s, pairs.pair_counts(s, 6))
 
 
+@query(f"WITH {TOK_B}, {PC(6)} SELECT count(*) AS n_pairs, CAST(sum(\"count\") AS BIGINT) AS n_events, CAST(2 * sum(\"count\") AS BIGINT) AS marginal_sum FROM pc")
+def pair_totals(spark, d):
+    return pairs.pair_totals(pairs.pair_counts(_baskets(spark, d), 6))
+
+
+@query(f"WITH {TOK_B}, {PC(6)}, g AS (SELECT least(l_partkey, l_suppkey) AS wa, greatest(l_partkey, l_suppkey) AS wb, 1 AS c FROM lineitem UNION ALL SELECT wa, wb, \"count\" FROM pc) SELECT wa, wb, CAST(sum(c) AS BIGINT) AS \"count\" FROM g GROUP BY 1, 2")
+def count_pair_list(spark, d):
+    """A given list of pairs, part and supplier of each line, counted on top of the baskets' pairs."""
+    asked = table(spark, d, "lineitem").select(F.col("l_partkey").alias("wa"), F.col("l_suppkey").alias("wb"))
+    return pairs.count_given(asked, ["wa", "wb"], pairs.pair_counts(_baskets(spark, d), 6))
+
+
+@query("SELECT l_suppkey AS word, l_partkey AS disjunct, count(*) AS \"count\" FROM lineitem GROUP BY 1, 2")
+def count_section_list(spark, d):
+    """Given sections, supplier and part of each line: those before 1995 first, the others on top."""
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("word"), F.col("l_partkey").alias("disjunct"), (F.year("l_shipdate") >= 1995).alias("late"))
+    keys = ["word", "disjunct"]
+    return pairs.count_given(lines.where("late"), keys, pairs.count_given(lines.where("not coalesce(late, false)"), keys))
+
+
 # Mutual information
 @query(f"{MI_B} SELECT wa, wb, \"count\", \"left\", \"right\", {R.format('mi')} AS mi FROM mi")
 def mi_baskets(spark, d):
@@ -156,8 +175,13 @@ def mi_baskets(spark, d):
 
 
 @query(f"WITH {TOK_D}, {PC(2)}, {MI()} SELECT wa, wb, \"count\", \"left\", \"right\", {R.format('mi')} AS mi FROM mi")
-def mi_docs(spark, d, whole=False):
-    return _round(mi.mi_full(pairs.pair_counts(_doc_sents(spark, d, whole), 2)), "mi")
+def mi_docs(spark, d):
+    return _round(mi.mi_full(pairs.pair_counts(_doc_sents(spark, d), 2)), "mi")
+
+
+@query(f"WITH {TOK_B}, {PC(6)}, {MI()} SELECT wa, wb, \"count\", \"left\", \"right\" FROM mi")
+def pairs_with_marginals(spark, d):
+    return mi.with_marginals(pairs.pair_counts(_baskets(spark, d), 6)).select("wa", "wb", "count", "left", "right")
 
 
 @query(f"{MI_B} SELECT count(*) AS nonzero, CAST(count_if(mi > 0) AS BIGINT) AS positive, CAST(count_if(mi > 0.5123) AS BIGINT) AS above FROM mi")
@@ -246,7 +270,57 @@ def mst_parse_grammar(spark, d):
 len AS (SELECT s, count(*) AS len FROM tok GROUP BY s HAVING count(*) BETWEEN 2 AND 64)
 SELECT len.s AS sent_id, coalesce(n, 0) AS unexplained, round(coalesce(w / len, 0.0), 6) + 0.0 AS score FROM len LEFT JOIN lost ON len.s = lost.s""")
 def surprise(spark, d):
-    return _round(parse.surprise(_baskets(spark, d), write_table(_word_parse(spark, d), "parse"), write_table(_grammar_parse(spark, d), "parse")), "score")
+    s = _baskets(spark, d)
+    m, c = mi.mi_full(pairs.pair_counts(s, 6)), _classes(spark, d)
+    return _round(parse.parse_and_surprise(s, m, c, substitute.class_mi(m, c))[2], "score")
+
+
+@query(f"""{EDGES}, {TREE()}, {CONNECTORS}, dj AS (SELECT s, pos, word, count(*) AS n, string_agg(dir || ':' || o, ' ' ORDER BY dir, o) AS disjunct FROM con GROUP BY 1, 2, 3), sec AS (SELECT word, disjunct, n, count(*) AS c FROM dj GROUP BY 1, 2, 3)
+SELECT n AS connectors, count(*) AS sections, CAST(sum(c) AS BIGINT) AS "count" FROM sec GROUP BY 1""")
+def section_disjunct_sizes(spark, d):
+    return parse.disjunct_sizes(parse.sections(_word_parse(spark, d)))
+
+
+TOK_C = r"""cut AS (SELECT conv_id, turn, unnest(string_split_regex(text, '[.!?\n]')) AS s, generate_subscripts(string_split_regex(text, '[.!?\n]'), 1) - 1 AS no FROM conversations),
+sent AS (SELECT conv_id, turn, no, list_transform(list_filter(string_split_regex(s, '[^A-Za-z'']+'), lambda x: x <> ''), lambda x: lower(x)) AS words FROM cut),
+ok AS (SELECT *, unnest(range(0, len(words), 64)) AS lo FROM sent WHERE len(words) >= 2),
+part AS (SELECT struct_pack(c := conv_id, t := turn, n := no, k := CAST(floor(lo / 64) AS BIGINT)) AS s, words[lo + 1 : lo + 64] AS words FROM ok),
+tok AS (SELECT s, unnest(words) AS w, generate_subscripts(words, 1) AS p FROM part WHERE len(words) >= 2)"""
+C_EDGES = EDGES.replace(TOK_B, TOK_C).replace(PC(6), PC(2))
+
+
+def _turn_sents(spark, d):
+    """Sentences of all turns; those of over 64 words go on as further sequences."""
+    cut = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "[.!?\n]")).alias("no", "s"))
+    whole = cut.select(F.struct("conv_id", "turn", "no").alias("sent_id"), sequences.words_of(F.col("s")).alias("words")).where(F.size("words") >= 2)
+    return sequences.pieces(whole).select(F.struct("sent_id.*", "piece").alias("sent_id"), "words").where(F.size("words") >= 2)
+
+
+def _turn_parse(spark, d):
+    s = write_table(_turn_sents(spark, d), "turns")
+    return parse.spanning_trees(parse.word_weights(parse.position_pairs(s), mi.mi_full(pairs.pair_counts(s, 2))))
+
+
+@query(f"{C_EDGES}, {TREE()} SELECT s.c AS conv_id, s.t AS turn, CAST(s.n AS BIGINT) AS no, CAST(s.k AS BIGINT) AS piece, p1, p2, w1, w2, round(weight, 6) + 0.0 AS weight FROM mst")
+def mst_parse_turns(spark, d):
+    spots = [F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("sent_id.no", "sent_id.piece", "p1", "p2")]
+    return _round(_turn_parse(spark, d).select("sent_id.conv_id", "sent_id.turn", *spots, "w1", "w2", "weight"), "weight")
+
+
+@query(f"""{C_EDGES}, {TREE()}, {CONNECTORS},
+dj AS (SELECT s, pos, word, string_agg(dir || ':' || o, ' ' ORDER BY dir, o) AS disjunct FROM con GROUP BY 1, 2, 3) SELECT word, disjunct, count(*) AS "count" FROM dj GROUP BY 1, 2""")
+def sections_turns(spark, d):
+    found = parse.sections(_turn_parse(spark, d))
+    return found.select("word", F.array_join(F.transform("disjunct", lambda c: F.concat_ws(":", c["dir"].cast("string"), c["word"])), " ").alias("disjunct"), "count")
+
+
+@query()
+def mst_parse_docs(spark, d):
+    """The same over all sentences of documents; too many for the recursive SQL, see the tests."""
+    s = _doc_sents(spark, d)
+    cut = write_table(sequences.pieces(s).select(F.struct("sent_id", "piece").alias("sent_id"), "words").where(F.size("words") >= 2), "pieces")
+    found = parse.spanning_trees(parse.word_weights(parse.position_pairs(cut), mi.mi_full(pairs.pair_counts(s, 2))))
+    return _round(found.select("sent_id.sent_id", "sent_id.piece", F.col("p1").cast("long").alias("p1"), F.col("p2").cast("long").alias("p2"), "w1", "w2", "weight"), "weight")
 
 
 # Similarity and classes
@@ -366,42 +440,42 @@ def class_mi_lookup(spark, d):
     return _round(substitute.class_mi_lookup(asked, substitute.class_mi(_mi_baskets(spark, d), c)), "mi")
 
 
+@query(f"WITH {TOK_B}, {PC(6)}, cls AS (SELECT p_partkey AS word, CASE WHEN p_size > 25 THEN CAST(p_size AS BIGINT) ELSE dense_rank() OVER (ORDER BY p_brand) - 1 END AS class_id FROM part), n AS (SELECT coalesce(x.class_id + 1000000000, wa) AS a, coalesce(y.class_id + 1000000000, wb) AS b, \"count\" AS c FROM pc LEFT JOIN cls x ON wa = x.word LEFT JOIN cls y ON wb = y.word) SELECT least(a, b) AS wa, greatest(a, b) AS wb, CAST(sum(c) AS BIGINT) AS \"count\" FROM n WHERE a <> b GROUP BY 1, 2")
+def substitute_all(spark, d):
+    """Classes by brand, large parts moved to classes by size; then all pairs are rewritten."""
+    new = table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("word"), F.col("p_size").cast("long").alias("class_id"))
+    own = _sections(spark, d).select(F.col("disjunct").alias("word"), F.col("word").alias("disjunct"), "count")
+    return substitute.substitute(pairs.pair_counts(_baskets(spark, d), 6), own, _classes(spark, d), new, 1_000_000_000)[1]
+
+
+@query(f"{CMI}, {SEC}, c AS (SELECT word, disjunct, least(greatest(-0.5 * log2(\"count\" / (SELECT max(\"count\") FROM sec)) + 0.1, 0.1), 10.0) AS cost FROM sec) SELECT 'cost' AS part, word AS a, disjunct AS b, round(cost, 6) + 0.0 AS value FROM c UNION ALL SELECT 'class', ca, cb, round(mi, 6) + 0.0 FROM cm")
+def grammar(spark, d):
+    """Both results of the grammar composite: costs of sections and values of classes."""
+    costs, values = substitute.grammar(_sections(spark, d), _mi_baskets(spark, d), _classes(spark, d))
+    costs = costs.select(F.lit("cost").alias("part"), F.col("word").alias("a"), F.col("disjunct").alias("b"), F.col("cost").alias("value"))
+    return _round(costs.unionByName(values.select(F.lit("class").alias("part"), F.col("ca").alias("a"), F.col("cb").alias("b"), F.col("mi").alias("value"))), "value")
+
+
 def NB(lang: str, n: str) -> str:
     return f"""t{n} AS (SELECT * FROM tok WHERE lang {lang}), {PC(2, False, 'p' + n, 't' + n)}, {MI('p' + n, 'm' + n)},
 b{n} AS (SELECT wa AS word, wb AS partner, round(mi, 9) AS mi FROM m{n} WHERE mi > 0 UNION ALL SELECT wb, wa, round(mi, 9) FROM m{n} WHERE mi > 0),
 n{n} AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY mi DESC, partner) AS rank FROM b{n} QUALIFY rank <= 32)"""
 
 
-def _side(spark, d, cond, whole=False):
-    return divergence.neighbourhoods(mi.mi_full(pairs.pair_counts(_cut_sents(table(spark, d, "documents").where(cond), whole), 2)))
+def _side(spark, d, cond):
+    return divergence.neighbourhoods(mi.mi_full(pairs.pair_counts(sequences.sentences(table(spark, d, "documents").where(cond)), 2)))
 
 
 @query(f"WITH {TOK_D}, {NB('= ' + chr(39) + 'en' + chr(39), 'a')} SELECT word, partner, {R.format('mi')} AS mi, rank FROM na")
-def neighborhood_topk(spark, d, whole=False):
-    return _round(_side(spark, d, "lang = 'en'", whole), "mi").withColumn("rank", F.col("rank").cast("long"))
+def neighborhood_topk(spark, d):
+    return _round(_side(spark, d, "lang = 'en'"), "mi").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH {TOK_D}, {NB("= 'en'", 'a')}, {NB("<> 'en'", 'b')}, x AS (SELECT word, count(*) AS na, sum(mi * mi) AS sa FROM na GROUP BY 1), y AS (SELECT word, count(*) AS nb, sum(mi * mi) AS sb FROM nb GROUP BY 1),
 z AS (SELECT word, sum(na.mi * nb.mi) AS dot FROM na JOIN nb USING (word, partner) GROUP BY 1), j AS (SELECT word, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb, coalesce(dot, 0) / (sqrt(sa) * sqrt(sb)) AS c FROM x FULL JOIN y USING (word) LEFT JOIN z USING (word))
 SELECT word, na, nb, round(CASE WHEN na < 3 OR nb < 3 THEN 0.0 ELSE 1 - c END, 6) + 0.0 AS divergence, (na >= 3 AND nb >= 3 AND 1 - c > 0.5) AS polysemous FROM j""")
-def polysemy_divergence(spark, d, whole=False):
-    return _round(divergence.divergence(_side(spark, d, "lang = 'en'", whole), _side(spark, d, "lang <> 'en'", whole)), "divergence")
-
-
-# The document queries above keep the reference's capacities, as their SQL does; these have none.
-DOC_QUERIES = ("tokenize_sentences", "vocabulary", "corpus_profile", "pair_counts_docs_w2", "pair_counts_docs_w6", "mi_docs", "neighborhood_topk", "polysemy_divergence")
-
-
-def _add_whole(name: str) -> None:
-    def whole(spark, d, f=QUERIES[name]):
-        return f(spark, d, whole=True)
-
-    whole.__name__ = f"{name}_whole"
-    query(ORACLES[name].replace("lower(x[1:63]))[1:64]", "lower(x))").replace(" ORDER BY f LIMIT 8092", ""))(whole)
-
-
-for _name in DOC_QUERIES:
-    _add_whole(_name)
+def polysemy_divergence(spark, d):
+    return _round(divergence.divergence(_side(spark, d, "lang = 'en'"), _side(spark, d, "lang <> 'en'")), "divergence")
 
 
 # Keyed tables and the store
@@ -419,9 +493,36 @@ def ht_lookup(spark, d):
     return keyed.lookup(table(spark, d, "customer").select(F.col("c_custkey").alias("key")), keyed.upsert(_kv(spark, d)))
 
 
-@query("SELECT c_custkey AS key, c_name AS value FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS key, c_name AS value FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def ht_delete(spark, d):
-    return keyed.delete(table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value")), _kv(spark, d))
+    """Customers less those with a large order."""
+    gone = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("key"))
+    return keyed.delete(table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value")), gone)
+
+
+FOUND = "old AS (SELECT {0}, row_number() OVER (ORDER BY {0}) - 1 AS id FROM (SELECT DISTINCT {1} FROM lineitem WHERE l_quantity > 45)), new AS (SELECT {0}, row_number() OVER (ORDER BY {0}) - 1 + (SELECT count(*) FROM old) AS id FROM (SELECT DISTINCT {1} FROM lineitem) WHERE ({0}) NOT IN (SELECT ({0}) FROM old)) SELECT * FROM old UNION ALL SELECT * FROM new"
+
+
+def _find_twice(spark, d, keys, *cols):
+    """A dictionary of the keys of large lines, then of all lines."""
+    rows = table(spark, d, "lineitem")
+    first = keyed.find_or_create(rows.where("l_quantity > 45").select(*cols), keys)
+    return keyed.find_or_create(rows.select(*cols), keys, write_table(first, "dictionary"))
+
+
+@query("WITH " + FOUND.format("word", "l_partkey AS word"))
+def find_or_create_words(spark, d):
+    return _find_twice(spark, d, ["word"], F.col("l_partkey").alias("word"))
+
+
+@query("WITH " + FOUND.format("wa, wb", "least(l_partkey, l_suppkey) AS wa, greatest(l_partkey, l_suppkey) AS wb"))
+def find_or_create_pairs(spark, d):
+    return _find_twice(spark, d, ["wa", "wb"], F.least("l_partkey", "l_suppkey").alias("wa"), F.greatest("l_partkey", "l_suppkey").alias("wb"))
+
+
+@query("WITH " + FOUND.format("word, djh", "l_suppkey AS word, l_partkey * 1000003 AS djh"))
+def find_or_create_sections(spark, d):
+    return _find_twice(spark, d, ["word", "djh"], F.col("l_suppkey").alias("word"), (F.col("l_partkey") * 1000003).alias("djh"))
 
 
 @query("SELECT o_custkey AS key, count(*) AS value FROM orders GROUP BY 1")
@@ -446,13 +547,30 @@ def store_roundtrip(spark, d):
     return _filled(spark, d).load_nodes().select("name", F.get("value", F.lit(0)).alias("v0"), F.get("value", F.lit(1)).alias("v1"))
 
 
-@query("SELECT p_name AS name FROM part GROUP BY 1 HAVING NOT bool_or(p_size > 25)")
+@query("SELECT c_name AS name FROM customer WHERE c_acctbal > 0")
 def store_remove(spark, d):
-    s = _filled(spark, d)
-    s.remove_nodes(table(spark, d, "part").where("p_size > 25").select(F.col("p_name").alias("name")))
+    """Customers less those in debt."""
+    s = store.AtomStore(spark)
+    s.open()
+    rows = table(spark, d, "customer")
+    s.store_nodes(rows.select(F.col("c_name").alias("name"), F.array("c_acctbal").alias("value")))
+    s.remove_nodes(rows.where("not coalesce(c_acctbal > 0, false)").select(F.col("c_name").alias("name")))
     return s.load_nodes().select("name")
 
 
+@query("SELECT c_name AS name, c_acctbal AS v0, CAST(n AS DOUBLE) AS v1 FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def store_values(spark, d):
+    """Customers with their balance as first number, and their orders set as the second by itself."""
+    s = store.AtomStore(spark)
+    s.open()
+    rows = table(spark, d, "customer")
+    s.store_nodes(rows.select(F.col("c_name").alias("name"), F.array("c_acctbal").alias("value")))
+    n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("number"))
+    s.store_values(rows.join(n, "c_custkey").select(F.col("c_name").alias("name"), "number"), 1)
+    asked = rows.select(F.col("c_name").alias("name"))
+    return s.load_values(asked, 0).withColumnRenamed("number", "v0").join(s.load_values(asked, 1).withColumnRenamed("number", "v1"), "name")
+
+
 LINKS = "SELECT least('P' || l_partkey, 'S' || l_suppkey) AS a, greatest('P' || l_partkey, 'S' || l_suppkey) AS b, CAST(count(*) AS DOUBLE) AS v0 FROM lineitem GROUP BY 1, 2"
 
 
@@ -481,10 +599,22 @@ def stream_pair_counts(spark, d):
     return learning.stream_pair_counts(_baskets(spark, d), batches=3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {TOK_B}, size AS (SELECT s, count(*) AS n FROM tok GROUP BY 1 HAVING count(*) >= 2), nb AS (SELECT CAST(b AS BIGINT) AS b FROM range(6) r(b)),
+pb AS (SELECT a.s % 6 AS b, least(a.w, b.w) AS wa, greatest(a.w, b.w) AS wb, count(*) AS c FROM tok a JOIN tok b ON a.s = b.s AND b.p BETWEEN a.p + 1 AND a.p + 2 GROUP BY 1, 2, 3),
+cum AS (SELECT nb.b, wa, wb, sum(c) AS c, max(pb.b) AS t FROM nb JOIN pb ON pb.b <= nb.b GROUP BY 1, 2, 3),
+mar AS (SELECT b, w, sum(c) AS m FROM (SELECT b, wa AS w, c FROM cum UNION ALL SELECT b, wb, c FROM cum) GROUP BY 1, 2), tot AS (SELECT b, sum(c) AS n FROM cum GROUP BY 1),
+val AS (SELECT cum.b, wa, wb, log2(c) + log2(n) - log2(x.m) - log2(y.m) AS mi FROM cum JOIN tot ON cum.b = tot.b JOIN mar x ON x.b = cum.b AND x.w = wa JOIN mar y ON y.b = cum.b AND y.w = wb WHERE t = cum.b),
+edge AS (SELECT cum.b AS k, cum.wa AS a, cum.wb AS b FROM cum JOIN val ON val.b = t AND val.wa = cum.wa AND val.wb = cum.wb WHERE mi > 2.0 AND c > 1.0 AND cum.wa <> cum.wb),
+lab AS (SELECT k, a AS node, a AS root FROM edge UNION SELECT k, b, b FROM edge UNION SELECT e.k, e.b, lab.root FROM lab JOIN (SELECT k, a, b FROM edge UNION ALL SELECT k, b, a FROM edge) e ON e.k = lab.k AND e.a = lab.node),
+roots AS (SELECT k, node, min(root) AS root FROM lab GROUP BY 1, 2), cls AS (SELECT mar.b, coalesce(root, w) AS root, count(*) AS n FROM mar LEFT JOIN roots ON k = mar.b AND node = w GROUP BY 1, 2),
+ent AS (SELECT b, CAST(sum(n) AS BIGINT) AS words, count(*) AS classes, -sum(n / t * log2(n / t)) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY b) AS t FROM cls) GROUP BY 1),
+tail AS (SELECT b, words, classes, entropy, CAST(row_number() OVER (ORDER BY b) AS INTEGER) AS iteration, (SELECT count(*) FROM size WHERE s % 6 <= ent.b) AS sentences, (SELECT count(*) FROM cum WHERE cum.b = ent.b) AS pairs FROM ent)
+SELECT iteration, sentences, pairs, words, classes, round(entropy, 6) + 0.0 AS entropy FROM tail
+UNION ALL SELECT CAST(6 + i AS INTEGER), sentences, pairs, words, classes, round(entropy, 6) + 0.0 FROM tail, range(1, 5) r(i) WHERE b = 5""")
 def stream_learning(spark, d):
-    loop = learning.LearningLoop(spark)
-    loop.run(_baskets(spark, d), batches=3)
+    """Six batches by sent_id mod 6; then the loop clusters on until five entropies are alike."""
+    loop = learning.LearningLoop(spark, dirty_least=1, min_count=1.0)
+    loop.run(_baskets(spark, d), batches=6)
     return _round(loop.progress(), "entropy")
 
 

@@ -53,13 +53,22 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` itself if it is a written table, else written."""
+    return df if df in _written else write_table(df, label)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_tables(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for df in tables:
         if path := _written.pop(df, None):
-            gateway = df.sparkSession._jvm
-            at = gateway.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            delete_path(df.sparkSession, path)
 
 
 def ensure_importable(spark: SparkSession) -> None:

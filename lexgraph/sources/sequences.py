@@ -12,8 +12,10 @@ MAX_WORDS, MAX_CHARS, MAX_VOCABULARY = 64, 63, 8092
 
 def words_of(sentence: Column, max_words: int | None = None, max_chars: int | None = None) -> Column:
     """Lower-case runs of letters and apostrophes; the first ``max_words`` of them and ``max_chars`` of each (None: all)."""
-    raw = F.filter(F.split(sentence, "[^A-Za-z']+"), lambda w: w != "")
-    words = F.transform(raw, lambda w: F.lower(w if max_chars is None else F.substring(w, 1, max_chars)))
+    # Other characters go first: lower-casing some of them would make letters.
+    words = F.array_remove(F.split(F.lower(F.regexp_replace(sentence, "[^A-Za-z']+", " ")), " "), "")
+    if max_chars is not None:
+        words = F.transform(words, lambda w: F.substring(w, 1, max_chars))
     return words if max_words is None else F.slice(words, 1, max_words)
 
 
@@ -27,6 +29,13 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_word
     return cut.select((F.shiftleft("k", 32) + F.col("no")).alias("sent_id"), words_of(F.col("s"), max_words, max_chars).alias("words")).where(F.size("words") >= min_words)
 
 
+def pieces(sents: DataFrame, most: int = MAX_WORDS) -> DataFrame:
+    """(sent_id, piece, words): sequences of over ``most`` words cut into pieces that long, so that each word is in one."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(most))
+    cut = sents.select("sent_id", "words", F.explode(starts).alias("at"))
+    return cut.select("sent_id", (F.col("at") / most).cast("int").alias("piece"), F.slice("words", F.col("at") + 1, most).alias("words"))
+
+
 def baskets(lineitem: DataFrame) -> DataFrame:
     """(sent_id, words): the parts of each order, in order of line."""
     order = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")))
@@ -40,24 +49,62 @@ def timelines(events: DataFrame) -> DataFrame:
 
 
 def body_lines(lines: DataFrame, doc: str = "doc", no: str = "no", line: str = "line") -> DataFrame:
-    """Lines of a book between its start and end marks.
-
-    Lines up to and with ``*** START OF`` and from ``*** END OF`` on are dropped (a
-    text without a start mark is kept from its first line), and so are lines without
-    a letter, and lines of over five characters without a lower-case letter.
+    """Lines of books between their start and end marks.
+
+    Reading begins after a line with ``*** START OF`` and ends for good at the first
+    line with ``*** END OF`` after it; without a start mark there is nothing. A start
+    mark inside the body is dropped as a line. Lines without a letter go, and lines
+    of over five characters, the line end counted, without a lower-case letter.
+    Marks are found by aggregation and joined to the lines, so a book of any length
+    needs no single task.
     """
-    over = W.partitionBy(doc)
-    start = F.max(F.when(F.contains(F.col(line), F.lit("*** START OF")), F.col(no))).over(over)
-    end = F.min(F.when(F.contains(F.col(line), F.lit("*** END OF")), F.col(no))).over(over)
-    kept = lines.withColumn("a__", F.coalesce(start, F.lit(-1))).withColumn("b__", end)
-    kept = kept.where((F.col(no) > F.col("a__")) & (F.col("b__").isNull() | (F.col(no) < F.col("b__"))))
-    return kept.where(F.col(line).rlike("[A-Za-z]") & ~((F.length(line) > 5) & ~F.col(line).rlike("[a-z]"))).drop("a__", "b__")
+    has = lambda mark: F.contains(F.col(line), F.lit(mark))
+    start = lines.where(has("*** START OF")).groupBy(doc).agg(F.min(no).alias("a__"))
+    ends = lines.where(has("*** END OF")).select(doc, F.col(no).alias("e__"))
+    marks = start.join(ends, doc, "left").groupBy(doc).agg(F.first("a__").alias("a__"), F.min(F.when(F.col("e__") > F.col("a__"), F.col("e__"))).alias("b__"))
+    kept = lines.join(marks, doc).where((F.col(no) > F.col("a__")) & (F.col("b__").isNull() | (F.col(no) < F.col("b__"))) & ~has("*** START OF"))
+    return kept.where(F.col(line).rlike("[A-Za-z]") & ~((F.length(line) + 1 > 5) & ~F.col(line).rlike("[a-z]"))).drop("a__", "b__")
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, no, line) of text files, one row a line."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), "value")
-    return raw.select("doc", F.posexplode(F.split("value", "\r?\n")).alias("no", "line"))
+    """(doc, no, line) of text files, one row a line, numbered from 0; files are split among tasks.
+
+    Lines are numbered within each block of a file that one task reads, and the
+    counts of the blocks before it, a row for each, are added.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    sizes = rows.groupBy("doc", "at").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = sizes.select("doc", "at", "first", (F.sum("n").over(W.partitionBy("doc").orderBy("at")) - F.col("n")).alias("before"))
+    return rows.join(before, ["doc", "at"]).select("doc", (F.col("before") + F.col("id") - F.col("first")).alias("no"), "line")
+
+
+def read_binary_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(sent_id, words) of binary corpus files: the counts of sentences and words, then each sentence's length and word ids.
+
+    All numbers are unsigned, of 32 bits, little-endian. Sentences are numbered
+    within their file, after file number * 2**32 in order of path.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def decode(batches):
+        for batch in batches:
+            for no, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = np.frombuffer(raw.as_py(), "<u4")
+                at, out = 2, []
+                for _ in range(int(data[0]) if len(data) else 0):
+                    n = int(data[at])
+                    out.append(data[at + 1 : at + 1 + n].astype(np.int64))
+                    at += 1 + n
+                for lo in range(0, len(out), 10_000):
+                    part = out[lo : lo + 10_000]
+                    ends = np.concatenate([[0], np.cumsum([len(w) for w in part])]).astype(np.int32)
+                    words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(part)))
+                    yield pa.RecordBatch.from_arrays([pa.array((no << 32) + np.arange(lo, lo + len(part))), words], ["sent_id", "words"])
+
+    files = spark.read.format("binaryFile").load(path)
+    order = files.select("path").withColumn("no", F.row_number().over(W.orderBy("path")) - 1)
+    return files.select("path", "content").join(F.broadcast(order), "path").select(F.col("no").cast("long"), "content").mapInArrow(decode, "sent_id long, words array<long>")
 
 
 def vocabulary(sents: DataFrame, cap: int | None = None) -> DataFrame:

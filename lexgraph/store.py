@@ -4,10 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexgraph.session import write_table
+import re
 
-NODES = "name string, value array<double>"
-LINKS = "a string, b string, value array<double>"
+from lexgraph.session import drop_tables, write_table
+
+NODES = "name string, type string, value array<double>"
+LINKS = "a string, b string, type string, value array<double>"
+SECTIONS = "word string, djh long, count double"
+
+
+def parse_uri(uri: str) -> dict[str, str]:
+    """The parts of ``scheme://[backend:][platform:]device``; a lone part is the device, missing ones are empty.
+
+    Of two parts the first is the backend if it is ``cuda`` or ``opencl``, else the
+    platform. On Spark they name nothing; they are kept for monitor().
+    """
+    m = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.-]*)://([^/]*)", uri)
+    if not m:
+        raise ValueError(f"not a store URI: {uri}")
+    parts = m[2].split(":")
+    backend = parts.pop(0).lower() if parts and parts[0].lower() in ("cuda", "opencl") else ""
+    if len(parts) > 2:
+        raise ValueError(f"not a store URI: {uri}")
+    return {"scheme": m[1], "backend": backend, "platform": parts[0] if len(parts) == 2 else "", "device": parts[-1] if parts else ""}
 
 
 class AtomStore:
@@ -19,11 +38,11 @@ class AtomStore:
     """
 
     def __init__(self, spark: SparkSession, uri: str = "spark://store", strict: bool = False):
-        if "://" not in uri:
-            raise ValueError(f"not a store URI: {uri}")
+        self.where = parse_uri(uri)
         self.spark, self.uri, self.strict = spark, uri, strict
         self.nodes: DataFrame | None = None
         self.links: DataFrame | None = None
+        self.sections: DataFrame | None = None
         self.stores = self.fetches = 0
 
     def open(self) -> None:
@@ -32,7 +51,9 @@ class AtomStore:
         self.erase()
 
     def close(self) -> None:
-        self.nodes = self.links = None
+        """Forget everything stored; its files are deleted."""
+        drop_tables(*(t for t in (self.nodes, self.links, self.sections) if t is not None))
+        self.nodes = self.links = self.sections = None
 
     def connected(self) -> bool:
         return self.nodes is not None
@@ -40,6 +61,7 @@ class AtomStore:
     def erase(self) -> None:
         self.nodes = self.spark.createDataFrame([], NODES)
         self.links = self.spark.createDataFrame([], LINKS)
+        self.sections = self.spark.createDataFrame([], SECTIONS)
 
     def _check(self) -> None:
         if not self.connected():
@@ -51,24 +73,73 @@ class AtomStore:
         pair = F.array(F.coalesce(F.get(value, F.lit(0)), F.lit(0.0)), F.coalesce(F.get(value, F.lit(1)), F.lit(0.0)))
         return F.when(pair != F.array(F.lit(0.0), F.lit(0.0)), pair)
 
+    def _put(self, kind: str, df: DataFrame) -> None:
+        """Write a table anew; the one it replaces is deleted."""
+        old = getattr(self, kind)
+        setattr(self, kind, write_table(df, kind))
+        drop_tables(old)
+
+    def _newest(self, rows: DataFrame, keys: list[str], order: str | None, kind: str) -> DataFrame:
+        """One row for each key: the last by ``order``. Without an order, a key may stand once only."""
+        typed = rows if "type" in rows.columns else rows.withColumn("type", F.lit(kind))
+        last = F.struct("type", "value")
+        if order is None:
+            found = typed.groupBy(*keys).agg(F.count("*").alias("n"), F.first(last).alias("v"))
+            found = found.withColumn("v", F.when(F.col("n") == 1, F.col("v")).otherwise(F.raise_error(F.lit("equal keys need an order"))))
+        else:
+            found = typed.groupBy(*keys).agg(F.max_by(last, order).alias("v"))
+        return found.select(*keys, "v.type", self._stored(F.col("v.value")).alias("value"))
+
     def store_nodes(self, rows: DataFrame, order: str | None = None) -> None:
-        """Upsert (name, value); of rows with equal names the last by ``order`` wins."""
+        """Upsert (name, value, and type if there is one); of rows with equal names the last by ``order`` wins."""
+        self._check()
+        new = write_table(self._newest(rows, ["name"], order, "word"), "new")
+        self._put("nodes", self.nodes.join(new.select("name"), "name", "left_anti").unionByName(new))
+        drop_tables(new)
+        self.stores += 1
+
+    def store_links(self, rows: DataFrame, order: str | None = None) -> None:
+        """Upsert (left, right, value, and type if there is one); the last by ``order`` wins; missing end nodes are stored first."""
         self._check()
-        value = F.max_by("value", order) if order else F.max("value")
-        new = rows.groupBy("name").agg(value.alias("value")).select("name", self._stored(F.col("value")).alias("value"))
-        self.nodes = write_table(self.nodes.join(new.select("name"), "name", "left_anti").unionByName(new), "nodes")
+        ends = rows.withColumn("a", F.least("left", "right")).withColumn("b", F.greatest("left", "right"))
+        new = write_table(self._newest(ends, ["a", "b"], order, "pair"), "new")
+        missing = new.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(self.nodes.select("name"), "name", "left_anti")
+        self._put("nodes", self.nodes.unionByName(missing.select("name", F.lit("word").alias("type"), F.lit(None).cast("array<double>").alias("value"))))
+        self._put("links", self.links.join(new.select("a", "b"), ["a", "b"], "left_anti").unionByName(new))
+        drop_tables(new)
         self.stores += 1
 
-    def store_links(self, rows: DataFrame) -> None:
-        """Upsert (left, right, value); missing end nodes are stored first."""
+    def store_sections(self, rows: DataFrame) -> None:
+        """Upsert (word, djh, count)."""
         self._check()
-        new = rows.groupBy(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")).agg(F.max("value").alias("value"))
-        new = new.select("a", "b", self._stored(F.col("value")).alias("value"))
-        ends = new.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(self.nodes.select("name"), "name", "left_anti")
-        self.nodes = write_table(self.nodes.unionByName(ends.withColumn("value", F.lit(None).cast("array<double>"))), "nodes")
-        self.links = write_table(self.links.join(new.select("a", "b"), ["a", "b"], "left_anti").unionByName(new), "links")
+        new = write_table(rows.groupBy("word", "djh").agg(F.sum("count").cast("double").alias("count")), "new")
+        self._put("sections", self.sections.join(new.select("word", "djh"), ["word", "djh"], "left_anti").unionByName(new))
+        drop_tables(new)
         self.stores += 1
 
+    def store_values(self, rows: DataFrame, position: int = 0) -> None:
+        """Set one number, at ``position``, of the values of stored nodes (name, number) or links (left, right, number).
+
+        The other numbers stay; missing ones before it become 0. Keys that are not
+        stored are left out, as a value belongs to a stored node or link.
+        """
+        self._check()
+        kind, keys = ("nodes", ["name"]) if "name" in rows.columns else ("links", ["a", "b"])
+        if kind == "links":
+            rows = rows.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b"), "number")
+        new = rows.groupBy(*keys).agg(F.max("number").cast("double").alias("number"))
+        old = F.coalesce("value", F.array().cast("array<double>"))
+        head = F.transform(F.sequence(F.lit(0), F.lit(position)), lambda i: F.coalesce(F.get(old, i), F.lit(0.0)))
+        put = F.concat(F.slice(head, 1, position), F.array("number"), F.slice(old, position + 2, F.greatest(F.size(old), F.lit(1))))
+        table = getattr(self, kind)
+        self._put(kind, table.join(new, keys, "left").withColumn("value", F.when(F.col("number").isNull(), F.col("value")).otherwise(self._stored(put))).select(*table.columns))
+        self.stores += 1
+
+    def load_values(self, rows: DataFrame, position: int = 0) -> DataFrame:
+        """Asked (name) or (left, right) with the number at ``position`` of their value; null where there is none."""
+        found = self.get_nodes(rows) if "name" in rows.columns else self.get_links(rows)
+        return found.withColumn("number", F.get("value", F.lit(position))).drop("type", "value")
+
     def get_nodes(self, names: DataFrame) -> DataFrame:
         """Asked names with their value; null where there is none."""
         self._check()
@@ -84,31 +155,35 @@ class AtomStore:
         """Delete nodes; with ``recursive`` also the links that end in them."""
         self._check()
         gone = names.select("name").distinct()
-        self.nodes = write_table(self.nodes.join(gone, "name", "left_anti"), "nodes")
+        self._put("nodes", self.nodes.join(gone, "name", "left_anti"))
         if recursive:
+            left = self.links
             for side in ("a", "b"):
-                self.links = self.links.join(gone.withColumnRenamed("name", side), side, "left_anti").select("a", "b", "value")
-            self.links = write_table(self.links, "links")
+                left = left.join(gone.withColumnRenamed("name", side), side, "left_anti").select(*self.links.columns)
+            self._put("links", left)
 
-    def incoming(self, names: DataFrame) -> DataFrame:
-        """(name, a, b, value): the links that end in each name, once each."""
+    def incoming(self, names: DataFrame, kind: str | None = None) -> DataFrame:
+        """(name, a, b, value): the links, of one type if given, that end in each name, once each."""
         self._check()
-        ends = self.links.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("name"), "a", "b", "value")
+        links = self.links if kind is None else self.links.where(F.col("type") == kind)
+        ends = links.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("name"), "a", "b", "value")
         return ends.join(names.select("name").distinct(), "name")
 
-    def load_nodes(self) -> DataFrame:
+    def load_nodes(self, kind: str | None = None) -> DataFrame:
+        """All nodes, or those of one type."""
         self._check()
-        return self.nodes
+        return self.nodes if kind is None else self.nodes.where(F.col("type") == kind)
 
-    def load_links(self) -> DataFrame:
+    def load_links(self, kind: str | None = None) -> DataFrame:
         self._check()
-        return self.links
+        return self.links if kind is None else self.links.where(F.col("type") == kind)
 
     def sql(self, text: str) -> DataFrame:
-        """Spark SQL over the views nodes and links."""
+        """Spark SQL over the views nodes, links and sections."""
         self._check()
         self.nodes.createOrReplaceTempView("nodes")
         self.links.createOrReplaceTempView("links")
+        self.sections.createOrReplaceTempView("sections")
         return self.spark.sql(text)
 
     def barrier(self) -> None:
@@ -117,4 +192,4 @@ class AtomStore:
 
     def monitor(self) -> dict:
         self._check()
-        return {"uri": self.uri, "connected": True, "nodes": self.nodes.count(), "links": self.links.count(), "stores": self.stores, "fetches": self.fetches}
+        return {"uri": self.uri, **self.where, "connected": True, "nodes": self.nodes.count(), "links": self.links.count(), "sections": self.sections.count(), "stores": self.stores, "fetches": self.fetches}

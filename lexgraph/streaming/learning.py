@@ -5,9 +5,17 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import StreamingQueryException
 
 from lexgraph.operators import components, mi, pairs
-from lexgraph.session import shared_dir, write_table
+from lexgraph.session import delete_path, shared_dir, write_table
+
+#: The reference's gates of the phased rule: sentences, clusterings, classes, and their greatest share of the words.
+GATES = {"sentences": 500, "cc_runs": 5, "classes": 10, "share": 0.95}
+#: Entropies that a plateau is judged by.
+WINDOW = 5
+PROGRESS = "batch long, sentences long, rounds long, cc_runs long, dirty long, pairs long, words long, classes long, entropy double, converged string"
 
 
 def sentence_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -16,9 +24,11 @@ def sentence_stream(spark: SparkSession, path: str, schema, files_per_trigger: i
 
 
 def drop_files(sents: DataFrame, batches: int) -> str:
-    """Write sentences as ``batches`` files for a stream to pick up; returns the folder."""
+    """Write sentences as ``batches`` files, by sent_id mod ``batches``, for a stream to pick up in that order; returns the folder."""
     path = f"{shared_dir(sents.sparkSession)}/feed-{uuid.uuid4().hex}"
-    sents.select("sent_id", "words").repartition(batches, "sent_id").write.parquet(path)
+    held = write_table(sents.select("sent_id", "words").withColumn("k", F.pmod("sent_id", F.lit(batches))), "feed")
+    for k in range(batches):
+        held.where(F.col("k") == k).drop("k").coalesce(1).write.parquet(f"{path}/{k:05d}")
     return path
 
 
@@ -40,75 +50,199 @@ def stream_pair_counts(sents: DataFrame, batches: int = 3, window: int = 2, self
     return spark.read.parquet(out).groupBy("wa", "wb").agg(F.sum("count").alias("count"))
 
 
-def plateau(entropies: list[float], window: int = 5, spread: float = 0.01) -> bool:
+def plateau(entropies: list[float], window: int = WINDOW, spread: float = 0.01) -> bool:
     """Whether the last ``window`` entropies differ by less than ``spread`` of their greatest, which must be positive."""
     last = entropies[-window:]
     return len(last) == window and max(last) > 0 and (max(last) - min(last)) / max(last) < spread
 
 
+class NotNow(Exception):
+    """The loop takes no batch: it is paused or has converged. The stream keeps the batch for later."""
+
+
 class LearningLoop:
     """Count, score, cluster and test for convergence after each micro-batch.
 
-    Values are recomputed for touched pairs once at least ``dirty_least`` are
-    touched; classes when values were recomputed and there are more than ten
-    pairs. ``gated`` asks for enough sentences, runs and classes besides a plateau.
+    Pairs that a batch touches stay dirty until at least ``dirty_least`` are; then
+    their values are recomputed and, with more than ten pairs, the classes. The end
+    of the data (finish()) recomputes what is left. ``gated`` asks for enough
+    sentences, clusterings and classes besides a plateau. With ``compartments``,
+    each batch is counted by sent_id mod that many first, and merged.
+
+    State lives under ``path`` in the shared folder: the pairs after each batch, and
+    a row of progress, whose writing commits the batch. A batch that runs again
+    after its commit changes nothing, one that broke off before it starts from the
+    state before, and a new loop on the same ``path`` goes on where the last one was.
+    While paused or after convergence no batch is taken, and none is lost.
     """
 
-    def __init__(self, spark: SparkSession, window: int = 2, dirty_least: int = 100, max_iterations: int = 500, gated: bool = False, min_mi: float = 2.0, min_count: float = 3.0):
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = 2, dirty_least: int = 100, max_iterations: int = 500, gated: bool = False, min_mi: float = 2.0, min_count: float = 3.0, compartments: int = 1):
         self.spark, self.window, self.dirty_least, self.max_iterations, self.gated = spark, window, dirty_least, max_iterations, gated
-        self.min_mi, self.min_count = min_mi, min_count
-        self.state: DataFrame | None = None
-        self.classes: DataFrame | None = None
-        self.rows: list[tuple] = []
-        self.sentences = self.cc_runs = self.iterations = 0
-        self.converged = self.paused = False
-
-    def step(self, batch: DataFrame, number: int = 0) -> None:
-        """Take in one batch of sentences."""
-        if self.paused or self.converged:
+        self.min_mi, self.min_count, self.compartments = min_mi, min_count, compartments
+        self.path = path or f"{shared_dir(spark)}/loop-{uuid.uuid4().hex}"
+        self.query: StreamingQuery | None = None
+        self.source: tuple | None = None
+        self.paused = False
+        self.rows: list[dict] = []
+        try:
+            self.rows = [r.asDict() for r in spark.read.schema(PROGRESS).option("recursiveFileLookup", "true").parquet(f"{self.path}/progress").orderBy("batch", "cc_runs").collect()]
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+
+    # What the committed rows say.
+    def _last(self, key: str, other=0):
+        return self.rows[-1][key] if self.rows else other
+
+    @property
+    def sentences(self) -> int:
+        return self._last("sentences")
+
+    @property
+    def rounds(self) -> int:
+        """Rounds that had data: the compartments' iteration counter."""
+        return self._last("rounds")
+
+    @property
+    def cc_runs(self) -> int:
+        """Clusterings: the loop's iteration counter."""
+        return self._last("cc_runs")
+
+    @property
+    def converged(self) -> str | None:
+        """Why the loop has ended: 'plateau', 'iterations' or 'exhausted'; None while it has not."""
+        return self._last("converged", None)
+
+    @property
+    def state(self) -> DataFrame | None:
+        """(wa, wb, count, mi, dirty) after the last committed batch."""
+        return self.spark.read.parquet(f"{self.path}/pairs/{self.rows[-1]['batch']:08d}") if self.rows else None
+
+    @property
+    def classes(self) -> DataFrame | None:
+        """(word_id, root, class_id) of the last clustering."""
+        made = [r["batch"] for r in self.rows if r["classes"] is not None]
+        return self.spark.read.parquet(f"{self.path}/classes/{made[-1]:08d}") if made else None
+
+    def step(self, batch: DataFrame, number: int | None = None) -> None:
+        """Take in one batch of sentences under its number (None: the next)."""
+        number = self._last("batch", -1) + 1 if number is None else number
+        if number <= self._last("batch", -1):
             return
+        if self.paused or self.converged:
+            raise NotNow("paused" if self.paused else self.converged)
         batch = batch.where(F.size("words") >= 2)
-        self.sentences += batch.count()
-        counts = write_table(pairs.pair_counts(batch, self.window, True), "batch")
-        touched = counts.count()
-        empty = self.spark.createDataFrame([], counts.select("wa", "wb", "count").schema).withColumn("mi", F.lit(0.0))
-        state = self.state if self.state is not None else empty
-        fresh = touched >= self.dirty_least
-        if fresh:
-            self.state = write_table(mi.mi_incremental(state, counts), "state")
-        else:
-            merged = pairs.merge_counts(state, counts).join(state.select("wa", "wb", "mi"), ["wa", "wb"], "left")
-            self.state = write_table(merged.select("wa", "wb", "count", F.coalesce("mi", F.lit(0.0)).alias("mi")), "state")
-        n_pairs = self.state.count()
-        self.iterations += 1
-        if fresh and n_pairs > 10:
-            self._cluster(n_pairs)
-
-    def _cluster(self, n_pairs: int) -> None:
-        words = self.state.select(F.explode(F.array("wa", "wb")).alias("word_id")).distinct()
-        edges = self.state.where((F.col("mi") > self.min_mi) & (F.col("count") > self.min_count)).select(F.col("wa").alias("a"), F.col("wb").alias("b"))
-        self.classes = write_table(components.components_of(words, edges), "classes")
-        self.cc_runs += 1
-        row = components.class_entropy(self.classes).first()
-        n_words = self.classes.count()
-        self.rows.append((self.iterations, self.sentences, n_pairs, n_words, int(row["classes"]), float(row["entropy"])))
-        stable = plateau([r[5] for r in self.rows])
+        fresh = pairs.two_phase_counts(batch, self.compartments, self.window) if self.compartments > 1 else pairs.pair_counts(batch, self.window, True)
+        fresh = fresh.select("wa", "wb", "count", F.lit(None).cast("double").alias("mi"), F.lit(True).alias("dirty"))
+        rows = fresh if self.state is None else self.state.unionByName(fresh)
+        merged = rows.groupBy("wa", "wb").agg(F.sum("count").alias("count"), F.coalesce(F.max("mi"), F.lit(0.0)).alias("mi"), F.max("dirty").alias("dirty"))
+        n = batch.count()
+        self._commit(number, merged, self.sentences + n, self.rounds + (n > 0), flush=False)
+
+    def _commit(self, number: int, merged: DataFrame, sentences: int, rounds: int, flush: bool) -> None:
+        merged = write_table(merged, "loop")
+        dirty = merged.agg(F.count_if("dirty")).first()[0]
+        scored = dirty > 0 and (flush or dirty >= self.dirty_least)
+        if scored:
+            rows = mi.with_marginals(merged)
+            value = mi.mi_expr(F.col("count"), F.col("left"), F.col("right"), F.col("total"))
+            merged, dirty = rows.select("wa", "wb", "count", F.when(F.col("dirty"), value).otherwise(F.col("mi")).alias("mi"), F.lit(False).alias("dirty")), 0
+        before = self._last("batch", None)
+        merged.write.mode("overwrite").parquet(f"{self.path}/pairs/{number:08d}")
+        state = self.spark.read.parquet(f"{self.path}/pairs/{number:08d}")
+        row = dict(batch=number, sentences=sentences, rounds=rounds, cc_runs=self.cc_runs, dirty=dirty, pairs=state.count(), words=None, classes=None, entropy=None, converged=None)
+        if scored and row["pairs"] > 10:
+            self._cluster(state, row)
+        self._record(row)
+        if before is not None and before != number:
+            delete_path(self.spark, f"{self.path}/pairs/{before:08d}")
+
+    def _cluster(self, state: DataFrame, row: dict) -> None:
+        words = state.select(F.explode(F.array("wa", "wb")).alias("word_id")).distinct()
+        edges = state.where((F.col("mi") > self.min_mi) & (F.col("count") > self.min_count)).select(F.col("wa").alias("a"), F.col("wb").alias("b"))
+        at = f"{self.path}/classes/{row['batch']:08d}"
+        components.components_of(words, edges).write.mode("overwrite").parquet(at)
+        labels = self.spark.read.parquet(at)
+        found = components.class_entropy(labels).first()
+        row.update(cc_runs=row["cc_runs"] + 1, words=labels.count(), classes=int(found["classes"]), entropy=float(found["entropy"]))
+        stable = plateau(self._entropies() + [row["entropy"]])
         if self.gated:
-            stable = stable and self.sentences >= 500 and self.cc_runs >= 5 and 10 <= row["classes"] < 0.95 * n_words
-        self.converged = stable or self.iterations >= self.max_iterations
+            stable = stable and row["sentences"] >= GATES["sentences"] and row["cc_runs"] >= GATES["cc_runs"] and GATES["classes"] <= row["classes"] < GATES["share"] * row["words"]
+        row["converged"] = "plateau" if stable else "iterations" if row["cc_runs"] >= self.max_iterations else None
 
-    def run(self, sents: DataFrame, batches: int = 3) -> None:
-        """Feed all sentences through a stream, ``batches`` files, until done or converged."""
-        feed = drop_files(sents, batches)
-        stream = sentence_stream(self.spark, feed, sents.select("sent_id", "words").schema)
-        stream.writeStream.foreachBatch(self.step).option("checkpointLocation", f"{feed}-state").trigger(availableNow=True).start().awaitTermination()
+    def _entropies(self) -> list[float]:
+        return [r["entropy"] for r in self.rows if r["entropy"] is not None]
+
+    def _record(self, row: dict) -> None:
+        self.spark.createDataFrame([row], PROGRESS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/progress/{row['batch']:08d}-{row['cc_runs']:08d}")
+        self.rows.append(row)
+
+    def finish(self) -> None:
+        """The data are at an end: score what is dirty, then cluster on until the window of entropies is full.
+
+        Nothing changes between those clusterings, so they repeat the last entropy.
+        A plateau then ends the loop as 'exhausted'.
+        """
+        if not self.rows or self.converged:
+            return
+        if self._last("dirty"):
+            self._commit(self._last("batch"), write_table(self.state, "loop"), self.sentences, self.rounds, flush=True)
+        while not self.converged and self._entropies():
+            row = {**self.rows[-1], **{k: [r for r in self.rows if r["entropy"] is not None][-1][k] for k in ("words", "classes", "entropy")}, "cc_runs": self.cc_runs + 1}
+            row["converged"] = "exhausted" if plateau(self._entropies() + [row["entropy"]]) else None
+            self._record(row)
+
+    # Running over a stream
+    def start(self, feed: str, schema, files_per_trigger: int = 1) -> None:
+        """Begin, or go on, with the files under ``feed``; returns at once."""
+        self.source, self.paused = (feed, schema, files_per_trigger), False
+        stream = sentence_stream(self.spark, feed, schema, files_per_trigger)
+        self.query = stream.writeStream.foreachBatch(self.step).option("checkpointLocation", f"{self.path}/offsets").trigger(availableNow=True).start()
+
+    def wait(self, seconds: int | None = None) -> bool:
+        """Wait until the stream has no more files, stops or converges; whether it did in time."""
+        try:
+            return self.query.awaitTermination(seconds) is not False
+        except StreamingQueryException:
+            if self.paused or self.converged:
+                return True
+            raise
+
+    def poll(self) -> dict:
+        """Counters, and whether a stream is running."""
+        return {"running": self.query is not None and self.query.isActive, "paused": self.paused, "sentences": self.sentences, "rounds": self.rounds, "cc_runs": self.cc_runs, "converged": self.converged}
 
     def pause(self) -> None:
+        """Stop the stream; a batch under way is taken again by resume()."""
         self.paused = True
+        self.stop()
 
     def resume(self) -> None:
         self.paused = False
+        if self.source:
+            self.start(*self.source)
+
+    def stop(self) -> None:
+        if self.query is not None:
+            self.query.stop()
+
+    def run(self, sents: DataFrame, batches: int = 6) -> None:
+        """Feed all sentences through a stream, ``batches`` files, until the end or convergence."""
+        self.start(drop_files(sents, batches), sents.select("sent_id", "words").schema)
+        self.wait()
+        if not self.paused:
+            self.finish()
 
     def progress(self) -> DataFrame:
         """(iteration, sentences, pairs, words, classes, entropy) of every clustering."""
-        return self.spark.createDataFrame(self.rows, "iteration int, sentences long, pairs long, words long, classes long, entropy double")
+        rows = [(r["cc_runs"], r["sentences"], r["pairs"], r["words"], r["classes"], r["entropy"]) for r in self.rows if r["entropy"] is not None]
+        return self.spark.createDataFrame(rows, "iteration int, sentences long, pairs long, words long, classes long, entropy double")
+
+    def sizes(self) -> DataFrame:
+        """(part, size): rows of the state, for each compartment too, by its share of the pairs."""
+        if self.state is None:
+            return self.spark.createDataFrame([], "part string, size long")
+        total = self.state.agg(F.count("*").alias("size")).select(F.lit("pairs").alias("part"), "size")
+        words = self.state.select(F.explode(F.array("wa", "wb")).alias("w")).agg(F.countDistinct("w").alias("size")).select(F.lit("words").alias("part"), "size")
+        shares = self.state.groupBy(F.pmod(F.xxhash64("wa", "wb"), F.lit(self.compartments)).alias("k")).agg(F.count("*").alias("size")).select(F.concat(F.lit("compartment "), F.col("k").cast("string")).alias("part"), "size")
+        return total.unionByName(words).unionByName(shares)

@@ -160,3 +160,95 @@ def test_entry_imports_and_keys_match():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 40
+
+
+def test_word_caps_are_optional(spark):
+    docs = spark.createDataFrame([(1, "a" * 70 + " b c d")], "doc_id long, text string")
+    assert [len(w) for w in sequences.sentences(docs).first()["words"]] == [70, 1, 1, 1]
+    assert [len(w) for w in sequences.sentences(docs, max_words=2, max_chars=63).first()["words"]] == [63, 1]
+    assert sequences.vocabulary(sequences.sentences(docs), 2).count() == 2
+
+
+def test_letters_come_from_ascii_only(spark):
+    docs = spark.createDataFrame([(1, "\u212aelvin Don't na\u00efve")], "doc_id long, text string")
+    assert sequences.sentences(docs).first()["words"] == ["elvin", "don't", "na", "ve"]
+
+
+def test_body_lines_follow_the_marks(spark):
+    books = {"a": ["x", "*** END OF x", "*** START OF book", "one", "TWOSS", "TWO", "2", "*** START OF again", "three", "*** END OF book", "four", "*** START OF more", "five"], "b": ["no mark"], "c": ["*** START OF it", "open end"]}
+    rows = spark.createDataFrame([(d, k, x) for d, ls in books.items() for k, x in enumerate(ls)], "doc string, no int, line string")
+    assert sorted((r["doc"], r["line"]) for r in sequences.body_lines(rows).collect()) == [("a", "TWO"), ("a", "one"), ("a", "three"), ("c", "open end")]
+
+
+def test_text_and_binary_corpora(spark, tmp_path):
+    import struct
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text("".join(f"line {i}\n" for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = sequences.read_text(spark, str(tmp_path / "t")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r["no"], r["line"]) for r in got) == [(i, f"line {i}") for i in range(5000)]
+    sent = [[1, 2, 3], [4], [5, 1]]
+    raw = struct.pack("<II", len(sent), 6) + b"".join(struct.pack(f"<I{len(w)}I", len(w), *w) for w in sent)
+    (tmp_path / "c.bin").write_bytes(raw)
+    assert sorted((r["sent_id"], r["words"]) for r in sequences.read_binary_corpus(spark, str(tmp_path / "c.bin")).collect()) == list(enumerate(sent))
+
+
+def test_given_lists_are_counted(spark):
+    asked = spark.createDataFrame([(2, 1), (1, 2), (3, 3)], "wa long, wb long")
+    old = spark.createDataFrame([(1, 2, 5), (7, 8, 1)], "wa long, wb long, count long")
+    assert counts(pairs.count_given(asked, ["wa", "wb"], old)) == {(1, 2): 7, (3, 3): 1, (7, 8): 1}
+    assert counts(pairs.count_given(asked.where("false"), ["wa", "wb"])) == {}
+
+
+def test_hot_disjuncts_are_dealt_to_parts(spark, monkeypatch):
+    s = spark.createDataFrame([(w, "hot", w % 3 + 1) for w in range(40)] + [(1, "b", 2), (2, "b", 2)], "word long, disjunct string, count long")
+    plain = {(r["wa"], r["wb"]): r["dot"] for r in similarity.dot_products(s).collect()}
+    monkeypatch.setattr(similarity, "HOT", 10)
+    assert {(r["wa"], r["wb"]): r["dot"] for r in similarity.dot_products(s).collect()} == plain and len(plain) == 780
+
+
+def test_store_values_types_and_uris(spark):
+    assert store.parse_uri("gpu://cuda:nvidia:0") == {"scheme": "gpu", "backend": "cuda", "platform": "nvidia", "device": "0"}
+    assert store.parse_uri("gpu://opencl:rtx") == {"scheme": "gpu", "backend": "opencl", "platform": "", "device": "rtx"}
+    assert store.parse_uri("gpu://amd:gfx")["platform"] == "amd" and store.parse_uri("gpu://")["device"] == ""
+    with pytest.raises(ValueError):
+        store.parse_uri("nothing")
+    s = store.AtomStore(spark)
+    s.open()
+    s.store_links(spark.createDataFrame([("b", "a", [1.0], 1), ("a", "b", [9.0, 2.0], 2), ("a", "a", [3.0], 1)], "left string, right string, value array<double>, seq int"), order="seq")
+    s.store_sections(spark.createDataFrame([("a", 5, 2)], "word string, djh long, count long"))
+    s.store_values(spark.createDataFrame([("b", "a", 7.0), ("x", "y", 1.0)], "left string, right string, number double"), 1)
+    s.store_values(spark.createDataFrame([("a", 4.0)], "name string, number double"), 1)
+    got = {(r["a"], r["b"]): r["value"] for r in s.load_links("pair").collect()}
+    assert got == {("a", "b"): [9.0, 7.0], ("a", "a"): [3.0]} and s.load_links("other").count() == 0
+    assert {r["name"]: r["value"] for r in s.load_nodes().collect()} == {"a": [0.0, 4.0], "b": None}
+    asked = spark.createDataFrame([("b", "a"), ("c", "d")], "left string, right string")
+    assert {r["a"]: r["number"] for r in s.load_values(asked, 1).collect()} == {"a": 7.0, "c": None}
+    assert s.incoming(spark.createDataFrame([("a",)], "name string"), "pair").count() == 2
+    m = s.monitor()
+    assert (m["nodes"], m["links"], m["sections"]) == (2, 2, 1)
+    with pytest.raises(Exception, match="equal keys need an order"):
+        s.store_nodes(spark.createDataFrame([("a", [1.0]), ("a", [2.0])], "name string, value array<double>"))
+        s.load_nodes().collect()
+
+
+def test_composites(spark):
+    p = spark.createDataFrame([(1, 2, 4), (2, 3, 4), (1, 3, 2)], "wa long, wb long, count long")
+    words = spark.createDataFrame([(1, None), (2, 0), (3, 0)], "word long, class_id long")
+    updates = spark.createDataFrame([(1, 5)], "word long, class_id long")
+    s = spark.createDataFrame([(1, "x", 2), (2, "x", 1), (3, "x", 1)], "word long, disjunct string, count long")
+    classes, new_pairs, new_sections = substitute.substitute(p, s, words, updates, 100)
+    assert {r["word"]: r["class_id"] for r in classes.collect()} == {1: 5, 2: 0, 3: 0}
+    assert counts(new_pairs) == {(100, 105): 6}
+    assert {r["word"]: r["count"] for r in new_sections.collect()} == {105: 2, 100: 2}
+    m = mi.mi_full(p)
+    costs, values = substitute.grammar(s, m, classes)
+    assert costs.count() == 3 and values.count() <= 1
+    seqs = sents(spark, [1, 2, 3], [2, 3])
+    by_words, by_classes, found = parse.parse_and_surprise(seqs, m, classes, values)
+    assert by_words.count() == by_classes.count() == 3 and found.count() == 2
