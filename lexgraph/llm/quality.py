@@ -71,12 +71,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, miss: float
     """Fit the trees on at most ``max_rows`` labelled rows; returns (forest, log-odds threshold).
 
     The rows are those with the smallest hashes of doc_id, so the same on every
-    run. The threshold is set by cross-fitting: it lies low enough for at most a
+    run. A doc_id with both labels counts as bad; of several texts with one doc_id
+    the least features are taken, so the bound holds whatever repeats. The threshold is set by cross-fitting: it lies low enough for at most a
     share ``miss`` of good rows to score below it when they were not fitted on,
     and never above even odds. Without labels of both classes nothing is rejected.
     """
     picked = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = measure(with_text(docs).join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")).select("doc_id", "features").join(picked, "doc_id").orderBy("doc_id", "features").collect()
+    rows = measure(with_text(docs).join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("features").alias("features")).join(F.broadcast(picked), "doc_id").orderBy("doc_id").collect()
     x = np.array([r["features"] for r in rows]).reshape(-1, len(FEATURES))
     y = np.array([r["quality"] for r in rows], float)
     monotone = np.array(list(FEATURES.values()))
@@ -96,7 +97,8 @@ def quality(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, min_words:
     Returns doc_id, the five counts, base_failed (fewer than ``min_words`` words,
     or more than ``max_repeat`` per cent of them in repeated three-word windows),
     kept (not base_failed, and the trees' verdict is good) and score (0 to 1).
-    One row per input row; null and empty texts fail the base rule.
+    One row per input row, equal for equal texts; null and empty texts fail the base
+    rule, and rows without a doc_id are judged like others.
     """
     forest, threshold = train(docs, labels, max_rows)
     measured = measure(docs)
