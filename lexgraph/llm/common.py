@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lexgraph.session import drop_tables, write_table
+
 BLOCK = 1 << 20
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -211,7 +213,9 @@ def key_frequencies(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[
 
     packed = df.mapInArrow(gather, "bucket int, keys binary, counts binary")
     spread = packed.repartition(min(1 << bits, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket")
-    rows = sorted(spread.mapInArrow(reduce, "bucket int, bits binary, hot binary, hot_counts binary, total long, cold long, partners long").collect(), key=lambda r: r["bucket"])
+    found = write_table(spread.mapInArrow(reduce, "bucket int, bits binary, hot binary, hot_counts binary, total long, cold long, partners long"), "frequencies")
+    rows = sorted(found.collect(), key=lambda r: r["bucket"])
+    drop_tables(found)
     step = 1 << (BITS - bits)
     bitmap = np.zeros(1 << (BITS - 3), np.uint8)
     hot, hot_counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]

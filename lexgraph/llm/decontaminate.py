@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexgraph.session import write_table
 
 WIDTH = 5
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 16, 3
-#: Every fingerprint within this distance has a block within BLOCK_RADIUS.
-RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
+BLOCKS, BLOCK_BITS = 8, 16
 BROADCAST_ROWS = 200_000
 
 
+def block_radius(similarity: float) -> int:
+    """The bits in which one block at least must be searched, so that windows at ``similarity`` are found but for about one in 400.
+
+    Their shingles have a cosine of 2 s / (1 + s); a bit of two fingerprints differs
+    with the angle's share of a half turn. All within BLOCKS * (radius + 1) - 1 bits
+    are found.
+    """
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    bits = BLOCKS * BLOCK_BITS
+    return max(0, math.ceil((bits * p + 2.8 * math.sqrt(bits * p * (1 - p)) + 1) / BLOCKS) - 1)
+
+
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
@@ -50,24 +62,30 @@ def simhash(rows: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, *prints)
 
 
+def _each(counted: DataFrame, by: str, n: str) -> DataFrame:
+    """(by, key): the n-th occurrence of a key has a key of its own, so that weights spread over bits as the similarity has them."""
+    rows = counted.select(by, "key", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))).alias("k"))
+    return rows.select(by, F.when(F.col("k") == 1, F.col("key")).otherwise(F.xxhash64("key", "k")).alias("key"))
+
+
 def _block_keys() -> Column:
     """Array of (block, value) of a fingerprint."""
     per = 64 // BLOCK_BITS
     return F.array(*(F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(F.col(f"f{b // per}"), BLOCK_BITS * (b % per)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("value")) for b in range(BLOCKS)))
 
 
-def similar_prints(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """(wkey, item_id) of all fingerprints within RADIUS of each other.
+def similar_prints(windows: DataFrame, items: DataFrame, radius: int) -> DataFrame:
+    """(wkey, item_id) of all fingerprints that differ in at most BLOCKS * (radius + 1) - 1 bits.
 
-    Each fingerprint has BLOCKS blocks; within RADIUS, one block at least differs in
-    at most BLOCK_RADIUS bits. Items, the small fixed side, are listed under all
-    block values that near; windows look up their own.
+    Each fingerprint has BLOCKS blocks; within that distance, one block at least
+    differs in at most ``radius`` bits. Items are listed under all block values that
+    near; windows look up their own.
     """
-    masks = F.array(*(F.lit(m) for m in range(1 << BLOCK_BITS) if m.bit_count() <= BLOCK_RADIUS))
+    masks = F.array(*(F.lit(m) for m in range(1 << BLOCK_BITS) if m.bit_count() <= radius))
     listed = items.select("item_id", F.col("f0").alias("g0"), F.col("f1").alias("g1"), F.explode(_block_keys()).alias("b"))
     listed = listed.select("item_id", "g0", "g1", "b.block", "b.value", F.explode(masks).alias("mask")).select("item_id", "g0", "g1", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
     asked = windows.select("wkey", "f0", "f1", F.explode(_block_keys()).alias("b")).select("wkey", "f0", "f1", "b.block", "b.value")
-    near = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) <= RADIUS
+    near = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) < BLOCKS * (radius + 1)
     return asked.join(listed, ["block", "value"]).where(near).select("wkey", "item_id").distinct()
 
 
@@ -83,7 +101,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     A window can only reach the similarity if enough of its shingles stand in some
     item, and then also where it is moved to start at the first of them, or at the
     text's end. So only such windows are fingerprinted; equal ones once. Candidate
-    pairs come from the fingerprints alone, then are verified exactly.
+    pairs come from the fingerprints alone, then are verified exactly. Shingles,
+    windows and texts are told apart by 64-bit hashes, windows by two of them.
+    Repeated rows give one result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null").withColumn("rid", F.xxhash64("text"))
     items = with_shingles(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")).where(F.size("keys") > 0)
@@ -107,9 +127,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     distinct = windows.groupBy("wkey").agg(F.any_value("cut").alias("cut"))
     weights = write_table(distinct.select("wkey", F.explode("cut").alias("key")), "window-shingles")
     item_rows = items.select("item_id", F.explode("keys").alias("key"))
-    near = similar_prints(write_table(simhash(weights, ["wkey"]), "window-prints"), write_table(simhash(item_rows, ["item_id"]), "item-prints"))
-    w = weights.groupBy("wkey", "key").agg(F.count("*").alias("a"))
+    w = write_table(weights.groupBy("wkey", "key").agg(F.count("*").alias("a")), "window-weights")
     i = item_rows.groupBy("item_id", "key").agg(F.count("*").alias("b"))
+    near = similar_prints(write_table(simhash(_each(w, "wkey", "a"), ["wkey"]), "window-prints"), write_table(simhash(_each(i, "item_id", "b"), ["item_id"]), "item-prints"), block_radius(similarity))
     both = near.join(w, "wkey").join(i, ["item_id", "key"]).groupBy("wkey", "item_id").agg(F.sum(F.least("a", "b")).alias("same"))
     sizes = both.join(w.groupBy("wkey").agg(F.sum("a").alias("na")), "wkey").join(i.groupBy("item_id").agg(F.sum("b").alias("nb")), "item_id")
     score = F.col("same") / (F.col("na") + F.col("nb") - F.col("same"))

@@ -132,7 +132,7 @@ def _texts_of(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
             for lo, hi, keys, at in _document_sets(batch, width):
                 yield batch.slice(lo, hi - lo).filter(pa.array([a == b for a, b in zip(digest128(keys, at), sids[lo:hi])], pa.bool_()))
 
-    rows = _narrow(with_text(docs), chosen, "doc_id", "inner").select("doc_id", "text", "sid", "sno")
+    rows = with_text(docs).join(chosen, "doc_id").select("doc_id", "text", "sid", "sno")
     # Only rows that share a doc_id can have another set than the chosen one, or repeat it.
     return rows.mapInArrow(run, "doc_id long, text string, sid binary, sno long").dropDuplicates(["sno"]) if _repeats(docs) else rows
 

@@ -75,7 +75,7 @@ class _Window:
         file.seek(at)
 
     def more(self) -> bool:
-        got = self.file.read(_READ)
+        got = self.file.read(max(_READ, len(self.data)))  # twice as much each time: a long record is copied a few times only
         self.data += got
         return bool(got)
 

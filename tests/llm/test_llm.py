@@ -159,6 +159,9 @@ def test_warc_round_trip_and_small_splits(spark, monkeypatch):
         assert sorted((x.page_id, x.payload_bytes, x.payload_digest, x.refers_to) for x in got if x.page_id != 3) == [w for w in want if w[0] != 3]
         assert all((x.record_type == "revisit") == (x.refers_to is not None) for x in got) and len(got) == len(rows)
     assert warc.archive_pages(df.where("false")).count() == 0
+    odd = spark.createDataFrame([(None, "u", "<p>x</p>" * 40, 1), (None, None, None, 1), (7, "u", "<p>x</p>" * 40, 1), (8, "u", "<p>x</p>" * 40, 1), (9, "v", "y" * 3_000_000, 1)], "page_id long, url string, html string, n int")
+    got = sorted(((x.page_id, x.payload_bytes, x.record_type, x.refers_to) for x in warc.archive_pages(odd).collect()), key=str)
+    assert got == sorted([(None, 320, "response", None), (None, 0, "response", None), (7, 320, "response", None), (8, 320, "revisit", 7), (9, 3_000_000, "response", None)], key=str)
 
 
 def test_html_extraction(spark):
@@ -352,6 +355,29 @@ def test_decontamination_against_all_windows(spark):
     assert got == pytest.approx(decontaminate_brute(rows, items)) and len(got) > 20
 
 
+def test_decontamination_recall_near_the_threshold(spark):
+    """Windows at a similarity of 0.80 to 0.85, some with a shingle repeated many times: at least 99 in 100 are found."""
+    r = random.Random(16)
+    items, rows, sims = [], [], {}
+    while len(rows) < 400:
+        k, n = len(rows), r.choice([60, 90, 140])
+        v = [f"i{k}x{j}" for j in range(n)]
+        w = list(v)
+        cut = r.randint(n // 12, n // 7)
+        w[n - cut :] = [f"e{k}"] * cut if r.random() < 0.4 else [f"e{k}x{j}" for j in range(cut)]
+        a, b = (Counter(zip(*(t[i:] for i in range(5)))) for t in (v, w))
+        same = sum((a & b).values())
+        s = same / (sum(a.values()) + sum(b.values()) - same)
+        if 0.8 <= s <= 0.85:
+            items.append((k, " ".join(v)))
+            rows.append((k, " ".join(w)))
+            sims[k] = s
+    found = decontaminate.decontaminate(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {x.doc_id: x.similarity for x in found} == pytest.approx({x.doc_id: sims[x.doc_id] for x in found})
+    print("recall at 0.80 to 0.85:", len(found) / len(rows))
+    assert len(found) >= 0.99 * len(rows) and all(x.doc_id == x.item_id for x in found)
+
+
 def test_lm_scores_against_counting(spark):
     r = random.Random(8)
     rows = [(i, " ".join(r.choice("abcdefghij") * r.randint(1, 2) for _ in range(r.randint(0, 30)))) for i in range(60)] + ODD + [(None, "a b"), (9004, "a b")]
@@ -426,8 +452,35 @@ def test_line_dedup_query_equals_sql(spark, tmp_path):
     assert sum(x.n_removed for x in got) == 32
 
 
+def test_html_nulls_and_repeated_rows(spark):
+    page = "<main><p>Some text of its own stands here, and it is long enough to be read.</p></main>"
+    df = spark.createDataFrame([(1, None, page, "x", 1), (1, None, page, "x", 1), (None, "u", page, None, 2), (2, "u", "<p>" + "word " * 50_000, "x", 3)], "page_id long, url string, html string, text string, n_chars int")
+    got = html.extract(df).collect()
+    text = "Some text of its own stands here, and it is long enough to be read."
+    assert sorted((str(x.page_id), x.text) for x in got if x.page_id != 2) == [("1", text), ("1", text), ("None", text)]
+    assert [x.n_chars for x in got if x.page_id == 2] == [50_000 * 5 - 1]
+
+
+def test_odd_rows_of_the_other_operators(spark):
+    """Null and repeated ids, null, empty and very long texts."""
+    rows = ODD + [(None, "under the mit license"), (None, "under the mit license"), (9007, "licensed under the mit license " * 3000)]
+    df = docs(spark, rows)
+    got = license.scan_licenses(df).collect()
+    assert len(got) == len(rows) and sum(x.n_base for x in got) == 3002
+    assert [len(x.spans) >= 3000 for x in got if x.doc_id == 9007] == [True]
+    assert bpe.encode_documents(df, word_bpe_path()).count() == len(rows)
+    assert suffix.dedup_substrings(df).count() == len(rows)
+    labels = spark.createDataFrame([(9004, 1, 0), (9004, 0, 0), (None, 1, 0), (9005, None, None)], "doc_id long, quality int, toxic int")
+    assert quality.quality(df, labels).count() == len(rows)
+
+
 def test_empty_tables(spark):
     empty = docs(spark, [(1, "x")]).where("false")
     b = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
-    for df in (bpe.encode_documents(empty, word_bpe_path()), license.scan_licenses(empty), jaccard.jaccard_components(empty), suffix.dedup_substrings(empty), lm.score_documents(empty), linededup.dedup_lines(empty), decontaminate.decontaminate(empty, b)):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    assert quality.keep_good(empty, none).count() == 0 and linededup.clean_documents(empty).count() == 0
+    assert decontaminate.decontaminate(docs(spark, ODD), b.where("false")).count() == 0
+    assert lm.score_with(empty, lm.ngram_counts(empty), 0).count() == 0
+    for df in (html.extract(pages), warc.archive_pages(pages), quality.quality(empty, none), bpe.encode_documents(empty, word_bpe_path()), license.scan_licenses(empty), jaccard.jaccard_components(empty), suffix.dedup_substrings(empty), lm.score_documents(empty), linededup.dedup_lines(empty), decontaminate.decontaminate(empty, b)):
         assert df.count() == 0
