@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import bisect
 import functools
+import heapq
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -108,20 +109,35 @@ def _places(hay: bytes, needle: bytes) -> Iterator[int]:
         at = hay.find(needle, at + 1)
 
 
-def _best(pattern: regex.Pattern, line: bytes, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
-    """(start, end, edits) of the best match within lo and hi, and then of those on both sides of it."""
-    todo = [(lo, hi)]
-    while todo:
-        lo, hi = todo.pop()
-        while lo < hi and (m := pattern.search(line, lo, hi)):
-            a, b = m.span()
-            if b < len(line) and line[b : b + 1] != b" ":  # the window's end is no word's end
-                hi = b - 1
-                continue
-            if line[a:b].strip():
-                yield a, b, sum(m.fuzzy_counts)
-            todo.append((lo, a))
-            lo = max(b, a + 1)
+def _match(pattern: regex.Pattern, line: bytes, lo: int, hi: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the best match within lo and hi that ends at a word's end of ``line``."""
+    while lo < hi and (m := pattern.search(line, lo, hi)):
+        a, b = m.span()
+        if b == len(line) or line[b : b + 1] == b" " or line[b - 1 : b] == b" ":
+            return (sum(m.fuzzy_counts), a, b) if line[a:b].strip() else None
+        hi = b - 1
+    return None
+
+
+def _best(pattern: regex.Pattern, line: bytes, windows: Iterable[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of the matches within the windows, the best first; what overlaps a better one is sought again beside it."""
+    queue = [(*m, lo, hi) for lo, hi in windows if (m := _match(pattern, line, lo, hi))]
+    heapq.heapify(queue)
+    taken: list[tuple[int, int]] = []
+    out = []
+    while queue:
+        edits, a, b, lo, hi = heapq.heappop(queue)
+        at = bisect.bisect_left(taken, (a, b))
+        if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < b):
+            near = taken[max(at - 1, 0) : at + 2]
+            cuts = sorted((x, y) for x, y in near if x < hi and y > lo)
+            for x, y in zip([lo, *(y for _, y in cuts)], [*(x for x, _ in cuts), hi]):
+                if (x, y) != (lo, hi) and (m := _match(pattern, line, x, y)):
+                    heapq.heappush(queue, (*m, x, y))
+            continue
+        taken.insert(at, (a, b))
+        out.append((edits, a, b))
+    return out
 
 
 def scan(text: str, notices: tuple[tuple[str, str], ...] = tuple(NOTICES.items()), per_edit: int = CHARS_PER_EDIT) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int, int, float]]]:
@@ -139,17 +155,11 @@ def scan(text: str, notices: tuple[tuple[str, str], ...] = tuple(NOTICES.items()
     for phrase, label in BASE.items():
         base += [(label, word_at(at + 1)) for at in _places(line, b" " + phrase.encode() + b" ")]
     for raw, label, edits, pattern, pieces in _plan(notices, per_edit):
-        windows: list[list[int]] = []
-        for lo, hi in sorted((max(0, at - off - edits - 1), min(len(line), at - off + len(raw) + edits + 1)) for off, piece in pieces for at in _places(line, piece)):
-            if windows and lo <= windows[-1][1]:
-                windows[-1][1] = max(windows[-1][1], hi)
-            else:
-                windows.append([lo, hi])
-        for lo, hi in windows:
-            for a, b, used in _best(pattern, line, lo, hi):
-                found = line[a:b].strip()
-                first = word_at(a + (line[a : a + 1] == b" "))
-                spans.append((label, first, first + found.count(b" ") + 1, used, 1 - used / len(raw)))
+        windows = {(max(0, at - off - edits - 1), min(len(line), at - off + len(raw) + edits + 1)) for off, piece in pieces for at in _places(line, piece)}
+        for used, a, b in _best(pattern, line, windows):
+            found = line[a:b].strip()
+            first = word_at(a + (line[a : a + 1] == b" "))
+            spans.append((label, first, first + found.count(b" ") + 1, used, 1 - used / len(raw)))
     return len(words), base, spans
 
 
