@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexgraph import store
 from lexgraph.operators import components, divergence, keyed, mi, pairs, parse, similarity, substitute
-from lexgraph.session import table, write_table
+from lexgraph.session import spread, table, write_table
 from lexgraph.sources import sequences
 from lexgraph.streaming import learning
 
@@ -61,7 +61,7 @@ def _baskets(spark, d):
 
 
 def _doc_sents(spark, d):
-    return sequences.sentences(table(spark, d, "documents"))
+    return sequences.sentences(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def _mi_baskets(spark, d):
@@ -291,7 +291,7 @@ C_EDGES = EDGES.replace(TOK_B, TOK_C).replace(PC(6), PC(2))
 
 def _turn_sents(spark, d):
     """Sentences of all turns; those of over 64 words go on as further sequences."""
-    cut = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "[.!?\n]")).alias("no", "s"))
+    cut = spread(table(spark, d, "conversations")).select("conv_id", "turn", F.posexplode(F.split("text", "[.!?\n]")).alias("no", "s"))
     whole = cut.select(F.struct("conv_id", "turn", "no").alias("sent_id"), sequences.words_of(F.col("s")).alias("words")).where(F.size("words") >= 2)
     return sequences.pieces(whole).select(F.struct("sent_id.*", "piece").alias("sent_id"), "words").where(F.size("words") >= 2)
 
@@ -463,7 +463,7 @@ n{n} AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY mi DESC, partne
 
 
 def _side(spark, d, cond):
-    return divergence.neighbourhoods(mi.mi_full(pairs.pair_counts(sequences.sentences(table(spark, d, "documents").where(cond)), 2)))
+    return divergence.neighbourhoods(mi.mi_full(pairs.pair_counts(sequences.sentences(spread(table(spark, d, "documents").where(cond).select("doc_id", "text"))), 2)))
 
 
 @query(f"WITH {TOK_D}, {NB('= ' + chr(39) + 'en' + chr(39), 'a')} SELECT word, partner, {R.format('mi')} AS mi, rank FROM na")

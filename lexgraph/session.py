@@ -82,6 +82,12 @@ def ensure_importable(spark: SparkSession) -> None:
         spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt anew among tasks if it has fewer than two parts for each core: a small file is one part, whatever its rows cost."""
+    want = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a scale-factor folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
