@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lexgraph.llm.common import _BYTE, _MULT, _STEP, _powers, slices, mix, with_text
@@ -25,10 +27,17 @@ FAR = np.iinfo(np.int64).max
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
-def _inverse_powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _BACK, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+@functools.lru_cache(1)
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the hash's base and of its inverse."""
+    back = np.full(max(n, 1), _BACK, np.uint64)
+    back[0] = 1
+    return _powers(n), np.multiply.accumulate(back)
+
+
+def _up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    power, back = _tables(1 << max(20, (n - 1).bit_length()))
+    return power[:n], back[:n]
 
 
 def stretches(texts: pa.Array, length: int) -> Iterator[tuple]:
@@ -37,14 +46,16 @@ def stretches(texts: pa.Array, length: int) -> Iterator[tuple]:
     A window's minimiser is the least hash among its ``GRAM``-byte pieces, so equal
     windows have equal minimisers wherever they stand. Yields (first row, end row,
     bytes, and for each run: row, start in the row, start in the bytes, windows,
-    minimiser, hash of the run's bytes). A run has at most ``LONGEST`` windows.
+    minimiser, hash of the run's bytes; and a function that hashes the windows at
+    given places of the bytes). A run has at most ``LONGEST`` windows.
     """
     for lo, hi, part, at in slices(texts):
         n = len(part)
         if n < length:
             continue
-        power, back = _powers(n), _inverse_powers(n)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[part] * power, dtype=np.uint64)])
+        power, back = _up_to(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[part] * power, dtype=np.uint64, out=sums[1:])
         least = mix((sums[GRAM:] - sums[:-GRAM]) * back[: n - GRAM + 1])
         width, have = length - GRAM + 1, 1
         while have * 2 <= width:
@@ -52,22 +63,27 @@ def stretches(texts: pa.Array, length: int) -> Iterator[tuple]:
             have *= 2
         if have < width:
             least = np.minimum(least[: -(width - have)], least[width - have :])
-        row = np.searchsorted(at, np.arange(len(least)), "right") - 1
-        fits = np.arange(len(least)) + length <= at[row + 1]
-        where = np.flatnonzero(fits)
-        if not len(where):
-            continue
-        new = np.ones(len(where), bool)
-        new[1:] = (least[where[1:]] != least[where[:-1]]) | (row[where[1:]] != row[where[:-1]]) | (where[1:] != where[:-1] + 1)
+        sizes = np.diff(at)
+        row = np.repeat(np.arange(hi - lo), sizes)[: len(least)]
+        fits = np.arange(length, length + len(least)) <= np.repeat(at[1:], sizes)[: len(least)]
+        new = fits.copy()
+        new[1:] &= (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | ~fits[:-1]
         first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(where)))
+        if not len(first):
+            continue
+        rank = np.cumsum(fits)
+        size = np.diff(np.append(rank[first], rank[-1] + 1))
         pieces = -(-size // LONGEST)
         k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = where[first].repeat(pieces) + k * LONGEST
+        start = first.repeat(pieces) + k * LONGEST
         windows = np.minimum(size.repeat(pieces) - k * LONGEST, LONGEST)
         end = start + windows - 1 + length
         text_hash = mix((sums[end] - sums[start]) * back[start] + windows.astype(np.uint64) * _MULT[53])
-        yield lo, hi, part, row[start], start - at[row[start]], start, windows, least[start], text_hash
+
+        def hashes(places: np.ndarray, sums=sums, back=back) -> np.ndarray:
+            return mix((sums[places + length] - sums[places]) * back[places] + _MULT[54])
+
+        yield lo, hi, part, row[start], start - at[row[start]], start, windows, least[start], text_hash, hashes
 
 
 def suffix_array(text: np.ndarray, ahead: int) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +290,7 @@ def shared_minimisers(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(FAR).to_numpy()
-            for lo, _, _, row, _, _, _, key, digest in stretches(batch.column(1), length):
+            for lo, _, _, row, _, _, _, key, digest, _ in stretches(batch.column(1), length):
                 order = np.lexsort((digest, key))
                 key, digest, own = key[order], digest[order], ids[lo + row[order]]
                 new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -297,34 +313,6 @@ def _hot_keys(shared: DataFrame) -> np.ndarray:
     return np.array([r["key"] for r in many.where(F.col("n") > most).select("key").collect()], np.int64).view(np.uint64)
 
 
-def _hot_spans(texts: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
-    """(doc_id, rid, lo, hi) of windows with a hot minimiser that a smaller doc_id holds too.
-
-    Windows are compared by their bytes, aggregated before the exchange. Those that
-    stand in very many places are few, and are looked up from a broadcast.
-    """
-
-    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, _, part, row, start, at, n, key, _ in stretches(batch.column(1), length):
-                keep = np.flatnonzero(np.isin(key, hot))
-                raw = part.tobytes()
-                for some in np.array_split(keep, -(-len(keep) // 1000) or 1):
-                    rows = pa.array(np.repeat(lo + row[some], n[some]))
-                    strings = [raw[p : p + length] for p in _ranges(at[some], n[some]).tolist()]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(_ranges(start[some], n[some])), pa.array(strings, pa.binary())], ["doc_id", "rid", "lo", "bytes"])
-
-    rows = write_table(texts.where("doc_id is not null").mapInArrow(windows_of, "doc_id long, rid long, lo long, bytes binary"), "windows")
-    least = rows.groupBy("bytes").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("last > least")
-    least = write_table(least.select("bytes", "least", "n"), "least")
-    places = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    over = F.col("n") > max(4096, places // 20_000)
-    tagged = rows.join(F.broadcast(least.where(over).drop("n")), "bytes", "left")
-    rare = tagged.where("least is null").drop("least").join(least.where(~over).drop("n"), "bytes")
-    spans = tagged.where("least is not null").unionByName(rare).where("least < doc_id")
-    return spans.select("doc_id", "rid", "lo", (F.col("lo") + length).alias("hi"))
-
-
 def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     """Remove every byte under a string of ``length`` bytes that also starts in a document with a smaller doc_id.
 
@@ -341,8 +329,9 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     shards has them merged by binary search. Results then go back to all documents
     that hold a stretch, by a join. Bitmaps of fixed size leave out most of the
     other stretches before the exchanges; they decide no result. The windows of a
-    minimiser with more than ``MOST`` stretches are not judged in one task:
-    they are dealt by their own bytes and aggregated.
+    minimiser with more than ``MOST`` stretches are not judged in one task: each is
+    a stretch of its own, dealt by its own hash. Stretches are told apart by 128
+    bits of hashes.
     """
     ensure_importable(docs.sparkSession)
     texts = with_text(docs).withColumn("rid", F.xxhash64("text"))
@@ -351,10 +340,22 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     hot = _hot_keys(shared)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "tid", "stretch", "first", "n"]
         for batch in batches:
             ids = batch.column(0).fill_null(FAR).to_numpy()
-            for lo, _, part, row, _, start, windows, key, digest in stretches(batch.column(1), length):
-                keep = np.flatnonzero(contested.has(key) & ~np.isin(key, hot))
+            for lo, _, part, row, _, start, windows, key, digest, hashes in stretches(batch.column(1), length):
+                keep = np.flatnonzero(contested.has(key))
+                if len(hot) and len(keep):
+                    is_hot = np.isin(key[keep], hot)
+                    some, keep = keep[is_hot], keep[~is_hot]
+                    tid = hashes(_ranges(start[some], windows[some]))
+                    by = mix(tid ^ np.repeat(key[some], windows[some]))
+                    order = np.argsort(by, kind="stable")
+                    by, tid, own = by[order], tid[order], ids[lo + np.repeat(row[some], windows[some])[order]]
+                    new = np.flatnonzero(np.concatenate([[True], (by[1:] != by[:-1]) | (tid[1:] != tid[:-1])])) if len(tid) else order
+                    if len(new):
+                        n = np.diff(np.append(new, len(tid)))
+                        yield pa.RecordBatch.from_arrays([pa.array(by[new].view(np.int64)), pa.array(tid[new].view(np.int64)), pa.nulls(len(new), pa.binary()), pa.array(np.minimum.reduceat(own, new)), pa.array(n)], names)
                 keep = keep[np.lexsort((digest[keep], key[keep]))]
                 new = np.flatnonzero(np.concatenate([[True], (key[keep[1:]] != key[keep[:-1]]) | (digest[keep[1:]] != digest[keep[:-1]])])) if len(keep) else keep
                 if not len(new):
@@ -364,7 +365,14 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
                 keep = keep[new]
                 raw = part.tobytes()
                 strings = [raw[a : a + w + length - 1] for a, w in zip(start[keep].tolist(), windows[keep].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(digest[keep].view(np.int64)), pa.array(strings, pa.binary()), pa.array(first), pa.array(n)], ["key", "tid", "stretch", "first", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(digest[keep].view(np.int64)), pa.array(strings, pa.binary()), pa.array(first), pa.array(n)], names)
+
+    def single(rows: pa.RecordBatch) -> pa.RecordBatch:
+        """Windows that stand for themselves. What one batch holds of a window may do: its place loses bytes if any batch has a lesser document."""
+        key, tid = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tid[1:] != tid[:-1])]))
+        least = np.minimum.reduceat(rows.column(3).to_numpy(), new)
+        return pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(tid[new]), pa.array(least), pa.array(np.zeros(len(new), np.int32)), pa.array(np.ones(len(new), np.int32))], ["key", "tid", "least", "lo", "hi"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -412,6 +420,10 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
             held, size = ([rows], 0) if rows.num_rows else ([], 0)
 
         for batch in batches:
+            alone = batch.column(2).is_null()
+            if batch.column(2).null_count:
+                yield single(batch.filter(alone))
+                batch = batch.filter(pc.invert(alone))
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 held.append(part)
@@ -427,18 +439,23 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     judged = write_table(cuts.repartition(parts, "key").sortWithinPartitions("key", "tid").mapInArrow(judge, "key long, tid long, least long, lo int, hi int"), "stretches")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "tid", "doc_id", "rid", "start", "windows"]
         for batch in batches:
-            for lo, _, _, row, start, _, windows, key, digest in stretches(batch.column(1), length):
-                keep = np.flatnonzero(held_twice.has(key) & ~np.isin(key, hot))
+            for lo, _, _, row, start, at, windows, key, digest, hashes in stretches(batch.column(1), length):
+                keep = np.flatnonzero(held_twice.has(key))
+                if len(hot) and len(keep):
+                    is_hot = np.isin(key[keep], hot)
+                    some, keep = keep[is_hot], keep[~is_hot]
+                    if len(some):
+                        tid, rows = hashes(_ranges(at[some], windows[some])), pa.array(lo + np.repeat(row[some], windows[some]))
+                        yield pa.RecordBatch.from_arrays([pa.array(mix(tid ^ np.repeat(key[some], windows[some])).view(np.int64)), pa.array(tid.view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(_ranges(start[some], windows[some])), pa.array(np.ones(len(tid), np.int32))], names)
                 rows = pa.array(lo + row[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(digest[keep].view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(start[keep]), pa.array(windows[keep].astype(np.int32))], ["key", "tid", "doc_id", "rid", "start", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(digest[keep].view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(start[keep]), pa.array(windows[keep].astype(np.int32))], names)
 
     held = texts.where("doc_id is not null").mapInArrow(places, "key long, tid long, doc_id long, rid long, start long, windows int")
     alone = shared.where("tid is not null").select("key", "tid", F.col("first").alias("least"), F.lit(0).alias("lo"), F.lit(LONGEST).alias("hi"))
     spans = held.join(judged.unionByName(alone), ["key", "tid"]).where("least < doc_id")
     spans = spans.select("doc_id", "rid", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.least("hi", "windows") + (length - 1)).alias("hi"))
-    if len(hot):
-        spans = spans.unionByName(_hot_spans(texts, hot, length))
     spans = write_table(spans.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("lo", "hi")).alias("found")), "spans")
     drop_tables(shared, judged)
 
