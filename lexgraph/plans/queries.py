@@ -75,7 +75,7 @@ def _sections(spark, d):
 def _classes(spark, d):
     part = table(spark, d, "part").select(F.col("p_partkey").alias("word"), "p_brand")
     ids = components.class_ids(part.select(F.col("p_brand").alias("root")))
-    return part.join(F.broadcast(ids), part.p_brand == ids.root).select("word", "class_id")
+    return part.join(ids, part.p_brand == ids.root).select("word", "class_id")
 
 
 # Sequences
