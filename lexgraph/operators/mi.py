@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexgraph.session import write_table, written
 
 EPS = 1e-10
-#: Words with their marginals that may be broadcast: some 64 bytes each.
-BROADCAST_WORDS = 500_000
+#: Bytes of words with their marginals that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def mi_expr(count: Column, left: Column, right: Column, total: Column) -> Column:
@@ -22,16 +22,16 @@ def with_marginals(pairs: DataFrame) -> DataFrame:
     """Pairs with left, right (both words' marginals) and total (all pair events).
 
     Pairs are written first, as they are read three times; marginals are broadcast
-    if there are at most BROADCAST_WORDS, else joined by shuffles that AQE may split.
+    if they are within BROADCAST_BYTES, else joined by shuffles that AQE may split.
     """
     from lexgraph.operators.pairs import marginals
 
     pairs = written(pairs, "pairs")
     m = write_table(marginals(pairs), "marginals")
-    row = m.agg(F.count("*").alias("n"), F.sum("marginal").alias("twice")).first()
+    row = m.agg(F.sum(F.octet_length(F.col("word").cast("string")) + 32).alias("size"), F.sum("marginal").alias("twice")).first()
     left = m.select(F.col("word").alias("wa"), F.col("marginal").alias("left"))
     right = m.select(F.col("word").alias("wb"), F.col("marginal").alias("right"))
-    if row["n"] <= BROADCAST_WORDS:
+    if (row["size"] or 0) <= BROADCAST_BYTES:
         left, right = F.broadcast(left), F.broadcast(right)
     # Each pair event counts for both of its words.
     return pairs.join(left, "wa").join(right, "wb").withColumn("total", F.lit((row["twice"] or 0) / 2))

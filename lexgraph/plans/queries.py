@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lexgraph import store
 from lexgraph.operators import components, divergence, keyed, mi, pairs, parse, similarity, substitute
@@ -380,7 +380,9 @@ def class_entropy(spark, d):
 def top_classes(spark, d):
     labels = _basket_classes(spark, d)
     best = labels.groupBy("root").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "root").limit(10)
-    some = labels.join(F.broadcast(best), "root").groupBy("root", "size").agg(F.slice(F.sort_array(F.collect_list("word_id")), 1, 12).alias("m"))
+    # Spark picks a class's first twelve before the exchange.
+    rank = F.row_number().over(Window.partitionBy("root", "size").orderBy("word_id"))
+    some = labels.join(F.broadcast(best), "root").withColumn("rank", rank).where("rank <= 12").groupBy("root", "size").agg(F.sort_array(F.collect_list("word_id")).alias("m"))
     return some.select("root", "size", F.array_join(F.col("m").cast("array<string>"), ",").alias("members"))
 
 
