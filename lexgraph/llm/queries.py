@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexgraph.llm import bpe, decontaminate, html, jaccard, license, linededup, lm, quality, suffix, warc
+from lexgraph.llm import bpe, decontaminate, html, jaccard, license, linededup, lm, quality, suffix, tokenfile, warc
 from lexgraph.session import table
 
 
@@ -61,7 +61,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_warc, op4_license_scans, op5_decontamination, op6_bpe, op7_jaccard_join, op8_lm_scoring, op9_suffix_dedup, op10_line_dedup)}
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_files(table(spark, sf_dir, "documents"), word_bpe_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_warc, op4_license_scans, op5_decontamination, op6_bpe, op7_jaccard_join, op8_lm_scoring, op9_suffix_dedup, op10_line_dedup, op13_token_files)}
 
 ORACLES = {
     "op3_warc": """
