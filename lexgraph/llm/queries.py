@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexgraph.llm import bpe, decontaminate, html, jaccard, license, linededup, lm, quality, suffix, tokenfile, warc
+from lexgraph.llm import bpe, decontaminate, html, jaccard, license, linededup, lm, quality, spelling, suffix, tokenfile, warc
 from lexgraph.session import table
 
 
@@ -61,11 +61,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_warc, op4_license_scans, op5_decontamination, op6_bpe, op7_jaccard_join, op8_lm_scoring, op9_suffix_dedup, op10_line_dedup, op13_token_files)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_warc, op4_license_scans, op5_decontamination, op6_bpe, op7_jaccard_join, op8_lm_scoring, op9_suffix_dedup, op10_line_dedup, op12_spelling_variants, op13_token_files)}
 
 ORACLES = {
     "op3_warc": """
@@ -93,4 +97,19 @@ WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS l
      d AS (SELECT doc_id, any_value(text) AS text, count(*) AS n_lines, count_if(gone) AS n, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
 SELECT doc_id, n_lines, CAST(n AS BIGINT) AS n_removed, sha256(CASE WHEN n > 0 THEN kept ELSE text END) AS kept_sha256
 FROM d""",
+    # The crc32 of a run is folded over its UTF-8 bytes (all code points are below U+0100) with a table made by the rule.
+    "op12_spelling_variants": r"""
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i))),
+runs AS (SELECT doc_id, translate(unnest(string_split_regex(text, '[^A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY 1, 2),
+code AS (SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END)) AS bytes FROM each),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(bytes, lambda b: CAST(b AS BIGINT))), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS h FROM code, tab),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+spot AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+near AS (SELECT DISTINCT a.word AS a, b.word AS b FROM spot a JOIN spot b ON a.i = b.i AND length(a.word) = length(b.word) AND a.word <> b.word AND a.word[: a.i - 1] || '?' || a.word[a.i + 1 :] = b.word[: b.i - 1] || '?' || b.word[b.i + 1 :]
+ UNION SELECT s.word, v.word FROM spot s JOIN v ON v.word = s.word[: i - 1] || s.word[i + 1 :] UNION SELECT v.word, s.word FROM spot s JOIN v ON v.word = s.word[: i - 1] || s.word[i + 1 :]),
+best AS (SELECT a AS word, count(*) AS n_near, min((-n, b)) AS o FROM near JOIN v ON b = word GROUP BY 1),
+form AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -o[1] >= 5 * v.n THEN o[2] END AS form, CASE WHEN -o[1] >= 5 * v.n THEN -o[1] END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at FROM form UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON walk.at = form.word WHERE form.form IS NOT NULL)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM form f JOIN walk w ON f.word = w.word JOIN form l ON w.at = l.word WHERE l.form IS NULL""",
 }
