@@ -66,16 +66,16 @@ def slices(texts: pa.Array, rows: int = 512) -> Iterator[tuple[int, int, np.ndar
             yield base + lo, base + hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
-def hashed_words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def hashed_words(texts: pa.Array, space: np.ndarray = _SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, 64-bit hashes of all words, word bounds of each row).
 
-    Words are runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z.
+    Words are runs of bytes other than ``space`` (0x20 and 0x09-0x0D); A-Z count as a-z.
     """
     for lo, hi, part, at in slices(texts):
         if not len(part):
             yield lo, hi, np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64)
             continue
-        solid = ~_SPACE[part]
+        solid = ~space[part]
         start = solid.copy()
         start[1:] &= ~solid[:-1]
         first = at[:-1][at[:-1] < len(part)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexgraph.llm import bpe, decontaminate, html, jaccard, license, linededup, lm, quality, spelling, suffix, tokenfile, warc
+from lexgraph.llm import bpe, decontaminate, html, jaccard, license, linededup, lm, quality, ranked, spelling, suffix, tokenfile, warc
 from lexgraph.session import table
 
 
@@ -61,6 +61,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_warc, op4_license_scans, op5_decontamination, op6_bpe, op7_jaccard_join, op8_lm_scoring, op9_suffix_dedup, op10_line_dedup, op12_spelling_variants, op13_token_files)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_warc, op4_license_scans, op5_decontamination, op6_bpe, op7_jaccard_join, op8_lm_scoring, op9_suffix_dedup, op10_line_dedup, op11_ranked_search, op12_spelling_variants, op13_token_files)}
 
 ORACLES = {
     "op3_warc": """
@@ -97,6 +101,16 @@ WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS l
      d AS (SELECT doc_id, any_value(text) AS text, count(*) AS n_lines, count_if(gone) AS n, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
 SELECT doc_id, n_lines, CAST(n AS BIGINT) AS n_removed, sha256(CASE WHEN n > 0 THEN kept ELSE text END) AS kept_sha256
 FROM d""",
+    "op11_ranked_search": r"""
+WITH d AS (SELECT doc_id, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM documents),
+q AS (SELECT item_id, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark),
+p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY 1, 2),
+len AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY 1),
+t AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM len),
+m AS (SELECT doc_id, 25 + (75 * n * nn) // l AS m FROM len, t),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, t GROUP BY term, nn),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
     # The crc32 of a run is folded over its UTF-8 bytes (all code points are below U+0100) with a table made by the rule.
     "op12_spelling_variants": r"""
 WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i))),
