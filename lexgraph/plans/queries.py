@@ -100,7 +100,7 @@ def corpus_profile(spark, d):
 marked AS (SELECT doc, CASE WHEN doc % 5 = 4 THEN ls WHEN doc % 5 = 3 THEN ['before', '*** START OF THIS'] || ls ELSE ['before', '*** END OF nothing', '*** START OF THIS'] || ls || ['*** START OF again', 'ALL CAPS', 'CAPS', '*** END OF THIS', 'after'] END AS ls FROM raw),
 l AS (SELECT doc, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS no FROM marked),
 a AS (SELECT doc, min(no) AS a FROM l WHERE contains(line, '*** START OF') GROUP BY 1), b AS (SELECT l.doc, min(no) AS b FROM l JOIN a ON l.doc = a.doc AND no > a WHERE contains(line, '*** END OF') GROUP BY 1)
-SELECT l.doc, CAST(no AS BIGINT) AS no, line FROM l JOIN a ON l.doc = a.doc LEFT JOIN b ON l.doc = b.doc WHERE no > a AND (b IS NULL OR no < b) AND NOT contains(line, '*** START OF')
+SELECT l.doc, CAST(no AS BIGINT) AS no, line FROM l JOIN a ON l.doc = a.doc LEFT JOIN b ON l.doc = b.doc WHERE no > a AND (b IS NULL OR no < b)
 AND regexp_matches(line, '[A-Za-z]') AND NOT (length(line) + 1 > 5 AND NOT regexp_matches(line, '[a-z]'))""")
 def body_lines(spark, d):
     """Texts as books: most get marks and lines before and after, some a start mark alone, some none."""
@@ -233,13 +233,13 @@ CONNECTORS = "con AS (SELECT s, p1 AS pos, w1 AS word, 1 AS dir, w2 AS o FROM ms
 
 def _word_parse(spark, d):
     s = _baskets(spark, d)
-    return parse.spanning_trees(parse.word_weights(parse.position_pairs(s), mi.mi_full(pairs.pair_counts(s, 6))))
+    return parse.word_trees(s, mi.mi_full(pairs.pair_counts(s, 6)))
 
 
 def _grammar_parse(spark, d):
     s = _baskets(spark, d)
     m, c = mi.mi_full(pairs.pair_counts(s, 6)), _classes(spark, d)
-    return parse.spanning_trees(parse.grammar_weights(parse.position_pairs(s), m, c, substitute.class_mi(m, c)))
+    return parse.grammar_trees(s, m, c, substitute.class_mi(m, c))
 
 
 @query(f"{EDGES}, {TREE()} SELECT s AS sent_id, p1, p2, w1, w2, round(weight, 6) + 0.0 AS weight FROM mst")
@@ -267,7 +267,7 @@ def mst_parse_grammar(spark, d):
 
 
 @query(f"""{EDGES}, {GRAMMAR_EDGES}, {TREE()}, {TREE('ge', 'gmst')}, lost AS (SELECT s, count(*) AS n, sum(abs(weight)) AS w FROM mst WHERE (s, least(w1, w2), greatest(w1, w2)) NOT IN (SELECT (s, least(w1, w2), greatest(w1, w2)) FROM gmst) GROUP BY s),
-len AS (SELECT s, count(*) AS len FROM tok GROUP BY s HAVING count(*) BETWEEN 2 AND 64)
+len AS (SELECT s, count(*) AS len FROM tok GROUP BY s HAVING count(*) >= 2)
 SELECT len.s AS sent_id, coalesce(n, 0) AS unexplained, round(coalesce(w / len, 0.0), 6) + 0.0 AS score FROM len LEFT JOIN lost ON len.s = lost.s""")
 def surprise(spark, d):
     s = _baskets(spark, d)
@@ -283,27 +283,24 @@ def section_disjunct_sizes(spark, d):
 
 TOK_C = r"""cut AS (SELECT conv_id, turn, unnest(string_split_regex(text, '[.!?\n]')) AS s, generate_subscripts(string_split_regex(text, '[.!?\n]'), 1) - 1 AS no FROM conversations),
 sent AS (SELECT conv_id, turn, no, list_transform(list_filter(string_split_regex(s, '[^A-Za-z'']+'), lambda x: x <> ''), lambda x: lower(x)) AS words FROM cut),
-ok AS (SELECT *, unnest(range(0, len(words), 64)) AS lo FROM sent WHERE len(words) >= 2),
-part AS (SELECT struct_pack(c := conv_id, t := turn, n := no, k := CAST(floor(lo / 64) AS BIGINT)) AS s, words[lo + 1 : lo + 64] AS words FROM ok),
-tok AS (SELECT s, unnest(words) AS w, generate_subscripts(words, 1) AS p FROM part WHERE len(words) >= 2)"""
+tok AS (SELECT struct_pack(c := conv_id, t := turn, n := no) AS s, unnest(words) AS w, generate_subscripts(words, 1) AS p FROM sent WHERE len(words) >= 2)"""
 C_EDGES = EDGES.replace(TOK_B, TOK_C).replace(PC(6), PC(2))
 
 
 def _turn_sents(spark, d):
-    """Sentences of all turns; those of over 64 words go on as further sequences."""
+    """Whole sentences of all turns."""
     cut = spread(table(spark, d, "conversations")).select("conv_id", "turn", F.posexplode(F.split("text", "[.!?\n]")).alias("no", "s"))
-    whole = cut.select(F.struct("conv_id", "turn", "no").alias("sent_id"), sequences.words_of(F.col("s")).alias("words")).where(F.size("words") >= 2)
-    return sequences.pieces(whole).select(F.struct("sent_id.*", "piece").alias("sent_id"), "words").where(F.size("words") >= 2)
+    return cut.select(F.struct("conv_id", "turn", "no").alias("sent_id"), sequences.words_of(F.col("s")).alias("words")).where(F.size("words") >= 2)
 
 
 def _turn_parse(spark, d):
     s = write_table(_turn_sents(spark, d), "turns")
-    return parse.spanning_trees(parse.word_weights(parse.position_pairs(s), mi.mi_full(pairs.pair_counts(s, 2))))
+    return parse.word_trees(s, write_table(mi.mi_full(pairs.pair_counts(s, 2)), "values"))
 
 
-@query(f"{C_EDGES}, {TREE()} SELECT s.c AS conv_id, s.t AS turn, CAST(s.n AS BIGINT) AS no, CAST(s.k AS BIGINT) AS piece, p1, p2, w1, w2, round(weight, 6) + 0.0 AS weight FROM mst")
+@query(f"{C_EDGES}, {TREE()} SELECT s.c AS conv_id, s.t AS turn, CAST(s.n AS BIGINT) AS no, p1, p2, w1, w2, round(weight, 6) + 0.0 AS weight FROM mst")
 def mst_parse_turns(spark, d):
-    spots = [F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("sent_id.no", "sent_id.piece", "p1", "p2")]
+    spots = [F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("sent_id.no", "p1", "p2")]
     return _round(_turn_parse(spark, d).select("sent_id.conv_id", "sent_id.turn", *spots, "w1", "w2", "weight"), "weight")
 
 
@@ -316,11 +313,10 @@ def sections_turns(spark, d):
 
 @query()
 def mst_parse_docs(spark, d):
-    """The same over all sentences of documents; too many for the recursive SQL, see the tests."""
-    s = _doc_sents(spark, d)
-    cut = write_table(sequences.pieces(s).select(F.struct("sent_id", "piece").alias("sent_id"), "words").where(F.size("words") >= 2), "pieces")
-    found = parse.spanning_trees(parse.word_weights(parse.position_pairs(cut), mi.mi_full(pairs.pair_counts(s, 2))))
-    return _round(found.select("sent_id.sent_id", "sent_id.piece", F.col("p1").cast("long").alias("p1"), F.col("p2").cast("long").alias("p2"), "w1", "w2", "weight"), "weight")
+    """The same over all sentences of documents; too many edges for the recursive SQL, see the tests."""
+    s = write_table(sequences.sentences(spread(table(spark, d, "documents").select("doc_id", "text")), by_place=True), "sentences")
+    found = parse.word_trees(s, write_table(mi.mi_full(pairs.pair_counts(s, 2)), "values"))
+    return _round(found.select(F.col("sent_id.key").alias("doc_id"), *(F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("sent_id.no", "p1", "p2")), "w1", "w2", "weight"), "weight")
 
 
 # Similarity and classes
@@ -341,7 +337,15 @@ def cosine_similarity(spark, d):
 
 @query(f"WITH {COS} SELECT wa, wb, {R.format('cosine')} AS cosine FROM cos WHERE cosine > 0.0511")
 def cosine_filter(spark, d):
-    return _round(similarity.cosine_filter(similarity.cosine(_sections(spark, d)), 0.0511), "cosine")
+    return _round(similarity.cosine_above(_sections(spark, d), 0.0511), "cosine")
+
+
+@query(f"""{C_EDGES}, {TREE()}, {CONNECTORS}, dj AS (SELECT s, pos, word, string_agg(dir || ':' || o, ' ' ORDER BY dir, o) AS disjunct FROM con GROUP BY 1, 2, 3), sec AS (SELECT word, disjunct, count(*) AS "count" FROM dj GROUP BY 1, 2),
+{COS[len(SEC) + 2:]} SELECT wa, wb, {R.format('cosine')} AS cosine FROM cos WHERE cosine > 0.7011""")
+def similar_words(spark, d):
+    """Words of the turns' parses whose sections are alike."""
+    found = write_table(parse.sections(_turn_parse(spark, d)), "sections")
+    return _round(similarity.cosine_above(found, 0.7011), "cosine")
 
 
 @query(f"WITH {SEC} SELECT disjunct, count(*) AS df, string_agg(CAST(word AS VARCHAR), ',' ORDER BY word) AS words FROM sec GROUP BY 1")
@@ -386,17 +390,17 @@ def top_classes(spark, d):
     return some.select("root", "size", F.array_join(F.col("m").cast("array<string>"), ",").alias("members"))
 
 
-@query(f"""{MI_B}, th AS (SELECT CAST(i AS INTEGER) AS idx, CAST(i + 1 AS DOUBLE) AS threshold FROM range(4) r(i)),
-edge AS (SELECT idx, wa AS a, wb AS b FROM mi JOIN th ON CAST(mi AS FLOAT) >= threshold WHERE "count" > 1),
-lab AS (SELECT idx, a AS node, a AS root FROM edge UNION SELECT idx, b, b FROM edge UNION SELECT e.idx, e.b, lab.root FROM lab JOIN (SELECT idx, a, b FROM edge UNION ALL SELECT idx, b, a FROM edge) e ON e.idx = lab.idx AND e.a = lab.node),
-roots AS (SELECT idx, node, min(root) AS root FROM lab GROUP BY 1, 2), merged AS (SELECT idx, count(*) FILTER (node <> root) AS n FROM roots GROUP BY idx),
+@query(f"""{MI_B}, th AS (SELECT CAST(i AS INTEGER) AS idx, 11.0 - CAST(i AS DOUBLE) / 5 AS threshold FROM range(50) r(i)),
+edge AS (SELECT idx, wa AS a, wb AS b FROM mi JOIN th ON CAST(mi AS FLOAT) >= CAST(threshold AS FLOAT)), both_ends AS (SELECT idx, a, b FROM edge UNION ALL SELECT idx, b, a FROM edge),
+lab(idx, node, root) USING KEY (idx, node) AS (SELECT DISTINCT idx, a, a FROM both_ends UNION SELECT o.idx, o.node, n.root FROM (SELECT e.idx, e.b AS node, min(l.root) AS root FROM lab l JOIN both_ends e ON e.idx = l.idx AND e.a = l.node GROUP BY 1, 2) n JOIN recurring.lab o ON o.idx = n.idx AND o.node = n.node WHERE n.root < o.root),
+merged AS (SELECT idx, count(*) AS n FROM lab WHERE node <> root GROUP BY idx),
 c AS (SELECT idx, threshold, (SELECT count(DISTINCT l_partkey) FROM lineitem) - coalesce(n, 0) AS components FROM th LEFT JOIN merged USING (idx)),
 drops AS (SELECT *, components - lead(components) OVER (ORDER BY idx) AS fall FROM c)
 SELECT idx, threshold, components, idx = (SELECT coalesce(min(idx) FILTER (fall = (SELECT max(fall) FROM drops) AND fall > 0), 0) FROM drops) AS is_knee FROM drops""".replace("WITH", "WITH RECURSIVE", 1))
 def threshold_sweep(spark, d):
-    m = _mi_baskets(spark, d).withColumnRenamed("mi", "cosine")
+    """Components of the baskets' pairs at 50 thresholds from 11 down by fifths."""
     words = table(spark, d, "lineitem").select(F.col("l_partkey").alias("word_id"))
-    return components.threshold_sweep(words, write_table(m.where("count > 1"), "sweep"), [1.0, 2.0, 3.0, 4.0])
+    return components.threshold_sweep(words, _mi_baskets(spark, d), [11 - i / 5 for i in range(50)], weight="mi")
 
 
 # Substitution, grammar, divergence

@@ -19,21 +19,17 @@ def words_of(sentence: Column, max_words: int | None = None, max_chars: int | No
     return words if max_words is None else F.slice(words, 1, max_words)
 
 
-def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 2, max_words: int | None = None, max_chars: int | None = None) -> DataFrame:
+def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 2, max_words: int | None = None, max_chars: int | None = None, by_place: bool = False) -> DataFrame:
     """(sent_id, words): sentences end at . ! ? or a line end; shorter ones than ``min_words`` are dropped.
 
-    sent_id is key * 2**32 + the sentence's number in the text. ``max_words`` and
-    ``max_chars`` are those of words_of().
+    sent_id is key * 2**32 + the sentence's number in the text, for keys below 2**31
+    (others are an error), or ``by_place`` a struct of both (key, no), for any key.
+    ``max_words`` and ``max_chars`` are those of words_of().
     """
-    cut = docs.select(F.col(key).cast("long").alias("k"), F.posexplode(F.split(F.col(text), "[.!?\n]")).alias("no", "s"))
-    return cut.select((F.shiftleft("k", 32) + F.col("no")).alias("sent_id"), words_of(F.col("s"), max_words, max_chars).alias("words")).where(F.size("words") >= min_words)
-
-
-def pieces(sents: DataFrame, most: int = MAX_WORDS) -> DataFrame:
-    """(sent_id, piece, words): sequences of over ``most`` words cut into pieces that long, so that each word is in one."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(most))
-    cut = sents.select("sent_id", "words", F.explode(starts).alias("at"))
-    return cut.select("sent_id", (F.col("at") / most).cast("int").alias("piece"), F.slice("words", F.col("at") + 1, most).alias("words"))
+    cut = docs.select(F.col(key).cast("long").alias("key"), F.posexplode(F.split(F.col(text), "[.!?\n]")).alias("no", "s"))
+    fits = F.coalesce(F.col("key").between(-(1 << 31), (1 << 31) - 1), F.lit(True))
+    own = F.struct("key", "no") if by_place else F.when(fits, F.shiftleft("key", 32) + F.col("no")).otherwise(F.raise_error(F.lit("keys of 2**31 and more need by_place")))
+    return cut.select(own.alias("sent_id"), words_of(F.col("s"), max_words, max_chars).alias("words")).where(F.size("words") >= min_words)
 
 
 def baskets(lineitem: DataFrame) -> DataFrame:
@@ -52,9 +48,9 @@ def body_lines(lines: DataFrame, doc: str = "doc", no: str = "no", line: str = "
     """Lines of books between their start and end marks.
 
     Reading begins after a line with ``*** START OF`` and ends for good at the first
-    line with ``*** END OF`` after it; without a start mark there is nothing. A start
-    mark inside the body is dropped as a line. Lines without a letter go, and lines
-    of over five characters, the line end counted, without a lower-case letter.
+    line with ``*** END OF`` after it; without a start mark there is nothing. A later
+    start mark is a line like any other. Lines without a letter go, and lines of
+    over five characters, the line end counted, without a lower-case letter.
     Marks are found by aggregation and joined to the lines, so a book of any length
     needs no single task.
     """
@@ -62,7 +58,7 @@ def body_lines(lines: DataFrame, doc: str = "doc", no: str = "no", line: str = "
     start = lines.where(has("*** START OF")).groupBy(doc).agg(F.min(no).alias("a__"))
     ends = lines.where(has("*** END OF")).select(doc, F.col(no).alias("e__"))
     marks = start.join(ends, doc, "left").groupBy(doc).agg(F.first("a__").alias("a__"), F.min(F.when(F.col("e__") > F.col("a__"), F.col("e__"))).alias("b__"))
-    kept = lines.join(marks, doc).where((F.col(no) > F.col("a__")) & (F.col("b__").isNull() | (F.col(no) < F.col("b__"))) & ~has("*** START OF"))
+    kept = lines.join(marks, doc).where((F.col(no) > F.col("a__")) & (F.col("b__").isNull() | (F.col(no) < F.col("b__"))))
     return kept.where(F.col(line).rlike("[A-Za-z]") & ~((F.length(line) + 1 > 5) & ~F.col(line).rlike("[a-z]"))).drop("a__", "b__")
 
 

@@ -14,19 +14,16 @@ SECTIONS = "word string, djh long, count double"
 
 
 def parse_uri(uri: str) -> dict[str, str]:
-    """The parts of ``scheme://[backend:][platform:]device``; a lone part is the device, missing ones are empty.
+    """The parts of ``scheme://[backend:]platform[:device]``, missing ones empty.
 
-    Of two parts the first is the backend if it is ``cuda`` or ``opencl``, else the
-    platform. On Spark they name nothing; they are kept for monitor().
+    ``cuda:`` and ``opencl:`` in front name the backend; the device is all that
+    follows the first colon of the rest. On Spark they name nothing; they are kept
+    for monitor().
     """
-    m = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.-]*)://([^/]*)", uri)
+    m = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.-]*)://(?:(cuda|opencl):)?([^:]*):?(.*)", uri)
     if not m:
         raise ValueError(f"not a store URI: {uri}")
-    parts = m[2].split(":")
-    backend = parts.pop(0).lower() if parts and parts[0].lower() in ("cuda", "opencl") else ""
-    if len(parts) > 2:
-        raise ValueError(f"not a store URI: {uri}")
-    return {"scheme": m[1], "backend": backend, "platform": parts[0] if len(parts) == 2 else "", "device": parts[-1] if parts else ""}
+    return {"scheme": m[1], "backend": m[2] or "", "platform": m[3], "device": m[4]}
 
 
 class AtomStore:

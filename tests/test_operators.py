@@ -53,11 +53,12 @@ def test_disjunct_hashes(spark):
 
 
 def test_tree_takes_best_edges_and_zero_beats_negative(spark):
-    s = sents(spark, [1, 2, 3])
+    s = sents(spark, [1, 2, 3], [1], [])
     m = spark.createDataFrame([(1, 2, -3.0), (2, 3, 5.0)], "wa long, wb long, mi double")
-    got = {(r["p1"], r["p2"]) for r in parse.spanning_trees(parse.word_weights(parse.position_pairs(s), m)).collect()}
-    assert got == {(1, 2), (0, 2)}
-    assert parse.position_pairs(sents(spark, [1], [])).count() == 0
+    got = {(r["sent_id"], r["p1"], r["p2"], r["weight"]) for r in parse.word_trees(s, m).collect()}
+    assert got == {(0, 1, 2, 5.0), (0, 0, 2, 0.0)}
+    looked = parse.word_weights(parse.position_pairs(s), m).collect()
+    assert {(r["p1"], r["p2"]): r["weight"] for r in looked} == {(0, 1): -3.0, (0, 2): 0.0, (1, 2): 5.0}
 
 
 def test_sections_of_a_chain(spark):
@@ -87,8 +88,8 @@ def test_long_chain_is_one_component(spark):
 def test_sweep_knee(spark):
     nodes = spark.createDataFrame([(i,) for i in range(4)], "word_id long")
     sim = spark.createDataFrame([(0, 1, 0.9), (1, 2, 0.5), (2, 3, 0.5)], "wa long, wb long, cosine double")
-    rows = components.threshold_sweep(nodes, sim, [0.3, 0.6, 0.95]).collect()
-    assert [r["components"] for r in rows] == [1, 3, 4] and [r["is_knee"] for r in rows] == [True, False, False]
+    rows = components.threshold_sweep(nodes, sim, [0.95, 0.6, 0.3]).collect()
+    assert [r["components"] for r in rows] == [4, 3, 1] and [r["is_knee"] for r in rows] == [False, True, False]
 
 
 def test_substitution_merges_and_drops(spark):
@@ -177,7 +178,7 @@ def test_letters_come_from_ascii_only(spark):
 def test_body_lines_follow_the_marks(spark):
     books = {"a": ["x", "*** END OF x", "*** START OF book", "one", "TWOSS", "TWO", "2", "*** START OF again", "three", "*** END OF book", "four", "*** START OF more", "five"], "b": ["no mark"], "c": ["*** START OF it", "open end"]}
     rows = spark.createDataFrame([(d, k, x) for d, ls in books.items() for k, x in enumerate(ls)], "doc string, no int, line string")
-    assert sorted((r["doc"], r["line"]) for r in sequences.body_lines(rows).collect()) == [("a", "TWO"), ("a", "one"), ("a", "three"), ("c", "open end")]
+    assert sorted((r["doc"], r["line"]) for r in sequences.body_lines(rows).collect()) == [("a", "*** START OF again"), ("a", "TWO"), ("a", "one"), ("a", "three"), ("c", "open end")]
 
 
 def test_text_and_binary_corpora(spark, tmp_path):
@@ -214,8 +215,10 @@ def test_hot_disjuncts_are_dealt_to_parts(spark, monkeypatch):
 
 def test_store_values_types_and_uris(spark):
     assert store.parse_uri("gpu://cuda:nvidia:0") == {"scheme": "gpu", "backend": "cuda", "platform": "nvidia", "device": "0"}
-    assert store.parse_uri("gpu://opencl:rtx") == {"scheme": "gpu", "backend": "opencl", "platform": "", "device": "rtx"}
+    assert store.parse_uri("gpu://opencl:rtx") == {"scheme": "gpu", "backend": "opencl", "platform": "rtx", "device": ""}
     assert store.parse_uri("gpu://amd:gfx")["platform"] == "amd" and store.parse_uri("gpu://")["device"] == ""
+    assert store.parse_uri("gpu://nvidia") == {"scheme": "gpu", "backend": "", "platform": "nvidia", "device": ""}
+    assert store.parse_uri("gpu://cuda::")["platform"] == "" and store.parse_uri("gpu://a:b:c")["device"] == "b:c" and store.parse_uri("gpu://cuda")["platform"] == "cuda"
     with pytest.raises(ValueError):
         store.parse_uri("nothing")
     s = store.AtomStore(spark)
