@@ -43,18 +43,39 @@ def mi_full(pairs: DataFrame) -> DataFrame:
     return rows.select("wa", "wb", "count", "left", "right", mi_expr(F.col("count"), F.col("left"), F.col("right"), F.col("total")).alias("mi"))
 
 
-def mi_incremental(state: DataFrame, new: DataFrame) -> DataFrame:
+def mi_changes(state: DataFrame, words: DataFrame, total: float, new: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """What adding the counts ``new`` changes: pairs (wa, wb, count, mi), words (word, marginal), and the total.
+
+    ``state`` holds pairs (wa, wb, count), ``words`` their marginals. Both words of a
+    touched pair are touched, so only rows that ``new`` touches are looked up, and no
+    marginal is counted again. ``new`` is read twice: write it first.
+    """
+    from lexgraph.operators.pairs import marginals
+
+    more = marginals(new).join(words.withColumnRenamed("marginal", "old"), "word", "left")
+    touched = write_table(more.select("word", (F.col("marginal") + F.coalesce("old", F.lit(0))).alias("marginal")), "touched")
+    both = new.select("wa", "wb", F.col("count").alias("more")).join(state.select("wa", "wb", "count"), ["wa", "wb"], "left")
+    count = (F.col("more") + F.coalesce("count", F.lit(0))).alias("count")
+    side = lambda c, n: touched.select(F.col("word").alias(c), F.col("marginal").alias(n))
+    total += new.agg(F.sum("count")).first()[0] or 0
+    rows = both.select("wa", "wb", count).join(side("wa", "left"), "wa").join(side("wb", "right"), "wb")
+    return rows.select("wa", "wb", "count", mi_expr(F.col("count"), F.col("left"), F.col("right"), F.lit(total)).alias("mi")), touched, total
+
+
+def mi_incremental(state: DataFrame, new: DataFrame, words: DataFrame | None = None, total: float | None = None) -> DataFrame:
     """(wa, wb, count, mi) after adding the counts ``new`` to ``state`` (wa, wb, count, mi).
 
     Only pairs that ``new`` touches get a new value; the others keep the one they
-    had, though marginals and total have moved for all.
+    had, though marginals and total have moved for all. ``words`` and ``total`` are
+    the state's marginals and events where they are kept; else they are counted.
     """
-    from lexgraph.operators.pairs import merge_counts
+    from lexgraph.operators.pairs import marginals
 
-    merged = with_marginals(merge_counts(state, new))
-    fresh = mi_expr(F.col("count"), F.col("left"), F.col("right"), F.col("total"))
-    old = state.select("wa", "wb", F.col("mi").alias("old_mi"))
-    return merged.join(old, ["wa", "wb"], "left").select("wa", "wb", "count", F.when(F.col("dirty"), fresh).otherwise(F.col("old_mi")).alias("mi"))
+    new = written(new, "new")
+    if words is None or total is None:
+        words, total = marginals(state), state.agg(F.sum("count")).first()[0] or 0
+    changed, _, _ = mi_changes(state, words, total, new)
+    return state.select("wa", "wb", "count", "mi").join(new.select("wa", "wb"), ["wa", "wb"], "left_anti").unionByName(changed)
 
 
 def mi_stats(pairs: DataFrame, threshold: float) -> DataFrame:

@@ -211,8 +211,10 @@ SELECT m2.wa, m2.wb, m2."count", round(CASE WHEN pn.wa IS NOT NULL THEN m2.mi EL
 def mi_dirty_two_batches(spark, d):
     when = table(spark, d, "orders").select(F.col("o_orderkey").alias("sent_id"), (F.year("o_orderdate") >= 1995).alias("late"))
     s = _baskets(spark, d).join(when, "sent_id")
-    old = mi.mi_full(pairs.pair_counts(s.where("not late"), 2, True))
-    return _round(mi.mi_incremental(old, pairs.pair_counts(s.where("late"), 2, True)), "mi")
+    old = write_table(mi.mi_full(pairs.pair_counts(s.where("not late"), 2, True)), "old")
+    # Every row has its words' marginals.
+    words = old.select(F.explode(F.array(F.struct(F.col("wa").alias("word"), F.col("left").alias("marginal")), F.struct(F.col("wb").alias("word"), F.col("right").alias("marginal")))).alias("x")).groupBy("x.word").agg(F.first("x.marginal").alias("marginal"))
+    return _round(mi.mi_incremental(old, pairs.pair_counts(s.where("late"), 2, True), words, old.agg(F.sum("count")).first()[0] or 0), "mi")
 
 
 # Parses

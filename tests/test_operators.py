@@ -46,6 +46,32 @@ def test_incremental_values_stay_for_untouched_pairs(spark):
     assert after[3] == before[3] and after[1] == pytest.approx(math.log2(8 * 12 / 64))
 
 
+def test_changes_touch_only_what_is_new(spark):
+    """Marginals and total are kept by their changes, over several batches, and no clean pair is aggregated."""
+    import random
+
+    from lexgraph.session import write_table
+
+    r = random.Random(7)
+    batches = [[(a, a + r.randint(0, 3), r.randint(1, 4)) for a in {r.randint(1, 20) for _ in range(9)}] for _ in range(4)]
+    frame = lambda rows: write_table(spark.createDataFrame(rows, "wa long, wb long, count long"), "batch")
+    state = {p: (c, m) for *p, c, m in []}
+    words, total = {}, 0
+    for batch in batches:
+        held = write_table(spark.createDataFrame([(*p, c, m) for p, (c, m) in state.items()], "wa long, wb long, count long, mi double"), "state")
+        kept = spark.createDataFrame(list(words.items()), "word long, marginal long")
+        changed, touched, total = mi.mi_changes(held, kept, total, frame(batch))
+        plan = changed._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan
+        state |= {(x["wa"], x["wb"]): (x["count"], x["mi"]) for x in changed.collect()}
+        words |= {x["word"]: x["marginal"] for x in touched.collect()}
+    every = spark.createDataFrame([x for b in batches for x in b], "wa long, wb long, count long").groupBy("wa", "wb").agg(F.sum("count").alias("count"))
+    want = {(x["wa"], x["wb"]): (x["count"], x["mi"]) for x in mi.mi_full(every).collect()}
+    assert {k: v[0] for k, v in state.items()} == {k: v[0] for k, v in want.items()}
+    assert {k: state[k][1] for k in ((a, b) for a, b, _ in batches[-1])} == pytest.approx({k: want[k][1] for k in ((a, b) for a, b, _ in batches[-1])})
+    assert words == {x["word"]: x["marginal"] for x in pairs.marginals(every).collect()} and total == sum(c for c, _ in want.values())
+
+
 def test_disjunct_hashes(spark):
     df = spark.sql("SELECT array(named_struct('dir', 1, 'word', 20L)) AS a, array(named_struct('dir', 0, 'word', 10L), named_struct('dir', 1, 'word', 30L)) AS b, array(named_struct('dir', 0, 'word', 20L)) AS c")
     row = df.select(*(F.hex(disjunct_hash(F.col(c))).alias(c) for c in "abc")).first()
