@@ -1,4 +1,4 @@
-"""Fuzzy search for short licence notices: pigeonhole seeds, then bounded-error matching."""
+"""Fuzzy search for short licence notices: pigeonhole seeds, then bounded-error matching; one label for each place."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import heapq
 import itertools
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -38,8 +39,12 @@ NOTICES = {
     "licensed under the gnu general public license": "gpl",
     "under the terms of the gnu general public license": "gpl",
     "released under the gpl": "gpl",
-    "licensed under the gplv2": "gpl",
-    "licensed under the gplv3": "gpl",
+    "licensed under the gplv2": "gpl-2",
+    "licensed under the gplv3": "gpl-3",
+    "licensed under the gpl version 2": "gpl-2",
+    "licensed under the gpl version 3": "gpl-3",
+    "gnu general public license version 2": "gpl-2",
+    "gnu general public license version 3": "gpl-3",
     "gnu lesser general public license": "lgpl",
     "gnu library general public license": "lgpl",
     "gnu affero general public license": "agpl",
@@ -58,17 +63,11 @@ NOTICES = {
     "this work is in the public domain": "public-domain",
     "creative commons zero v1 0 universal": "cc0",
     "cc0 1 0 universal": "cc0",
-    "licensed under cc by nc 4 0": "cc-by-nc",
     "creative commons attribution noncommercial": "cc-by-nc",
     "creative commons attribution non commercial": "cc-by-nc",
-    "licensed under cc by nc sa 4 0": "cc-by-nc-sa",
-    "licensed under cc by nc nd 4 0": "cc-by-nc-nd",
-    "licensed under cc by sa 4 0": "cc-by-sa",
     "creative commons attribution sharealike": "cc-by-sa",
     "creative commons attribution share alike": "cc-by-sa",
-    "licensed under cc by nd 4 0": "cc-by-nd",
     "creative commons attribution noderivatives": "cc-by-nd",
-    "licensed under cc by 4 0": "cc-by",
     "creative commons attribution 4 0 international": "cc-by",
     "open data commons open database license": "odbl",
     "sil open font license version 1 1": "ofl",
@@ -76,6 +75,12 @@ NOTICES = {
     "reproduction without permission is prohibited": "all-rights-reserved",
     "no part of this publication may be reproduced": "all-rights-reserved",
 }
+#: Every kind and version of the Creative Commons licences, and the kinds without a version.
+_KINDS = ["by", "by nc", "by sa", "by nd", "by nc sa", "by nc nd"]
+NOTICES |= {f"licensed under cc {k} {v}": f"cc-{k} {v}".replace(" ", "-", k.count(" ") + 1).replace(" ", ".") for k in _KINDS for v in ("1 0", "2 0", "2 5", "3 0", "4 0")}
+NOTICES |= {f"licensed under cc {k}": f"cc-{k}".replace(" ", "-") for k in _KINDS}
+#: Words that tell one licence from another. They and all numbers must stand in a find as they are, those of over five letters with one edit at most.
+TELLING = frozenset("mit apache spdx bsd isc gpl gplv2 gplv3 lesser library affero free documentation mozilla eclipse development distribution european boost artistic wtfpl zlib unencumbered domain zero cc cc0 by nc sa nd attribution noncommercial commercial sharealike alike noderivatives database sil clause permission reproduction publication rights".split())
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 10
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -92,14 +97,37 @@ def seeds(notice: bytes, edits: int) -> list[tuple[int, bytes]]:
 
 
 @functools.lru_cache(4)
-def _plan(notices: tuple[tuple[str, str], ...], per_edit: int) -> list[tuple]:
-    plan = []
-    for notice, label in notices:
+def _plan(notices: tuple[tuple[str, str], ...], per_edit: int) -> tuple[list[tuple], ahocorasick.Automaton]:
+    """The notices with their patterns and telling words, and one automaton of all their seeds."""
+    plan, places = [], {}
+    for k, (notice, label) in enumerate(notices):
         raw = notice.encode()
         edits = len(raw) // per_edit
         pattern = regex.compile(b"(?<![^ ])(?:" + regex.escape(raw) + b"){e<=%d}(?![^ ])" % edits, regex.BESTMATCH)
-        plan.append((raw, label, edits, pattern, seeds(raw, edits)))
-    return plan
+        plan.append((raw, label, edits, pattern, [w for w in raw.split() if w.decode(errors="replace") in TELLING or w.isdigit()]))
+        for off, piece in seeds(raw, edits):
+            places.setdefault(piece, []).append((k, off))
+    found = ahocorasick.Automaton()
+    for piece, at in places.items():
+        # Bytes stand as characters of the same number, so places in both are the same.
+        found.add_word(piece.decode("latin-1"), (len(piece), at))
+    if places:
+        found.make_automaton()
+    return plan, found
+
+
+def one_edit(a: bytes, b: bytes) -> bool:
+    """Whether two words differ by one inserted, deleted or replaced byte at most."""
+    if len(a) > len(b):
+        a, b = b, a
+    k = next((i for i, x in enumerate(a) if x != b[i]), len(a))
+    return len(b) - len(a) <= 1 and (a[k:] == b[k + 1 :] or a[k + 1 :] == b[k + 1 :] and len(a) == len(b) or a == b)
+
+
+def tells(found: bytes, telling: list[bytes]) -> bool:
+    """Whether all telling words stand in a find, in order."""
+    words = iter(found.split())
+    return all(any(w == t or (len(t) > 5 and not t.isdigit() and one_edit(w, t)) for w in words) for t in telling)
 
 
 def _places(hay: bytes, needle: bytes) -> Iterator[int]:
@@ -140,6 +168,19 @@ def _best(pattern: regex.Pattern, line: bytes, windows: Iterable[tuple[int, int]
     return out
 
 
+def apart(finds: list[tuple]) -> list[tuple]:
+    """Of finds (edits, -length, start, end, label) that overlap the best: fewest edits, then the longest notice, the first place, the label."""
+    taken: list[tuple[int, int]] = []
+    out = []
+    for find in sorted(finds):
+        a, b = find[2:4]
+        at = bisect.bisect_left(taken, (a, b))
+        if not ((at and taken[at - 1][1] > a + 1) or (at < len(taken) and taken[at][0] + 1 < b)):
+            taken.insert(at, (a, b))
+            out.append(find)
+    return out
+
+
 def scan(text: str, notices: tuple[tuple[str, str], ...] = tuple(NOTICES.items()), per_edit: int = CHARS_PER_EDIT) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int, int, float]]]:
     """(words, base places as (label, word), fuzzy spans as (label, first word, end word, edits, score)) of one whole text."""
     words = text.encode(errors="surrogatepass").translate(_TABLE).split()
@@ -154,12 +195,21 @@ def scan(text: str, notices: tuple[tuple[str, str], ...] = tuple(NOTICES.items()
 
     for phrase, label in BASE.items():
         base += [(label, word_at(at + 1)) for at in _places(line, b" " + phrase.encode() + b" ")]
-    for raw, label, edits, pattern, pieces in _plan(notices, per_edit):
-        windows = {(max(0, at - off - edits - 1), min(len(line), at - off + len(raw) + edits + 1)) for off, piece in pieces for at in _places(line, piece)}
-        for used, a, b in _best(pattern, line, windows):
-            found = line[a:b].strip()
-            first = word_at(a + (line[a : a + 1] == b" "))
-            spans.append((label, first, first + found.count(b" ") + 1, used, 1 - used / len(raw)))
+    plan, automaton = _plan(notices, per_edit)
+    windows: dict[int, set[tuple[int, int]]] = {}
+    for end, (size, listed) in automaton.iter(line.decode("latin-1")) if plan else ():
+        for k, off in listed:
+            at = end + 1 - size - off
+            raw, _, edits, _, _ = plan[k]
+            windows.setdefault(k, set()).add((max(0, at - edits - 1), min(len(line), at + len(raw) + edits + 1)))
+    finds = []
+    for k, own in windows.items():
+        raw, label, _, pattern, telling = plan[k]
+        finds += [(used, -len(raw), a, b, label) for used, a, b in _best(pattern, line, own) if tells(line[a:b], telling)]
+    for used, less, a, b, label in apart(finds):
+        found = line[a:b].strip()
+        first = word_at(a + (line[a : a + 1] == b" "))
+        spans.append((label, first, first + found.count(b" ") + 1, used, 1 + used / less))
     return len(words), base, spans
 
 
@@ -171,8 +221,9 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, per_ed
     labels (distinct, sorted, comma-joined; labels holds the base ones too), score
     (1 for a base phrase, else the best of 1 - edits / characters of the notice found, 0
     without a find) and spans (label, first_word, end_word, edits) of the fuzzy
-    search, in order of place. Where finds of one notice overlap, the one with the
-    fewest edits stays, then the first. Null and empty texts have no words and empty
+    search, in order of place. A find must hold the notice's telling words (TELLING);
+    where finds overlap, of one notice or of several, the one with the fewest edits
+    stays, then the longest notice, so a place has one label. Null and empty texts have no words and empty
     labels; repeated rows and null ids give a row each.
     """
     ensure_importable(docs.sparkSession)

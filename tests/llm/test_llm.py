@@ -109,6 +109,74 @@ def test_license_spans_against_scanning_everything():
     assert [s[1:4] for s in sorted(license.scan(both, ((notice, "gpl"),), per)[2])] == [(0, 7, 2), (7, 14, 0)]
 
 
+@pytest.mark.parametrize("notice", license.NOTICES)
+def test_each_notice_alone_has_its_own_label(notice):
+    """As it is, and with a slip in a word that tells nothing."""
+    for text in (notice, f"see here {notice} and more"):
+        spans = license.scan(text)[2]
+        assert {s[0] for s in spans} == {license.NOTICES[notice]} and spans[0][3] == 0, spans
+    plain = [w for w in notice.split() if len(w) > 6 and w not in license.TELLING]
+    if plain and len(notice) >= 20:
+        spans = license.scan(notice.replace(plain[0], plain[0][:3] + plain[0][4:], 1))[2]
+        assert {s[0] for s in spans} == {license.NOTICES[notice]} and spans[0][3] == 1, spans
+
+
+def test_false_labels_are_gone():
+    labels = lambda t: sorted({s[0] for s in license.scan(t)[2]})
+    assert labels("licensed under the MIT license") == ["mit"] and labels("Licensed under the ISC license") == ["isc"]
+    assert labels("licensed under the city license") == [] == labels("the band released under the ape music")
+    assert labels("licensed under cc by nc 4 0") == ["cc-by-nc-4.0"] and labels("licensed under the gplv3") == ["gpl-3"]
+    assert labels("licensed under cc by sa 3.0, and licensed under cc by nc") == ["cc-by-nc", "cc-by-sa-3.0"]
+
+
+def test_labels_of_a_table_equal_scanning_everything():
+    """All texts of a small table, and notices with slips, against all notices over whole lines without seeds, by a plain rule for overlaps."""
+    import duckdb
+    import regex
+
+    r = random.Random(12)
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    texts = [t for t in texts if len(t) < 1500][:60]
+    for _ in range(60):
+        parts = []
+        for _ in range(r.randint(1, 3)):
+            w = list(r.choice(list(license.NOTICES)))
+            for _ in range(r.choice([0, 0, 1, 2, 3])):
+                w[r.randrange(len(w))] = r.choice(["", "x", " ", "ab"])
+            parts += ["".join(w), *r.choices(["foo", "the", "license", "under cc by", "version 2"], k=r.randint(0, 2))]
+        texts.append(" ".join(parts))
+    plans = []
+    for notice, label in license.NOTICES.items():
+        k = len(notice) // license.CHARS_PER_EDIT
+        plans.append((notice, label, regex.compile(b"(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(notice.encode()), k), regex.BESTMATCH)))
+    near = lambda a, b: a == b or (len(b) > 5 and not b.isdigit() and len(a) in (len(b) - 1, len(b), len(b) + 1) and bool(regex.fullmatch(b"(?:%s){e<=1}" % b, a)))
+    n = 0
+    for text in texts:
+        line = b" " + b" ".join(w for w in re.split(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.encode().lower() if text.isascii() else b"".join(bytes([c + 32]) if 65 <= c <= 90 else bytes([c]) for c in text.encode())) if w) + b" "
+        finds = []
+        for notice, label, pattern in plans:
+            def whole(lo, hi):
+                m = license._match(pattern, line, lo, hi)
+                return [] if m is None else [m, *whole(lo, m[1]), *whole(m[2], hi)]
+            for e, a, b in whole(0, len(line)):
+                words, ok = line[a:b].split(), True
+                for t in (w.encode() for w in notice.split() if w in license.TELLING or w.isdigit()):
+                    at = next((i for i, w in enumerate(words) if near(w, t)), None)
+                    ok = ok and at is not None
+                    words = words[at + 1 :] if at is not None else []
+                if ok:
+                    finds.append((e, -len(notice), a, b, label))
+        kept = []
+        for f in sorted(finds):
+            if all(f[3] <= g[2] + 1 or g[3] <= f[2] + 1 for g in kept):
+                kept.append(f)
+        want = sorted((f[4], f[0]) for f in kept)
+        got = sorted((s[0], s[3]) for s in license.scan(text)[2])
+        assert got == want, (text, got, want)
+        n += len(want)
+    assert n > 60
+
+
 def sql_rows(tables, sql):
     import duckdb
 
