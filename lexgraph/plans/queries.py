@@ -546,7 +546,7 @@ def ht_iterate(spark, d):
 def _filled(spark, d) -> store.AtomStore:
     s = store.AtomStore(spark)
     s.open()
-    s.store_nodes(table(spark, d, "part").select(F.col("p_name").alias("name"), F.array("p_retailprice", F.col("p_size").cast("double")).alias("value"), "p_partkey").orderBy("p_partkey"), order="p_partkey")
+    s.store_nodes(table(spark, d, "part").select(F.col("p_name").alias("name"), F.array("p_retailprice", F.col("p_size").cast("double")).alias("value"), "p_partkey"), order="p_partkey")
     return s
 
 
@@ -601,6 +601,24 @@ def incoming_set(spark, d):
     return _linked(spark, d).incoming(names).select("name", "a", "b")
 
 
+@query("SELECT x, count(*) AS n FROM (SELECT 'node' AS x FROM (SELECT l_partkey AS k FROM lineitem UNION SELECT -l_suppkey FROM lineitem WHERE l_suppkey % 5 <> 0) UNION ALL SELECT 'link' FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_suppkey % 5 <> 0)) GROUP BY 1")
+def store_remove_recursive(spark, d):
+    """Every fifth supplier goes with the links that end in it; then the store is counted."""
+    s = _linked(spark, d)
+    names = table(spark, d, "supplier").where("s_suppkey % 5 = 0").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("name"))
+    s.remove_nodes(names, recursive=True)
+    return s.load_nodes().select(F.lit("node").alias("x")).unionAll(s.load_links().select(F.lit("link"))).groupBy("x").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT p_name) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT p_type, p_brand FROM part)) AS sections, CAST(2 AS BIGINT) AS stores FROM part")
+def store_monitor(spark, d):
+    """What the store reports of itself after two writes."""
+    s = _filled(spark, d)
+    s.store_sections(table(spark, d, "part").select(F.col("p_type").alias("word"), F.xxhash64("p_brand").alias("djh"), F.lit(1).alias("count")))
+    m = s.monitor()
+    return spark.createDataFrame([(m["nodes"], m["sections"], m["stores"])], "nodes long, sections long, stores long")
+
+
 # Streams
 @query(f"WITH {TOK_B}, {PC(2, True)} SELECT * FROM pc")
 def stream_pair_counts(spark, d):

@@ -74,35 +74,6 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(before, ["doc", "at"]).select("doc", (F.col("before") + F.col("id") - F.col("first")).alias("no"), "line")
 
 
-def read_binary_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(sent_id, words) of binary corpus files: the counts of sentences and words, then each sentence's length and word ids.
-
-    All numbers are unsigned, of 32 bits, little-endian. Sentences are numbered
-    within their file, after file number * 2**32 in order of path.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    def decode(batches):
-        for batch in batches:
-            for no, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = np.frombuffer(raw.as_py(), "<u4")
-                at, out = 2, []
-                for _ in range(int(data[0]) if len(data) else 0):
-                    n = int(data[at])
-                    out.append(data[at + 1 : at + 1 + n].astype(np.int64))
-                    at += 1 + n
-                for lo in range(0, len(out), 10_000):
-                    part = out[lo : lo + 10_000]
-                    ends = np.concatenate([[0], np.cumsum([len(w) for w in part])]).astype(np.int32)
-                    words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(part)))
-                    yield pa.RecordBatch.from_arrays([pa.array((no << 32) + np.arange(lo, lo + len(part))), words], ["sent_id", "words"])
-
-    files = spark.read.format("binaryFile").load(path)
-    order = files.select("path").withColumn("no", F.row_number().over(W.orderBy("path")) - 1)
-    return files.select("path", "content").join(F.broadcast(order), "path").select(F.col("no").cast("long"), "content").mapInArrow(decode, "sent_id long, words array<long>")
-
-
 def vocabulary(sents: DataFrame, cap: int | None = None) -> DataFrame:
     """(word_id, word, count): ids from 0 in order of first appearance, ``cap`` words at most (None: all).
 

@@ -1,16 +1,19 @@
-"""A keyed store of nodes and unordered two-ended links, as tables in the shared folder."""
+"""A keyed store of nodes and unordered two-ended links, as tables in parts by key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
+import json
 import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexgraph.session import drop_tables, write_table
+from lexgraph.session import delete_path, drop_tables, shared_dir, write_table
 
-NODES = "name string, type string, value array<double>"
-LINKS = "a string, b string, type string, value array<double>"
-SECTIONS = "word string, djh long, count double"
+TABLES = {"nodes": "name string, type string, value array<double>", "links": "a string, b string, type string, value array<double>", "sections": "word string, djh long, count double"}
+KEYS = {"nodes": ["name"], "links": ["a", "b"], "sections": ["word", "djh"]}
+#: Parts of each table, by a hash of the key. A write makes anew the parts that hold its keys.
+PARTS = 16
 
 
 def parse_uri(uri: str) -> dict[str, str]:
@@ -30,35 +33,111 @@ class AtomStore:
     """Nodes by name, links by their two names whatever the order; values are arrays of numbers.
 
     With ``strict`` only the first two numbers are kept, a missing second one is 0,
-    and (0, 0) reads back as no value. Writes are bulk upserts: an anti-join with
-    what is stored, and a union. The tables live as long as the store is open.
+    and (0, 0) reads back as no value. A table is PARTS parts by a hash of its key;
+    a bulk write reads and writes the parts its keys fall in, and leaves the files of
+    all others as they are. A numbered note lists the parts that hold; it is moved
+    into place when a write is complete, so a write is there wholly or not at all.
+    Without a ``path`` the store lives as long as it is open; with one, open() finds
+    what was stored there, and close() leaves it.
     """
 
-    def __init__(self, spark: SparkSession, uri: str = "spark://store", strict: bool = False):
+    def __init__(self, spark: SparkSession, uri: str = "spark://store", strict: bool = False, path: str | None = None):
         self.where = parse_uri(uri)
         self.spark, self.uri, self.strict = spark, uri, strict
-        self.nodes: DataFrame | None = None
-        self.links: DataFrame | None = None
-        self.sections: DataFrame | None = None
+        self.path, self.kept = path, path is not None
+        self.note: dict | None = None
         self.stores = self.fetches = 0
 
     def open(self) -> None:
         if self.connected():
             raise RuntimeError("already open")
-        self.erase()
+        if not self.kept:
+            self.path = f"{shared_dir(self.spark)}/store-{uuid.uuid4().hex}"
+        last = self._notes()[-1:]
+        if last:
+            self.note = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/notes/{last[0]:08d}").collect()))
+        else:
+            self.note = {"number": 0, "parts": PARTS, **{t: {} for t in TABLES}}
 
     def close(self) -> None:
-        """Forget everything stored; its files are deleted."""
-        drop_tables(*(t for t in (self.nodes, self.links, self.sections) if t is not None))
-        self.nodes = self.links = self.sections = None
+        """Let go; without a path of its own everything stored is deleted."""
+        if self.connected() and not self.kept:
+            delete_path(self.spark, self.path)
+        self.note = None
 
     def connected(self) -> bool:
-        return self.nodes is not None
+        return self.note is not None
 
     def erase(self) -> None:
-        self.nodes = self.spark.createDataFrame([], NODES)
-        self.links = self.spark.createDataFrame([], LINKS)
-        self.sections = self.spark.createDataFrame([], SECTIONS)
+        self._check()
+        self._commit({t: {} for t in TABLES})
+
+    # Notes and parts
+    def _files(self):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/notes")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _notes(self) -> list[int]:
+        store, at = self._files()
+        return sorted(int(x.getPath().getName()) for x in store.listStatus(at) if x.getPath().getName().isdigit()) if store.exists(at) else []
+
+    def _commit(self, changed: dict[str, dict[str, str]]) -> None:
+        """Write the next note, then drop the folders that no part is read from any more."""
+        old, store = self.note, self._files()[0]
+        new = {**old, **changed, "number": old["number"] + 1}
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        draft, final = path(f"{self.path}/notes/_{uuid.uuid4().hex}"), path(f"{self.path}/notes/{new['number']:08d}")
+        out = store.create(draft)
+        out.write(bytearray(json.dumps(new).encode()))
+        out.close()
+        if not store.rename(draft, final):
+            raise RuntimeError(f"another writer has stored at {self.path}")
+        self.note = new
+        used = lambda n: {(t, f) for t in TABLES for f in n[t].values()}
+        for t, f in used(old) - used(new):
+            delete_path(self.spark, f"{self.path}/{t}/{f}")
+        if old["number"]:
+            store.delete(path(f"{self.path}/notes/{old['number']:08d}"), False)
+
+    def _part(self, kind: str) -> Column:
+        return F.pmod(F.xxhash64(*KEYS[kind]), F.lit(self.note["parts"])).cast("int")
+
+    def _table(self, kind: str, parts: list[int] | None = None) -> DataFrame:
+        """A table, or some parts of it."""
+        self._check()
+        at = [f"{self.path}/{kind}/{f}/part={k}" for k, f in self.note[kind].items() if parts is None or int(k) in parts]
+        return self.spark.read.schema(TABLES[kind]).parquet(*at) if at else self.spark.createDataFrame([], TABLES[kind])
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self._table("nodes")
+
+    @property
+    def links(self) -> DataFrame:
+        return self._table("links")
+
+    @property
+    def sections(self) -> DataFrame:
+        return self._table("sections")
+
+    def _touched(self, kind: str, keys: DataFrame) -> list[int]:
+        """The parts that hold the keys: PARTS numbers at most."""
+        return [r[0] for r in keys.select(self._part(kind).alias("part")).distinct().collect()]
+
+    def _rewrite(self, kind: str, parts: list[int], rows: DataFrame) -> dict[str, dict[str, str]]:
+        """Write ``rows`` as those parts; returns the table's folders by part. Parts without rows are in none."""
+        folder, named = uuid.uuid4().hex, self._part(kind).alias("part")
+        rows.select(*[f.name for f in self.spark.createDataFrame([], TABLES[kind]).schema], named).repartition(max(len(parts), 1), "part").write.partitionBy("part").parquet(f"{self.path}/{kind}/{folder}")
+        store, at = self._files()[0], self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{folder}")
+        made = {x.getPath().getName().removeprefix("part=") for x in store.listStatus(at) if x.getPath().getName().startswith("part=")}
+        kept = {k: f for k, f in self.note[kind].items() if int(k) not in parts}
+        # A folder is one write's; it goes when its last part is written again.
+        return {kind: kept | {k: folder for k in made}}
+
+    def _upsert(self, kind: str, new: DataFrame) -> dict[str, dict[str, str]]:
+        parts = self._touched(kind, new)
+        old = self._table(kind, parts).join(new.select(*KEYS[kind]), KEYS[kind], "left_anti")
+        return self._rewrite(kind, parts, old.select(*new.columns).unionByName(new))
 
     def _check(self) -> None:
         if not self.connected():
@@ -70,12 +149,6 @@ class AtomStore:
         pair = F.array(F.coalesce(F.get(value, F.lit(0)), F.lit(0.0)), F.coalesce(F.get(value, F.lit(1)), F.lit(0.0)))
         return F.when(pair != F.array(F.lit(0.0), F.lit(0.0)), pair)
 
-    def _put(self, kind: str, df: DataFrame) -> None:
-        """Write a table anew; the one it replaces is deleted."""
-        old = getattr(self, kind)
-        setattr(self, kind, write_table(df, kind))
-        drop_tables(old)
-
     def _newest(self, rows: DataFrame, keys: list[str], order: str | None, kind: str) -> DataFrame:
         """One row for each key: the last by ``order``. Without an order, a key may stand once only."""
         typed = rows if "type" in rows.columns else rows.withColumn("type", F.lit(kind))
@@ -91,26 +164,28 @@ class AtomStore:
         """Upsert (name, value, and type if there is one); of rows with equal names the last by ``order`` wins."""
         self._check()
         new = write_table(self._newest(rows, ["name"], order, "word"), "new")
-        self._put("nodes", self.nodes.join(new.select("name"), "name", "left_anti").unionByName(new))
+        self._commit(self._upsert("nodes", new))
         drop_tables(new)
         self.stores += 1
 
     def store_links(self, rows: DataFrame, order: str | None = None) -> None:
-        """Upsert (left, right, value, and type if there is one); the last by ``order`` wins; missing end nodes are stored first."""
+        """Upsert (left, right, value, and type if there is one); the last by ``order`` wins; missing end nodes are stored with them."""
         self._check()
         ends = rows.withColumn("a", F.least("left", "right")).withColumn("b", F.greatest("left", "right"))
         new = write_table(self._newest(ends, ["a", "b"], order, "pair"), "new")
-        missing = new.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(self.nodes.select("name"), "name", "left_anti")
-        self._put("nodes", self.nodes.unionByName(missing.select("name", F.lit("word").alias("type"), F.lit(None).cast("array<double>").alias("value"))))
-        self._put("links", self.links.join(new.select("a", "b"), ["a", "b"], "left_anti").unionByName(new))
-        drop_tables(new)
+        names = new.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+        parts = self._touched("nodes", names)
+        missing = write_table(names.join(self._table("nodes", parts).select("name"), "name", "left_anti").select("name", F.lit("word").alias("type"), F.lit(None).cast("array<double>").alias("value")), "missing")
+        made = {} if missing.isEmpty() else self._upsert("nodes", missing)
+        self._commit(made | self._upsert("links", new))
+        drop_tables(new, missing)
         self.stores += 1
 
     def store_sections(self, rows: DataFrame) -> None:
         """Upsert (word, djh, count)."""
         self._check()
         new = write_table(rows.groupBy("word", "djh").agg(F.sum("count").cast("double").alias("count")), "new")
-        self._put("sections", self.sections.join(new.select("word", "djh"), ["word", "djh"], "left_anti").unionByName(new))
+        self._commit(self._upsert("sections", new))
         drop_tables(new)
         self.stores += 1
 
@@ -121,15 +196,19 @@ class AtomStore:
         stored are left out, as a value belongs to a stored node or link.
         """
         self._check()
-        kind, keys = ("nodes", ["name"]) if "name" in rows.columns else ("links", ["a", "b"])
+        kind = "nodes" if "name" in rows.columns else "links"
+        keys = KEYS[kind]
         if kind == "links":
             rows = rows.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b"), "number")
-        new = rows.groupBy(*keys).agg(F.max("number").cast("double").alias("number"))
+        new = write_table(rows.groupBy(*keys).agg(F.max("number").cast("double").alias("number")), "new")
         old = F.coalesce("value", F.array().cast("array<double>"))
         head = F.transform(F.sequence(F.lit(0), F.lit(position)), lambda i: F.coalesce(F.get(old, i), F.lit(0.0)))
         put = F.concat(F.slice(head, 1, position), F.array("number"), F.slice(old, position + 2, F.greatest(F.size(old), F.lit(1))))
-        table = getattr(self, kind)
-        self._put(kind, table.join(new, keys, "left").withColumn("value", F.when(F.col("number").isNull(), F.col("value")).otherwise(self._stored(put))).select(*table.columns))
+        parts = self._touched(kind, new)
+        table = self._table(kind, parts)
+        changed = table.join(new, keys, "left").withColumn("value", F.when(F.col("number").isNull(), F.col("value")).otherwise(self._stored(put))).select(*table.columns)
+        self._commit(self._rewrite(kind, parts, changed))
+        drop_tables(new)
         self.stores += 1
 
     def load_values(self, rows: DataFrame, position: int = 0) -> DataFrame:
@@ -151,13 +230,17 @@ class AtomStore:
     def remove_nodes(self, names: DataFrame, recursive: bool = False) -> None:
         """Delete nodes; with ``recursive`` also the links that end in them."""
         self._check()
-        gone = names.select("name").distinct()
-        self._put("nodes", self.nodes.join(gone, "name", "left_anti"))
+        gone = write_table(names.select("name").distinct(), "gone")
+        parts = self._touched("nodes", gone)
+        changed = self._rewrite("nodes", parts, self._table("nodes", parts).join(gone, "name", "left_anti"))
         if recursive:
-            left = self.links
-            for side in ("a", "b"):
-                left = left.join(gone.withColumnRenamed("name", side), side, "left_anti").select(*self.links.columns)
-            self._put("links", left)
+            ended = self.links.join(gone.withColumnRenamed("name", "a"), "a", "left_semi").select("a", "b").unionByName(self.links.join(gone.withColumnRenamed("name", "b"), "b", "left_semi").select("a", "b"))
+            lost = write_table(ended.distinct(), "lost")
+            parts = self._touched("links", lost)
+            changed |= self._rewrite("links", parts, self._table("links", parts).join(lost, ["a", "b"], "left_anti"))
+            drop_tables(lost)
+        self._commit(changed)
+        drop_tables(gone)
 
     def incoming(self, names: DataFrame, kind: str | None = None) -> DataFrame:
         """(name, a, b, value): the links, of one type if given, that end in each name, once each."""

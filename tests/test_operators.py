@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lexgraph import store
 from lexgraph.functions.hashing import disjunct_hash
 from lexgraph.operators import components, divergence, mi, pairs, parse, similarity, substitute
-from lexgraph.sources import sequences
+from lexgraph.sources import corpus, sequences
 from lexgraph.streaming.learning import plateau
 
 
@@ -222,7 +222,7 @@ def test_text_and_binary_corpora(spark, tmp_path):
     sent = [[1, 2, 3], [4], [5, 1]]
     raw = struct.pack("<II", len(sent), 6) + b"".join(struct.pack(f"<I{len(w)}I", len(w), *w) for w in sent)
     (tmp_path / "c.bin").write_bytes(raw)
-    assert sorted((r["sent_id"], r["words"]) for r in sequences.read_binary_corpus(spark, str(tmp_path / "c.bin")).collect()) == list(enumerate(sent))
+    assert sorted((r["sent_id"], r["words"]) for r in corpus.read_binary_corpus(spark, str(tmp_path / "c.bin")).collect()) == list(enumerate(sent))
 
 
 def test_given_lists_are_counted(spark):
@@ -266,6 +266,51 @@ def test_store_values_types_and_uris(spark):
         s.load_nodes().collect()
 
 
+def files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_a_write_leaves_the_files_of_other_parts(spark, tmp_path):
+    s = store.AtomStore(spark, path=str(tmp_path))
+    s.open()
+    s.store_nodes(spark.createDataFrame([(f"n{i}", [float(i)]) for i in range(200)], "name string, value array<double>"))
+    before = files(tmp_path)
+    assert len(before) == store.PARTS
+    s.store_nodes(spark.createDataFrame([("n7", [70.0]), ("new", [1.0])], "name string, value array<double>"))
+    s.store_values(spark.createDataFrame([("n7", 71.0)], "name string, number double"))
+    s.remove_nodes(spark.createDataFrame([("n7x",), ("new",)], "name string"))
+    after = files(tmp_path)
+    same = {f for f in before if after.get(f) == before[f]}
+    assert len(same) >= store.PARTS - 3 and s.load_nodes().count() == 200
+    s.close()
+    # Another store finds it all.
+    t = store.AtomStore(spark, path=str(tmp_path))
+    t.open()
+    assert {r["name"]: r["value"] for r in t.get_nodes(spark.createDataFrame([("n7",), ("n8",), ("new",)], "name string")).collect()} == {"n7": [71.0], "n8": [8.0], "new": None}
+    t.store_links(spark.createDataFrame([("n1", "z", [1.0]), ("n1", "n2", [2.0])], "left string, right string, value array<double>"))
+    t.remove_nodes(spark.createDataFrame([("z",)], "name string"), recursive=True)
+    assert (t.monitor()["nodes"], t.monitor()["links"]) == (200, 1)
+    t.erase()
+    assert t.load_nodes().count() == 0 == len(files(tmp_path))
+
+
+def test_a_failing_write_changes_nothing(spark, tmp_path):
+    s = store.AtomStore(spark, path=str(tmp_path))
+    s.open()
+    s.store_nodes(spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "name string, value array<double>"))
+    with pytest.raises(Exception, match="equal keys need an order"):
+        s.store_nodes(spark.createDataFrame([("c", [1.0]), ("c", [2.0])], "name string, value array<double>"))
+    t = store.AtomStore(spark, path=str(tmp_path))
+    t.open()
+    t.store_nodes(spark.createDataFrame([("a", [5.0])], "name string, value array<double>"))
+    # The first store's view is older: its write does not replace what it has not seen.
+    with pytest.raises(Exception):
+        s.store_nodes(spark.createDataFrame([("a", [6.0])], "name string, value array<double>"))
+    u = store.AtomStore(spark, path=str(tmp_path))
+    u.open()
+    assert {r["name"]: r["value"] for r in u.load_nodes().collect()} == {"a": [5.0], "b": [2.0]}
+
+
 def test_composites(spark):
     p = spark.createDataFrame([(1, 2, 4), (2, 3, 4), (1, 3, 2)], "wa long, wb long, count long")
     words = spark.createDataFrame([(1, None), (2, 0), (3, 0)], "word long, class_id long")
