@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lexgraph import store
+from lexgraph import sqltables, store
 from lexgraph.operators import components, divergence, keyed, mi, pairs, parse, similarity, substitute
 from lexgraph.session import spread, table, write_table
 from lexgraph.sources import sequences
@@ -486,6 +486,46 @@ def polysemy_divergence(spark, d):
     return _round(divergence.divergence(_side(spark, d, "lang = 'en'"), _side(spark, d, "lang <> 'en'")), "divergence")
 
 
+# The operators in SQL
+def _sql_turns(spark, d):
+    """The session's functions, and views of the turns' sentences, pair counts and values by them."""
+    sqltables.register(spark)
+    spread(table(spark, d, "conversations")).createOrReplaceTempView("sql_conversations")
+    sents = "SELECT named_struct('conv_id', conv_id, 'turn', turn, 'no', s.no) AS sent_id, s.words FROM sql_conversations, LATERAL sentences_of(text) s"
+    write_table(spark.sql(sents), "sql").createOrReplaceTempView("sql_sentences")
+    write_table(spark.sql("SELECT p.wa, p.wb, count(*) AS count FROM sql_sentences, LATERAL word_pairs(words, 2) p GROUP BY ALL"), "sql").createOrReplaceTempView("sql_pairs")
+    values = """WITH m AS (SELECT word, sum(count) AS n FROM (SELECT explode(array(wa, wb)) AS word, count FROM sql_pairs) GROUP BY word), t AS (SELECT sum(count) AS total FROM sql_pairs)
+SELECT wa, wb, count, pair_value(count, a.n, b.n, total) AS mi FROM sql_pairs JOIN m a ON wa = a.word JOIN m b ON wb = b.word CROSS JOIN t"""
+    write_table(spark.sql(values), "sql").createOrReplaceTempView("sql_values")
+
+
+@query(f"WITH {TOK_C}, {PC(2)}, {MI()} SELECT wa, wb, \"count\", {R.format('mi')} AS mi FROM mi")
+def sql_pair_values(spark, d):
+    _sql_turns(spark, d)
+    return spark.sql("SELECT wa, wb, count, round(mi, 6) + 0.0D AS mi FROM sql_values")
+
+
+@query(f"{C_EDGES}, {TREE()} SELECT s.c AS conv_id, s.t AS turn, CAST(s.n AS BIGINT) AS no, p1, p2, w1, w2, round(weight, 6) + 0.0 AS weight FROM mst")
+def sql_sentence_trees(spark, d):
+    """Trees by a table function; the pairs of each sentence come to it as its rows."""
+    _sql_turns(spark, d)
+    return spark.sql("""WITH spot AS (SELECT sent_id, words, posexplode(array_sort(array_distinct(words))) AS (i, wa) FROM sql_sentences),
+pair AS (SELECT sent_id, words, wa, explode(slice(array_sort(array_distinct(words)), i + 2, size(words))) AS wb FROM spot),
+known AS (SELECT sent_id, words, wa, wb, mi FROM pair JOIN sql_values USING (wa, wb) UNION ALL SELECT sent_id, words, NULL, NULL, NULL FROM sql_sentences)
+SELECT sent_id.conv_id, sent_id.turn, CAST(sent_id.no AS BIGINT) AS no, CAST(p1 AS BIGINT) AS p1, CAST(p2 AS BIGINT) AS p2, w1, w2, round(weight, 6) + 0.0D AS weight FROM sentence_trees(TABLE(known))""")
+
+
+@query(f"{EDGE_B}, {CC} SELECT node AS word_id, root, dense_rank() OVER (ORDER BY root) - 1 AS class_id FROM roots")
+def sql_components(spark, d):
+    """Baskets to pair counts to values to components, each a view of the one before."""
+    _baskets(spark, d).createOrReplaceTempView("sql_baskets")
+    table(spark, d, "lineitem").createOrReplaceTempView("sql_lineitem")
+    sqltables.view(spark, "sql_counts", "pair_counts", "sql_baskets", window=6)
+    sqltables.view(spark, "sql_scores", "values", "sql_counts")
+    sqltables.view(spark, "sql_classes", "components", "SELECT l_partkey AS word_id FROM sql_lineitem", "SELECT wa AS a, wb AS b FROM sql_scores WHERE mi > 2.0 AND count > 1")
+    return spark.sql("SELECT word_id, root, class_id FROM sql_classes")
+
+
 # Keyed tables and the store
 def _kv(spark, d):
     return table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"), F.col("o_orderkey").alias("seq"))
