@@ -1,14 +1,20 @@
-"""Session helpers: where cluster-shared scratch tables go, and module shipping."""
+"""Session helpers: where tables in the shared folder go and when they end, and how workers get this package."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 import weakref
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting to remove a query's shuffle files when it ends.
@@ -16,6 +22,9 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Spark's setting for the bytes of a batch of rows sent to a Python worker, and the most that is left there: texts may be long.
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 _own: dict[str, str] = {}
+_sent: weakref.WeakSet[SparkContext] = weakref.WeakSet()
+#: Tables written within scratch(), by how deep it is nested.
+_open: list[list[DataFrame]] = []
 _written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -23,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
     Where a local session (tests, a laptop) leaves it unset, a temporary folder of
-    this process is used instead; on a cluster it must be set.
+    this process is used instead, until it ends; on a cluster it must be set.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -32,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="lexgraph-")
+        atexit.register(shutil.rmtree, _own["dir"], True)
     return _own["dir"]
 
 
@@ -50,6 +60,8 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _written[out] = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
@@ -71,13 +83,44 @@ def drop_tables(*tables: DataFrame) -> None:
             delete_path(df.sparkSession, path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written within are deleted at the end: what is wanted of them must have been written, or collected, elsewhere by then.
+
+    write_table() calls within may themselves be results: take them out by ``keep()``.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        drop_tables(*_open.pop())
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Let a written table outlive the scratch() it was written in."""
+    for tables in _open:
+        tables[:] = [x for x in tables if x is not df]
+    return df
+
+
+def _archive() -> str:
+    """This package's modules as one archive, made once by this process."""
+    if "zip" not in _own:
+        root = Path(__file__).resolve().parent
+        _own["zip"] = f"{tempfile.mkdtemp(prefix='lexgraph-')}/lexgraph.zip"
+        atexit.register(shutil.rmtree, os.path.dirname(_own["zip"]), True)
+        with zipfile.ZipFile(_own["zip"], "w", zipfile.ZIP_DEFLATED) as out:
+            for f in sorted(root.rglob("*.py")):
+                out.write(f, f.relative_to(root.parent))
+    return _own["zip"]
+
+
 def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, and get batches of BATCH_BYTES at most."""
-    root = str(Path(__file__).resolve().parent.parent)
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if root not in have.split(":"):
-        env["PYTHONPATH"] = f"{root}:{have}" if have else root
+    """Send this package to all Python workers, wherever the driver has it, and give them batches of BATCH_BYTES at most."""
+    context = spark.sparkContext
+    if context not in _sent:
+        _sent.add(context)
+        context.addPyFile(_archive())
     if re.fullmatch(r"\d+b?", now := spark.conf.get(BATCH)) and int(now.rstrip("b")) > BATCH_BYTES:
         spark.conf.set(BATCH, str(BATCH_BYTES))
 

@@ -17,7 +17,7 @@ FUNCTIONS = [
     r"""sentences_of(t STRING COMMENT 'a text') RETURNS TABLE(no INT, words ARRAY<STRING>)
 RETURN SELECT no, words FROM (SELECT no, array_remove(split(lower(regexp_replace(s, '[^A-Za-z\']+', ' ')), ' '), '') AS words FROM posexplode(split(t, '[.!?\n]')) AS x(no, s)) WHERE size(words) >= 2""",
     """word_pairs(w ARRAY<STRING> COMMENT 'words in order', far INT COMMENT 'places apart at most') RETURNS TABLE(wa STRING, wb STRING)
-RETURN SELECT least(w[i], w[j]), greatest(w[i], w[j]) FROM explode(sequence(0, size(w) - 1)) AS a(i), LATERAL explode(CASE WHEN i + 1 < size(w) THEN sequence(i + 1, least(i + far, size(w) - 1)) ELSE CAST(array() AS ARRAY<INT>) END) AS b(j) WHERE w[i] <> w[j]""",
+RETURN SELECT p.wa, p.wb FROM explode(flatten(transform(sequence(1, far), d -> transform(filter(sequence(0, size(w)), i -> i + d < size(w)), i -> named_struct('wa', least(w[i], w[i + d]), 'wb', greatest(w[i], w[i + d])))))) AS x(p) WHERE p.wa <> p.wb""",
     f"""pair_value(c BIGINT, l BIGINT, r BIGINT, total BIGINT) RETURNS DOUBLE
 RETURN CASE WHEN c < 1 THEN 0D ELSE log2(c) + log2(greatest(total, {mi.EPS}D)) - log2(greatest(l, {mi.EPS}D)) - log2(greatest(r, {mi.EPS}D)) END""",
     "grammar_cost(c BIGINT, top BIGINT) RETURNS DOUBLE RETURN CASE WHEN c < 1 THEN 99D ELSE least(greatest(-0.5D * log2(greatest(c / greatest(top, 1), 1e-20D)) + 0.1D, 0.1D), 10D) END",

@@ -21,3 +21,29 @@ def test_nothing_outside_llm_imports_it():
     for path in ROOT.joinpath("lexgraph").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT).parts:
             assert "lexgraph.llm" not in path.read_text(), path
+
+
+FAR = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from lexgraph.operators import parse
+from lexgraph.session import shared_dir, write_table, scratch, keep
+sents = spark.createDataFrame([(1, ["a", "b", "c"])], "sent_id long, words array<string>")
+values = spark.createDataFrame([("a", "b", 1.5)], "wa string, wb string, mi double")
+assert parse.word_trees(sents, values).count() == 2
+import os
+with scratch():
+    one, two = write_table(sents, "one"), keep(write_table(sents, "two"))
+assert two.count() == 1 and len(os.listdir(shared_dir(spark))) == 1
+print("FOLDER", shared_dir(spark))
+"""
+
+
+def test_workers_get_the_package_wherever_the_driver_has_it(tmp_path):
+    """No PYTHONPATH, another working folder: the package reaches the workers all the same. Scratch tables go, and the folder with the process."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", FAR.format(root=str(ROOT))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert said.returncode == 0, said.stderr[-3000:]
+    assert not Path(said.stdout.rpartition("FOLDER ")[2].strip()).exists()
