@@ -6,6 +6,7 @@ import atexit
 import os
 import re
 import shutil
+import sys
 import tempfile
 import uuid
 import weakref
@@ -22,6 +23,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Spark's setting for the bytes of a batch of rows sent to a Python worker, and the most that is left there: texts may be long.
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 _own: dict[str, str] = {}
+_paths: set[str] = set()
 _sent: weakref.WeakSet[SparkContext] = weakref.WeakSet()
 #: Tables written within scratch(), by how deep it is nested.
 _open: list[list[DataFrame]] = []
@@ -45,13 +47,34 @@ def shared_dir(spark: SparkSession) -> str:
     return _own["dir"]
 
 
+def own_folder(spark: SparkSession, label: str) -> str:
+    """The path of a new folder in the shared one, which ends with this process."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _paths:
+        atexit.register(_end)
+    _paths.add(path)
+    return path
+
+
+def _end() -> None:
+    """Delete what this process has left in the shared folder, if its JVM is still there."""
+    try:
+        jvm = SparkContext._jvm
+        for path in _paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except Exception as e:
+        print(f"left in the shared folder: {len(_paths)} folders ({e})", file=sys.stderr)
+
+
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     The shuffle files of the write go when it ends: what comes after reads the table.
+    The table goes by drop_tables(), at the end of a scratch(), or with this process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = own_folder(spark, label)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -74,6 +97,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system that Spark reads."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _paths.discard(path)
 
 
 def drop_tables(*tables: DataFrame) -> None:

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexgraph.session import delete_path, drop_tables, shared_dir, write_table
+from lexgraph.session import delete_path, drop_tables, own_folder, write_table
 
 TABLES = {"nodes": "name string, type string, value array<double>", "links": "a string, b string, type string, value array<double>", "sections": "word string, djh long, count double"}
 KEYS = {"nodes": ["name"], "links": ["a", "b"], "sections": ["word", "djh"]}
@@ -52,7 +52,7 @@ class AtomStore:
         if self.connected():
             raise RuntimeError("already open")
         if not self.kept:
-            self.path = f"{shared_dir(self.spark)}/store-{uuid.uuid4().hex}"
+            self.path = own_folder(self.spark, "store")
         last = self._notes()[-1:]
         if last:
             self.note = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/notes/{last[0]:08d}").collect()))

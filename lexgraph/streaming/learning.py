@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.utils import StreamingQueryException
 
 from lexgraph.operators import components, mi, pairs
-from lexgraph.session import delete_path, drop_tables, shared_dir, write_table
+from lexgraph.session import delete_path, drop_tables, own_folder, write_table
 
 #: The reference's gates of the phased rule: sentences, clusterings, classes, and their greatest share of the words in percent.
 GATES = {"sentences": 500, "cc_runs": 5, "classes": 10, "percent": 95}
@@ -43,7 +43,7 @@ def sentence_stream(spark: SparkSession, path: str, schema, files_per_trigger: i
 
 def drop_files(sents: DataFrame, batches: int) -> str:
     """Write sentences as ``batches`` files, by sent_id mod ``batches``, for a stream to pick up in that order; returns the folder."""
-    path = f"{shared_dir(sents.sparkSession)}/feed-{uuid.uuid4().hex}"
+    path = own_folder(sents.sparkSession, "feed")
     held = write_table(sents.select("sent_id", "words").withColumn("k", F.pmod("sent_id", F.lit(batches))), "feed")
     for k in range(batches):
         held.where(F.col("k") == k).drop("k").coalesce(1).write.parquet(f"{path}/{k:05d}")
@@ -65,14 +65,14 @@ def stream_pair_counts(sents: DataFrame, batches: int = 3, window: int = 2, self
     """
     spark = sents.sparkSession
     feed = drop_files(sents.where(F.size("words") >= 2), batches)
-    out = folder or f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    out = folder or own_folder(spark, "counts")
     stream = running_pair_counts(sentence_stream(spark, feed, sents.select("sent_id", "words").schema), window, self_pairs)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     with _rocksdb(spark):
-        started = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        started = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", own_folder(spark, "counts-state")).trigger(availableNow=True).start()
     started.awaitTermination()
     # A pair's count only grows.
     return spark.read.parquet(out).groupBy("wa", "wb").agg(F.max("count").alias("count"))
@@ -147,7 +147,7 @@ class LearningLoop:
     def __init__(self, spark: SparkSession, path: str | None = None, window: int = 2, dirty_least: int = 100, max_iterations: int = 500, gated: bool = False, min_mi: float = 2.0, min_count: float = 3.0):
         self.spark, self.window, self.dirty_least, self.max_iterations, self.gated = spark, window, dirty_least, max_iterations, gated
         self.min_mi, self.min_count = min_mi, min_count
-        self.path = path or f"{shared_dir(spark)}/loop-{uuid.uuid4().hex}"
+        self.path = path or own_folder(spark, "loop")
         self.query: StreamingQuery | None = None
         self.source: tuple | None = None
         self.paused = False
