@@ -10,7 +10,7 @@ from lexgraph.llm.common import with_text
 from lexgraph.session import write_table
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Words that stand more often than once in so many places are looked up from a broadcast; so there are at most this many.
+#: Words that may be looked up from a broadcast (16 bytes each): the most frequent ones, as many as are within this.
 WORDS_BROADCAST = 200_000
 
 
@@ -63,48 +63,73 @@ def _finished(texts: DataFrame, sums: DataFrame, total: int, alpha: float) -> Da
     return out.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_score") / F.col("n_words"))))
 
 
-def score_documents(docs: DataFrame, alpha: float = 0.4, slices: int = 2) -> DataFrame:
-    """Log-probability of every whole text under the counts over all of these texts.
-
-    A word w after v scores c(v w) / c(v), a text's first word c(w) / N; every pair
-    is in the model, so none backs off here (score_with() scores other texts).
-    Words are runs of non-space in lower case; n-grams stand as 64-bit hashes.
-    Returns doc_id, n_words, n_backoff (0), log_score (sum of natural logs; 0
-    without words) and perplexity (null without words), one row per input row: null
-    and empty texts have no words, and repeated rows count and score each.
-
-    N-grams are exploded to rows and dealt by their hash once; there they are
-    counted, and the counts are joined back to the rows, which are then summed by
-    text. The hashes are taken in so many ``slices``, one after another, so that
-    the disk holds the rows of one at a time. Pairs that would fill half a
-    partition (two for each partition at most) and frequent words
-    (WORDS_BROADCAST at most) are counted first, with aggregation before the
-    exchange, and are looked up from a broadcast.
+def _frequent(words: DataFrame) -> int:
+    """The least count from which no more than WORDS_BROADCAST words have it or more, to an eighth of an octave."""
+    step = F.floor(F.log2("c") * 8)
+    sizes = {r["k"]: r["n"] for r in words.groupBy(step.alias("k")).agg(F.count("*").alias("n")).collect()}
+    held, cut = 0, None
+    for k in sorted(sizes, reverse=True):
+        held += sizes[k]
+        if held > WORDS_BROADCAST:
+            break
+        cut = k
+    # The count itself decides, so no rounding of the octave can let more in.
+    return math.ceil(2 ** (cut / 8)) if cut is not None else max([*(2 ** (k / 8 + 1) for k in sizes), 1])
+
+
+def score_documents(docs: DataFrame, alpha: float = 0.4, slices: int = 2, least: int = 1) -> DataFrame:
+    """Stupid-backoff log-score of every whole text under the counts over all of these texts.
+
+    The model has the pairs that stand ``least`` times or more. A word w after v
+    scores c(v w) / c(v) if the model has the pair, else alpha c(w) / N, and is
+    counted in n_backoff; a text's first word scores c(w) / N. Words are runs of
+    non-space in lower case; n-grams stand as 64-bit hashes. Returns doc_id, n_words,
+    n_backoff, log_score (sum of natural logs; 0 without words) and perplexity (null
+    without words), one row per input row: null and empty texts have no words, and
+    repeated rows count and score each.
+
+    Every word is scored as if it backed off, and each pair of the model then adds
+    what it has over that, a value of the pair alone. N-grams are exploded to rows
+    and dealt by their hashes; there they are counted, pairs get their words' counts,
+    and the values are joined back to the rows and summed by text. The hashes are
+    taken in so many ``slices``, so that the disk holds the rows of one at a time.
+    Frequent words, and pairs that would fill half a partition (two for each
+    partition at most), are counted first, with aggregation before the exchange, and
+    are looked up from a broadcast.
     """
     spark = docs.sparkSession
     texts = _keyed(docs)
     words = write_table(exploded(texts).groupBy("word").agg(F.count("*").alias("c")), "lm-words")
     total = words.agg(F.sum("c")).first()[0] or 0
-    many = max(1000, total // (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    many = max(1000, total // (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), least)
     common = [r["word"] for r in words.where(F.col("c") > many).select("word").collect()]
-    both = exploded(texts).where(F.col("word").isin(common) & F.col("after").isin(common))
-    pairs = write_table(both.groupBy("pair").agg(F.count("*").alias("c2")).where(F.col("c2") > many), "lm-pairs")
-    often = words.where(F.col("c") > total // WORDS_BROADCAST)
-    rows = exploded(texts).join(F.broadcast(often), "word", "left").join(F.broadcast(pairs), "pair", "left").withColumn("weight", _weight())
-    known = F.coalesce(F.col("weight") * F.ln("c"), F.lit(0.0)) + F.coalesce(F.ln("c2"), F.lit(0.0))
-    none = F.lit(0).cast("long").alias("backoff")
-    sums = rows.groupBy("rid").agg(F.sum(known).alias("value"), F.count("*").alias("words"), F.count_if(F.col("pos") == 0).alias("copies")).withColumn("backoff", none)
-    terms = F.array(
-        F.when(F.col("c2").isNull(), F.struct(F.col("pair").alias("key"), F.lit(1).alias("weight"))),
-        F.when(F.col("c").isNull(), F.struct(F.col("word").alias("key"), F.col("weight"))))
-    opened = rows.select("rid", F.explode(terms).alias("t")).select("t.key", "rid", "t.weight").where("key is not null")
+    over = math.log(max(total, 1)) - math.log(alpha)
+    side = lambda key, n: words.select(F.col("word").alias(key), F.col("c").alias(n))
+    both = exploded(texts).where(F.col("word").isin(common) & F.col("after").isin(common)).groupBy("word", "after", "pair").agg(F.count("*").alias("n")).where(F.col("n") > many)
+    value = F.ln("n") - F.ln("cv") - F.ln("cw") + over
+    pairs = write_table(both.join(side("word", "cv"), "word").join(side("after", "cw"), "after").select("pair", value.alias("gain")), "lm-pairs")
+    known = words.where(F.col("c") >= _frequent(words))
+    rows = exploded(texts).join(F.broadcast(known), "word", "left").join(F.broadcast(pairs), "pair", "left")
+    sums = rows.groupBy("rid").agg((F.coalesce(F.sum(F.ln("c")), F.lit(0.0)) + F.coalesce(F.sum("gain"), F.lit(0.0))).alias("value"), F.count("*").alias("words"), F.count_if(F.col("pos") == 0).alias("copies"), F.count("gain").alias("found"))
+    # A word alone stands beside its own complement.
+    alone = F.bitwise_not("word")
+    terms = F.array(F.when(F.col("after").isNotNull() & F.col("gain").isNull(), F.struct(F.col("word").alias("v"), F.col("after").alias("w"))), F.when(F.col("c").isNull(), F.struct(F.col("word").alias("v"), alone.alias("w"))))
+    opened = rows.select("rid", F.explode(terms).alias("t")).select("t.v", "t.w", "rid").where("v is not null")
     for k in range(slices):
-        dealt = opened.where(F.pmod("key", F.lit(slices)) == k).repartition("key")
-        # The least rid and weight are of no use but that both sides of the join then read one exchange.
-        counts = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("r"), F.min("weight").alias("w")).where("n > 1 and r is not null and w is not null").select("key", "n")
-        found = write_table(dealt.join(counts, "key").groupBy("rid").agg(F.sum(F.col("weight") * F.ln("n")).alias("value")), "lm-sums")
-        sums = sums.unionByName(found.select("rid", "value", *(F.lit(0).cast("long").alias(c) for c in ("words", "copies", "backoff"))))
-    return _finished(texts, sums, total, alpha)
+        dealt = opened.where(F.pmod("v", F.lit(slices)) == k).repartition("v", "w")
+        # The least rid is of no use but that both sides of the join then read one exchange.
+        counts = dealt.groupBy("v", "w").agg(F.count("*").alias("n"), F.min("rid").alias("r")).where((F.col("n") > 1) | (F.col("n") >= least)).where("r is not null").select("v", "w", "n")
+        valued = counts.join(side("v", "cv"), "v").join(side("w", "cw"), "w", "left").where(F.col("cw").isNull() | (F.col("n") >= least))
+        gains = valued.select("v", "w", F.when(F.col("cw").isNull(), F.ln("n")).otherwise(value).alias("gain"), F.col("cw").isNotNull().alias("pair"))
+        made = write_table(dealt.join(gains, ["v", "w"]).groupBy("rid").agg(F.sum("gain").alias("value"), F.count_if("pair").alias("found")), "lm-sums")
+        sums = sums.unionByName(made.select("rid", "value", F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("copies"), "found"))
+    by_text = sums.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("value", "words", "copies", "found")))
+    n, found = F.coalesce(F.expr("words div copies"), F.lit(0)), F.coalesce(F.expr("found div copies"), F.lit(0))
+    base = math.log(max(total, 1))
+    # As if every word but the first backed off.
+    score = F.when(n > 0, F.col("value") / F.col("copies") - n * base + (n - 1) * math.log(alpha)).otherwise(F.lit(0.0))
+    out = texts.select("doc_id", "rid").join(by_text, "rid", "left").select("doc_id", n.alias("n_words"), F.greatest(n - 1 - found, F.lit(0)).alias("n_backoff"), score.alias("log_score"))
+    return out.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_score") / F.col("n_words"))))
 
 
 def score_with(docs: DataFrame, counts: DataFrame, total: int, alpha: float = 0.4) -> DataFrame:

@@ -47,7 +47,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lm.score_documents(table(spark, sf_dir, "documents"))
+    """Pairs that stand once in all texts are not in the model: there words back off."""
+    found = lm.score_documents(table(spark, sf_dir, "documents"), least=2)
     return found.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("log_score", "perplexity")})
 
 
@@ -88,10 +89,10 @@ FROM m""",
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
      t AS (SELECT doc_id, unnest(w) AS b, unnest(list_prepend(NULL, w[:-2])) AS a FROM d),
      one AS (SELECT b AS w, count(*) AS c FROM t GROUP BY 1),
-     two AS (SELECT a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY 1, 2),
-     s AS (SELECT doc_id, sum(CASE WHEN a IS NULL THEN ln(o.c) - ln((SELECT sum(c) FROM one)) ELSE ln(p.c) - ln(v.c) END) AS score
+     two AS (SELECT a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2),
+     s AS (SELECT doc_id, sum(CASE WHEN p.c IS NOT NULL THEN ln(p.c) - ln(v.c) ELSE ln(o.c) - ln((SELECT sum(c) FROM one)) + CASE WHEN a IS NULL THEN 0 ELSE ln(0.4) END END) AS score, count(*) FILTER (a IS NOT NULL AND p.c IS NULL) AS lost
            FROM t JOIN one o ON b = o.w LEFT JOIN one v ON a = v.w LEFT JOIN two p USING (a, b) GROUP BY 1)
-SELECT doc_id, len(w) AS n_words, CAST(0 AS BIGINT) AS n_backoff, round(coalesce(score, 0), 6) + 0.0 AS log_score,
+SELECT doc_id, len(w) AS n_words, coalesce(lost, 0) AS n_backoff, round(coalesce(score, 0), 6) + 0.0 AS log_score,
        CASE WHEN len(w) > 0 THEN round(exp(-score / len(w)), 6) + 0.0 END AS perplexity
 FROM d LEFT JOIN s USING (doc_id)""",
     "op10_line_dedup": r"""

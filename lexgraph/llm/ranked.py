@@ -16,7 +16,7 @@ from lexgraph.session import drop_tables, ensure_importable, write_table
 #: Bytes that part terms: all ASCII but letters and digits.
 _PART = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 #: Terms and documents of a block of the index at most (a longer document is a block of its own).
-BLOCK_TERMS, BLOCK_DOCS = 1 << 20, 1 << 15
+BLOCK_TERMS, BLOCK_DOCS = 1 << 18, 1 << 15
 #: Rows of 24 bytes that may be broadcast, items and terms that are searched at a time, and items scored at a time.
 BROADCAST_ROWS, CHUNK_ITEMS, CHUNK_TERMS, GROUP = 200_000, 4096, 200_000, 64
 #: Strata an item visits first, those with its highest bounds, to learn which others can be left out.

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lexgraph.llm.common import _LOWER, _SPACE, buffers, with_text
 from lexgraph.llm.warc import open_fs
-from lexgraph.session import ensure_importable, shared_dir, write_table
+from lexgraph.session import ensure_importable, own_folder, write_table
 
 MAGIC, VERSION = b"LXGT", 1
 #: The id that ends each document.
@@ -397,7 +397,7 @@ def token_files(docs: DataFrame, path: str, folder: str | None = None) -> DataFr
     get a place each. An empty table gives an empty result. ``path`` must be
     readable on the executors.
     """
-    folder = folder or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    folder = folder or own_folder(docs.sparkSession, "tokens")
     if ":" not in folder:
         folder = f"file://{folder}"
     return read_token_files(write_table(write_token_files(docs, path, folder), "token-files"), folder)

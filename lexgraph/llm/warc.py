@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from lexgraph.session import ensure_importable, shared_dir, write_table
+from lexgraph.session import ensure_importable, own_folder, write_table
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT = 8 << 20
@@ -181,7 +181,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None, least: int = 100)
     payload_digest, record_type, refers_to and url, one row per page.
     """
     spark = pages.sparkSession
-    folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder or own_folder(spark, "warc")
     if ":" not in folder:
         folder = f"file://{folder}"
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")

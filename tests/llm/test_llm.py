@@ -463,6 +463,35 @@ def test_lm_scores_against_counting(spark):
     assert all((x.perplexity is None) == (x.n_words == 0) for x in got)
 
 
+@pytest.mark.parametrize("least,broadcast", [(2, 200_000), (2, 3), (3, 0)])
+def test_lm_backs_off_where_pairs_are_rare(spark, monkeypatch, least, broadcast):
+    monkeypatch.setattr(lm, "WORDS_BROADCAST", broadcast)
+    r = random.Random(10)
+    rows = [(i, " ".join(r.choice("abcdefghijklmnopq") * r.randint(1, 3) for _ in range(r.randint(0, 12)))) for i in range(50)] + ODD + [(None, "a b"), (9004, "a b"), (9005, "long " * 4000)]
+    ws = [(i, words(t)) for i, t in rows]
+    one, two = Counter(w for _, x in ws for w in x), Counter(p for _, x in ws for p in zip(x, x[1:]))
+    total = sum(one.values())
+    want = []
+    for i, w in ws:
+        lost = [p for p in zip(w, w[1:]) if two[p] < least]
+        score = sum(float(np.log(two[a, b] / one[a]) if two[a, b] >= least else np.log(0.4 * one[b] / total)) for a, b in zip(w, w[1:])) + (float(np.log(one[w[0]] / total)) if w else 0.0)
+        want.append((i, len(w), len(lost), round(score, 5)))
+    got = [(x.doc_id, x.n_words, x.n_backoff, round(x.log_score, 5) + 0.0) for x in lm.score_documents(docs(spark, rows), least=least).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(x[2] for x in want) > 50
+
+
+def test_lm_query_equals_sql(spark):
+    import duckdb
+
+    from lexgraph.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    cols = ["doc_id", "n_words", "n_backoff", "log_score", "perplexity"]
+    want = sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLES['op8_lm_scoring']})").fetchall())
+    assert sorted(map(tuple, QUERIES["op8_lm_scoring"](spark, "/root/testdata/sf0.001").select(*cols).collect())) == want and sum(x[2] for x in want) > 1000
+
+
 def test_lm_scores_under_another_corpus(spark):
     r = random.Random(9)
     text = lambda: " ".join(r.choice("abcdefghijkl") for _ in range(r.randint(0, 20)))
