@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from lexgraph.llm.common import hashed_words
 from lexgraph.session import ensure_importable
 
-PATH_DIM, WORD_DIM, NUM_DIM, HIDDEN = 512, 256, 12, 24
+PATH_DIM, WORD_DIM, NUM_DIM, HIDDEN = 512, 256, 22, 24
 #: Elements nest so deep at most (as in browsers), and so many of the nearest ancestors are looked at.
 DEEPEST, NEAREST = 512, 32
 _UNSEEN = r"""<!--(?:.*?-->|.*\Z)|<(script|style|template|noscript|svg|iframe|textarea|select|title)\b[^>]*+>(?:.*?</\1\s*>|.*\Z)"""
@@ -154,7 +154,25 @@ def block_features(blocks: list[tuple[str, tuple, int]]) -> tuple[np.ndarray, np
         np.log1p(size) / 5, np.minimum(linked / np.maximum(size, 1), 1), flag(lambda t: t[-1:] in ".!?:\"”"), size < 30, size > 200, np.ones_like(size),
         flag(lambda t: "©" in t or "(c)" in t), flag(lambda t: min(sum(map(t.count, (". ", "! ", "? "))), 4) / 4), flag(lambda t: " | " in t or " · " in t or "»" in t or "›" in t),
         flag(lambda t: t[:1].islower()), flag(lambda t: any(map(str.isdigit, t[:40]))), flag(lambda t: min(t.count(" "), 8) / 8)]
-    return words, np.stack(numbers, 1).astype(np.float32)
+    return words, np.hstack([np.stack(numbers, 1).astype(np.float32), hint_features(texts)])
+
+
+def hint_features(texts: list[str]) -> np.ndarray:
+    """The share of a block's words that hint at each kind of part, the greatest of them, and whether it is a line such parts are made of."""
+    out = np.zeros((len(texts), NUM_DIM - 12), np.float32)
+    for k, t in enumerate(texts):
+        if len(t) > 600:
+            continue
+        found = _TOKEN.findall(t.lower())
+        if not found:
+            continue
+        for w in found:
+            if at := _HINTS.get(w):
+                out[k, list(at)] += 1
+        out[k, :8] /= len(found)
+        out[k, 8] = out[k, :8].max()
+        out[k, 9] = any(p.search(t) for p in _LINE_PATTERNS) if len(t) < 160 else 0
+    return out
 
 
 class BiLSTM:
@@ -274,10 +292,40 @@ PARTS = {
     "comments": ("section.comments div.comments div#comments ol.comment-list div.comment section#responses article.comment div.discussion div#disqus ul.replies", "reply says comment comments ago posted wrote report likes replies"),
     "footer": ("footer div.footer div#footer footer.site-footer div.copyright div.legal div.ft div.foot div.bottom div.colophon", "copyright rights reserved terms privacy policy inc all contact"),
 }
+#: The same hints in German, French and Spanish.
+ABROAD = {
+    "menu": "startseite über kontakt produkte archiv anmelden nachrichten hilfe weiter zurück accueil contact produits actualités connexion aide suivant inicio contacto productos noticias ayuda siguiente",
+    "header": "willkommen suche bienvenue recherche bienvenidos buscar portal",
+    "sidebar": "verwandte beliebt neueste beiträge mehr lesen articles liés populaires récents lire relacionados populares recientes leer más",
+    "notice": "cookies akzeptieren datenschutz newsletter abonnieren teilen folgen accepter confidentialité abonnez partager suivez aceptar privacidad suscríbete compartir síguenos",
+    "advert": "anzeige werbung kaufen angebot rabatt gratis publicité achetez offre gratuit publicidad compra oferta gratis",
+    "form": "name passwort senden suchen nom envoyer rechercher nombre contraseña enviar buscar",
+    "comments": "kommentare antworten schrieb vor stunden commentaires répondre écrit comentarios responder escribió",
+    "footer": "impressum datenschutz rechte vorbehalten agb droits réservés mentions légales derechos reservados aviso legal condiciones",
+}
+#: Whole lines that such parts are made of; a dot at an end may be left out, and _ stands for any word.
+LINES = {
+    "notice": ["We use cookies to _ your experience.", "This site uses cookies. By continuing you accept our _ policy.", "Share this article", "Share this:", "Share on Facebook", "Subscribe to our newsletter and never miss a _ again.", "Sign up for our newsletter", "Follow us on Twitter", "Like what you read? Subscribe to _ today.", "Get the best of _ in your inbox every week.",
+               "Diese Seite verwendet Cookies.", "Wir verwenden Cookies, um _ zu _.", "Artikel teilen", "Jetzt unseren Newsletter abonnieren", "Ce site utilise des cookies pour _.", "Partager cet article", "Abonnez-vous à notre newsletter", "Este sitio utiliza cookies para _.", "Comparte este artículo", "Suscríbete a nuestro boletín"],
+    "advert": ["Advertisement", "Sponsored", "Ad", "Promoted", "Sponsored content", "Anzeige", "Werbung", "Publicité", "Publicidad", "Contenu sponsorisé"],
+    "footer": ["Copyright 2020 _. All rights reserved.", "All rights reserved.", "Terms of use. Privacy policy.", "_ is a trademark of _ Inc.", "Contact us | Terms | Privacy", "Powered by _", "Impressum | Datenschutz | Kontakt", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Mentions légales", "Todos los derechos reservados.", "Aviso legal"],
+    "sidebar": ["Related articles", "You may also like", "Most read", "More from _", "Read more", "Read also: _ _ _", "Mehr zum Thema", "Das könnte Sie auch interessieren", "À lire aussi", "Te puede interesar"],
+    "comments": ["Leave a reply", "2 comments", "Comments (_)", "Join the discussion", "Kommentare", "Schreibe einen Kommentar", "Laisser un commentaire", "Deja un comentario"],
+}
 BODIES = "article main>article main div.content div#content div.post div.entry-content section.article div.article-body div#main div.page>article div.container>main div.story article.post table>tr>td.content div.text div#mw-content-text div.body div.prose section div>div".split()
+#: Words of any text in four languages, so that they hint at nothing.
+PLAIN_WORDS = "the of and to in a is that it for on with as was at by this from be are we you they not have will his her or an all more der die das und in zu den von mit ist nicht ein eine auf für es im dem wir sie le la les de des et en un une que est pour dans sur au nous vous el los las y que se por con para una del su al lo".split()
 NEUTRAL = "col left center box wrap inner row container block page bd mod item c1 grid cell outer unit area panel layer w100 clearfix region group one two".split()
 
 
+_TOKEN = re.compile(r"[^\W\d_]+")
+_HINTS: dict[str, tuple[int, ...]] = {}
+for _k, _kind in enumerate(sorted(PARTS)):
+    for _w in {*_TOKEN.findall(" ".join((PARTS[_kind][1], ABROAD[_kind], *LINES.get(_kind, ()))).lower())} - set(PLAIN_WORDS):
+        _HINTS[_w] = (*_HINTS.get(_w, ()), _k)
+_LINE_PATTERNS = [re.compile("^" + r"[\w.&' -]+".join(re.escape(x.rstrip(".")) for x in re.sub("2020|^2", "_", line).split("_")), re.I) for lines in LINES.values() for line in lines]
+
+
 def _element(wrap: str) -> tuple[str, str]:
     opened, closed = "", ""
     for part in filter(None, wrap.split(">")):
@@ -293,18 +341,21 @@ class _Page:
     def __init__(self, rng: random.Random):
         self.rng, self.html, self.labels = rng, [], []
         self.junk = rng.choice(("", "", "", "", "###", "$$$", "!!", " |", "***"))
+        self.usual = rng.choice((0.0, 0.1, 0.3, 0.45))
         self.syllables = [a + b for a in "b d f g k l m n p r s t v w th sh".split() for b in "a e i o u an er in on".split()]
         # Layouts without telling names: parts must be told by their text and place.
         self.plain = rng.random() < 0.5
         # Others are one table, with a row for each part.
-        self.table = self.plain and rng.random() < 0.15
-        self.html += ["<table>"] * self.table
+        self.table = self.plain and rng.random() < 0.3
+        self.html += [rng.choice(("<table>", "<table width='100%'>", "<table border=0><tbody>"))] * self.table
 
     def word(self) -> str:
         return "".join(self.rng.choices(self.syllables, k=self.rng.choice((1, 1, 2, 2, 3, 4))))
 
     def words(self, n: int, hints: str = "", share: float = 0.0) -> str:
-        return " ".join(self.rng.choice(hints.split()) if hints and self.rng.random() < share else self.word() for _ in range(n))
+        known = hints.split()
+        plain = self.usual
+        return " ".join(self.rng.choice(known) if known and self.rng.random() < share else self.rng.choice(PLAIN_WORDS) if self.rng.random() < plain else self.word() for _ in range(n))
 
     def sentence(self, n: int, hints: str = "", share: float = 0.0) -> str:
         made = self.words(n, hints, share)
@@ -321,6 +372,12 @@ class _Page:
             out += s + self.rng.choice((". ", ". ", ". ", "! ", "? "))
         return out.strip() if self.rng.random() < 0.95 else out.strip(".!? ")
 
+    def line(self, kind: str) -> str:
+        """A whole line as such parts have it."""
+        text = re.sub("_", lambda _: self.word(), self.rng.choice(LINES[kind]))
+        text = re.sub("2020|^2", lambda m: str(self.rng.randint(1996, 2026) if len(m[0]) > 1 else self.rng.randint(2, 90)), text)
+        return text.rstrip(".") if self.rng.random() < 0.2 else text
+
     def add(self, tag: str, text: str, label: int) -> None:
         self.html.append(f"<{tag}>{text}</{tag.split(' ')[0]}>" if tag else text)
         self.labels.append(label)
@@ -339,14 +396,15 @@ class _Page:
     def part(self, kind: str, named: bool = False) -> None:
         """One part that is not main text. Without a telling wrapper, its own text tells."""
         r, (wraps, hints) = self.rng, PARTS[kind]
+        hints = r.choice((hints, hints, f"{hints} {ABROAD[kind]}", ABROAD[kind]))
         opened, closed = _element(r.choice(wraps.split())) if named or kind in ("advert", "form") and not self.plain else self.wrapper(wraps)
         self.html.append(opened)
         telling = any(opened == _element(w)[0] for w in wraps.split())
         link = lambda text: f'<a href="/{self.word()}">{text}</a>'
         few = lambda share=0.5: self.words(r.randint(1, 3), hints, share).capitalize()
         if kind in ("menu", "sidebar") or kind in ("footer", "header") and r.random() < 0.3:
-            if kind == "sidebar" and r.random() < 0.6:
-                self.add(r.choice(("h2", "h3", "h4", "div", "p")), few(0.8), 0)
+            if kind == "sidebar" and (r.random() < 0.6 or not telling):
+                self.add(r.choice(("h2", "h3", "h4", "div", "p")), self.line("sidebar") if r.random() < 0.5 else few(0.8), 0)
             n, form = r.randint(2, 9), r.choice(("ul", "ul", "div", "line", "p", "p"))
             if form == "line":
                 self.add(r.choice(("p", "div", "")), r.choice((" ", " | ", " · ", " &raquo; ")).join(link(few()) for _ in range(n)), 0)
@@ -362,31 +420,41 @@ class _Page:
                 self.html.append("<div></div>")
         elif kind == "comments":
             if r.random() < 0.6 or not telling:
-                self.add(r.choice(("h2", "h3", "div")), f"{r.randint(1, 40)} {r.choice(('comments', 'replies', 'responses'))}".capitalize(), 0)
-            for _ in range(r.randint(1, 4)):
+                self.add(r.choice(("h2", "h3", "div", "p")), r.choice((f"{r.randint(1, 40)} {r.choice(('comments', 'replies', 'responses', 'Kommentare', 'commentaires', 'comentarios'))}".capitalize(), self.line("comments"))), 0)
+            for _ in range(r.randint(1, 5)):
                 inner = _element(r.choice(("div.comment", "article", "li", "div.body", "div", "p")))
                 self.html.append(inner[0])
                 if r.random() < 0.7 or not telling:
-                    self.add(r.choice(("div", "h4", "p") if inner[0] != "<p>" else ("",)), f"{self.word()} {r.choice(('says:', 'wrote:', f'{r.randint(2, 20)} hours ago', 'posted'))}", 0)
+                    self.add(r.choice(("div", "h4", "p") if inner[0] != "<p>" else ("",)), r.choice((f"{self.word()} {r.choice(('says:', 'wrote:', 'schrieb:', 'a écrit :', 'escribió:', f'{r.randint(2, 20)} hours ago', 'posted'))}", self.word().capitalize(), f"{self.words(2).title()}, {r.randint(1, 28)} {self.word()} {r.randint(2001, 2026)}")), 0)
                     self.html.append("<div></div>")
                 self.add(r.choice(("p", "div")), self.prose(2, 14), 0)
-                if r.random() < 0.6 or not telling:
-                    self.add("a href='#'" if r.random() < 0.5 else "div", r.choice(("Reply", "Like", "Reply Share", "Report")), 0)
+                if r.random() < 0.5:
+                    self.add("a href='#'" if r.random() < 0.5 else "div", r.choice(("Reply", "Like", "Reply Share", "Report", "Antworten", "Répondre", "Responder")), 0)
                 self.html.append(inner[1])
         elif kind == "form":
             for _ in range(r.randint(1, 4)):
                 self.add(r.choice(("label", "p", "div", "button")), few(0.7), 0)
                 self.html.append("<div><input name='q'></div>")
         elif kind == "footer":
-            for _ in range(r.randint(1, 3)):
+            for k in range(r.randint(1, 3)):
+                if r.random() < 0.5:
+                    self.add(r.choice(("p", "div", "")), " ".join(self.line("footer") for _ in range(r.choice((1, 1, 2)))), 0)
+                    self.html.append("<div></div>")
+                    continue
                 self.add(r.choice(("p", "div", "")), r.choice(("&copy; ", "Copyright &copy; ", "(c) ") if not telling else ("&copy; ", "", "Copyright ")) + r.choice(("", str(r.randint(1999, 2026)) + " ")) + self.sentence(r.randint(1, 14), hints, 0.3) + r.choice((".", "", " &middot; " + self.sentence(4, hints, 0.3))), 0)
                 self.html.append("<div></div>")
         else:
             share = 0.1 if telling else 0.5
-            if kind == "advert" and not telling:
-                self.add(r.choice(("div", "p", "span")), r.choice(("Advertisement", "Sponsored", "Ad")), 0)
+            if kind == "advert" and (not telling or r.random() < 0.3):
+                self.add(r.choice(("div", "p", "span", "h3")), self.line("advert"), 0)
+                self.html.append("<div></div>")
+            if kind == "notice" and r.random() < 0.6:
+                self.add(r.choice(("p", "div", "", "span")), self.line("notice"), 0)
                 self.html.append("<div></div>")
-            for _ in range(r.choice((1, 1, 2))):
+                if r.random() < 0.5:
+                    self.html.append(closed)
+                    return
+            for _ in range(r.choice((1, 1, 2, 3))):
                 self.add(r.choice(("p", "div", "", "h3")), self.sentence(r.randint(2, 16), hints, share) + r.choice((".", "", "!")) + (" " + link(few()) if r.random() < 0.3 else ""), 0)
                 self.html.append("<div></div>")
             if kind == "notice" and r.random() < 0.5:
@@ -466,17 +534,21 @@ def training_page(rng: random.Random) -> tuple[str, list[int]]:
             page.part("sidebar")
     opened, closed = ("", "") if bare and rng.random() < 0.5 else page.wrapper(" ".join(BODIES))
     page.html.append(opened)
-    if rng.random() < 0.65:
+    if rng.random() < 0.75:
         inside = rng.random() < 0.15
         page.html.append("<header>" if inside else "")
-        page.add(rng.choice(("h1", "h1", "h1", "h2")), page.sentence(rng.randint(1, 14)), 1)
+        page.add(rng.choice(("h1", "h1", "h1", "h2")), page.sentence(rng.randint(1, rng.choice((3, 14)))), 1)
         if rng.random() < 0.3:
             page.add(rng.choice(("p", "div", "p class='byline'", "div class='meta'")), rng.choice((f"By {page.words(2).title()}", f"By {page.words(2).title()}, {rng.randint(1, 28)} {page.word()} {rng.randint(1999, 2026)}", f"{rng.randint(1, 28)} {page.word()} {rng.randint(1999, 2026)}")), 1)
         page.html.append("</header>" if inside else "")
     for _ in range(rng.choice((1, 1, 2, 3, 4, 6, 8, 10))):
         page.main_block()
-        if rng.random() < 0.05:
-            page.part(rng.choice(("advert", "notice", "form", "sidebar")), named=True)
+        if rng.random() < 0.09:
+            # In the midst of the text, by name or by nothing but its own words and place.
+            if rng.random() < 0.35:
+                page.add(rng.choice(("p", "div", "h4", "p class='x'")), page.line(rng.choice(("notice", "notice", "sidebar"))), 0)
+            else:
+                page.part(rng.choice(("advert", "advert", "notice", "notice", "form", "sidebar")), named=rng.random() < 0.4)
     page.html.append(closed)
     if not bare:
         for kind in ("notice", "sidebar", "form", "comments", "advert", "footer"):
@@ -488,7 +560,7 @@ def training_page(rng: random.Random) -> tuple[str, list[int]]:
 _models: dict[tuple, BiLSTM] = {}
 
 
-def trained(pages: int = 2000, seed: int = 11) -> BiLSTM:
+def trained(pages: int = 3200, seed: int = 11) -> BiLSTM:
     """The labeller, fitted on ``pages`` pages made by rule; fitted once in a driver."""
     if (pages, seed) not in _models:
         rng = random.Random(seed)

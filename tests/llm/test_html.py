@@ -44,6 +44,31 @@ PAGES = [
 ]
 
 
+A, B = f"<p>{P1}</p>", f"<p>{P2}</p>"
+#: Boilerplate without telling names, inside the text and around it, in four languages.
+HARD = [
+    ("plain footer", f"<div><h1>School</h1>{A}{B}</div><div><p>Copyright 2020 Example. All rights reserved.</p></div>", f"School\n{P1}\n{P2}"),
+    ("offer in a box", f'<main>{A}<div class="box"><p>Advertisement</p><p>Buy one car and get two for free, only today!</p></div>{B}</main>', f"{P1}\n{P2}"),
+    ("sponsored box", f'<article>{A}<div class="x9"><span>Sponsored</span><p>Ten tricks that your dentist will not tell you</p></div>{B}</article>', f"{P1}\n{P2}"),
+    ("thread", f"<div><h1>School</h1>{A}{B}</div><div><p>2 comments</p><div><b>Bob</b><p>Great news for all of us!</p></div><div><b>Ann</b><p>I do not agree at all with this plan.</p></div></div>", f"School\n{P1}\n{P2}"),
+    ("cookies", f"<div>This site uses cookies to improve your experience. <button>OK</button></div><article><h1>School</h1>{A}{B}</article>", f"School\n{P1}\n{P2}"),
+    ("german footer", f"<div><h1>Schule</h1><p>{LOREM}</p>{A}</div><div><p>Impressum</p><p>Datenschutz</p><p>Alle Rechte vorbehalten.</p></div>", f"Schule\n{LOREM}\n{P1}"),
+    ("share line", f"<article>{A}<p>Share this article</p>{B}</article>", f"{P1}\n{P2}"),
+    ("subscribe line", f"<article>{A}<p>Subscribe to our newsletter and never miss a story.</p>{B}<p>{P3}</p></article>", f"{P1}\n{P2}\n{P3}"),
+    ("read also", f'<article>{A}<p><a href="/f">Read also: Ferry returns after ten years</a></p>{B}</article>', f"{P1}\n{P2}"),
+    ("french notice", f"<div>Ce site utilise des cookies. <a href='/c'>Accepter</a></div><div><h1>Le pont</h1>{A}{B}</div><div>Tous droits réservés.</div>", f"Le pont\n{P1}\n{P2}"),
+    ("spanish end", f"<div>{A}{B}</div><div><p>Todos los derechos reservados.</p><p>Aviso legal</p></div>", f"{P1}\n{P2}"),
+    ("german advert", f"<div>{A}<div><span>Anzeige</span><p>Jetzt kaufen und sparen: Rabatt auf alle Brücken!</p></div>{B}</div>", f"{P1}\n{P2}"),
+    ("follow us", f"<div><h2>A bridge at last</h2>{A}{B}<p>Follow us on Twitter and Facebook</p></div>", f"A bridge at last\n{P1}\n{P2}"),
+    ("related list", f'<div>{A}{B}</div><div><h3>You may also like</h3><ul><li><a href="/1">Ferry returns after ten years</a></li><li><a href="/2">Harbour gets new cranes</a></li></ul></div>', f"{P1}\n{P2}"),
+    ("comment form", f"<div>{A}{B}</div><div><h3>Leave a reply</h3><label>Name</label><input><label>Your comment</label><input><button>Send</button></div>", f"{P1}\n{P2}"),
+    ("menu in a div", f'<div><a href="/">Home</a> | <a href="/n">News</a> | <a href="/c">Contact</a></div><div><h1>A bridge at last</h1>{A}{B}</div><div>Terms of use. Privacy policy.</div>', f"A bridge at last\n{P1}\n{P2}"),
+    ("words like those in prose", f"<article><h1>All rights</h1><p>The council said that the privacy of all its users and the rights of readers are reserved for debate in May.</p>{B}<p>Cookies were sold at the school, and the newsletter of the town wrote about it.</p></article>", f"All rights\nThe council said that the privacy of all its users and the rights of readers are reserved for debate in May.\n{P2}\nCookies were sold at the school, and the newsletter of the town wrote about it."),
+    ("two adverts", f"<div>{A}<div><p>Advertisement</p><p>Cheap flights to the sea from 19 euros</p></div>{B}<div><p>Advertisement</p><p>Shop now and save</p></div><p>{P3}</p></div>", f"{P1}\n{P2}\n{P3}"),
+    ("long thread", f"<article><h1>School</h1>{A}{B}</article><div><h3>Comments (3)</h3>" + "".join(f"<div><p>{n}, 3 May 2021</p><p>{t}</p></div>" for n, t in (("Tom", "I think this is a very good plan for the town and its people."), ("Eve", "No, it is not. The money is needed for the schools."), ("Max", "Wait and see."))) + "</div>", f"School\n{P1}\n{P2}"),
+]
+
+
 def blocks(text):
     return text.split("\n") if text else []
 
@@ -54,8 +79,18 @@ def test_pages_of_many_layouts():
     wrong = [(name, got) for (name, _, want), got in zip(PAGES, found) if got != want]
     hit = sum(len(set(blocks(want)) & set(blocks(got))) for (_, _, want), got in zip(PAGES, found))
     print(f"pages {len(PAGES) - len(wrong)} of {len(PAGES)}; recall {hit / sum(len(set(blocks(w))) for _, _, w in PAGES):.3f}; precision {hit / max(sum(len(set(blocks(g))) for g in found), 1):.3f}", wrong)
-    # Known to fail: a layout table whose menu and copyright notice stand in cells like the article's.
-    assert len(PAGES) >= 20 and {name for name, _ in wrong} <= {"tables"}
+    assert len(PAGES) >= 20 and not wrong
+
+
+def test_boilerplate_without_telling_names():
+    """Nearly all main text is there and hardly any boilerplate; what fails is known."""
+    found = html.main_texts([h for _, h, _ in HARD], html.trained())
+    wrong = [(name, got) for (name, _, want), got in zip(HARD, found) if got != want]
+    want, got = [(k, b) for k, (_, _, w) in enumerate(HARD) for b in blocks(w)], [(k, b) for k, g in enumerate(found) for b in blocks(g)]
+    print(f"pages {len(HARD) - len(wrong)} of {len(HARD)}; recall {len(set(want) & set(got)) / len(want):.3f}; precision {len(set(want) & set(got)) / len(got):.3f}", wrong)
+    # Known to fail: a line to subscribe that reads like a sentence, an offer in a box of its own, and text after the second of two adverts.
+    assert {name for name, _ in wrong} <= {"subscribe line", "offer in a box", "two adverts"}
+    assert len(set(want) - set(got)) <= 1 and len(set(got) - set(want)) <= 2
 
 
 def test_given_pages_by_their_structure():
