@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def pair_events(sents: DataFrame, window: int = 6, self_pairs: bool = False) -> DataFrame:
-    """(sent_id, wa, wb), wa <= wb: one row for each two words at most ``window`` places apart."""
+def pair_events(sents: DataFrame, window: int = 6, self_pairs: bool = False, keep: tuple[str, ...] = ("sent_id",)) -> DataFrame:
+    """(*keep, wa, wb), wa <= wb: one row for each two words at most ``window`` places apart."""
     n = F.size("words")
     sides = [F.arrays_zip(F.slice("words", 1, F.greatest(n - d, F.lit(0))).alias("a"), F.slice("words", d + 1, F.greatest(n - d, F.lit(0))).alias("b")) for d in range(1, window + 1)]
-    rows = sents.select("sent_id", F.explode(F.concat(*sides) if window > 1 else sides[0]).alias("p"))
-    out = rows.select("sent_id", F.least("p.a", "p.b").alias("wa"), F.greatest("p.a", "p.b").alias("wb"))
+    rows = sents.select(*keep, F.explode(F.concat(*sides) if window > 1 else sides[0]).alias("p"))
+    out = rows.select(*keep, F.least("p.a", "p.b").alias("wa"), F.greatest("p.a", "p.b").alias("wb"))
     return out if self_pairs else out.where("wa <> wb")
 
 

@@ -483,7 +483,9 @@ def neighborhood_topk(spark, d):
 z AS (SELECT word, sum(na.mi * nb.mi) AS dot FROM na JOIN nb USING (word, partner) GROUP BY 1), j AS (SELECT word, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb, coalesce(dot, 0) / (sqrt(sa) * sqrt(sb)) AS c FROM x FULL JOIN y USING (word) LEFT JOIN z USING (word))
 SELECT word, na, nb, round(CASE WHEN na < 3 OR nb < 3 THEN 0.0 ELSE 1 - c END, 6) + 0.0 AS divergence, (na >= 3 AND nb >= 3 AND 1 - c > 0.5) AS polysemous FROM j""")
 def polysemy_divergence(spark, d):
-    return _round(divergence.divergence(_side(spark, d, "lang = 'en'"), _side(spark, d, "lang <> 'en'")), "divergence")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", (F.col("lang") == "en").alias("side")).where("side is not null"))
+    found = divergence.sided_neighbourhoods(sequences.sentences(docs, keep=("side",)))
+    return _round(divergence.divergence(found.where("side"), found.where("not side")), "divergence")
 
 
 # The operators in SQL

@@ -19,17 +19,18 @@ def words_of(sentence: Column, max_words: int | None = None, max_chars: int | No
     return words if max_words is None else F.slice(words, 1, max_words)
 
 
-def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 2, max_words: int | None = None, max_chars: int | None = None, by_place: bool = False) -> DataFrame:
+def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 2, max_words: int | None = None, max_chars: int | None = None, by_place: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(sent_id, words): sentences end at . ! ? or a line end; shorter ones than ``min_words`` are dropped.
 
     sent_id is key * 2**32 + the sentence's number in the text, for keys below 2**31
     (others are an error), or ``by_place`` a struct of both (key, no), for any key.
-    ``max_words`` and ``max_chars`` are those of words_of().
+    ``max_words`` and ``max_chars`` are those of words_of(); ``keep`` names further
+    columns to carry.
     """
-    cut = docs.select(F.col(key).cast("long").alias("key"), F.posexplode(F.split(F.col(text), "[.!?\n]")).alias("no", "s"))
+    cut = docs.select(*keep, F.col(key).cast("long").alias("key"), F.posexplode(F.split(F.col(text), "[.!?\n]")).alias("no", "s"))
     fits = F.coalesce(F.col("key").between(-(1 << 31), (1 << 31) - 1), F.lit(True))
     own = F.struct("key", "no") if by_place else F.when(fits, F.shiftleft("key", 32) + F.col("no")).otherwise(F.raise_error(F.lit("keys of 2**31 and more need by_place")))
-    return cut.select(own.alias("sent_id"), words_of(F.col("s"), max_words, max_chars).alias("words")).where(F.size("words") >= min_words)
+    return cut.select(*keep, own.alias("sent_id"), words_of(F.col("s"), max_words, max_chars).alias("words")).where(F.size("words") >= min_words)
 
 
 def baskets(lineitem: DataFrame) -> DataFrame:

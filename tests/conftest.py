@@ -1,6 +1,10 @@
+import os
 import sys
 from pathlib import Path
 
+# Small matrices: more threads only wait for each other.
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 import pytest
 from pyspark.sql import SparkSession
 
