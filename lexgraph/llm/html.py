@@ -63,6 +63,8 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
     decoded, white space becomes one space, and ends are trimmed. Tag soup is
     taken as browsers do: a new block closes an open paragraph, and an end tag
     without a start is ignored. ``path`` has the names of the NEAREST ancestors.
+    Elements nest DEEPEST deep at most: beyond, a start tag is not kept, while its
+    end tag may close an outer element of that name, and what follows loses it early.
     """
     out: list[tuple[str, tuple, int]] = []
     stack: list[tuple] = []

@@ -70,6 +70,31 @@ def test_trees_are_monotone():
     assert ((f.score(x) > 0.5) == (x[:, 0] < 0.5)).mean() > 0.95
 
 
+def test_verdicts_of_a_table_equal_walking_each_tree(spark):
+    """kept and score of every document of a small table, by plain Python: statistics, base rule, and each tree walked node by node."""
+    import math
+
+    d = "/root/testdata/sf0.001"
+    docs_, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    forest, threshold = quality.train(docs_, labels)
+    assert len(forest.roots) > 10
+    nodes = list(zip(forest.feature.tolist(), forest.threshold.tolist(), forest.left.tolist(), forest.right.tolist(), forest.value.tolist()))
+    want = {}
+    for doc_id, text in docs_.select("doc_id", "text").collect():
+        (n, _, _, _, repeat), x = quality.statistics(text or "")
+        raw = forest.base
+        for at in forest.roots.tolist():
+            while nodes[at][0] >= 0:
+                f, cut, left, right, _ = nodes[at]
+                at = left if x[f] <= cut else right
+            raw += nodes[at][4]
+        failed = n < 50 or 100 * repeat > 50 * n
+        want[doc_id] = (failed, not failed and raw >= threshold - 1e-12, 1 / (1 + math.exp(-raw)))
+    got = {r.doc_id: (r.base_failed, r.kept, r.score) for r in quality.quality(docs_, labels).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+    assert [got[k][2] for k in want] == pytest.approx([v[2] for v in want.values()])
+
+
 def test_license_base_and_fuzzy(spark):
     rows = [(1, "Released under the MIT-License. under the mit license"), (2, "Licensd under the Apache Licence, Version 2.0"), (3, "cc by nc cc BY nc"), (4, "nothing to see"), *ODD]
     got = {x.doc_id: x for x in license.scan_licenses(docs(spark, rows)).collect()}
