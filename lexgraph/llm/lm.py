@@ -77,7 +77,7 @@ def _frequent(words: DataFrame) -> int:
     return math.ceil(2 ** (cut / 8)) if cut is not None else max([*(2 ** (k / 8 + 1) for k in sizes), 1])
 
 
-def score_documents(docs: DataFrame, alpha: float = 0.4, slices: int = 2, least: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, alpha: float = 0.4, slices: int = 3, least: int = 1) -> DataFrame:
     """Stupid-backoff log-score of every whole text under the counts over all of these texts.
 
     The model has the pairs that stand ``least`` times or more. A word w after v
