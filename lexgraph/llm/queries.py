@@ -49,7 +49,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that stand once in all texts are not in the model: there words back off."""
     found = lm.score_documents(table(spark, sf_dir, "documents"), least=2)
-    return found.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("log_score", "perplexity")})
+    # Perplexities are large: sums in another order differ in their sixth decimal.
+    return found.withColumns({c: F.round(c, n) + F.lit(0.0) for c, n in (("log_score", 6), ("perplexity", 3))})
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,7 @@ WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, ''
      s AS (SELECT doc_id, sum(CASE WHEN p.c IS NOT NULL THEN ln(p.c) - ln(v.c) ELSE ln(o.c) - ln((SELECT sum(c) FROM one)) + CASE WHEN a IS NULL THEN 0 ELSE ln(0.4) END END) AS score, count(*) FILTER (a IS NOT NULL AND p.c IS NULL) AS lost
            FROM t JOIN one o ON b = o.w LEFT JOIN one v ON a = v.w LEFT JOIN two p USING (a, b) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(lost, 0) AS n_backoff, round(coalesce(score, 0), 6) + 0.0 AS log_score,
-       CASE WHEN len(w) > 0 THEN round(exp(-score / len(w)), 6) + 0.0 END AS perplexity
+       CASE WHEN len(w) > 0 THEN round(exp(-score / len(w)), 3) + 0.0 END AS perplexity
 FROM d LEFT JOIN s USING (doc_id)""",
     "op10_line_dedup": r"""
 WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
