@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def pair_events(sents: DataFrame, window: int = 6, self_pairs: bool = False, keep: tuple[str, ...] = ("sent_id",)) -> DataFrame:
@@ -14,6 +14,20 @@ def pair_events(sents: DataFrame, window: int = 6, self_pairs: bool = False, kee
     return out if self_pairs else out.where("wa <> wb")
 
 
+def ordered_pair_counts(rows: DataFrame, sequence: str, order: list[str], word: str, window: int = 6, self_pairs: bool = False) -> DataFrame:
+    """(wa, wb, count) of sequences that stand as rows, one word each, in the order of some columns.
+
+    Equal to pair_counts() of the sequences as arrays, but a sequence of any length
+    streams through its window, which Spark spills, and is never one row.
+    """
+    w = W.partitionBy(sequence).orderBy(*order)
+    # A struct tells a null word from the sequence's end.
+    after = [F.lead(F.struct(F.col(word).alias("w")), d).over(w).alias(f"a{d}") for d in range(1, window + 1)]
+    ahead = rows.select(F.col(word).alias("w"), *after).select("w", F.explode(F.filter(F.array(*(f"a{d}" for d in range(1, window + 1))), lambda x: x.isNotNull())).alias("a"))
+    out = ahead.select(F.least("w", "a.w").alias("wa"), F.greatest("w", "a.w").alias("wb"))
+    return (out if self_pairs else out.where("wa <> wb")).groupBy("wa", "wb").agg(F.count("*").alias("count"))
+
+
 def pair_counts(sents: DataFrame, window: int = 6, self_pairs: bool = False) -> DataFrame:
     """(wa, wb, count)."""
     return pair_events(sents, window, self_pairs).groupBy("wa", "wb").agg(F.count("*").alias("count"))

@@ -129,7 +129,7 @@ def pair_counts_docs_w6(spark, d):
 
 @query(f"WITH {TOK_E}, {PC(2, True)} SELECT * FROM pc")
 def pair_counts_events_self(spark, d):
-    return pairs.pair_counts(sequences.timelines(table(spark, d, "events")), 2, True)
+    return pairs.ordered_pair_counts(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", 2, True)
 
 
 @query(f"WITH {TOK_B}, {PC(2, True)}, c AS (SELECT least(a.w, b.w) AS wa, greatest(a.w, b.w) AS wb, count(DISTINCT a.s % 8) AS n FROM tok a JOIN tok b ON a.s = b.s AND b.p BETWEEN a.p + 1 AND a.p + 2 GROUP BY 1, 2) SELECT pc.*, c.n AS compartments FROM pc JOIN c USING (wa, wb)")

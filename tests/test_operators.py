@@ -24,6 +24,18 @@ def test_pair_counts_with_and_without_self_pairs(spark):
     assert counts(pairs.pair_counts(s, 2, True)) == {(0, 0): 1, (0, 1): 2}
 
 
+def test_rows_in_order_count_like_arrays(spark):
+    import random
+
+    r = random.Random(3)
+    lists = [[r.randint(0, 5) for _ in range(n)] for n in (0, 1, 2, 9, 30)]
+    rows = [(i, k, w) for i, x in enumerate(lists) for k, w in enumerate(x)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "s long, k int, w long")
+    for window, own in ((1, True), (2, False), (6, True)):
+        assert counts(pairs.ordered_pair_counts(df, "s", ["k"], "w", window, own)) == counts(pairs.pair_counts(sents(spark, *lists), window, own))
+
+
 def test_two_phases_equal_one(spark):
     s = sents(spark, [1, 2, 3, 1], [2, 3], [3, 3, 2])
     assert counts(pairs.two_phase_counts(s, 2)) == counts(pairs.pair_counts(s, 2, True))
