@@ -234,7 +234,7 @@ CONNECTORS = "con AS (SELECT s, p1 AS pos, w1 AS word, 1 AS dir, w2 AS o FROM ms
 
 
 def _word_parse(spark, d):
-    s = _baskets(spark, d)
+    s = write_table(_baskets(spark, d), "baskets")
     return parse.word_trees(s, mi.mi_full(pairs.pair_counts(s, 6)))
 
 
