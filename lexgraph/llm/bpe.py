@@ -8,6 +8,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -19,6 +20,7 @@ from lexgraph.session import ensure_importable
 #: Fixed values of the tokenizer's format: white space, its word pattern, and the ids-to-characters rule of byte-level vocabularies.
 SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Runs of a cache; there are two.
 CACHE = 1 << 18
 
 
@@ -32,33 +34,36 @@ def byte_symbols() -> list[str]:
 def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """Apply merges in order of rank, the leftmost first among equals.
 
-    The symbols form a doubly linked list; the queue holds (rank, left place,
-    left symbol, right symbol), and an entry whose symbols have changed is stale.
+    The symbols form a doubly linked list; the queue holds ranks of pairs with the
+    left place in the low bits, and an entry whose pair has another rank by now is
+    stale.
     """
     n = len(symbols)
-    part = list(symbols)
-    after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-    queue = []
-
-    def push(i: int) -> None:
-        j = after[i]
-        if j >= 0 and (rank := ranks.get((part[i], part[j]))) is not None:
-            heapq.heappush(queue, (rank, i, part[i], part[j]))
-
-    for i in range(n - 1):
-        push(i)
+    part, find, pop, push = list(symbols), ranks.get, heapq.heappop, heapq.heappush
+    after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+    now = [*map(find, zip(part, part[1:])), None]
+    queue = [rank << 32 | i for i, rank in enumerate(now) if rank is not None]
+    heapq.heapify(queue)
     while queue:
-        _, i, left, right = heapq.heappop(queue)
-        j = after[i]
-        if part[i] != left or j < 0 or part[j] != right:
+        first = pop(queue)
+        i = first & 0xFFFFFFFF
+        if now[i] != first >> 32:
             continue
-        part[i], part[j] = left + right, ""
-        after[i] = after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-        if before[i] >= 0:
-            push(before[i])
-        push(i)
+        j = after[i]
+        part[i] = own = part[i] + part[j]
+        part[j] = ""
+        now[j] = now[i] = None
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            if (rank := find((own, part[k]))) is not None:
+                now[i] = rank
+                push(queue, rank << 32 | i)
+        h = before[i]
+        if h >= 0:
+            now[h] = rank = find((part[h], own))
+            if rank is not None:
+                push(queue, rank << 32 | h)
     return [x for x in part if x]
 
 
@@ -76,39 +81,52 @@ class WordBPE:
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes = byte_symbols()
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.decimal = {i: str(i) for i in self.names}
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> tuple[int, ...]:
         symbols = [self.bytes[b] for b in word.encode()]
         symbols[-1] += self.end
-        return [self.vocab[s] for s in merge(symbols, self.ranks) if s in self.vocab]
-
-    def _known(self, word: str) -> tuple[int, str, str]:
-        found = self.cache.get(word)
-        if found is None:
-            ids = self._word(word)
-            found = len(ids), " ".join(map(str, ids)), self.decode(ids)
-            if len(word) <= 64:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[word] = found
+        return tuple([i for s in merge(symbols, self.ranks) if (i := self.vocab.get(s)) is not None])
+
+    def _learn(self, run: str) -> tuple[int, ...]:
+        """Ids of a run without white space; a short one is kept until two caches' worth of others came after its last use."""
+        if (found := self.cache.get(run)) is not None:
+            return found
+        if (found := self.older.get(run)) is None:
+            words = WORDS.findall(run)
+            # Each word is itself a run of one word.
+            found = self._word(run) if words == [run] else tuple(chain.from_iterable(map(self._learn, words)))
+        if len(run) <= 64:
+            if len(self.cache) >= CACHE:
+                self.older, self.cache = self.cache, {}
+            self.cache[run] = found
         return found
 
-    def pieces(self, text: str) -> Iterator[tuple[int, str, str]]:
-        """(number of ids, ids in decimal, decoded) of each word and special token."""
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text."""
+        out: list[int] = []
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
-                yield 1, str(self.special[part]), part
+                out.append(self.special[part])
             elif part:
-                part = SPACE.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower()
-                yield from map(self._known, WORDS.findall(part))
-
-    def encode(self, text: str) -> list[int]:
-        return [int(x) for _, ids, _ in self.pieces(text) for x in ids.split()]
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                # No word reaches across white space; split() alone would also part at these four.
+                runs = [x for x in SPACE.split(part) if x] if any(x in part for x in "\x1c\x1d\x1e\x1f") else part.split()
+                found = [*map(self.cache.get, runs)]
+                if None in found:
+                    found = [x or self._learn(run) for x, run in zip(found, runs)]
+                out += chain.from_iterable(found)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings, set side by side with one space."""
-        return " ".join(self.names[i] for i in ids)
+        return " ".join([*map(self.names.__getitem__, ids)])
+
+    def digits(self, ids: list[int]) -> str:
+        """The ids in decimal, set side by side with one space."""
+        return " ".join([*map(self.decimal.__getitem__, ids)])
 
 
 @functools.lru_cache(2)
@@ -131,13 +149,12 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
         for batch in batches:
             count, ids_sha, text_sha, all_ids = [], [], [], []
             for value in batch.column(1):
-                found = [x for x in bpe.pieces(value.as_py() or "") if x[0]]
-                ids = " ".join([x[1] for x in found])
-                count.append(sum(x[0] for x in found))
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(" ".join([x[2] for x in found]).encode()).hexdigest())
+                ids = bpe.encode(value.as_py() or "")
+                count.append(len(ids))
+                ids_sha.append(hashlib.sha256(bpe.digits(ids).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
                 if with_ids:
-                    all_ids.append(list(map(int, ids.split())))
+                    all_ids.append(ids)
             columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else columns, names)
 

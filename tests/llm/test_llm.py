@@ -38,6 +38,19 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode_documents(docs(spark, ODD), word_bpe_path()).count() == len(ODD)
 
 
+def test_bpe_merges_words_in_use_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, made, merge = Tokenizer.from_file(word_bpe_path()), [], bpe.merge
+    monkeypatch.setattr(bpe, "CACHE", 24)
+    monkeypatch.setattr(bpe, "merge", lambda symbols, ranks: made.append("".join(symbols)) or merge(symbols, ranks))
+    b = bpe.WordBPE(word_bpe_path())
+    for k in range(40):
+        text = f"often, {chr(97 + k % 26)}x{chr(98 + k % 7)}q again don't often \x1c{k}\x1foften"
+        assert b.encode(text) == t.encode(text, add_special_tokens=False).ids
+    assert made.count("often</w>") == made.count("again</w>") == 1 and len(b.cache) + len(b.older) <= 48
+
+
 def test_quality_counts(spark):
     text = "a b c\na b c\n\n x##\na b c"
     counts, _ = quality.statistics(text)
