@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lexgraph.llm.common import Frequencies, digest128, hashed_words, key_frequencies, mix, shingles, with_text
@@ -74,13 +75,14 @@ def cost_boundary(found: Frequencies, need: float) -> int:
     return best
 
 
-def candidate_keys(texts: DataFrame, found: Frequencies, width: int, num: int, den: int, boundary: int) -> DataFrame:
+def candidate_keys(texts: DataFrame, found: Broadcast[Frequencies], width: int, num: int, den: int, boundary: int) -> DataFrame:
     """(key, place, sno): what two linked sets must share at least one of.
 
     In one global order of elements, rare ones first, sets that share t elements
     share l of them among the first n - t + l. Two sets of at most ``boundary``
     elements therefore share a pair (l = 2); with a larger one, a single (l = 1).
-    Elements that only one set holds are left out by the bitmap. ``place`` is
+    Elements that only one set holds are left out by the bitmap, which goes to the
+    workers once, apart from the function. ``place`` is
     pos * 2**32 + n for a set of n elements: pos is how many elements come before
     the key's last one, less those of the key itself, so at the first key that two
     linked sets share, n - pos bounds their overlap.
@@ -89,7 +91,7 @@ def candidate_keys(texts: DataFrame, found: Frequencies, width: int, num: int, d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, keys, at in _document_sets(batch, width):
-                counts, shared = found.count(keys), found.shared(keys)
+                counts, shared = found.value.count(keys), found.value.shared(keys)
                 row = np.repeat(np.arange(hi - lo), np.diff(at))
                 order = np.lexsort((keys, counts, row))
                 keys, shared = keys[order], shared[order]
@@ -222,7 +224,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
 
     found = key_frequencies(texts.select("doc_id", "text"), keys_of, numbered.agg(F.sum("n")).first()[0] or 0)
     boundary = cost_boundary(found, num / den)
-    keys = write_table(candidate_keys(texts, found, width, num, den, boundary), "jaccard-keys")
+    # Some 24 MB: the driver holds them in no plan, and no longer than they are read.
+    sent = docs.sparkSession.sparkContext.broadcast(found)
+    del found
+    keys = write_table(candidate_keys(texts, sent, width, num, den, boundary), "jaccard-keys")
+    sent.destroy()
     heads = keys.groupBy("key").agg(F.min("place").alias("top"), F.min_by("sno", "place").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
     lists = write_table(keys.join(heads, "key"), "jaccard-lists")
     drop_tables(keys)
