@@ -109,14 +109,15 @@ def score_documents(docs: DataFrame, alpha: float = 0.4, slices: int = 3, least:
     value = F.ln("n") - F.ln("cv") - F.ln("cw") + over
     pairs = write_table(both.join(side("word", "cv"), "word").join(side("after", "cw"), "after").select("pair", value.alias("gain")), "lm-pairs")
     known = words.where(F.col("c") >= _frequent(words))
-    rows = exploded(texts).join(F.broadcast(known), "word", "left").join(F.broadcast(pairs), "pair", "left")
-    sums = rows.groupBy("rid").agg((F.coalesce(F.sum(F.ln("c")), F.lit(0.0)) + F.coalesce(F.sum("gain"), F.lit(0.0))).alias("value"), F.count("*").alias("words"), F.count_if(F.col("pos") == 0).alias("copies"), F.count("gain").alias("found"))
+    looked_up = lambda rows: rows.join(F.broadcast(known), "word", "left").join(F.broadcast(pairs), "pair", "left")
+    sums = looked_up(exploded(texts)).groupBy("rid").agg((F.coalesce(F.sum(F.ln("c")), F.lit(0.0)) + F.coalesce(F.sum("gain"), F.lit(0.0))).alias("value"), F.count("*").alias("words"), F.count_if(F.col("pos") == 0).alias("copies"), F.count("gain").alias("found"))
     # A word alone stands beside its own complement.
     alone = F.bitwise_not("word")
     terms = F.array(F.when(F.col("after").isNotNull() & F.col("gain").isNull(), F.struct(F.col("word").alias("v"), F.col("after").alias("w"))), F.when(F.col("c").isNull(), F.struct(F.col("word").alias("v"), alone.alias("w"))))
-    opened = rows.select("rid", F.explode(terms).alias("t")).select("t.v", "t.w", "rid").where("v is not null")
     for k in range(slices):
-        dealt = opened.where(F.pmod("v", F.lit(slices)) == k).repartition("v", "w")
+        # Both kinds of terms go by their word, so a slice looks up its own words only.
+        own = exploded(texts).where(F.pmod("word", F.lit(slices)) == k)
+        dealt = looked_up(own).select("rid", F.explode(terms).alias("t")).select("t.v", "t.w", "rid").where("v is not null").repartition("v", "w")
         # The least rid is of no use but that both sides of the join then read one exchange.
         counts = dealt.groupBy("v", "w").agg(F.count("*").alias("n"), F.min("rid").alias("r")).where((F.col("n") > 1) | (F.col("n") >= least)).where("r is not null").select("v", "w", "n")
         valued = counts.join(side("v", "cv"), "v").join(side("w", "cw"), "w", "left").where(F.col("cw").isNull() | (F.col("n") >= least))
