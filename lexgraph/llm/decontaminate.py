@@ -79,14 +79,16 @@ def similar_prints(windows: DataFrame, items: DataFrame, radius: int) -> DataFra
 
     Each fingerprint has BLOCKS blocks; within that distance, one block at least
     differs in at most ``radius`` bits. Items are listed under all block values that
-    near; windows look up their own.
+    near; windows look up their own. Both sides are dealt by block and value: the list
+    is hundreds of times its items, from whose size Spark would take it to be small
+    enough to pass through the driver.
     """
     masks = F.array(*(F.lit(m) for m in range(1 << BLOCK_BITS) if m.bit_count() <= radius))
     listed = items.select("item_id", F.col("f0").alias("g0"), F.col("f1").alias("g1"), F.explode(_block_keys()).alias("b"))
     listed = listed.select("item_id", "g0", "g1", "b.block", "b.value", F.explode(masks).alias("mask")).select("item_id", "g0", "g1", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
     asked = windows.select("wkey", "f0", "f1", F.explode(_block_keys()).alias("b")).select("wkey", "f0", "f1", "b.block", "b.value")
     near = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) < BLOCKS * (radius + 1)
-    return asked.join(listed, ["block", "value"]).where(near).select("wkey", "item_id").distinct()
+    return asked.join(listed.hint("merge"), ["block", "value"]).where(near).select("wkey", "item_id").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lexgraph.llm.common import Frequencies, digest128, hashed_words, key_frequencies, mix, shingles, with_text
-from lexgraph.operators.components import connected_components
+from lexgraph.operators.components import FEW, connected_components
 from lexgraph.session import drop_tables, ensure_importable, write_table
 
 LARGEST_BOUNDARY = 256
@@ -243,7 +243,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
 
     tested = write_table(ordered(lists.where((F.col("sno") != F.col("a")) & fits("place", "top"))), "jaccard-pairs")
     links = _verified(tested, texts, numbered, width, num, den)
-    roots = write_table(connected_components(links), "jaccard-roots")
+    roots = write_table(connected_components(links, few=FEW), "jaccard-roots")
     open_, step = lists.select("key", "place", "sno"), LEADERS
     while True:
         now = _narrow(open_, roots.withColumnRenamed("node", "sno"), "sno", "left").withColumn("root", F.coalesce("root", "sno"))
@@ -261,7 +261,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
             tested = tested.unionByName(more)
             if not fresh.isEmpty():
                 links = links.unionByName(fresh)
-                old, roots = roots, write_table(connected_components(links), "jaccard-roots")
+                old, roots = roots, write_table(connected_components(links, few=FEW), "jaccard-roots")
                 drop_tables(old)
         open_ = write_table(left.join(lead.select("key", F.col("a").alias("sno")), ["key", "sno"], "left_anti").select("key", "place", "sno"), "jaccard-lists")
         drop_tables(left, lead)

@@ -362,6 +362,14 @@ def test_jaccard_repeated_and_nameless_rows(spark):
     assert got == [(3, 2, 3), (7, 2, 3), (7, 2, 3), (None, 2, None)]
 
 
+def test_jaccard_few_links_are_joined_by_one_task(spark, monkeypatch):
+    """A chain of near copies, which is no star, needs no rounds over the cluster."""
+    rows = [(k, " ".join(f"w{i}" for i in range(k, k + 60))) for k in range(0, 12, 2)] + [(50, "another text with other words")]
+    monkeypatch.setattr("lexgraph.operators.components._large_star", None)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs(spark, rows)).collect()}
+    assert got == jaccard_brute(rows) and len({c for _, c in got.values()}) == 2
+
+
 def suffix_brute(rows, n=50):
     first = {}
     for i, t in rows:
@@ -466,6 +474,12 @@ def test_decontamination_against_all_windows(spark):
     assert got == pytest.approx(decontaminate_brute(rows, items)) and len(got) > 20
 
 
+def test_decontamination_sends_no_list_through_the_driver(spark):
+    prints = spark.range(3).selectExpr("id AS item_id", "id AS wkey", "id AS f0", "id AS f1")
+    near = decontaminate.similar_prints(prints.drop("item_id"), prints.drop("wkey"), 1)
+    assert near.count() == 9 and "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_decontamination_recall_near_the_threshold(spark):
     """Windows at a similarity of 0.80 to 0.85, some with a shingle repeated many times: at least 99 in 100 are found."""
     r = random.Random(16)
