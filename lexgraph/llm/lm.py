@@ -42,6 +42,11 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.count("*").alias("n"))
 
 
+def _turned(v: str) -> Column:
+    """A word's hash turned by one bit: with the next word's hash it makes a pair's key, and gives that word back from the key."""
+    return F.shiftleft(v, 1).bitwiseXOR(F.shiftrightunsigned(v, 63))
+
+
 def _weight() -> Column:
     """How often log c(word) counts in its text if all pairs are in the model.
 
@@ -117,12 +122,12 @@ def score_documents(docs: DataFrame, alpha: float = 0.4, slices: int = 3, least:
     for k in range(slices):
         # Both kinds of terms go by their word, so a slice looks up its own words only.
         own = exploded(texts).where(F.pmod("word", F.lit(slices)) == k)
-        dealt = looked_up(own).select("rid", F.explode(terms).alias("t")).select("t.v", "t.w", "rid").where("v is not null").repartition("v", "w")
-        # The least rid is of no use but that both sides of the join then read one exchange.
-        counts = dealt.groupBy("v", "w").agg(F.count("*").alias("n"), F.min("rid").alias("r")).where((F.col("n") > 1) | (F.col("n") >= least)).where("r is not null").select("v", "w", "n")
+        dealt = looked_up(own).select("rid", F.explode(terms).alias("t")).where("t is not null").select(_turned("t.v").bitwiseXOR(F.col("t.w")).alias("key"), "t.v", "rid").repartition("key")
+        # The least rid is of no use but that both sides of the join then read one exchange; one number alone is sorted fastest.
+        counts = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("v"), F.min("rid").alias("r")).where((F.col("n") > 1) | (F.col("n") >= least)).where("r is not null").select("key", "v", _turned("v").bitwiseXOR(F.col("key")).alias("w"), "n")
         valued = counts.join(side("v", "cv"), "v").join(side("w", "cw"), "w", "left").where(F.col("cw").isNull() | (F.col("n") >= least))
-        gains = valued.select("v", "w", F.when(F.col("cw").isNull(), F.ln("n")).otherwise(value).alias("gain"), F.col("cw").isNotNull().alias("pair"))
-        made = write_table(dealt.join(gains, ["v", "w"]).groupBy("rid").agg(F.sum("gain").alias("value"), F.count_if("pair").alias("found")), "lm-sums")
+        gains = valued.select("key", F.when(F.col("cw").isNull(), F.ln("n")).otherwise(value).alias("gain"), F.col("cw").isNotNull().alias("pair"))
+        made = write_table(dealt.join(gains, "key").groupBy("rid").agg(F.sum("gain").alias("value"), F.count_if("pair").alias("found")), "lm-sums")
         sums = sums.unionByName(made.select("rid", "value", F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("copies"), "found"))
     by_text = sums.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("value", "words", "copies", "found")))
     n, found = F.coalesce(F.expr("words div copies"), F.lit(0)), F.coalesce(F.expr("found div copies"), F.lit(0))

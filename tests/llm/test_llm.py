@@ -532,6 +532,13 @@ def test_lm_backs_off_where_pairs_are_rare(spark, monkeypatch, least, broadcast)
     assert sorted(got, key=str) == sorted(want, key=str) and sum(x[2] for x in want) > 50
 
 
+def test_lm_keys_give_the_second_word_back(spark):
+    ends = [0, -1, 1, -(1 << 63), (1 << 63) - 1, 1234567890123456789]
+    rows = spark.createDataFrame([(v, w) for v in ends for w in ends], "v long, w long").withColumn("key", lm._turned("v").bitwiseXOR(F.col("w")))
+    assert all(x.w == x.back for x in rows.withColumn("back", lm._turned("v").bitwiseXOR(F.col("key"))).collect())
+    assert len({x.key for x in rows.where("v = 1234567890123456789 or w = 0").collect()}) > 6
+
+
 def test_lm_query_equals_sql(spark):
     import duckdb
 
