@@ -96,7 +96,8 @@ def score_documents(docs: DataFrame, alpha: float = 0.4, slices: int = 3, least:
     Every word is scored as if it backed off, and each pair of the model then adds
     what it has over that, a value of the pair alone. N-grams are exploded to rows
     and dealt by their hashes; there they are counted, pairs get their words' counts,
-    and the values are joined back to the rows and summed by text. The hashes are
+    and the values are joined back to the rows, which are dealt once for both, and
+    summed by text. A task holds the values of its own partition. The hashes are
     taken in so many ``slices``, so that the disk holds the rows of one at a time.
     Frequent words, and pairs that would fill half a partition (two for each
     partition at most), are counted first, with aggregation before the exchange, and
@@ -123,11 +124,13 @@ def score_documents(docs: DataFrame, alpha: float = 0.4, slices: int = 3, least:
         # Both kinds of terms go by their word, so a slice looks up its own words only.
         own = exploded(texts).where(F.pmod("word", F.lit(slices)) == k)
         dealt = looked_up(own).select("rid", F.explode(terms).alias("t")).where("t is not null").select(_turned("t.v").bitwiseXOR(F.col("t.w")).alias("key"), "t.v", "rid").repartition("key")
-        # The least rid is of no use but that both sides of the join then read one exchange; one number alone is sorted fastest.
+        # Both sides of the join read rid and v, so that they are one exchange: the least rid is of no other use.
         counts = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("v"), F.min("rid").alias("r")).where((F.col("n") > 1) | (F.col("n") >= least)).where("r is not null").select("key", "v", _turned("v").bitwiseXOR(F.col("key")).alias("w"), "n")
         valued = counts.join(side("v", "cv"), "v").join(side("w", "cw"), "w", "left").where(F.col("cw").isNull() | (F.col("n") >= least))
-        gains = valued.select("key", F.when(F.col("cw").isNull(), F.ln("n")).otherwise(value).alias("gain"), F.col("cw").isNotNull().alias("pair"))
-        made = write_table(dealt.join(gains, "key").groupBy("rid").agg(F.sum("gain").alias("value"), F.count_if("pair").alias("found")), "lm-sums")
+        gains = valued.select("key", F.when(F.col("cw").isNull(), F.ln("n")).otherwise(value).alias("gain"))
+        # Gains are one for each key, so the rows pass by them unsorted.
+        joined = dealt.join(gains.hint("shuffle_hash"), "key")
+        made = write_table(joined.groupBy("rid").agg(F.sum("gain").alias("value"), F.count_if(F.col("key") != _turned("v").bitwiseXOR(F.bitwise_not("v"))).alias("found")), "lm-sums")
         sums = sums.unionByName(made.select("rid", "value", F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("copies"), "found"))
     by_text = sums.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("value", "words", "copies", "found")))
     n, found = F.coalesce(F.expr("words div copies"), F.lit(0)), F.coalesce(F.expr("found div copies"), F.lit(0))

@@ -539,6 +539,22 @@ def test_lm_keys_give_the_second_word_back(spark):
     assert len({x.key for x in rows.where("v = 1234567890123456789 or w = 0").collect()}) > 6
 
 
+def test_lm_rows_are_dealt_once_for_counting_and_joining(spark, monkeypatch):
+    finals, write = [], lm.write_table
+
+    def seen(df, label):
+        if label == "lm-sums":
+            df.collect()
+            finals.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines())
+        return write(df, label)
+
+    monkeypatch.setattr(lm, "write_table", seen)
+    got = lm.score_documents(docs(spark, [(1, "a b a b c"), (2, "b c d"), (3, "a b")]), slices=2, least=2).collect()
+    dealt = [[line for line in plan if "REPARTITION_BY_COL" in line] for plan in finals]
+    assert [(len(x), sum("ReusedExchange" in line for line in x)) for x in dealt] == [(2, 1)] * 2
+    assert sorted((x.doc_id, x.n_words, x.n_backoff) for x in got) == [(1, 5, 1), (2, 3, 1), (3, 2, 0)]
+
+
 def test_lm_query_equals_sql(spark):
     import duckdb
 
