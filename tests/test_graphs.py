@@ -116,3 +116,15 @@ def test_the_sweeps_knee_is_not_the_first(spark):
     rows = QUERIES["threshold_sweep"](spark, "/root/testdata/sf0.001").orderBy("idx").collect()
     counts = [r["components"] for r in rows]
     assert counts == sorted(counts, reverse=True) and [r["idx"] for r in rows if r["is_knee"]] > [0]
+
+
+def test_many_products_are_summed_in_slices(spark, monkeypatch):
+    s = spark.createDataFrame([(w, d, 1 + (w * d) % 5) for w in range(60) for d in range(12) if (w + d) % 3], "word long, disjunct long, count long")
+    rows = lambda df: sorted((r["wa"], r["wb"], r["dot"]) for r in df.collect())
+    plain, parts, write = rows(similarity.cosine(s)), [], similarity.write_table
+    monkeypatch.setattr(similarity, "SLICE", 100)
+    monkeypatch.setattr(similarity, "write_table", lambda df, label: parts.append(write(df, label)) or parts[-1] if label == "dots" else write(df, label))
+    assert rows(similarity.cosine(s)) == plain and len(plain) > 1000
+    assert len(parts) > 3 and sum(p.count() for p in parts) == len(plain) > 2 * max(p.count() for p in parts)
+    monkeypatch.setattr(similarity, "HOT", 10)
+    assert rows(similarity.cosine(s)) == plain
