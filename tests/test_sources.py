@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexgraph.operators import pairs
-from lexgraph.sources import corpus
+from lexgraph.sources import corpus, sequences
 from lexgraph.streaming.learning import LearningLoop
 
 
@@ -119,3 +119,12 @@ def test_the_loop_learns_from_lines(spark, tmp_path):
     every = spark.createDataFrame([(i, x.split()) for i, x in enumerate(lines)], "sent_id long, words array<string>")
     want = {(x.wa, x.wb): x["count"] for x in pairs.pair_counts(every, 2, True).collect()}
     assert {(x.wa, x.wb): x["count"] for x in loop.state.collect()} == want and loop.rounds == 3
+
+
+def test_the_profile_of_all_words_needs_no_vocabulary(spark):
+    rows = [(1, ["a", "b", "a"]), (2, ["c"]), (None, ["a", "b"]), (None, ["d"]), (7, ["x", "y"]), (7, ["z"]), (8, ["p"] * 70)]
+    s = spark.createDataFrame(rows, "sent_id long, words array<string>")
+    got = sequences.corpus_profile(s)
+    assert got.first() == sequences.corpus_profile(s, sequences.vocabulary(s)).first() == (7, 4, 19.75, 3, 70)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sequences.corpus_profile(s.where("false")).first() == (0, 0, None, None, None)
